@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
 from .packing import op1_packing
 from .token_counts import op9_token_counts
 from .token_files import op3_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op9_token_counts": op9_token_counts,
 }
