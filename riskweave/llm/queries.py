@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from .ann import op6_nearest_neighbours
 from .bpe import op2_bpe
+from .chat import OP8_SQL, op8_chat_formatting
+from .language import op10_language_id
 from .packing import op1_packing
 from .token_counts import op9_token_counts
 from .token_files import op3_token_files
+from .topk import OP4_SQL, op4_exact_topk
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
+    "op4_exact_topk": op4_exact_topk,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": OP4_SQL,
+    "op8_chat_formatting": OP8_SQL,
+}
