@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import islice
 
 from .common import serial_tokenizers
 
 #: Distinct pieces whose ids a worker remembers; the older half is forgotten first.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Characters of text that are cut into pieces at once, so that the pieces stay in a core's own cache.
+AT_ONCE = 80_000
 #: Longer pieces aren't remembered.
 LONGEST_REMEMBERED = 48
 
@@ -28,7 +31,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return array("I", ids).tobytes()
 
 
 class WordEncoder:
@@ -57,6 +60,18 @@ class WordEncoder:
         return bool(self.cut_here and _PLAIN(text) and not self.special(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        few: list[str | None] = []
+        size = 0
+        for t in texts:
+            few.append(t)
+            size += len(t or "")
+            if size > AT_ONCE:
+                out += self._encode(few)
+                few, size = [], 0
+        return out + self._encode(few)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut: list[list[str]] = []
         odd: set[str] = set()
         for t in texts:
@@ -81,11 +96,12 @@ class WordEncoder:
             missing = [p for p in distinct if p not in known]
         if not missing:
             return [b"".join(map(known.__getitem__, ps)) for ps in cut]
-        found = {}
-        for coder, new in ((self.merges, [p for p in missing if p not in odd]), (self.whole, [p for p in missing if p in odd])):
-            if new:
-                for p, x in zip(new, coder.encode_batch_fast([p.removesuffix(" ") for p in new], add_special_tokens=False), strict=True):
-                    found[p] = _packed(x.ids)
+        plain = [p for p in missing if p not in odd] if odd else missing
+        coded = self.merges.encode_batch_fast(plain, add_special_tokens=False)
+        found = {p: _packed(x.ids) for p, x in zip(plain, coded, strict=True)}
+        if odd := [p for p in missing if p in odd]:
+            coded = self.whole.encode_batch_fast([p[:-1] for p in odd], add_special_tokens=False)
+            found |= {p: _packed(x.ids) for p, x in zip(odd, coded, strict=True)}
         if max(map(len, missing)) > LONGEST_REMEMBERED:
             known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST_REMEMBERED)
             return [b"".join([known[p] if p in known else found[p] for p in ps]) for ps in cut]
