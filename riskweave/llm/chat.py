@@ -151,19 +151,19 @@ WITH c AS (
 ), n AS (
   SELECT *, strlen(text) // 4 + 8 AS n, length(text) + len(regexp_extract_all(text, '<\\*\|')) + length(role) + {len(OPEN) + len(CLOSE) + 2} AS chars FROM c
 ), p AS (
-  SELECT *, row_number() OVER w AS at, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  SELECT *, row_number() OVER w AS pos, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior
   FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), m AS (
-  SELECT conv_id, before // {BUDGET} AS span, at, chars, true AS target FROM p
-  UNION ALL SELECT conv_id, before // {BUDGET} + 1, at, chars, false FROM p WHERE before >= (before // {BUDGET} + 1) * {BUDGET} - {HISTORY}
+  SELECT conv_id, prior // {BUDGET} AS span, pos, chars, true AS target FROM p
+  UNION ALL SELECT conv_id, prior // {BUDGET} + 1, pos, chars, false FROM p WHERE prior >= (prior // {BUDGET} + 1) * {BUDGET} - {HISTORY}
 ), s AS (
-  SELECT conv_id, span, sum(chars) AS chars, min(at) AS first_at FROM m GROUP BY conv_id, span HAVING bool_or(target)
+  SELECT conv_id, span, sum(chars) AS chars, min(pos) AS first_pos FROM m GROUP BY conv_id, span HAVING bool_or(target)
 ), f AS (
-  SELECT s.conv_id, sum(s.chars + CASE WHEN first_at > 1 THEN coalesce(y.chars, 0) ELSE 0 END)::BIGINT AS formatted_chars
-  FROM s LEFT JOIN (SELECT conv_id, chars FROM p WHERE at = 1 AND role = 'system') y ON s.conv_id = y.conv_id GROUP BY s.conv_id
+  SELECT s.conv_id, sum(s.chars + CASE WHEN first_pos > 1 THEN coalesce(y.chars, 0) ELSE 0 END)::BIGINT AS formatted_chars
+  FROM s LEFT JOIN (SELECT conv_id, chars FROM p WHERE pos = 1 AND role = 'system') y ON s.conv_id = y.conv_id GROUP BY s.conv_id
 ), d AS (
-  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-    coalesce(string_agg(text, '' ORDER BY at) FILTER (WHERE role = 'assistant'), '') AS loss
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss
   FROM p GROUP BY conv_id
 )
 SELECT d.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
