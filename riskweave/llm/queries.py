@@ -6,6 +6,7 @@ from .ann import op6_nearest_neighbours
 from .bpe import op2_bpe
 from .chat import OP8_SQL, op8_chat_formatting
 from .language import op10_language_id
+from .ngram_join import op5_ngram_join
 from .packing import op1_packing
 from .token_counts import op9_token_counts
 from .token_files import op3_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op4_exact_topk": op4_exact_topk,
+    "op5_ngram_join": op5_ngram_join,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
