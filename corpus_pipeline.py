@@ -1,13 +1,62 @@
-"""Cleans a document table for training, stage by stage."""
+"""Cleans a document table for training: language ID, near-duplicate removal, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; between stages the rows are
+written as Parquet and read again. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskweave.llm.common import staged, table
+from riskweave.llm.language import UNKNOWN, filters_of, identify
+from riskweave.llm.ngram_join import groups
+from riskweave.llm.packing import pack
+from riskweave.llm.secrets import redact
+
+#: A document stays if its language's filter holds at least this share of its n-grams.
+LEAST_LANGUAGE = 0.3
+#: Near duplicates: five words, similarity of 0.8 or more.
+WORDS, PERCENT = 5, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that docs are labelled with; others go, and so do those without a letter.
+
+    Where nothing is labelled, nothing can be told, and all with a letter stay.
+    """
+    filters = filters_of(docs)
+    found = identify(docs, filters, names=("__lang_pred", "__score"))
+    if filters.languages:
+        found = found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE))
+    else:
+        found = found.filter(F.col("text").rlike(r"\p{L}"))
+    return found.select(docs.columns)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of smallest doc_id; a repeated row stays once; a null doc_id stays."""
+    kept = groups(docs, WORDS, PERCENT).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return named.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of at most 4096 tokens."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("ngram_join", ngram_join), ("secret_scans", secret_scans), ("packing", packing)]
 
+#: SQL can express none of the stages; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 

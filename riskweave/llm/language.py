@@ -162,23 +162,23 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     return Filters.of({lang: kept.loc[kept["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64) for lang in totals})
 
 
-def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """All columns of docs, then lang_pred and score (0 to 1), which replace columns of these names.
+def identify(docs: DataFrame, filters: Filters, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, then lang_pred and score (0 to 1) under the given names, which replace columns of these names.
 
     A null text, or one without a letter, is `und` with score 0, and so is every text if nothing was learnt; an empty
     table gives no rows; repeated rows are predicted each. Only the text counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the sample: see fit()
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = schema.fieldNames()
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    fields = schema.fieldNames()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_gc()
         for batch in batches:
             for part in slices(batch, text):
                 langs, score = shared.value.predict(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], names=fields)
 
     return docs.mapInArrow(rows, schema)
 

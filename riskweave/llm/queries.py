@@ -8,6 +8,7 @@ from .chat import OP8_SQL, op8_chat_formatting
 from .language import op10_language_id
 from .ngram_join import op5_ngram_join
 from .packing import op1_packing
+from .secrets import op7_secret_scans
 from .token_counts import op9_token_counts
 from .token_files import op3_token_files
 from .topk import OP4_SQL, op4_exact_topk
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op5_ngram_join": op5_ngram_join,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": OP4_SQL,
+    "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": OP8_SQL,
 }
