@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.versions import bounds, version, within
-from ..operators import deps, graph, history, paths
+from ..operators import deps, facts, graph, history, paths
 from ..operators import findings as fi
 from ..operators.rules import IGNORE, LONGEST_LINE, Rule, line_findings, multiline_findings
 from ..sources import reports
@@ -538,3 +538,21 @@ def sarif_rows(spark, sf):
 @query()
 def cyclonedx_rows(spark, sf):
     return reports.cyclonedx_components(sbom_components(spark, sf))
+
+
+# --- facts and data flow over scripts of pages
+
+
+def _page_files(spark, sf):
+    return _t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
+
+
+@query()
+def call_argument_facts(spark, sf):
+    return facts.facts(_page_files(spark, sf))
+
+
+@query()
+def taint_over_one_hop(spark, sf):
+    script = F.concat(F.lit("const q = location.search\nconst url = "), F.concat(F.lit("'"), "url", F.lit("' + q\nfetch(url)\nfetch('/fixed')")))
+    return facts.taint_findings(_t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file"), script.alias("text")))

@@ -104,7 +104,7 @@ def burst_alerts(events: DataFrame, keys: list[str], at: str, seconds: int, most
             lambda acc, r: F.when(acc["until"] > r["us"], acc).otherwise(F.struct((r["us"] + seconds * 1_000_000).alias("until"), F.concat(acc["kept"], F.array(F.struct(r["us"].alias("us"), r["id"].cast("bigint").alias("id"), r["hits"].alias("hits")))).alias("kept"))),
         )["kept"],
     )
-    return folded.select(*keys, F.explode("kept").alias("k")).select(*keys, F.timestamp_micros("k.us").alias(at), F.col("k.id").alias(order), "k.hits")
+    return folded.select(*keys, F.explode("kept").alias("__kept")).select(*keys, F.timestamp_micros("__kept.us").alias(at), F.col("__kept.id").alias(order), "__kept.hits")
 
 
 def sliding_in_order(events: DataFrame, keys: list[str], at: str, seconds: int, order: str) -> DataFrame:

@@ -1,0 +1,31 @@
+from riskweave.operators.facts import agency_findings, arguments, facts, facts_of, plain_literal, taint_findings, without_comments
+
+
+def test_scanner():
+    assert arguments("f(a, [1, 2], 'x,y', g(b))", 1)[0] == ["a", "[1, 2]", "'x,y'", "g(b)"]
+    assert arguments("f(a", 1) is None and arguments("f()", 1)[0] == []
+    assert without_comments("a // b") == "a " and without_comments("'//' // c") == "'//' " and without_comments("https://x") == "https://x"
+    assert plain_literal("'a'") and plain_literal("`x`") and not plain_literal("`${x}`") and not plain_literal("a + 'b'") and plain_literal("12")
+    got = facts_of("function run(cmd, o) {\n  exec(cmd)\n}\nconst { id } = req.query;\nrun(id, 1)")
+    assert ("param", 1, "run", "cmd", 0, "run") in got and ("arg", 2, "exec", "cmd", 0, "run") in got and ("assign", 4, "id", "req.query", 0, "") in got and ("arg", 5, "run", "id", 0, "") in got
+
+
+FILES = [
+    ("a.ts", "const q = req.query.id\nconst sql = `select ${q}`\ndb.query(sql)\ndb.query('select 1')"),
+    ("b.ts", "const q = escape(req.query.id)\ndb.query(q)\n// eval(req.body)\nconst r = req.body\neval(r)"),
+    ("lib/run.ts", "export function run(c) {\n  exec(c)\n}\nexport function safe(c) { return 1 }"),
+    ("app/api.ts", "import { run as go, safe } from '../lib/run'\nconst c = req.body\ngo(c)\nsafe(c)\ngo('ls')"),
+    ("e.ts", ""),
+]
+
+
+def test_taint_over_one_hop(spark):
+    files = spark.createDataFrame(FILES, "file string, text string")
+    got = sorted((r.file, r.line, r.rule_id, r.hops) for r in taint_findings(files).collect())
+    assert got == [("a.ts", 3, "sqli.query", 0), ("app/api.ts", 3, "injection.command", 1), ("b.ts", 5, "injection.eval", 0)]
+    assert facts(files.limit(0)).collect() == [] and taint_findings(files.limit(0)).collect() == []
+
+
+def test_agency(spark):
+    files = spark.createDataFrame([("t.ts", "import { generateText, tool } from 'ai'\nconst t = tool({ execute: async (x) => exec(x) })\nconst out = await generateText({ prompt: req.body })\neval(out)"), ("n.ts", "exec(x)")], "file string, text string")
+    assert sorted((r.rule_id, r.file) for r in agency_findings(files).collect()) == [("ai.excessive-agency", "t.ts"), ("ai.improper-output-handling", "t.ts"), ("ai.prompt-injection", "t.ts")]
