@@ -68,3 +68,21 @@ def test_new_alerts_sink(spark, tmp_path):
     write(df, 0)
     write(df, 1)
     assert spark.read.parquet(str(tmp_path / "known")).count() == 1
+
+
+def test_stateful_burst_stream(spark, tmp_path):
+    """The keyed processor gives what the fold gives in batch."""
+    lines = [event(f"2024-01-01T00:00:{s:02d}Z", ip=ip, path="/api/chat") for ip in "12" for s in (0, 1, 2, 3, 4, 5, 6, 7, 30, 31)]
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "0.log").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = logs.burst_stream(logs.log_stream(spark, str(source))).writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = sorted((r.ip, r.us, r.hits) for r in spark.sql("SELECT * FROM bursts").collect())
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    batch = logs.bucketed(parsed(spark, lines)).withColumn("id", F.unix_micros("at"))
+    want = sorted((r.ip, r.id, r.hits) for r in logs.burst_alerts(batch, ["ip", "bucket"], "at", 10, F.lit(5), "id").collect())
+    assert got == want and len(got) == 2
