@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
@@ -21,7 +21,12 @@ def source_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("*no
     files = raw.filter(F.col("length") <= largest).withColumn("file", F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*(?=/)", ""), "^" + _quoted(base) + "/*", ""))
     for g in ignore:
         files = files.filter(~F.col("file").rlike(glob_regex(g)))
-    return files.select("file", F.regexp_extract("file", r"\.([^.]+)$", 1).alias("ext"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"))
+    return files.select("file", F.regexp_extract("file", r"\.([^.]+)$", 1).alias("ext"), _text().alias("text"), F.col("length").alias("size"))
+
+
+def _text() -> Column:
+    """A file's bytes as text; what isn't UTF-8 is replaced."""
+    return F.make_valid_utf8(F.col("content").cast("string"))
 
 
 def _quoted(text: str) -> str:
@@ -33,7 +38,7 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "package.json").load(root)
     sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
     schema = ", ".join(f"{s} map<string,string>" for s in sections)
-    j = raw.select(F.col("path").alias("file"), F.from_json(F.decode("content", "UTF-8"), schema).alias("j"))
+    j = raw.select(F.col("path").alias("file"), F.from_json(_text(), schema).alias("j"))
     each = F.array(*[F.struct(F.lit(n).alias("section_ord"), F.lit(s).alias("section"), F.col(f"j.{s}").alias("deps")) for n, s in enumerate(sections)])
     return j.select("file", F.explode(each).alias("s")).select("file", "s.section", "s.section_ord", F.explode("s.deps").alias("name", "declared"))
 
@@ -42,7 +47,7 @@ def lock_packages(spark: SparkSession, root: str) -> DataFrame:
     """file, path, version, resolved, integrity, dev of every lockfile's packages, or of its dependencies in the old form."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "package-lock.json").load(root)
     entry = "struct<version:string,resolved:string,integrity:string,dev:boolean>"
-    j = raw.select(F.col("path").alias("file"), F.from_json(F.decode("content", "UTF-8"), f"packages map<string,{entry}>, dependencies map<string,{entry}>").alias("j"))
+    j = raw.select(F.col("path").alias("file"), F.from_json(_text(), f"packages map<string,{entry}>, dependencies map<string,{entry}>").alias("j"))
     return j.select("file", F.explode(F.coalesce("j.packages", "j.dependencies")).alias("path", "p")).filter("path <> ''").select("file", "path", "p.*")
 
 
