@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that become Python objects at once; bounds a worker's memory on long texts.
 SLICE = 128
 #: Bytes of text that become Python objects at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,24 @@ def staged(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that no plan still to be run reads."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def picked(docs: DataFrame, **columns: str) -> DataFrame:
@@ -44,11 +61,11 @@ def picked(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[docs[source].alias(name) for name, source in columns.items()])
 
 
-def slices(batch: pa.RecordBatch, text: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most SLICE rows and, with a text column, about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text: str | None = None, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows and, with a text column, about SLICE_BYTES of text."""
     at = 0
     while at < batch.num_rows:
-        part = batch.slice(at, SLICE)
+        part = batch.slice(at, rows)
         if text is not None and part.num_rows > 1 and part.column(text).nbytes > SLICE_BYTES:
             total, n = 0, 0
             for x in part.column(text):

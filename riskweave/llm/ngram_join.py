@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning, down to the groups that links make.
 
 The global order puts n-grams by how often they occur (a sketch of fixed size counts all of them), then by hash, and
-is cut into fragments. Two sets that reach the threshold share one of the first few n-grams of that order in each, so
+is cut into fragments. Two sets that reach the threshold share some of the first n-grams of that order in each, so
 candidates meet there. For each candidate pair the overlap is counted in each fragment by itself, and the counts are
 summed. Texts with equal sets are one node. Only groups are asked for, so pairs within a group needn't be tested: two
 rounds link each set to one common partner of its bucket, and then every candidate pair whose sides are still in
@@ -10,14 +10,16 @@ different groups is tested. That loses no link that matters to a group, and neve
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, picked, rare_gc, slices, staged, table
+from .common import discard, mapped, picked, rare_gc, release, slices, staged, table
 from .components import components
 from .shingles import mixed, set_id, shingle_sets
 
@@ -26,6 +28,8 @@ CELLS = 1 << 21
 #: Cells of a row of the sketch.
 SLICE_CELLS = 1 << 16
 FRAGMENTS = 4
+#: Two sets that link share this many n-grams of their prefixes (or all that they must share, if that is fewer).
+SHARED = 4
 ROUNDS = 2
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("cells", pa.int32()), ("counts", pa.binary())])
@@ -52,7 +56,7 @@ def _sets(n: int):
         for i in range(0, CELLS, SLICE_CELLS):
             own = sketch[i : i + SLICE_CELLS]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i // SLICE_CELLS], pa.int32()), pa.array([own.astype("<u4").tobytes()])], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i // SLICE_CELLS], pa.int32()), pa.array([zlib.compress(own.astype("<u4").tobytes(), 1)])], schema=_SETS)
 
     return rows
 
@@ -60,7 +64,7 @@ def _sets(n: int):
 def _summed(key, t):
     total = np.zeros(SLICE_CELLS, dtype=np.uint64)
     for x in t.column("counts"):
-        total += np.frombuffer(x.as_buffer(), dtype="<u4")
+        total += np.frombuffer(zlib.decompress(x.as_buffer()), dtype="<u4")
     return pa.table({"cells": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()])})
 
 
@@ -89,17 +93,61 @@ def _prefixes(n: int, percent: int, shared):
                     if len(s):
                         sids.append(set_id(s))
                         sizes.append(len(s))
-                        # An overlap of percent / 100 of the set leaves out at most this many.
-                        grams.append(_ordered(s, shared.value)[0][: len(s) + (-percent * len(s)) // 100 + 1].view(np.int64))
+                        # An overlap of percent / 100 of the set leaves out at most this many, less 1, and then come those that are shared.
+                        grams.append(_ordered(s, shared.value)[0][: len(s) + (-percent * len(s)) // 100 + SHARED].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], schema=_PREFIX)
 
     return rows
 
 
-def _fragments(n: int, shared, cuts: np.ndarray):
+class Some:
+    """A Bloom filter of ids, of a fixed size: what it lets through by mistake is left out later."""
+
+    BITS = 1 << 24
+
+    def __init__(self) -> None:
+        self.bits = np.zeros(self.BITS, dtype=bool)
+
+    @classmethod
+    def slots(cls, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        return (h & np.uint64(cls.BITS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(cls.BITS - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, ids: DataFrame) -> "Some":
+        """ids: one column of longs. Each task sends its filter packed, and they are joined on an executor."""
+
+        def rows(batches):
+            own = cls()
+            for b in batches:
+                for slot in cls.slots(b.column(0).to_numpy()):
+                    own.bits[slot] = True
+            packed = np.packbits(own.bits)
+            for i in range(0, len(packed), 1 << 16):
+                if packed[i : i + (1 << 16)].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i >> 16], pa.int32()), pa.array([packed[i : i + (1 << 16)].tobytes()])], names=["i", "bits"])
+
+        def joined(key, t):
+            return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("bits")]).tobytes()])})
+
+        out = cls()
+        for r in mapped(ids, rows, "i int, bits binary").groupBy("i").applyInArrow(joined, "i int, bits binary").collect():
+            out.bits[r["i"] << 19 : (r["i"] + 1) << 19] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))
+        return out
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        a, b = self.slots(ids)
+        return self.bits[a] & self.bits[b]
+
+
+def _fragments(n: int, shared, cuts: np.ndarray, wanted):
+    """The fragments of the sets of those documents that may be asked for."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_gc()
         for batch in batches:
+            ids = batch.column("doc_id")
+            batch = batch.filter(pa.array(wanted.value.may_hold(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
             for part in slices(batch, "text"):
                 sids, numbers, grams = [], [], []
                 for s in shingle_sets(part.column("text").to_pylist(), n):
@@ -118,34 +166,104 @@ def _fragments(n: int, shared, cuts: np.ndarray):
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared n-grams of each pair's two fragments; a missing one is empty."""
     for b in batches:
-        out = np.zeros(b.num_rows, dtype=np.int64)
+        out = np.zeros(b.num_rows, dtype=np.int32)
         for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            out[i] = (y[np.minimum(at, len(y) - 1)] == x).sum()
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("n_a"), b.column("n_b"), pa.array(out)], names=["a", "b", "n_a", "n_b", "shared"])
+            if x.is_valid and y.is_valid:
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                out[i] = (y[np.minimum(at, len(y) - 1)] == x).sum()
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("a", "b", "n_a", "n_b", "fragment", "own_a", "own_b")], pa.array(out)], names=["a", "b", "n_a", "n_b", "fragment", "own_a", "own_b", "shared"])
+
+
+def _only(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Parts of these nodes (and a few others), so that the rest isn't shuffled."""
+    some = parts.sparkSession.sparkContext.broadcast(Some.of(nodes))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(some.value.may_hold(b.column("node").to_numpy())))
+
+    return parts.mapInArrow(rows, parts.schema)
+
+
+def _counted(pairs: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+    """a, b, n_a, n_b, shared, own_a, own_b: overlaps summed over the fragments in parts, each counted once even if parts repeats it."""
+    left = parts.select(F.col("node").alias("p_a"), "fragment", F.col("grams").alias("x"))
+    right = parts.select(F.col("node").alias("p_b"), F.col("fragment").alias("f"), F.col("grams").alias("y"))
+    met = pairs.join(left, F.col("a") == F.col("p_a"), how).join(right, (F.col("b") == F.col("p_b")) & (F.col("fragment") == F.col("f")), how)
+    size = lambda c: F.coalesce(F.octet_length(c) / 8, F.lit(0)).cast("int")
+    met = met.select("a", "b", "n_a", "n_b", F.coalesce("fragment", F.lit(0)).alias("fragment"), size("x").alias("own_a"), size("y").alias("own_b"), "x", "y")
+    counts = mapped(met, _overlaps, "a long, b long, n_a int, n_b int, fragment int, own_a int, own_b int, shared int")
+    each = counts.groupBy("a", "b", "n_a", "n_b", "fragment").agg(*[F.max(c).alias(c) for c in ("shared", "own_a", "own_b")])
+    return each.groupBy("a", "b", "n_a", "n_b").agg(*[F.sum(c).alias(c) for c in ("shared", "own_a", "own_b")])
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, n_a, n_b) of set ids and sizes, those whose Jaccard similarity is at least percent / 100."""
-    left = parts.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("x"))
-    right = parts.select(F.col("sid").alias("b"), F.col("fragment").alias("f"), F.col("grams").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").filter(F.col("fragment") == F.col("f")).select("a", "b", "n_a", "n_b", "x", "y")
-    counts = mapped(met, _overlaps, "a binary, b binary, n_a long, n_b long, shared long")
-    return counts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared")).filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
+    """Of pairs (a, b, n_a, n_b) of nodes and set sizes, those whose Jaccard similarity is at least percent / 100.
+
+    The fragment of the rarest n-grams is counted first: pairs that can't reach the threshold even if they share all
+    the rest end there. Then the other fragments are counted, and the counts summed.
+    """
+    pairs = staged(pairs, "pairs")
+    reaches = lambda shared: (100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))
+    ends = lambda df: df.select("a").union(df.select("b"))
+    rare = _counted(pairs, _only(parts.filter("fragment = 0"), ends(pairs)), "left")
+    rare = staged(rare.filter(reaches(F.col("shared") + F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")))), "rare")
+    discard(pairs)
+    release(pairs.sparkSession)
+    rest = _counted(rare.select("a", "b", "n_a", "n_b"), _only(parts.filter("fragment > 0"), ends(rare)), "inner")
+    both = rare.select("a", "b", "n_a", "n_b", "shared").union(rest.select("a", "b", "n_a", "n_b", "shared"))
+    found = staged(both.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared")).filter(reaches(F.col("shared"))).select("a", "b"), "links")
+    discard(rare)
+    return found
 
 
 def _may_link(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
-    """What is left from the shared n-gram on can still make the overlap that the sizes ask for (true of the first shared one of any link)."""
+    """Whether what is left from a shared n-gram on can make the overlap that the sizes ask for. True of a link's first shared one."""
     return (100 + percent) * F.least(n_a - at_a, n_b - at_b) >= percent * (n_a + n_b)
 
 
-def _with_roots(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    r = roots.select(F.col("node").alias("r_sid"), "root")
-    return postings.join(r, F.col("sid") == F.col("r_sid"), "left").withColumn("root", F.coalesce("root", "sid")).drop("r_sid")
+def _hopeful(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings without those that no other of the bucket can link with: sizes differ by less than percent / 100, and enough is left of both sets."""
+    reach = math.ceil(-math.log(percent / 100) * 1e6) + 2
+    near = Window.partitionBy("gram").orderBy(F.floor(F.ln("n") * 1e6)).rangeBetween(-reach, reach)
+    left = F.col("n") - F.col("at")
+    found = postings.withColumn("others", F.count("*").over(near)).withColumn("left", F.max(left).over(near)).withColumn("least", F.min("n").over(near))
+    ok = (F.col("others") > 1) & ((100 + percent) * (F.least(left, F.col("left")) + (SHARED - 1)) >= percent * (F.col("n") + F.col("least")))
+    return found.filter(ok).drop("others", "left", "least")
+
+
+def _enough(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings of nodes that still have as many as a link's sets share."""
+    own = postings.withColumn("own", F.count("*").over(Window.partitionBy("node")))
+    return own.filter(F.col("own") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))).drop("own")
+
+
+def _partners(now: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each node with one partner: the one that leads most of its buckets; ties go by an order common to all. The lead column holds them."""
+    ok = (F.col("node") != F.col("lead.node")) & _may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), percent)
+    if "root" in now.columns:
+        ok &= F.col("root") != F.col("lead.root")
+    led = now.filter(ok).groupBy("node", "n", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n")).agg(F.count("*").alias("buckets"))
+    chosen = led.groupBy("node", "n").agg(F.max(F.struct("buckets", F.xxhash64("l_node", F.lit(k)).alias("h"), F.col("l_node").alias("node"), F.col("l_n").alias("n"))).alias("l"))
+    return chosen.select(F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("n").alias("n_a"), F.col("l.n").alias("n_b"))
+
+
+def _left_over(now: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs across groups: each bucket's largest group against the rest, and the rest among themselves."""
+    sizes = now.groupBy("gram", "root").agg(F.count("*").alias("sets"))
+    large = sizes.groupBy("gram").agg(F.max_by("root", F.struct("sets", "root")).alias("large")).select(F.col("gram").alias("g"), "large")
+    rest = now.join(large, F.col("gram") == F.col("g")).filter(F.col("root") != F.col("large")).select("gram", "large", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
+    other = now.select(F.col("gram").alias("g"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
+    once = (F.col("root_b") == F.col("large")) | (F.col("a") < F.col("b"))
+    pairs = rest.join(other, (F.col("gram") == F.col("g")) & (F.col("root_a") != F.col("root_b")) & once & _may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent))
+    first = F.col("a") < F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+    return pairs.distinct()
 
 
 def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,49 +281,72 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "do
     own = sets.filter(F.col("cells").isNull()).select("doc_id", "n", "sid")
     sketch = _sketch(sets)
     shared = spark.sparkContext.broadcast(sketch)
-
-    prefixes = mapped(docs, _prefixes(words, percent, shared), "sid binary, n long, grams array<long>").groupBy("sid", "n").agg(F.first("grams").alias("grams"))
-    postings = prefixes.select("sid", "n", F.posexplode("grams").alias("at", "gram")).repartition("gram")
-    # Buckets of one set go; the rest meet at the set that has the n-gram earliest.
-    most = postings.groupBy("gram").agg(F.count("*").alias("sets"), F.min(F.struct("at", "sid", "n")).alias("lead")).filter("sets > 1").select(F.col("gram").alias("g"), "lead")
-    kept = staged(postings.join(most, F.col("gram") == F.col("g")).select("gram", "sid", "n", "at"), "postings")
-    if kept.isEmpty():
-        roots = own.select(F.col("sid").alias("node"), F.col("sid").alias("root")).limit(0)
-    else:
+    seed = _seed(own)
+    node = F.xxhash64("sid", F.lit(seed))
+    own = own.withColumn("node", node)
+
+    prefixes = mapped(docs, _prefixes(words, percent, shared), "sid binary, n long, grams array<long>").select(node.alias("node"), F.col("n").cast("int").alias("n"), "grams").groupBy("node", "n").agg(F.first("grams").alias("grams"))
+    postings = prefixes.select("node", "n", F.posexplode("grams").alias("at", "gram"))
+    bucket = Window.partitionBy("gram")
+    kept = _hopeful(_enough(_hopeful(postings, percent), percent), percent)
+    # The set that has the n-gram earliest leads its bucket.
+    kept = kept.withColumn("lead", F.min(F.struct("at", "node", "n")).over(bucket))
+    kept = staged(kept, "postings")
+    release(spark)
+    roots = None
+    if not kept.isEmpty():
         # The sets to be compared, in fragments of the global order of about equal weight.
         ranked = np.sort(sketch[sketch > 0])
         weight = np.cumsum(ranked, dtype=np.float64)
         cuts = np.unique(ranked[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)])
-        wanted = own.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("one")).join(kept.select("sid").distinct(), "sid", "left_semi").select("one")
-        texts = docs.join(wanted, F.col("doc_id") == F.col("one"), "left_semi")
-        parts = staged(mapped(texts, _fragments(words, shared, cuts), "sid binary, fragment int, grams binary").dropDuplicates(["sid", "fragment"]), "fragments")
-        links = None
-        roots = own.select(F.col("sid").alias("node"), F.col("sid").alias("root")).limit(0)
-        for k in range(ROUNDS + 1):
-            now = _with_roots(kept, roots)
+        holders = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("one")).filter("one IS NOT NULL")
+        first = _partners(kept, 0, percent)
+        holders = staged(holders.join(kept.select("node").distinct(), "node", "left_semi"), "holders")
+        wanted = spark.sparkContext.broadcast(Some.of(holders.select("one")))
+        parts = mapped(docs, _fragments(words, shared, cuts, wanted), "sid binary, fragment int, grams binary").select(node.alias("node"), "fragment", "grams")
+        parts = staged(parts, "fragments")
+        links = linked(first, parts, percent)
+        roots = components(links)
+        release(spark)
+        now = kept
+        for k in range(1, ROUNDS + 1):
+            last = now
+            r = roots.select(F.col("node").alias("r_node"), "root")
+            now = now.drop("root", "lead").join(r, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("r_node")
             # Buckets whose sets are in one group have nothing left to say.
-            open_ = now.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("sid", "n", "at", "root"), F.struct("at", F.xxhash64("sid", F.lit(k)), "sid")).alias("lead")).filter(F.col("lo") != F.col("hi")).select(F.col("gram").alias("g"), "lead")
-            now = now.join(open_, F.col("gram") == F.col("g")).drop("g")
-            if k < ROUNDS:  # each set with one partner: the first, in an order common to all, of its buckets' leaders
-                ok = (F.col("root") != F.col("lead.root")) & _may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), percent)
-                pairs = now.filter(ok).groupBy("sid", "n").agg(F.min_by(F.struct("lead.sid", "lead.n"), F.struct(F.xxhash64("lead.sid", F.lit(k)), "lead.sid")).alias("l"))
-                pairs = pairs.select(F.col("sid").alias("a"), F.col("l.sid").alias("b"), F.col("n").alias("n_a"), F.col("l.n").alias("n_b"))
-            else:  # all that is left, each bucket's largest group against the rest and the rest among themselves
-                sizes = now.groupBy("gram", "root").agg(F.count("*").alias("sets"))
-                large = sizes.groupBy("gram").agg(F.max_by("root", F.struct("sets", "root")).alias("large")).select(F.col("gram").alias("g"), "large")
-                rest = now.join(large, F.col("gram") == F.col("g")).filter(F.col("root") != F.col("large")).select("gram", "large", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
-                other = now.select(F.col("gram").alias("g"), F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-                once = (F.col("root_b") == F.col("large")) | (F.col("a") < F.col("b"))
-                pairs = rest.join(other, (F.col("gram") == F.col("g")) & (F.col("root_a") != F.col("root_b")) & once & _may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent))
-                pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
-            fresh = staged(linked(pairs, parts, percent), "links")
-            links = fresh if links is None else links.union(fresh)
-            if k < ROUNDS or not fresh.isEmpty():
+            now = now.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).withColumn("lead", F.min(F.struct("at", F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "root")).over(bucket))
+            now = staged(now.filter(F.col("lo") != F.col("hi")).drop("lo", "hi"), "open")
+            discard(last)
+            if now.isEmpty():
+                break
+            pairs = _partners(now, k, percent) if k < ROUNDS else _left_over(now.drop("lead"), percent)
+            fresh = linked(pairs, parts, percent)
+            release(spark)
+            if not fresh.isEmpty():
+                links = links.union(fresh)
+                discard(roots)
                 roots = components(links)
-    member = own.withColumn("whole", F.col("n") > 0).join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.when(F.col("whole"), F.coalesce("root", "sid")))
+                release(spark)
+        discard(now, parts, holders)
+    member = own.withColumn("whole", F.col("n") > 0)
+    if roots is not None:
+        member = member.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left")
+        member = member.withColumn("root", F.when(F.col("whole"), F.coalesce("root", "node")))
+    else:
+        member = member.withColumn("root", F.when(F.col("whole"), F.col("node")))
     least = member.filter("whole").groupBy("root").agg(F.min("doc_id").alias("least")).select(F.col("root").alias("r"), "least")
     return member.join(least, F.col("root") == F.col("r"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("whole"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _seed(own: DataFrame) -> int:
+    """A seed under which all 16-byte set ids have 64-bit hashes of their own."""
+    seed = 0
+    while True:
+        ids = own.select("sid").distinct().groupBy(F.xxhash64("sid", F.lit(seed)).alias("node")).agg(F.count("*").alias("sids"))
+        if ids.filter("sids > 1").isEmpty():
+            return seed
+        seed += 1
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), words=3, percent=90)
