@@ -33,7 +33,7 @@ def _encoded(tokenizer: str, end: int):
         encoder, tail = word_encoder(tokenizer), end.to_bytes(4, "little")
         shard, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1024):
                 coded = [b + tail for b in encoder.encode(part.column("text").to_pylist())]
                 sizes = np.array([len(b) // 4 for b in coded], dtype=np.int64)
                 ends = np.cumsum(sizes)
