@@ -11,18 +11,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import mapped, picked, rare_gc, slices, table
+from .pieces import END, LETTER, OTHER, REMEMBERED, SPACE, PieceTable, kinds_of
 
-#: Distinct pieces whose ids a worker remembers; the older half is forgotten first.
-REMEMBERED = 300_000
-#: Longer pieces aren't remembered.
+#: Longer pieces of texts that aren't plain are forgotten at once.
 LONGEST_REMEMBERED = 64
 #: Pieces of more bytes get a tree of their own.
 TOGETHER = 33
@@ -35,6 +35,33 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _NONE = np.iinfo(np.int64).max
 
 
+PLAIN = re.compile(r"[\t\n\r -~¡-ÿ]*").fullmatch
+
+
+def cut(data: np.ndarray) -> np.ndarray:
+    """Where PATTERN's pieces begin in plain texts (printable ASCII and Latin-1), each ended by a byte 0, which is a piece too."""
+    kinds, _ = kinds_of(data)
+    begin = np.ones(len(data), dtype=bool)
+    begin[1:] = kinds[1:] != kinds[:-1]
+    begin[data == 0] = True
+    # White space before another piece: all but its last character is a piece; a last blank belongs to what follows.
+    last = np.flatnonzero((kinds[:-1] == SPACE) & (kinds[1:] != SPACE) & (kinds[1:] != END))
+    begin[last] = True
+    blank = data[last] == 32
+    begin[last[blank] + 1] = False
+    mark = np.flatnonzero(data[:-1] == 39)
+    if len(mark):
+        prior = np.maximum(mark - 1, 0)
+        mark = mark[(kinds[mark + 1] == LETTER) & ((mark == 0) | (data[prior] != 32) & (kinds[prior] != OTHER))]
+        a, b = data[mark + 1], data[np.minimum(mark + 2, len(data) - 1)]
+        short = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        pair = (a == ord("r")) & (b == ord("e")) | (a == ord("v")) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        begin[mark[short | pair] + 1] = False
+        begin[mark[short] + 2] = True
+        begin[mark[pair] + 3] = True
+    return np.flatnonzero(begin)
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in vocabulary files: itself, or the next one from U+0100."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -71,6 +98,7 @@ class BytePairCoder:
         self.special = special
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pieces = regex.compile(PATTERN).findall
+        self.table = PieceTable(self.merge)
         self.known: dict[str, tuple[int, ...]] = {t: (i,) for t, i in special.items()}
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -171,24 +199,21 @@ class BytePairCoder:
                 put(prior, none if r is None else r * width + prior)
         return tuple(s for s in symbols if s >= 0)
 
-    def merge(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece."""
-        found: dict[str, tuple[int, ...]] = {}
-        groups: dict[int, tuple[list[str], list[bytes]]] = {}
-        for p in pieces:
-            b = p.encode()
-            if len(b) == 1:
-                found[p] = (int(self.first[b[0]]),)
+        found: dict[bytes, tuple[int, ...]] = {b"\0": ()}
+        groups: dict[int, list[bytes]] = {}
+        for b in pieces:
+            if len(b) == 1 and b != b"\0":
+                found[b] = (int(self.first[b[0]]),)
             elif len(b) > TOGETHER:
-                found[p] = self._merge_one(b)
-            else:
-                names, words = groups.setdefault(1 << (len(b) - 2).bit_length(), ([], []))
-                names.append(p)
-                words.append(b)
-        for width, (names, words) in groups.items():
+                found[b] = self._merge_one(b)
+            elif len(b) > 1:
+                groups.setdefault(1 << (len(b) - 2).bit_length(), []).append(b)
+        for width, words in groups.items():
             for i in range(0, len(words), ROWS):
-                found.update(zip(names[i : i + ROWS], self._merge_rows(words[i : i + ROWS], width), strict=True))
-        return found
+                found.update(zip(words[i : i + ROWS], self._merge_rows(words[i : i + ROWS], width), strict=True))
+        return [found[b] for b in pieces]
 
     def split(self, text: str) -> list[str]:
         """Pieces in order; special strings are pieces of their own."""
@@ -202,20 +227,43 @@ class BytePairCoder:
             at = self.at_special.search(text, start)
         return out + self.pieces(text[start:])
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        cut = [self.split(t) if t else [] for t in texts]
-        distinct = set().union(*cut)
+    def _encode_plain(self, texts: list[str]) -> list[list[int]]:
+        data = np.frombuffer("\0".join([*texts, ""]).encode(), dtype=np.uint8)
+        at = cut(data)
+        tokens, ends = self.table.encode(data, at)
+        stops = np.append(0, ends)[np.searchsorted(at, np.flatnonzero(data == 0))].tolist()
+        ids = tokens.tolist()
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _encode_other(self, texts: list[str]) -> list[list[int]]:
+        """Texts with other characters or special strings, cut by the pattern itself."""
+        split = [self.split(t) for t in texts]
         known = self.known
-        missing = [p for p in distinct if p not in known]
-        if len(known) + len(missing) > REMEMBERED:
-            self.known = known = {t: (i,) for t, i in self.special.items()} | dict(islice(known.items(), len(known) // 2, None))
-            missing = [p for p in distinct if p not in known]
-        found = self.merge(missing)
+        missing = [p for p in set().union(*split) if p not in known]
+        if len(known) + len(missing) > REMEMBERED // 4:
+            self.known = known = {t: (i,) for t, i in self.special.items()}
+            missing = [p for p in set().union(*split) if p not in known]
+        zero = (int(self.first[0]),)  # plain text keeps the byte 0 for its ends
+        known.update(zip(missing, [zero if p == "\0" else ids for p, ids in zip(missing, self.merge([p.encode() for p in missing]), strict=True)], strict=True))
+        out = [list(chain.from_iterable(map(known.__getitem__, ps))) for ps in split]
         if missing and max(map(len, missing)) > LONGEST_REMEMBERED:
-            known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST_REMEMBERED)
-            return [list(chain.from_iterable([known[p] if p in known else found[p] for p in ps])) for ps in cut]
-        known.update(found)
-        return [list(chain.from_iterable(map(known.__getitem__, ps))) for ps in cut]
+            for p in missing:
+                if len(p) > LONGEST_REMEMBERED:
+                    del known[p]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in texts]
+        plain: list[int] = []
+        other: list[int] = []
+        for i, t in enumerate(texts):
+            if t:
+                (plain if PLAIN(t) and not (self.at_special and self.at_special.search(t)) else other).append(i)
+        for own, encoded in ((plain, self._encode_plain), (other, self._encode_other)):
+            if own:
+                for i, ids in zip(own, encoded([texts[i] for i in own]), strict=True):
+                    out[i] = ids
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")
@@ -245,7 +293,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1024):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.encode(part.column("text").to_pylist()), pa.list_(pa.int32()))], schema=_IDS)
 
     return mapped(picked(docs, doc_id=doc_id, text=text), rows, "doc_id long, ids array<int>")
@@ -269,7 +317,7 @@ def round_trip_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1024):
                 ids = own.encode(part.column("text").to_pylist())
                 said = [hashlib.sha256(",".join(map(own.decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
                 back = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids]
