@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -11,9 +13,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch that become Python objects at once; bounds a worker's memory on long texts.
 SLICE = 128
+#: Rows of an Arrow batch between the JVM and Python, at most: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
 #: Bytes of text that become Python objects at once.
 SLICE_BYTES = 2 << 20
 
@@ -78,8 +83,30 @@ def slices(batch: pa.RecordBatch, text: str | None = None, rows: int = SLICE) ->
         at += part.num_rows
 
 
-def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(rows, schema)
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives on through many tasks and stages beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, nothing is lost
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow in small batches, with memory given back after each."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            del b
+            trim()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(trimmed(batches))
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def serial_tokenizers() -> None:

@@ -180,7 +180,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text", names: tuple
                 langs, score = shared.value.predict(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], names=fields)
 
-    return docs.mapInArrow(rows, schema)
+    return mapped(docs, rows, schema)
 
 
 def training_fold() -> Column:

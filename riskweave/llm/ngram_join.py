@@ -187,7 +187,7 @@ def _only(parts: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(some.value.may_hold(b.column("node").to_numpy())))
 
-    return parts.mapInArrow(rows, parts.schema)
+    return mapped(parts, rows, parts.schema)
 
 
 def _counted(pairs: DataFrame, parts: DataFrame, how: str) -> DataFrame:

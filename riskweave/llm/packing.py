@@ -21,7 +21,7 @@ from .words import word_encoder
 
 WINDOW = 4096
 #: Tokens that a task packs at once (4 bytes each).
-BATCH_TOKENS = 8 << 20
+BATCH_TOKENS = 2 << 20
 #: A window with more padding than this is cut into parts of a power of two, which need none.
 MOST_PADDING = 64
 
@@ -137,7 +137,7 @@ def packer(tokenizer: str, end: int, window: int, batch_tokens: int, most: int,
         base = (context.partitionId() if context else 0) << 40
         ids, docs, held = [], [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1024):
                 docs += [b + tail for b in encoder.encode(part.column("text").to_pylist())]
                 ids += part.column("doc_id").to_pylist()
                 held += sum(len(b) // 4 for b in docs[-part.num_rows :])

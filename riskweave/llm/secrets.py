@@ -211,7 +211,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
                         columns[n_chars] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(part.column(n_chars).to_pylist())], part.column(n_chars).type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return mapped(docs, rows, docs.schema)
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
