@@ -8,12 +8,17 @@ place, it is widened, at worst to the whole chunk before.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import PLAIN, cut
 from .common import mapped, picked, serial_tokenizers, slices, table
+from .pieces import PieceTable
 
 #: Texts of more characters are encoded in chunks.
 CHUNK = 16_384
@@ -26,11 +31,21 @@ _counters: dict[str, "Counter"] = {}
 class Counter:
     def __init__(self, path: str):
         serial_tokenizers()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        spec = json.loads(self.tokenizer.to_str())
+        kind = spec.get("pre_tokenizer") or {}
+        own_pattern = spec.get("normalizer") is None and (kind.get("type"), kind.get("use_regex"), kind.get("add_prefix_space")) == ("ByteLevel", True, False)
+        self.merges = Tokenizer.from_file(path)
+        self.merges.no_padding()
+        self.merges.no_truncation()
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)").search
+        #: Plain texts are cut by the file's own pattern here, so that the library merges each distinct piece once.
+        self.table = PieceTable(self._learn) if own_pattern else None
         #: A chunk's end may cut a special string or the last piece in two.
         self.guard = max([1, *(len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
 
@@ -70,10 +85,33 @@ class Counter:
             start, end = p, min(begin + chunk + wide, len(text))
         return total + n - mine.get(start, 0)
 
+    def _learn(self, pieces: list[bytes]) -> list[list[int]]:
+        real = [p.decode() for p in pieces if p != b"\0"]
+        coded = iter(self.merges.encode_batch_fast(real, add_special_tokens=False) if real else [])
+        return [[] if p == b"\0" else next(coded).ids for p in pieces]
+
+    def _plain(self, texts: list[str]) -> list[int]:
+        data = np.frombuffer("\0".join([*texts, ""]).encode(), dtype=np.uint8)
+        at = cut(data)
+        _, ends = self.table.encode(data, at)
+        return np.diff(np.append(0, ends)[np.searchsorted(at, np.flatnonzero(data == 0))], prepend=0).tolist()
+
     def count(self, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        short = [t if t and len(t) <= chunk else "" for t in texts]
-        coded = self.tokenizer.encode_batch_fast(short, add_special_tokens=False)
-        return [self.long(t, chunk, overlap) if t and len(t) > chunk else len(x) for t, x in zip(texts, coded, strict=True)]
+        """Tokens of each text; null counts as empty."""
+        out = [0] * len(texts)
+        plain, other = [], []
+        for i, t in enumerate(texts):
+            if t and len(t) > chunk:
+                out[i] = self.long(t, chunk, overlap)
+            elif t:
+                (plain if self.table and PLAIN(t) and not self.special(t) else other).append(i)
+        if plain:
+            for i, n in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+                out[i] = n
+        if other:
+            for i, x in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
+                out[i] = len(x)
+        return out
 
 
 def counter(path: str) -> Counter:
@@ -95,7 +133,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1024):
                 texts = part.column("text").to_pylist()
                 n = own.count(texts, chunk, overlap)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], schema=_COUNTS)
