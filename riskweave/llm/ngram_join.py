@@ -334,7 +334,8 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "do
         member = member.withColumn("root", F.when(F.col("whole"), F.coalesce("root", "node")))
     else:
         member = member.withColumn("root", F.when(F.col("whole"), F.col("node")))
-    least = member.filter("whole").groupBy("root").agg(F.min("doc_id").alias("least")).select(F.col("root").alias("r"), "least")
+    # Written first, so that the join below is one of two shuffled tables, whose large partitions Spark can split.
+    least = staged(member.filter("whole").groupBy("root").agg(F.min("doc_id").alias("least")).select(F.col("root").alias("r"), "least"), "least")
     return member.join(least, F.col("root") == F.col("r"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("whole"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
