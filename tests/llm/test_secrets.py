@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from riskweave.llm.forest import Forest
 from riskweave.llm.secrets import MARK, candidates, default_forest, labelled_findings, op7_secret_scans, redact, scan, scan_texts, train
@@ -34,6 +35,19 @@ def test_candidates():
     assert candidates(f"a {pem} b") == [("private_key", 2, 2 + len(pem))]
 
 
+@pytest.mark.parametrize("n", [201, 500, 10_000])
+def test_long_secrets_are_taken_whole(spark, n):
+    rng = random.Random(n)
+    run = lambda k, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choices(letters, k=k))
+    jwt = f"eyJ{run(n)}.eyJ{run(n)}.{run(n)}"
+    cases = [("assigned", "token=", run(n)), ("mixed", "the key is ", run(n)), ("mixed", "the key is ", "a" * (n - 9) + run(9, "0123456789")), ("assigned", "secret: ", jwt), ("jwt", "bearer ", jwt), ("url_password", "postgres://app:", run(n)), ("github_token", "with ", f"ghp_{run(n)}"), ("slack_token", "with ", f"xoxb-{run(n)}"), ("google_key", "with ", f"AIza{run(n)}"), ("stripe_key", "with ", f"sk_live_{run(n)}")]
+    docs = spark.createDataFrame([(i, f"{lead}{secret}{'@db' if kind == 'url_password' else ''} end") for i, (kind, lead, secret) in enumerate(cases)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kind, r.start, r.end) for r in scan(docs).collect()) == [(i, kind, len(lead), len(lead + secret)) for i, (kind, lead, secret) in enumerate(cases)]
+    marked = {r.doc_id: r.text for r in redact(docs, threshold=0.0).collect()}
+    assert marked == {i: f"{lead}{MARK}{'@db' if kind == 'url_password' else ''} end" for i, (kind, lead, _) in enumerate(cases)}
+    assert {r.doc_id: r.text for r in redact(docs).collect()}[0] == f"token={MARK} end"
+
+
 def test_query_over_documents(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     want = {(i, *f[:3]) for i, t in texts.items() for f in scan_texts([t], default_forest())[0]}
