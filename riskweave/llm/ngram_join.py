@@ -1,11 +1,14 @@
-"""N-gram Jaccard join by vertical partitioning, down to the groups that links make.
+"""N-gram Jaccard join by vertical partitioning: the groups that links make, and each document's number of links.
 
 The global order puts n-grams by how often they occur (a sketch of fixed size counts all of them), then by hash, and
 is cut into fragments. Two sets that reach the threshold share some of the first n-grams of that order in each, so
 candidates meet there. For each candidate pair the overlap is counted in each fragment by itself, and the counts are
-summed. Texts with equal sets are one node. Only groups are asked for, so pairs within a group needn't be tested: two
-rounds link each set to one common partner of its bucket, and then every candidate pair whose sides are still in
-different groups is tested. That loses no link that matters to a group, and never makes all pairs of a group.
+summed. Texts with equal sets are one node. For groups, pairs within a group needn't be tested: two rounds link each
+set to one common partner of its bucket, and then every candidate pair whose sides are still in different groups is
+tested. That loses no link that matters to a group, and never makes all pairs of a group as rows.
+
+Every link lies within a group. To count them all, a group's sets are dealt into blocks, and each two blocks meet in a
+task of their own that compares all their sets and gives back one number a set.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ FRAGMENTS = 4
 #: Two sets that link share this many n-grams of their prefixes (or all that they must share, if that is fewer).
 SHARED = 4
 ROUNDS = 2
+#: Sets and n-grams of a block of a group, about; two blocks are in a worker's memory at once.
+BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20
+#: N-grams of a set that are looked up at once; bounds what a lookup expands to.
+LOOKUP = 1 << 12
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("cells", pa.int32()), ("counts", pa.binary())])
 _PREFIX = pa.schema([("sid", pa.binary()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
@@ -141,13 +148,13 @@ class Some:
 
 
 def _fragments(n: int, shared, cuts: np.ndarray, wanted):
-    """The fragments of the sets of those documents that may be asked for."""
+    """The fragments of the sets of those documents that may be asked for; those without an id may always be."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_gc()
         for batch in batches:
             ids = batch.column("doc_id")
-            batch = batch.filter(pa.array(wanted.value.may_hold(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            batch = batch.filter(pa.array(wanted.value.may_hold(ids.fill_null(0).to_numpy(zero_copy_only=False)) | ~ids.is_valid().to_numpy(zero_copy_only=False)))
             for part in slices(batch, "text"):
                 sids, numbers, grams = [], [], []
                 for s in shingle_sets(part.column("text").to_pylist(), n):
@@ -266,15 +273,73 @@ def _left_over(now: DataFrame, percent: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _block_links(percent: int):
+    """For two blocks of a group (or one with itself): each set's number of documents that it links with across them."""
+
+    def counted(key, t):
+        one = key[1].as_py() == key[2].as_py()
+        nodes, first, at = np.unique(t.column("node").to_numpy(), return_index=True, return_inverse=True)
+        n, held, block = (t.column(c).to_numpy()[first] for c in ("n", "held", "block"))
+        left, right = (np.full(len(nodes), True), np.full(len(nodes), True)) if one else (block == key[1].as_py(), block == key[2].as_py())
+        found = np.zeros(len(nodes), dtype=np.int64)
+        if left.any() and right.any():
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams")]
+            owner = np.repeat(at, [len(x) for x in own])
+            distinct, gram = np.unique(np.concatenate(own), return_inverse=True)
+            mine = np.flatnonzero(right[owner])
+            mine = mine[np.argsort(gram[mine], kind="stable")]
+            holders = owner[mine]
+            begin = np.searchsorted(gram[mine], np.arange(len(distinct) + 1))
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], np.arange(len(nodes) + 1))
+            for i in np.flatnonzero(left):
+                shared = np.zeros(len(nodes), dtype=np.int64)
+                ids = gram[order[ends[i] : ends[i + 1]]]
+                for k in range(0, len(ids), LOOKUP):
+                    a = begin[ids[k : k + LOOKUP]]
+                    size = begin[ids[k : k + LOOKUP] + 1] - a
+                    shared += np.bincount(holders[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(nodes))
+                ok = right & ((100 + percent) * shared >= percent * (n[i] + n))
+                ok[i] = False
+                found[i] += held[ok].sum()
+                if not one:
+                    found[ok] += held[i]
+        some = found > 0
+        return pa.table({"node": pa.array(nodes[some]), "links": pa.array(found[some])})
+
+    return counted
+
+
+def _links_within(roots: DataFrame, parts: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """node, links: for each set (node, n, held) of a group, the number of documents with another set that it links with."""
+    members = roots.select(F.col("node").alias("r_node"), "root").join(held, F.col("r_node") == F.col("node")).drop("r_node")
+    blocks = members.groupBy(F.col("root").alias("b_root")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    placed = members.join(blocks, F.col("root") == F.col("b_root")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    placed = placed.select(F.col("node").alias("p_node"), "root", F.col("n").cast("long").alias("n"), "held", "block", "blocks")
+    each = _only(parts, placed.select("p_node")).dropDuplicates(["node", "fragment"])
+    dealt = each.join(placed, F.col("node") == F.col("p_node")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "n", "held", "block", "grams")
+    return cells.groupBy("root", "lo", "hi").applyInArrow(_block_links(percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, one row a document.
 
     A document's set holds its distinct n-grams of `words` lower-cased words (with fewer words, all of them as one).
     Two documents link when intersection * 100 >= union * percent; component_id is the smallest doc_id reachable by
     links. A null text, or one without words, has no n-grams and is linked with nothing; repeated rows link with each
-    other; a null doc_id is never a component's id (it is null if there is no other), and a text that only such
-    documents hold links with equal sets alone. An empty table gives no rows; other columns are ignored.
+    other; a null doc_id is never a component's id (it is null if there is no other). An empty table gives no rows;
+    other columns are ignored.
     """
+    return _grouped(docs, words, percent, doc_id, text, False)
+
+
+def join(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """groups() and n_links: how many other documents (rows) each one links with, those of equal sets included; every link counts, within groups too."""
+    return _grouped(docs, words, percent, doc_id, text, True)
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, count: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = picked(docs, doc_id=doc_id, text=text)
     sets = staged(mapped(docs, _sets(words), "doc_id long, n long, sid binary, cells int, counts binary"), "sets")
@@ -293,16 +358,17 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "do
     kept = kept.withColumn("lead", F.min(F.struct("at", "node", "n")).over(bucket))
     kept = staged(kept, "postings")
     release(spark)
-    roots = None
+    roots = within = None
+    held = own.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("held"))
     if not kept.isEmpty():
         # The sets to be compared, in fragments of the global order of about equal weight.
         ranked = np.sort(sketch[sketch > 0])
         weight = np.cumsum(ranked, dtype=np.float64)
         cuts = np.unique(ranked[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)])
-        holders = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("one")).filter("one IS NOT NULL")
+        holders = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("one"))
         first = _partners(kept, 0, percent)
         holders = staged(holders.join(kept.select("node").distinct(), "node", "left_semi"), "holders")
-        wanted = spark.sparkContext.broadcast(Some.of(holders.select("one")))
+        wanted = spark.sparkContext.broadcast(Some.of(holders.select("one").filter("one IS NOT NULL")))
         parts = mapped(docs, _fragments(words, shared, cuts, wanted), "sid binary, fragment int, grams binary").select(node.alias("node"), "fragment", "grams")
         parts = staged(parts, "fragments")
         links = linked(first, parts, percent)
@@ -327,6 +393,9 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "do
                 discard(roots)
                 roots = components(links)
                 release(spark)
+        if count:
+            within = staged(_links_within(roots, parts, held, percent), "within")
+            release(spark)
         discard(now, parts, holders)
     member = own.withColumn("whole", F.col("n") > 0)
     if roots is not None:
@@ -336,7 +405,16 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "do
         member = member.withColumn("root", F.when(F.col("whole"), F.col("node")))
     # Written first, so that the join below is one of two shuffled tables, whose large partitions Spark can split.
     least = staged(member.filter("whole").groupBy("root").agg(F.min("doc_id").alias("least")).select(F.col("root").alias("r"), "least"), "least")
-    return member.join(least, F.col("root") == F.col("r"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("whole"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = member.join(least, F.col("root") == F.col("r"), "left")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("whole"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count:
+        equal = held.select(F.col("node").alias("h_node"), (F.col("held") - 1).alias("equal"))
+        if within is not None:
+            equal = equal.join(within.select(F.col("node").alias("w_node"), "links"), F.col("h_node") == F.col("w_node"), "left").select("h_node", (F.col("equal") + F.coalesce("links", F.lit(0))).alias("equal"))
+        equal = staged(equal.filter("equal > 0"), "linked")
+        out = out.join(equal, F.col("whole") & (F.col("node") == F.col("h_node")), "left")
+        columns.append(F.coalesce("equal", F.lit(0)).alias("n_links"))
+    return out.select(*columns)
 
 
 def _seed(own: DataFrame) -> int:
@@ -350,4 +428,4 @@ def _seed(own: DataFrame) -> int:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return join(table(spark, sf_dir, "documents"), words=3, percent=90)

@@ -4,8 +4,9 @@ import re
 import numpy as np
 import pytest
 
+from riskweave.llm import ngram_join
 from riskweave.llm.components import components
-from riskweave.llm.ngram_join import groups, op5_ngram_join
+from riskweave.llm.ngram_join import groups, join, op5_ngram_join
 from riskweave.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,6 +65,35 @@ def test_groups_equal_brute_force(spark, seed, words, percent):
     assert got(groups(spark.createDataFrame(docs, "doc_id long, text string"), words, percent)) == brute(docs, words, percent)
 
 
+def brute_links(docs, n, percent):
+    sets = brute_sets([t for _, t in docs], n)
+    links = [sum(i != j and bool(a and b) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    return sorted(((d, k) for (d, _), k in zip(docs, links, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("seed,words,percent,sets", [(0, 3, 90, 512), (3, 3, 80, 4), (4, 2, 60, 3)])
+def test_every_link_is_counted(spark, monkeypatch, seed, words, percent, sets):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    docs = near_copies(seed)
+    df = join(spark.createDataFrame(docs, "doc_id long, text string"), words, percent)
+    assert sorted(((r.doc_id, r.n_links) for r in df.collect()), key=str) == brute_links(docs, words, percent)
+    assert got(df) == brute(docs, words, percent)
+
+
+def test_links_of_odd_rows_and_of_the_query(spark, sf, odd_docs, no_docs):
+    rows = lambda df: sorted(((r.doc_id, r.n_links) for r in df.collect()), key=str)
+    docs = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
+    assert rows(join(odd_docs)) == brute_links(docs, 3, 90)
+    assert join(no_docs).collect() == []
+    words = [f"w{i}" for i in range(60)]
+    chain = [(1, " ".join(words)), (None, " ".join(["x", *words[1:]])), (None, " ".join(["x", *words[1:]])), (2, " ".join(["x", *words[1:-1], "y"])), (None, None)]
+    df = spark.createDataFrame(chain, "doc_id long, text string")
+    assert rows(join(df)) == brute_links(chain, 3, 90)
+    assert {r.doc_id: r.component_id for r in join(df, percent=96).collect() if r.doc_id} == {1: 1, 2: 1}
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert rows(op5_ngram_join(spark, sf)) == brute_links(docs, 3, 90)
+
+
 def test_query_over_documents(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op5_ngram_join(spark, sf)) == brute(docs, 3, 90)
