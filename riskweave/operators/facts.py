@@ -7,6 +7,7 @@ gives facts as rows; everything that puts facts together, within a file or over
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -135,21 +136,39 @@ def facts(files: DataFrame) -> DataFrame:
     return some.mapInArrow(rows, "file string, kind string, line int, name string, value string, ord int, scope string")
 
 
-def _mentions(value: Column, name: Column) -> Column:
-    """Whether an expression uses a variable: its name, quoted texts apart (template holes count)."""
+def _uses(value: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(value, r"\"[^\"]*\"|'[^']*'", ""), r"\$\{", " ")
-    return F.array_contains(F.split(bare, r"[^A-Za-z0-9_$.]+|\."), name)
+    return F.split(bare, r"[^A-Za-z0-9_$.]+|\.")
 
 
-def tainted_names(f: DataFrame, rounds: int = 3) -> DataFrame:
-    """file, scope, name, line: variables that hold data from outside, through up to `rounds` further assignments; a cleaned value is none."""
+def _mentions(value: Column, name: Column) -> Column:
+    """Whether an expression uses a variable: its name, quoted texts apart (template holes count)."""
+    return F.array_contains(_uses(value), name)
+
+
+def _carried(t: pa.Table) -> pa.Table:
+    """Of a file's assignments, those that data from outside gets to, directly or through others."""
+    scope, name, users = t.column("scope").to_pylist(), t.column("name").to_pylist(), defaultdict(list)
+    for i, uses in enumerate(t.column("uses").to_pylist()):
+        for u in set(uses):
+            users[u].append(i)
+    todo = [i for i, own in enumerate(t.column("outside").to_pylist()) if own]
+    found, spread = set(todo), set()
+    while todo:
+        i = todo.pop()
+        if (scope[i], name[i]) not in spread:
+            spread.add((scope[i], name[i]))
+            more = [j for j in users[name[i]] if j not in found and scope[i] in ("", scope[j])]
+            found.update(more)
+            todo += more
+    return t.select(["file", "scope", "name", "line"]).take(pa.array(sorted(found), pa.int64()))
+
+
+def tainted_names(f: DataFrame) -> DataFrame:
+    """file, scope, name, line: variables that hold data from outside, through any number of assignments; a cleaned value is none."""
     assigned = f.filter("kind = 'assign'").filter(~F.col("value").rlike(CLEANERS))
-    found = assigned.filter(F.col("value").rlike(SOURCES)).select("file", "scope", "name", "line")
-    for _ in range(rounds):
-        n = found.select(F.col("file").alias("t_file"), F.col("scope").alias("t_scope"), F.col("name").alias("t_name")).distinct()
-        more = assigned.join(n, (F.col("file") == F.col("t_file")) & ((F.col("scope") == F.col("t_scope")) | (F.col("t_scope") == "")) & _mentions(F.col("value"), F.col("t_name"))).select("file", "scope", "name", "line")
-        found = found.union(more).distinct()
-    return found
+    each = assigned.select("file", "scope", "name", "line", _uses(F.col("value")).alias("uses"), F.col("value").rlike(SOURCES).alias("outside"))
+    return each.groupBy("file").applyInArrow(lambda t: _carried(t), "file string, scope string, name string, line int").distinct()
 
 
 def sink_calls(f: DataFrame) -> DataFrame:
@@ -166,10 +185,10 @@ def summaries(f: DataFrame) -> DataFrame:
     return hit.select("file", "function", F.col("p_ord").alias("ord"), "rule_id").distinct()
 
 
-def taint_findings(files: DataFrame, rounds: int = 3) -> DataFrame:
+def taint_findings(files: DataFrame) -> DataFrame:
     """rule_id, file, line, code, hops: data from outside that reaches a sink, in a file (0 hops) or through one call of its own or an imported function (1 hop)."""
     f = facts(files)
-    bad = tainted_names(f, rounds).select(F.col("file").alias("t_file"), F.col("scope").alias("t_scope"), F.col("name").alias("t_name")).distinct()
+    bad = tainted_names(f).select(F.col("file").alias("t_file"), F.col("scope").alias("t_scope"), F.col("name").alias("t_name")).distinct()
     direct = lambda v: v.rlike(SOURCES) & ~v.rlike(CLEANERS)
 
     def reached(calls: DataFrame) -> DataFrame:

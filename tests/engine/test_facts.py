@@ -26,6 +26,13 @@ def test_taint_over_one_hop(spark):
     assert facts(files.limit(0)).collect() == [] and taint_findings(files.limit(0)).collect() == []
 
 
+def test_taint_through_ten_assignments(spark):
+    chain = "\n".join(["const a0 = req.query.x", *[f"const a{k} = a{k - 1}" for k in range(1, 11)], "eval(a10)"])
+    scoped = "function f() {\n  const b = req.body\n  const c = b\n}\nfunction g() {\n  const d = b\n  eval(d)\n}\nlet p = q\nlet q = p"
+    files = spark.createDataFrame([("up.ts", chain), ("down.ts", "\n".join(chain.split("\n")[:11][::-1] + ["eval(a10)"])), ("clean.ts", chain.replace("= a7", "= escape(a7)")), ("scoped.ts", scoped)], "file string, text string")
+    assert sorted((r.file, r.line, r.rule_id, r.hops) for r in taint_findings(files).collect()) == [("down.ts", 12, "injection.eval", 0), ("up.ts", 12, "injection.eval", 0)]
+
+
 def test_agency(spark):
     files = spark.createDataFrame([("t.ts", "import { generateText, tool } from 'ai'\nconst t = tool({ execute: async (x) => exec(x) })\nconst out = await generateText({ prompt: req.body })\neval(out)"), ("n.ts", "exec(x)")], "file string, text string")
     assert sorted((r.rule_id, r.file) for r in agency_findings(files).collect()) == [("ai.excessive-agency", "t.ts"), ("ai.improper-output-handling", "t.ts"), ("ai.prompt-injection", "t.ts")]
