@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import deps, findings as fi, graph, history, paths
+from riskweave.plans import queries
 from riskweave.plans.packs import DIMENSION, WEB_RULES, bridge, dimension
 from riskweave.plans.scan import Config, scan
 
@@ -159,6 +160,43 @@ def test_chains(spark):
     assert {r.chain_id: r.reasons for r in paths.verified_chains(chains, df).collect()} == {1: ["open-door", "server-reads-secret"], 4: ["server-reads-secret"]}
 
 
+def test_chain_query_equals_brute_force(spark, sf):
+    rows = sorted(queries._orders_as_findings(spark, sf).collect(), key=lambda r: int(r.fingerprint))
+    role = lambda r, name: r.rule_id in paths.ROLE_IDS.get(name, ()) or r.rule_id.startswith(tuple(paths.ROLE_STARTS.get(name, ())))
+
+    def why(x, y):
+        secret = role(y, "secret") and y.rule_id not in paths.PUBLIC_SECRETS and y.reachable
+        if x.reachable is False or y.reachable is False:
+            return None
+        if role(x, "open_door") and (role(y, "code_exec") or role(y, "browser_exec")) and x.reach_entrypoint == y.reach_entrypoint and y.reachable:
+            return "open-door"
+        if role(x, "code_exec") and x.reach_kind == "server" and secret:
+            return "server-reads-secret"
+        if role(x, "vuln_dep") and x.reachable and secret:
+            return "dependency-reads-secret"
+        if (role(x, "weak_csp") or role(x, "open_cors")) and any(role(y, r) for r in ("browser_exec", "token_store", "data_leak")) and y.reachable:
+            return "missing-control"
+        if role(x, "browser_exec") and any(role(y, r) for r in ("token_store", "data_leak", "sensitive_egress")) and y.reachable:
+            return "script-reads-data"
+        if role(x, "secret") and x.rule_id not in paths.PUBLIC_SECRETS and x.reachable and (role(y, "sensitive_egress") or role(y, "data_leak")):
+            return "secret-carried-out"
+        return None
+
+    want, proposed, customers = {}, 0, {}
+    for r in rows:
+        customers.setdefault(r.o_custkey, []).append(r)
+    for customer, own in customers.items():
+        for i, first in enumerate(own):
+            for k in (2, 3):
+                run, proposed = own[i : i + k], proposed + 1
+                reasons = [why(x, y) for x, y in zip(run, run[1:])]
+                if len(run) >= 2 and all(reasons) and any(role(x, name) for x in run for name in paths.IMPACT_ROLES):
+                    want[f"{customer}:{first.fingerprint}:{k}"] = (len(run), ",".join(reasons))
+    got = {r.chain_id: (r.n, r.reasons) for r in queries.verified_chains(spark, sf).collect()}
+    assert got == want and 0 < len(want) < proposed
+    print(len(rows), proposed, len(want))
+
+
 def test_scan(spark, checkpoints):
     files = spark.createDataFrame(
         [("app/api/x/route.ts", "ts", "import { run } from '../../../lib/run'\nexport async function POST(r) { return run(r) }"), ("lib/run.ts", "ts", "export const run = (c) => eval(c)"), ("lib/dead.ts", "ts", "eval(z)"), ("scripts/x.js", "js", "eval(a)")], "file string, ext string, text string"
