@@ -28,6 +28,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": OP4_SQL,
-    "op7_secret_scans": op7_secret_scans,
     "op8_chat_formatting": OP8_SQL,
 }

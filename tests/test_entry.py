@@ -17,6 +17,10 @@ def test_contract(spark):
     assert __spark_entry__.entry(spark).count() == 5
 
 
+def test_sql_is_text():
+    assert all(isinstance(v, str) for v in __spark_entry__.oracle_sql().values())
+
+
 def test_imports_without_the_training_operators(tmp_path):
     for name in ("riskweave", "__spark_entry__.py"):
         source = os.path.join(ROOT, name)
