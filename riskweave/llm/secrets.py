@@ -96,12 +96,12 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     n = max(1, len(value))
     counts = Counter(value)
     low = value.lower()
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value[:4096]]
-    pairs = [low[i : i + 2] for i in range(min(len(low), 4096) - 1) if low[i].isalpha() and low[i + 1].isalpha()]
+    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
+    pairs = [low[i : i + 2] for i in range(len(low) - 1) if low[i].isalpha() and low[i + 1].isalpha()]
     before = [w.lower() for w in _WORD.findall(text[max(0, start - BESIDE) : start])][-4:]
     after = [w.lower() for w in _WORD.findall(text[end : end + BESIDE])][:3]
     beside = {x for w in (*before, *after) for x in (w, *w.split("_"))}
-    letters = re.findall(r"[a-z]+|[A-Z][a-z]*", value[:4096])
+    letters = re.findall(r"[a-z]+|[A-Z][a-z]*", value)
     covered = sum(len(w) for w in (x.lower() for x in letters) if len(w) > 3 and (w in DICTIONARY or w.rstrip("s") in DICTIONARY))
     return [
         KINDS.index(kind), math.log2(1 + n), classes.count("d") / n, classes.count("u") / n, classes.count("l") / n, classes.count("s") / n,

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from riskweave.llm.forest import Forest
-from riskweave.llm.secrets import MARK, candidates, default_forest, labelled_findings, op7_secret_scans, redact, scan, scan_texts, train
+from riskweave.llm.secrets import MARK, candidates, default_forest, features, labelled_findings, op7_secret_scans, redact, scan, scan_texts, train
 
 
 def test_held_out_findings():
@@ -48,6 +48,15 @@ def test_long_secrets_are_taken_whole(spark, n):
     assert {r.doc_id: r.text for r in redact(docs).collect()}[0] == f"token={MARK} end"
 
 
+def test_features_are_of_the_whole_value():
+    value = "aB3-token/" * 10_000
+    short, long = (features(f"token={v} end", "assigned", 6, 6 + len(v)) for v in (value[:4000], value))
+    assert np.allclose(short[2:], long[2:], atol=0.003)  # the share of distinct characters does fall with length
+    rng = random.Random(6)
+    text = "token=" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=100_000))
+    assert [f[3] >= 0.5 for f in scan_texts([text], default_forest())[0]] == [True]
+
+
 def test_query_over_documents(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     want = {(i, *f[:3]) for i, t in texts.items() for f in scan_texts([t], default_forest())[0]}
