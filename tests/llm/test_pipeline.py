@@ -2,8 +2,9 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskweave.llm.secrets import MARK, default_forest, scan_texts
+from riskweave.llm.secrets import MARK, detector_of
 
+from .slow_secrets import slow_scan
 from .test_ngram_join import brute
 
 
@@ -18,11 +19,12 @@ def test_stages_equal_brute_force(spark, sf):
     assert df.columns == docs.columns
     alone = {d for d, _, least in brute([(i, r.text) for i, r in kept.items()], 5, 80) if d == least}
     assert {r.doc_id for r in df.collect()} == alone
+    detector = detector_of(df)
     df = corpus_pipeline.secret_scans(spark, df, sf)
     assert df.columns == docs.columns
     clean = {r.doc_id: r for r in df.collect()}
     for i, r in clean.items():
-        want, text = [f for f in scan_texts([before[i].text], default_forest())[0] if f[3] >= 0.5], before[i].text
+        want, text = [f for f in slow_scan(before[i].text, detector) if f[3] >= 0.5], before[i].text
         for _, a, b, _ in reversed(want):
             text = text[:a] + MARK + text[b:]
         assert r.text == text and (r.n_chars == len(text) or not want)
