@@ -43,12 +43,20 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
-    return redact(docs)
+    """All documents, secrets in their texts replaced by a mark, and n_chars counted anew where that changed a text.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, texts of any length are treated whole, and
+    an empty table stays empty.
+    """
+    return redact(docs, path="source")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of at most 4096 tokens."""
+    """Pieces of the documents in windows of at most 4096 tokens.
+
+    A null text counts as empty, and each document ends with its id, so it has a piece; rows that share an id are
+    packed each; long documents are cut into full windows first; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
