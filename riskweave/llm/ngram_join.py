@@ -3,12 +3,15 @@
 The global order puts n-grams by how often they occur (a sketch of fixed size counts all of them), then by hash, and
 is cut into fragments. Two sets that reach the threshold share some of the first n-grams of that order in each, so
 candidates meet there. For each candidate pair the overlap is counted in each fragment by itself, and the counts are
-summed. Texts with equal sets are one node. For groups, pairs within a group needn't be tested: two rounds link each
-set to one common partner of its bucket, and then every candidate pair whose sides are still in different groups is
+summed. Texts with equal sets are one node. For groups, pairs within a group needn't be tested: first each set is
+linked to one common partner of its bucket, and then every candidate pair whose sides are still in different groups is
 tested. That loses no link that matters to a group, and never makes all pairs of a group as rows.
 
-Every link lies within a group. To count them all, a group's sets are dealt into blocks, and each two blocks meet in a
-task of their own that compares all their sets and gives back one number a set.
+An n-gram of HOT sets or more has no bucket of its own, so no task gathers one. Sets that such n-grams connect are a
+family; a family is compared in blocks, as below, and gives back one link for each two groups that meet.
+
+Every link lies within a group. To count them all, a group's sets are dealt into blocks by size, and each two blocks
+whose sizes can link meet in a task of their own that compares all their sets and gives back one number a set.
 """
 
 from __future__ import annotations
@@ -33,14 +36,17 @@ SLICE_CELLS = 1 << 16
 FRAGMENTS = 4
 #: Two sets that link share this many n-grams of their prefixes (or all that they must share, if that is fewer).
 SHARED = 4
-ROUNDS = 2
+#: Sets from which on an n-gram is hot: the largest bucket that a task gathers.
+HOT = 512
 #: Sets and n-grams of a block of a group, about; two blocks are in a worker's memory at once.
-BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20
-#: N-grams of a set that are looked up at once; bounds what a lookup expands to.
-LOOKUP = 1 << 12
+BLOCK_SETS, BLOCK_GRAMS = 2048, 1 << 20
+#: N-grams that this many sets of two blocks hold are counted by a product of matrices, so many at a time; rarer ones by lookups.
+DENSE, DENSE_GRAMS = 32, 1 << 11
+#: Pairs that lookups expand to at once.
+LOOKUP = 1 << 21
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("cells", pa.int32()), ("counts", pa.binary())])
-_PREFIX = pa.schema([("sid", pa.binary()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("sid", pa.binary()), ("n", pa.int64()), ("grams", pa.list_(pa.int64())), ("often", pa.list_(pa.bool_()))])
 _PARTS = pa.schema([("sid", pa.binary()), ("fragment", pa.int32()), ("grams", pa.binary())])
 
 
@@ -95,25 +101,30 @@ def _prefixes(n: int, percent: int, shared):
         rare_gc()
         for batch in batches:
             for part in slices(batch, "text"):
-                sids, sizes, grams = [], [], []
+                sids, sizes, grams, often = [], [], [], []
                 for s in shingle_sets(part.column("text").to_pylist(), n):
                     if len(s):
                         sids.append(set_id(s))
                         sizes.append(len(s))
                         # An overlap of percent / 100 of the set leaves out at most this many, less 1, and then come those that are shared.
-                        grams.append(_ordered(s, shared.value)[0][: len(s) + (-percent * len(s)) // 100 + SHARED].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], schema=_PREFIX)
+                        first = len(s) + (-percent * len(s)) // 100 + SHARED
+                        ordered, counts = _ordered(s, shared.value)
+                        grams.append(ordered[:first].view(np.int64))
+                        often.append(counts[:first] >= HOT)  # the sketch counts no less than there are
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.bool_()))], schema=_PREFIX)
 
     return rows
 
 
 class Some:
-    """A Bloom filter of ids, of a fixed size: what it lets through by mistake is left out later."""
+    """A Bloom filter of ids, of a fixed size (2 MB): what it lets through by mistake is left out later."""
 
     BITS = 1 << 24
+    #: Bytes of a piece that tasks send.
+    PIECE = 1 << 16
 
     def __init__(self) -> None:
-        self.bits = np.zeros(self.BITS, dtype=bool)
+        self.bits = np.zeros(self.BITS // 8, dtype=np.uint8)
 
     @classmethod
     def slots(cls, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,26 +136,26 @@ class Some:
         """ids: one column of longs. Each task sends its filter packed, and they are joined on an executor."""
 
         def rows(batches):
-            own = cls()
+            own = np.zeros(cls.BITS, dtype=bool)
             for b in batches:
                 for slot in cls.slots(b.column(0).to_numpy()):
-                    own.bits[slot] = True
-            packed = np.packbits(own.bits)
-            for i in range(0, len(packed), 1 << 16):
-                if packed[i : i + (1 << 16)].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i >> 16], pa.int32()), pa.array([packed[i : i + (1 << 16)].tobytes()])], names=["i", "bits"])
+                    own[slot] = True
+            packed = np.packbits(own, bitorder="little")
+            for i in range(0, len(packed), cls.PIECE):
+                if packed[i : i + cls.PIECE].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i // cls.PIECE], pa.int32()), pa.array([packed[i : i + cls.PIECE].tobytes()])], names=["i", "bits"])
 
         def joined(key, t):
             return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("bits")]).tobytes()])})
 
         out = cls()
         for r in mapped(ids, rows, "i int, bits binary").groupBy("i").applyInArrow(joined, "i int, bits binary").collect():
-            out.bits[r["i"] << 19 : (r["i"] + 1) << 19] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))
+            out.bits[r["i"] * cls.PIECE : (r["i"] + 1) * cls.PIECE] = np.frombuffer(bytes(r["bits"]), np.uint8)
         return out
 
     def may_hold(self, ids: np.ndarray) -> np.ndarray:
-        a, b = self.slots(ids)
-        return self.bits[a] & self.bits[b]
+        a, b = ((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 for slot in self.slots(ids))
+        return (a & b).astype(bool)
 
 
 def _fragments(n: int, shared, cuts: np.ndarray, wanted):
@@ -250,76 +261,160 @@ def _enough(postings: DataFrame, percent: int) -> DataFrame:
     return own.filter(F.col("own") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))).drop("own")
 
 
-def _partners(now: DataFrame, k: int, percent: int) -> DataFrame:
+def _partners(now: DataFrame, percent: int) -> DataFrame:
     """Each node with one partner: the one that leads most of its buckets; ties go by an order common to all. The lead column holds them."""
     ok = (F.col("node") != F.col("lead.node")) & _may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), percent)
-    if "root" in now.columns:
-        ok &= F.col("root") != F.col("lead.root")
     led = now.filter(ok).groupBy("node", "n", F.col("lead.node").alias("l_node"), F.col("lead.n").alias("l_n")).agg(F.count("*").alias("buckets"))
-    chosen = led.groupBy("node", "n").agg(F.max(F.struct("buckets", F.xxhash64("l_node", F.lit(k)).alias("h"), F.col("l_node").alias("node"), F.col("l_n").alias("n"))).alias("l"))
+    chosen = led.groupBy("node", "n").agg(F.max(F.struct("buckets", F.xxhash64("l_node").alias("h"), F.col("l_node").alias("node"), F.col("l_n").alias("n"))).alias("l"))
     return chosen.select(F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("n").alias("n_a"), F.col("l.n").alias("n_b"))
 
 
 def _left_over(now: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs across groups: each bucket's largest group against the rest, and the rest among themselves."""
-    sizes = now.groupBy("gram", "root").agg(F.count("*").alias("sets"))
-    large = sizes.groupBy("gram").agg(F.max_by("root", F.struct("sets", "root")).alias("large")).select(F.col("gram").alias("g"), "large")
-    rest = now.join(large, F.col("gram") == F.col("g")).filter(F.col("root") != F.col("large")).select("gram", "large", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
-    other = now.select(F.col("gram").alias("g"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-    once = (F.col("root_b") == F.col("large")) | (F.col("a") < F.col("b"))
-    pairs = rest.join(other, (F.col("gram") == F.col("g")) & (F.col("root_a") != F.col("root_b")) & once & _may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent))
-    first = F.col("a") < F.col("b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-    return pairs.distinct()
-
-
-def _block_links(percent: int):
-    """For two blocks of a group (or one with itself): each set's number of documents that it links with across them."""
-
-    def counted(key, t):
+    """All candidate pairs across groups, from buckets of fewer than HOT sets."""
+    side = lambda x: now.select(F.col("gram").alias(f"gram_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "root")])
+    met = side("a").join(side("b"), (F.col("gram_a") == F.col("gram_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
+
+
+def _matches(own: list[np.ndarray], n: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets `rows` link with which of the sets `columns`: own holds all sets' n-grams, n their sizes."""
+    owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    gram, holders = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)[1:]
+    kind = np.float32 if n.max() < 1 << 24 else np.float64  # whole numbers below this are exact
+    shared = np.zeros((len(rows), len(columns)), dtype=kind)
+    place = lambda some: np.where(np.isin(np.arange(len(own)), some), np.searchsorted(some, np.arange(len(own))), -1)
+    at_row, at_column = place(rows), place(columns)
+    often = np.flatnonzero(holders >= DENSE)
+    for k in range(0, len(often), DENSE_GRAMS):
+        column = np.full(len(holders), -1)
+        column[often[k : k + DENSE_GRAMS]] = np.arange(len(often[k : k + DENSE_GRAMS]))
+        a, b = np.zeros((len(rows), DENSE_GRAMS), kind), np.zeros((len(columns), DENSE_GRAMS), kind)
+        for table, at in ((a, at_row), (b, at_column)):
+            ok = (column[gram] >= 0) & (at[owner] >= 0)
+            table[at[owner[ok]], column[gram[ok]]] = 1
+        shared += a @ b.T
+    rare = (holders >= 2) & (holders < DENSE)
+    right = np.flatnonzero(rare[gram] & (at_column[owner] >= 0))
+    right = right[np.argsort(gram[right], kind="stable")]
+    begin = np.searchsorted(gram[right], np.arange(len(holders) + 1))
+    left = np.flatnonzero(rare[gram] & (at_row[owner] >= 0))
+    size = begin[gram[left] + 1] - begin[gram[left]]
+    left, size = left[size > 0], size[size > 0]
+    cut = np.searchsorted(np.cumsum(size), np.arange(LOOKUP, size.sum() + LOOKUP, LOOKUP), side="right")
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(left)], strict=True):
+        if i < j:
+            k = size[i:j]
+            other = right[np.repeat(begin[gram[left[i:j]]] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            np.add.at(shared, (np.repeat(at_row[owner[left[i:j]]], k), at_column[owner[other]]), 1)
+    return (100 + percent) * shared.astype(np.float64) >= percent * (n[rows][:, None] + n[columns][None, :]).astype(np.float64)
+
+
+def _meeting(links, empty: pa.Schema):
+    """For a cell, in which one or two blocks of a group meet: what links() makes of its distinct nodes, sizes, weights, two sides and which of them link."""
+
+    def met(key, t):
         one = key[1].as_py() == key[2].as_py()
         nodes, first, at = np.unique(t.column("node").to_numpy(), return_index=True, return_inverse=True)
         n, held, block = (t.column(c).to_numpy()[first] for c in ("n", "held", "block"))
-        left, right = (np.full(len(nodes), True), np.full(len(nodes), True)) if one else (block == key[1].as_py(), block == key[2].as_py())
+        rows, columns = (np.arange(len(nodes)),) * 2 if one else (np.flatnonzero(block == key[k].as_py()) for k in (1, 2))
+        if not len(rows) or not len(columns):
+            return empty.empty_table()
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams")]
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(nodes) + 1))
+        own = [np.concatenate([own[k] for k in order[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return links(nodes, held, rows, columns, own, n, one)
+
+    return met
+
+
+_COUNTS = pa.schema([("node", pa.int64()), ("links", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _counting(percent: int):
+    """Each set's number of documents that it links with across a cell."""
+
+    def links(nodes, held, rows, columns, own, n, one):
+        ok = _matches(own, n, rows, columns, percent)
+        if one:
+            np.fill_diagonal(ok, False)
         found = np.zeros(len(nodes), dtype=np.int64)
-        if left.any() and right.any():
-            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams")]
-            owner = np.repeat(at, [len(x) for x in own])
-            distinct, gram = np.unique(np.concatenate(own), return_inverse=True)
-            mine = np.flatnonzero(right[owner])
-            mine = mine[np.argsort(gram[mine], kind="stable")]
-            holders = owner[mine]
-            begin = np.searchsorted(gram[mine], np.arange(len(distinct) + 1))
-            order = np.argsort(owner, kind="stable")
-            ends = np.searchsorted(owner[order], np.arange(len(nodes) + 1))
-            for i in np.flatnonzero(left):
-                shared = np.zeros(len(nodes), dtype=np.int64)
-                ids = gram[order[ends[i] : ends[i + 1]]]
-                for k in range(0, len(ids), LOOKUP):
-                    a = begin[ids[k : k + LOOKUP]]
-                    size = begin[ids[k : k + LOOKUP] + 1] - a
-                    shared += np.bincount(holders[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(nodes))
-                ok = right & ((100 + percent) * shared >= percent * (n[i] + n))
-                ok[i] = False
-                found[i] += held[ok].sum()
-                if not one:
-                    found[ok] += held[i]
-        some = found > 0
-        return pa.table({"node": pa.array(nodes[some]), "links": pa.array(found[some])})
-
-    return counted
+        found[rows] += ok @ held[columns]
+        if not one:
+            found[columns] += held[rows] @ ok
+        return pa.table([pa.array(nodes[found > 0]), pa.array(found[found > 0])], schema=_COUNTS)
+
+    return _meeting(links, _COUNTS)
+
+
+def _spanning(percent: int):
+    """Links of a cell that connect whatever its links connect, at most one a set: each set of a layer's links to the set that reached it."""
+
+    def links(nodes, held, rows, columns, own, n, one):
+        ok = _matches(own, n, rows, columns, percent)
+        edges, new_rows, new_columns = [], np.ones(len(rows), dtype=bool), np.ones(len(columns), dtype=bool)
+        # In a cell of one block with itself each set is a row and a column, which link with each other, so both sides meet again.
+        for start in range(len(rows)):
+            if not new_rows[start]:
+                continue
+            new_rows[start] = False
+            layer = np.array([start])
+            while len(layer):
+                hit = ok[layer].any(0) & new_columns
+                to = np.flatnonzero(hit)
+                edges.append((rows[layer[ok[layer][:, to].argmax(0)]], columns[to]))
+                new_columns[to] = False
+                back = np.flatnonzero(ok[:, to].any(1) & new_rows) if len(to) else to
+                if len(back):
+                    edges.append((rows[back], columns[to[ok[back][:, to].argmax(1)]]))
+                new_rows[back] = False
+                layer = back
+        a, b = (np.concatenate([e[k] for e in edges]) for k in (0, 1))
+        real = a != b
+        return pa.table([pa.array(nodes[a[real]]), pa.array(nodes[b[real]])], schema=_EDGES)
+
+    return _meeting(links, _EDGES)
+
+
+def _cells(members: DataFrame, parts: DataFrame, percent: int):
+    """Members (root, node, n, held) dealt into cells, in each of which one or two blocks of a group meet, with their n-grams.
+
+    Blocks are of one band of sizes, and only those of the same or the next band meet: others can't link.
+    """
+    width = -math.log(percent / 100) + 1e-9
+    members = staged(members.withColumn("band", F.floor(F.ln("n") / width).cast("int")), "members")
+    blocks = staged(members.groupBy(F.col("root").alias("b_root"), F.col("band").alias("b_band")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")), "blocks")
+    same = (F.col("root") == F.col("b_root")) & (F.col("band") == F.col("b_band"))
+    placed = members.join(blocks, same).withColumn("block", F.col("band").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).drop("b_root", "b_band", "blocks")
+    other = (F.col("root") == F.col("b_root")) & (F.abs(F.col("band") - F.col("b_band")) <= 1)
+    each = _only(parts, members.select("node")).dropDuplicates(["node", "fragment"]).select(F.col("node").alias("p_node"), "grams")
+    dealt = placed.join(blocks, other).withColumn("turn", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("other", F.col("b_band").cast("long") * F.lit(1 << 32) + F.col("turn"))
+    cells = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", F.col("n").cast("long").alias("n"), "held", "block")
+    return cells.join(each, F.col("node") == F.col("p_node")).drop("p_node").groupBy("root", "lo", "hi"), (members, blocks)
 
 
 def _links_within(roots: DataFrame, parts: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """node, links: for each set (node, n, held) of a group, the number of documents with another set that it links with."""
+    """node, links: for each set (node, n, held) of a group, the number of documents with another set that it links with. Written."""
     members = roots.select(F.col("node").alias("r_node"), "root").join(held, F.col("r_node") == F.col("node")).drop("r_node")
-    blocks = members.groupBy(F.col("root").alias("b_root")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    placed = members.join(blocks, F.col("root") == F.col("b_root")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = placed.select(F.col("node").alias("p_node"), "root", F.col("n").cast("long").alias("n"), "held", "block", "blocks")
-    each = _only(parts, placed.select("p_node")).dropDuplicates(["node", "fragment"])
-    dealt = each.join(placed, F.col("node") == F.col("p_node")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "n", "held", "block", "grams")
-    return cells.groupBy("root", "lo", "hi").applyInArrow(_block_links(percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    cells, used = _cells(members, parts, percent)
+    found = staged(cells.applyInArrow(_counting(percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")), "within")
+    discard(*used)
+    return found
+
+
+def _family_links(hot: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between sets that share a hot n-gram of their prefixes, enough of them to connect what all of them connect. Written.
+
+    hot: node, n, lead (one node of the n-gram's). Sets connected by hot n-grams make a family, which is compared as a whole.
+    """
+    families = components(hot.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    sizes = hot.groupBy("node").agg(F.max("n").alias("n"))
+    members = families.select(F.col("node").alias("f_node"), "root").join(sizes, F.col("f_node") == F.col("node")).select("root", "node", "n", F.lit(1).cast("long").alias("held"))
+    cells, used = _cells(members, parts, percent)
+    found = staged(cells.applyInArrow(_spanning(percent), "a long, b long").distinct(), "links")
+    discard(*used)
+    return found
 
 
 def groups(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,14 +445,26 @@ def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str,
     node = F.xxhash64("sid", F.lit(seed))
     own = own.withColumn("node", node)
 
-    prefixes = mapped(docs, _prefixes(words, percent, shared), "sid binary, n long, grams array<long>").select(node.alias("node"), F.col("n").cast("int").alias("n"), "grams").groupBy("node", "n").agg(F.first("grams").alias("grams"))
-    postings = prefixes.select("node", "n", F.posexplode("grams").alias("at", "gram"))
+    prefixes = mapped(docs, _prefixes(words, percent, shared), "sid binary, n long, grams array<long>, often array<boolean>").select(node.alias("node"), F.col("n").cast("int").alias("n"), "grams", "often").groupBy("node", "n").agg(F.first("grams").alias("grams"), F.first("often").alias("often"))
+    postings = staged(prefixes.select("node", "n", F.posexplode(F.arrays_zip("grams", "often")).alias("at", "x")).select("node", "n", "at", F.col("x.grams").alias("gram"), F.col("x.often").alias("often")), "postings")
+    release(spark)
     bucket = Window.partitionBy("gram")
-    kept = _hopeful(_enough(_hopeful(postings, percent), percent), percent)
-    # The set that has the n-gram earliest leads its bucket.
-    kept = kept.withColumn("lead", F.min(F.struct("at", "node", "n")).over(bucket))
-    kept = staged(kept, "postings")
+    # Those that the sketch lets pass are counted; Spark broadcasts the few hot ones only if the written table is small.
+    led = staged(postings.filter("often").groupBy(F.col("gram").alias("h_gram")).agg(F.count("*").alias("sets"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("h_lead")).filter(F.col("sets") >= HOT).drop("sets"), "hot")
+    any_hot = not led.isEmpty()
+    if any_hot:
+        marked = postings.filter("often").join(led, F.col("gram") == F.col("h_gram"), "left").select("node", "n", "at", "gram", "h_lead")
+        marked = marked.unionByName(postings.filter("NOT often").select("node", "n", "at", "gram", F.lit(None).cast("long").alias("h_lead")))
+    else:
+        marked = postings.select("node", "n", "at", "gram", F.lit(None).cast("long").alias("h_lead"))
+    few = _hopeful(marked.filter("h_lead IS NULL"), percent)
+    kept = _enough(few.unionByName(marked.filter("h_lead IS NOT NULL")) if any_hot else few, percent)
+    kept = staged(kept, "open")
     release(spark)
+    hot = kept.filter("h_lead IS NOT NULL").select("node", "n", F.col("h_lead").alias("lead"))
+    # The set that has the n-gram earliest leads its bucket.
+    open_ = staged(_hopeful(kept.filter("h_lead IS NULL").drop("h_lead"), percent).withColumn("lead", F.min(F.struct("at", "node", "n")).over(bucket)), "buckets")
+    discard(postings, led)
     roots = within = None
     held = own.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("held"))
     if not kept.isEmpty():
@@ -366,37 +473,29 @@ def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str,
         weight = np.cumsum(ranked, dtype=np.float64)
         cuts = np.unique(ranked[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)])
         holders = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("one"))
-        first = _partners(kept, 0, percent)
-        holders = staged(holders.join(kept.select("node").distinct(), "node", "left_semi"), "holders")
+        holders = holders.join(kept.select("node").distinct(), "node", "left_semi")
         wanted = spark.sparkContext.broadcast(Some.of(holders.select("one").filter("one IS NOT NULL")))
         parts = mapped(docs, _fragments(words, shared, cuts, wanted), "sid binary, fragment int, grams binary").select(node.alias("node"), "fragment", "grams")
         parts = staged(parts, "fragments")
-        links = linked(first, parts, percent)
+        links = linked(_partners(open_, percent), parts, percent)
+        if any_hot:
+            links = links.union(_family_links(hot, parts, percent))
         roots = components(links)
         release(spark)
-        now = kept
-        for k in range(1, ROUNDS + 1):
-            last = now
-            r = roots.select(F.col("node").alias("r_node"), "root")
-            now = now.drop("root", "lead").join(r, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("r_node")
-            # Buckets whose sets are in one group have nothing left to say.
-            now = now.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).withColumn("lead", F.min(F.struct("at", F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "root")).over(bucket))
-            now = staged(now.filter(F.col("lo") != F.col("hi")).drop("lo", "hi"), "open")
-            discard(last)
-            if now.isEmpty():
-                break
-            pairs = _partners(now, k, percent) if k < ROUNDS else _left_over(now.drop("lead"), percent)
-            fresh = linked(pairs, parts, percent)
-            release(spark)
-            if not fresh.isEmpty():
-                links = links.union(fresh)
-                discard(roots)
-                roots = components(links)
-                release(spark)
+        r = roots.select(F.col("node").alias("r_node"), "root")
+        now = open_.drop("lead").join(r, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("r_node")
+        # Buckets whose sets are in one group have nothing left to say.
+        now = staged(now.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).filter(F.col("lo") != F.col("hi")).drop("lo", "hi"), "open")
+        fresh = linked(_left_over(now, percent), parts, percent)
+        if not fresh.isEmpty():
+            discard(roots)
+            roots = components(links.union(fresh))
+        release(spark)
         if count:
-            within = staged(_links_within(roots, parts, held, percent), "within")
+            within = _links_within(roots, parts, held, percent)
             release(spark)
-        discard(now, parts, holders)
+        discard(now, parts)
+    discard(kept, open_)
     member = own.withColumn("whole", F.col("n") > 0)
     if roots is not None:
         member = member.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left")

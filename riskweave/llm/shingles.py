@@ -1,13 +1,21 @@
 """Word n-gram hashes of many texts at once, over the bytes of their UTF-8.
 
 A word is a run of bytes other than blank and \\t to \\r, with A-Z lower-cased. Its hash is a polynomial over random
-values of its bytes, taken from running sums, then mixed; an n-gram's hash mixes those of its words. All are 64 bits.
+values of its bytes, taken from running sums, then mixed; that of a word over LONG_WORD bytes, since a polynomial
+can't tell some long words apart whatever its values, is a keyed digest. An n-gram's hash mixes those of its words. All
+are 64 bits.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
+#: Bytes from which on a word is hashed by a digest.
+LONG_WORD = 64
+_KEY = b"riskweave shingles"
+
 _RNG = np.random.default_rng(20240229)
 _BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES[65:91] = _BYTES[97:123]
@@ -56,6 +64,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
     h = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes().lower(), digest_size=8, key=_KEY).digest(), "little")  # lower() of bytes changes A-Z only
     last = np.cumsum([len(c) + 1 for c in coded])
     return h, np.diff(np.searchsorted(starts, last), prepend=0)
 

@@ -74,12 +74,46 @@ def brute_links(docs, n, percent):
 @pytest.mark.parametrize("seed,words,percent,sets", [(0, 3, 90, 512), (3, 3, 80, 4), (4, 2, 60, 3)])
 def test_every_link_is_counted(spark, monkeypatch, seed, words, percent, sets):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    monkeypatch.setattr(ngram_join, "DENSE", sets)
     docs = near_copies(seed)
     df = join(spark.createDataFrame(docs, "doc_id long, text string"), words, percent)
     assert sorted(((r.doc_id, r.n_links) for r in df.collect()), key=str) == brute_links(docs, words, percent)
     assert got(df) == brute(docs, words, percent)
 
 
+@pytest.mark.parametrize("seed,words,percent,hot", [(0, 3, 90, 2), (3, 3, 80, 5), (4, 2, 60, 8)])
+def test_hot_ngrams_lose_no_link(spark, monkeypatch, seed, words, percent, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    docs = near_copies(seed)
+    df = join(spark.createDataFrame(docs, "doc_id long, text string"), words, percent)
+    assert sorted(((r.doc_id, r.n_links) for r in df.collect()), key=str) == brute_links(docs, words, percent)
+    assert got(df) == brute(docs, words, percent)
+
+
+@pytest.mark.parametrize("dense,lookup", [(1, 8), (4, 100), (1000, 7)])
+def test_matches_of_two_blocks(monkeypatch, dense, lookup):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "DENSE_GRAMS", 5)
+    monkeypatch.setattr(ngram_join, "LOOKUP", lookup)
+    rng = np.random.default_rng(dense)
+    own = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(40)]
+    n = np.array([len(x) for x in own])
+    for rows, columns in ((np.arange(40), np.arange(40)), (np.arange(0, 40, 2), np.arange(1, 40, 2)), (np.array([3]), np.array([7, 9]))):
+        got = ngram_join._matches(own, n, rows, columns, 40)
+        assert got.tolist() == [[100 * len(np.intersect1d(own[i], own[j])) >= 40 * len(np.union1d(own[i], own[j])) for j in columns] for i in rows]
+
+
+def test_long_words_of_one_polynomial_differ():
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048):
+        a, b, c = shingle_sets([word[:n], other[:n], word[:n].upper()], 3)
+        assert a[0] != b[0] and a[0] == c[0]
+
+
 def test_links_of_odd_rows_and_of_the_query(spark, sf, odd_docs, no_docs):
     rows = lambda df: sorted(((r.doc_id, r.n_links) for r in df.collect()), key=str)
     docs = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
