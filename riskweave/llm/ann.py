@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, picked, staged, table
-from .vectors import best, matrix, usable
+from .vectors import best, matrix, top_rows, usable
 
 CURVES = 16
 DIMENSIONS, BITS = 8, 7
 #: Queries whose true neighbours set the window, and the share of those neighbours that must lie within it.
 SAMPLE_QUERIES = 128
 WITHIN = 0.96
-#: Rows that a task numbers and searches at once, at least.
-LEAST_BUCKET = 256
+#: Rows of a curve that are searched at once, however wide the window is.
+BUCKET_ROWS = 1024
 
 _LOWEST = -np.inf
 
@@ -129,6 +129,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part; only vectors of equal
     length are compared; a query's own id is no candidate; ties go to the smaller vec_id; a query with fewer than k
     candidates of any nearness gets those that its windows reach; an empty table gives no rows. Every row is indexed.
+    Rows that share an id are one query and one candidate: a pair's score is the highest of its rows' that are found.
     window: numbers to look at on either side; None measures it.
     """
     rows = picked(vectors.withColumn("__query", is_query), vec_id=vec_id, v=vector, is_query="__query")
@@ -146,12 +147,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
         part = min(1.0, 4 * sample_queries / max(1, asks))
         drawn = reps.filter("asks").filter(F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))).select("rep", "v").orderBy(F.xxhash64("rep")).limit(sample_queries).collect()
         window = _window(reps, ordered, drawn, k, within)
-    window = max(LEAST_BUCKET, window)
+    window = max(k + 1, window)
 
-    # Each vector goes to its bucket on each curve; each query also to the buckets beside it.
-    placed = ordered.join(reps.select("rep", "v", "asks"), "rep").withColumn("bucket", F.floor(F.col("at") / window))
+    # Each vector goes to its bucket on each curve; each query to all buckets that its window touches.
+    placed = ordered.join(reps.select("rep", "v", "asks"), "rep").withColumn("bucket", F.floor(F.col("at") / BUCKET_ROWS))
     candidates = placed.select("curve", "d", "bucket", "rep", "v", "at")
-    beside = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("q_bucket")
+    beside = F.explode(F.sequence(F.floor((F.col("at") - window) / BUCKET_ROWS), F.floor((F.col("at") + window) / BUCKET_ROWS))).alias("q_bucket")
     queries = placed.filter("asks").select(F.col("curve").alias("q_curve"), F.col("d").alias("q_d"), beside, F.col("rep").alias("query"), F.col("v").alias("q"), F.col("at").alias("q_at"))
     reach = window
 
@@ -177,12 +178,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     top = once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).filter(F.col("n") <= k + 1).drop("n")
     # Every id of the best vectors, at most (k + 1) ** 2 for a distinct query vector, and of those the first k + 1.
     ids = top.join(reps.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    ids = ids.repartition("query").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
     lists = ids.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
     lists = lists.join(reps.filter("asks").select(F.col("rep").alias("query"), "v"), "query")
     answers = rows.filter("is_query").select(F.col("vec_id").alias("query_id"), "v").join(lists, "v")
-    kept = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return answers.select("query_id", F.posexplode(kept).alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    kept = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    return top_rows(answers.select("query_id", F.explode(kept).alias("x")).select("query_id", "x.vec_id", "x.score"), k)
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

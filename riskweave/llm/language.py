@@ -1,7 +1,7 @@
 """Language ID by language-bitmask n-gram filters.
 
 Each language has a Bloom filter of the n-grams that are typical of it; the filters are bit-sliced, so one lookup in
-an array of masks tells for all languages at once which may hold an n-gram. A text's hits are counted for each
+an array of masks (as many 64-bit words a slot as the languages need) tells for all languages at once which may hold an n-gram. A text's hits are counted for each
 language, corrected for that filter's false positives, and the language with most wins.
 """
 
@@ -27,7 +27,6 @@ LEAST_SHARE = 0.005
 LEAST_OF_TOP = 0.25
 #: Slots of the filters for each n-gram of the largest language.
 SLOTS_EACH = 12
-MOST_LANGUAGES = 64
 UNKNOWN = "und"
 
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -72,7 +71,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """languages by bit; masks by slot; each filter's share of set slots, squared: its false-positive rate."""
+    """languages by bit; masks by slot and word of 64 languages; each filter's share of set slots, squared: its false-positive rate."""
 
     languages: list[str]
     masks: np.ndarray
@@ -81,15 +80,14 @@ class Filters:
     @classmethod
     def of(cls, sets: dict[str, np.ndarray]) -> "Filters":
         names = sorted(sets)
-        if len(names) > MOST_LANGUAGES:
-            raise ValueError(f"{len(names)} languages; a mask holds {MOST_LANGUAGES}")
         largest = max([1, *(len(sets[x]) for x in names)])
-        masks = np.zeros(1 << (SLOTS_EACH * largest - 1).bit_length(), dtype=np.uint64)
+        masks = np.zeros((1 << (SLOTS_EACH * largest - 1).bit_length(), max(1, -(-len(names) // 64))), dtype=np.uint64)
         out = cls(names, masks, np.zeros(len(names)))
         for bit, name in enumerate(names):
+            word, one = masks[:, bit // 64], np.uint64(1) << np.uint64(bit % 64)
             for slot in out._slots(sets[name]):
-                masks[slot] |= np.uint64(1) << np.uint64(bit)
-            out.false[bit] = ((masks >> np.uint64(bit) & np.uint64(1)).mean()) ** 2
+                word[slot] |= one
+            out.false[bit] = ((word & one) > 0).mean() ** 2
         return out
 
     def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +101,7 @@ class Filters:
         mask = self.masks[a] & self.masks[b]
         n, hits = len(texts), []
         for k in range(0, max(1, len(self.languages)), 8):
-            part = (mask >> np.uint64(k) & np.uint64(255)).astype(np.int64)
+            part = (mask[:, k // 64] >> np.uint64(k % 64) & np.uint64(255)).astype(np.int64)
             by = np.bincount(own * 256 + part, minlength=256 * n).reshape(n, 256)
             hits.append(by @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"))
         total = np.bincount(own, minlength=n)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import picked, table
-from .vectors import best, matrix, top_rows, usable
+from .vectors import best, matrix, once_each, top_rows, usable
 
 SHARD_ROWS = 8192
 GROUP_QUERIES = 2048
@@ -41,6 +41,7 @@ class Blocks:
         order = np.argsort(ids, kind="stable")
         ids, rows = ids[order], rows[order]
         self.blocks = [(ids[i : i + size], rows[i : i + size]) for i in range(0, len(ids), size)]
+        self.repeated = len(np.unique(ids)) < len(ids)
         self.most = np.stack([r.max(0) for _, r in self.blocks])
         self.least = np.stack([r.min(0) for _, r in self.blocks])
 
@@ -64,7 +65,10 @@ class Blocks:
                 got = queries[own] @ rows.T
                 got[query_ids[own][:, None] == block_ids] = lowest
                 done += len(own)
-                scores[own], ids[own] = best(np.concatenate([scores[own], got], 1), np.concatenate([ids[own], np.broadcast_to(block_ids, got.shape)], 1), k)
+                both = np.concatenate([scores[own], got], 1), np.concatenate([ids[own], np.broadcast_to(block_ids, got.shape)], 1)
+                if self.repeated:
+                    both = once_each(*both, lowest)
+                scores[own], ids[own] = best(*both, k)
         return scores, ids, done
 
 
@@ -73,8 +77,9 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id
 
     vectors: integer components; is_query: a Column over them. Vectors that are null, empty, or hold a null take no part;
     only vectors of equal length are compared; rows with a query's own id are not its candidates; ties go to the smaller
-    vec_id; a query with fewer than k candidates gets them all; an empty table gives no rows. Scores are exact; beyond
-    the range of a long they stop at its ends.
+    vec_id; a query with fewer than k candidates gets them all; an empty table gives no rows. Rows that share an id are
+    one query and one candidate: a pair's score is the highest of its rows'. Scores are exact; beyond the range of a
+    long they stop at its ends.
     """
     rows = picked(vectors.withColumn("__query", is_query), vec_id=vec_id, v=vector, is_query="__query").filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
     n, q = rows.agg(F.count("*"), F.count_if("is_query")).first()
@@ -114,8 +119,9 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  GROUP BY 1, 2
 )
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10

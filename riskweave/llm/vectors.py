@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,9 +34,17 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def top_rows(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows of query_id, vec_id, score, ties to smaller vec_id."""
-    from pyspark.sql import Window
+def once_each(scores: np.ndarray, ids: np.ndarray, lowest) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of scores and ids, in which an id stands only with its highest score and elsewhere as nothing."""
+    order = np.lexsort((-scores, ids), axis=1)
+    scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    again = np.zeros(ids.shape, dtype=bool)
+    again[:, 1:] = ids[:, 1:] == ids[:, :-1]
+    return np.where(again, lowest, scores), np.where(again, np.iinfo(np.int64).max, ids)
+
 
+def top_rows(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of query_id, vec_id, score, ties to smaller vec_id; repeated pairs count once, with the highest score."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from riskweave.llm import ann
 from riskweave.llm.ann import hilbert_keys, nearest, op6_nearest_neighbours
 from riskweave.llm.topk import Blocks, exact_top_k, op4_exact_topk, quantized
 from riskweave.llm.vectors import best, usable
@@ -78,16 +79,41 @@ def test_nearest_query_recall(spark, sf):
     assert all(abs(vectors[q] @ vectors[i] - s) < 1e-12 for q, x in got.items() for i, s in x)
 
 
-def test_nearest_recall_with_narrow_windows(spark):
+def test_nearest_recall_with_narrow_windows(spark, monkeypatch):
+    """Clustered vectors, several buckets a curve: windows are a small share of the table, and what they reach is enough."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((3000, 16))
+    centres = rng.standard_normal((150, 16))
+    x = np.repeat(centres, 40, 0) + 0.15 * rng.standard_normal((6000, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    widths, measured = [], ann._window
+    monkeypatch.setattr(ann, "_window", lambda *a: widths.append(measured(*a)) or widths[-1])
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 256)
     s = x[::20] @ x.T
-    s[np.arange(150), np.arange(0, 3000, 20)] = -9
+    s[np.arange(300), np.arange(0, 6000, 20)] = -9
     want = np.argsort(-s, 1)[:, :20]
     got = answers(nearest(df, F.col("vec_id") % 20 == 0))
     assert np.mean([len(set(w) & {i for i, _ in got[20 * k]}) / 20 for k, w in enumerate(want)]) >= 0.9
+    assert 0 < widths[0] < 300
+
+
+def test_rows_that_share_an_id(spark):
+    """Repeated query rows, repeated candidates, and one id with two vectors: each pair counts once, with its highest score."""
+    rows = [(0, [1, 0]), (0, [1, 0]), *[(i, [i, 0]) for i in range(1, 8)], (7, [7, 0]), (7, [2, 5]), (3, [9, 1]), (10, [0, 1]), (10, [1, 1])]
+
+    def want(k):
+        scores = {}
+        for q, x in rows:
+            for c, y in rows:
+                if q % 10 == 0 and c != q:
+                    scores.setdefault(q, {}).setdefault(c, []).append(x[0] * y[0] + x[1] * y[1])
+        return {q: sorted(((c, max(s)) for c, s in found.items()), key=lambda p: (-p[1], p[0]))[:k] for q, found in scores.items()}
+
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    for size in (1, 100):
+        assert answers(exact_top_k(df, F.col("vec_id") % 10 == 0, 4, shard_rows=size, group_queries=size, block_rows=2)) == want(4)
+    floats = df.withColumn("vector", F.col("vector").cast("array<double>"))
+    assert answers(nearest(floats, F.col("vec_id") % 10 == 0, 4)) == want(4)
 
 
 def test_nearest_odd_rows_and_hot_vector(spark):
@@ -97,4 +123,7 @@ def test_nearest_odd_rows_and_hot_vector(spark):
     assert nearest(df.filter("false"), F.lit(True)).collect() == []
     rows = [(i, [1.0, 0.0] if i % 3 else [float(i), 1.0]) for i in range(300)]
     hot = spark.createDataFrame(rows, "vec_id long, vector array<double>")
-    assert answers(nearest(hot, F.col("vec_id") % 20 == 0)) == brute(rows, lambda i: i % 20 == 0, 20)
+    want = brute(rows, lambda i: i % 20 == 0, 20)
+    assert answers(nearest(hot, F.col("vec_id") % 20 == 0, window=300)) == want
+    got = answers(nearest(hot, F.col("vec_id") % 20 == 0))
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 20 * len(want)
