@@ -39,7 +39,7 @@ SHARED = 4
 #: Sets from which on an n-gram is hot: the largest bucket that a task gathers.
 HOT = 512
 #: Sets and n-grams of a block of a group, about; two blocks are in a worker's memory at once.
-BLOCK_SETS, BLOCK_GRAMS = 2048, 1 << 20
+BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 20
 #: N-grams that this many sets of two blocks hold are counted by a product of matrices, so many at a time; rarer ones by lookups.
 DENSE, DENSE_GRAMS = 32, 1 << 11
 #: Pairs that lookups expand to at once.
