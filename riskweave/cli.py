@@ -17,12 +17,7 @@ from .streaming import logs
 
 
 def _session() -> SparkSession:
-    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-"))
-    return spark
+    return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def _print(df: DataFrame, most: int) -> None:

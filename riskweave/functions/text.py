@@ -103,6 +103,16 @@ def dev_only(path: Column) -> Column:
     return F.coalesce(F.element_at(parts, 1).isin(*DEV_ROOTS) | F.arrays_overlap(parts, F.array(*[F.lit(d) for d in DEV_ANYWHERE])) | low.rlike(marks), F.lit(False))
 
 
+#: What makes a path one of tests.
+TEST_MARKS = ("__tests__/", "__mocks__/", "/test/", "/tests/", "fixtures/", ".test.", ".spec.", "/__fixtures__/", "e2e/", "cypress/")
+
+
+def test_path(path: Column) -> Column:
+    """Whether a file belongs to tests; a null path doesn't."""
+    rooted = F.concat(F.lit("/"), F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", ""))
+    return F.coalesce(rooted.rlike("|".join(re.escape(m) for m in TEST_MARKS)), F.lit(False))
+
+
 def name_tokens(name: Column) -> Column:
     """A name's words in lower case: cut at underscores, other signs and before capitals."""
     spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")

@@ -55,6 +55,44 @@ def vex(vulnerable: DataFrame, usage: DataFrame) -> DataFrame:
     return out.withColumn("vex_state", state).withColumn("vex_reason", reason).drop("u_package", "u_symbols", "u_unresolved")
 
 
+# How a source names a package: an import with a clause, one without, and a required value.
+_CLAUSE = r"import\s+([A-Za-z0-9_$*{][^'\"`;]*?)\s*from\s*['\"]([^'\"]+)['\"]"
+_BARE = r"import\s*['\"]([^'\"]+)['\"]"
+_REQUIRED = r"(?:const|let|var)\s+([A-Za-z0-9_$]+|\{[^}]*\})\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)"
+
+
+def package_uses(files: DataFrame) -> DataFrame:
+    """file, package, symbols, unresolved: a row for each import of a package by a file.
+
+    symbols: the last part of a deeper module name; otherwise the names in braces (before "as" or ":") and the members
+    that the file asks of the imported value. A value of which no member is seen is unresolved. files: file, text.
+    """
+    t = F.col("text")
+    both = lambda p: F.arrays_zip(F.regexp_extract_all(t, F.lit(p), 1).alias("clause"), F.regexp_extract_all(t, F.lit(p), 2).alias("spec"))
+    bare = F.transform(F.regexp_extract_all(t, F.lit(_BARE), 1), lambda s: F.struct(F.lit("").alias("clause"), s.alias("spec")))
+    each = files.filter(t.rlike(r"import|require")).select("file", "text", F.explode(F.concat(both(_CLAUSE), bare, both(_REQUIRED))).alias("i"))
+    root = package_root(F.col("i.spec"))
+    deeper = F.substring(F.col("i.spec"), F.length(root) + 2, F.lit(10_000))
+    named = F.regexp_extract("i.clause", r"\{([^}]*)\}", 1)
+    names = F.filter(F.transform(F.split(named, ","), lambda n: F.regexp_extract(n, r"^\s*(?:type\s+)?([A-Za-z0-9_$]+)", 1)), lambda n: n != "")
+    whole = F.filter(F.transform(F.split(F.regexp_replace("i.clause", r"\{[^}]*\}", ""), ","), lambda n: F.regexp_extract(n, r"^\s*(?:\*\s+as\s+)?([A-Za-z0-9_$]+)\s*$", 1)), lambda n: n != "")
+    pair = r"(?<![A-Za-z0-9_$])([A-Za-z0-9_$]+)(?=\.([A-Za-z0-9_$]+))"
+    asked = F.arrays_zip(F.regexp_extract_all("text", F.lit(pair), 1).alias("value"), F.regexp_extract_all("text", F.lit(pair), 2).alias("member"))
+    out = each.withColumn("package", root).filter("package IS NOT NULL").withColumn("deeper", deeper).withColumn("whole", F.when(F.col("deeper") == "", whole).otherwise(F.array().cast("array<string>"))).withColumn("asked", F.when(F.size("whole") > 0, asked))
+    members = F.transform(F.filter("asked", lambda a: F.array_contains("whole", a["value"])), lambda a: a["member"])
+    seen = F.transform(F.filter("asked", lambda a: F.array_contains("whole", a["value"])), lambda a: a["value"])
+    symbols = F.when(F.col("deeper") != "", F.array(F.substring_index("deeper", "/", -1))).otherwise(F.array_distinct(F.concat(names, F.coalesce(members, F.array()))))
+    return out.select("file", "package", symbols.alias("symbols"), F.coalesce(F.size(F.array_except("whole", F.coalesce(seen, F.array()))) > 0, F.lit(False)).alias("unresolved"))
+
+
+def usage_index(files: DataFrame) -> DataFrame:
+    """package, symbols, files (how many import it), unresolved: what vex() asks for, from the imports of a corpus."""
+    uses = package_uses(files)
+    symbols = uses.select("package", F.explode("symbols").alias("s")).distinct().groupBy("package").agg(F.array_sort(F.collect_list("s")).alias("symbols"))
+    counts = uses.groupBy("package").agg(F.countDistinct("file").alias("files"), F.bool_or("unresolved").alias("unresolved"))
+    return counts.join(symbols, "package", "left").select("package", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"), "files", "unresolved")
+
+
 def package_root(spec: Column) -> Column:
     """The package of a module name; null for relative ones."""
     return F.when(spec.rlike(r"^[./]") | (spec == ""), F.lit(None).cast("string")).when(spec.startswith("@"), F.nullif(F.regexp_extract(spec, r"^(@[^/]+/[^/]+)", 1), F.lit(""))).otherwise(F.regexp_extract(spec, r"^([^/]+)", 1))

@@ -7,18 +7,17 @@ gives facts as rows; everything that puts facts together, within a file or over
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import EXTENSIONS, normal_path
+from .graph import targets
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 _CALL = re.compile(rf"((?:{_NAME}\s*\.\s*)*{_NAME})\s*\(")
-_DECLARED = re.compile(rf"(?:^|[;{{]|\b(?:const|let|var)\b)\s*(?:const|let|var)?\s*({_NAME}|\{{[^}}=]*\}}|\[[^\]=]*\])\s*(?::[^=;\n]+)?=(?![=>])\s*")
+_DECLARED = re.compile(rf"(?m)(?:^|[;{{]|\b(?:const|let|var)\b)\s*(?:const|let|var)?\s*({_NAME}|\{{[^}}=]*\}}|\[[^\]=]*\])\s*(?::[^=;\n]+)?=(?![=>])\s*")
 _FUNCTION = re.compile(rf"(?:function\s+({_NAME})\s*\(([^)]*)\)|(?:const|let|var)\s+({_NAME})\s*=\s*(?:async\s*)?(?:function\s*)?\(([^)]*)\)\s*(?:=>|\{{))")
 _IMPORT = re.compile(rf"import\s*(?:{_NAME}\s*,\s*)?\{{([^}}]*)\}}\s*from\s*['\"]([^'\"]+)['\"]")
 _KEYWORDS = frozenset("if for while switch catch function return typeof await new super import require".split())
@@ -82,8 +81,44 @@ def plain_literal(expression: str) -> bool:
     return bool(re.fullmatch(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[0-9][0-9_.]*|true|false|null|undefined", e) or re.fullmatch(r"`[^`]*`", e) and "${" not in e)
 
 
-def facts_of(text: str) -> list[tuple[str, int, str, str, int, str]]:
-    """(kind, line, name, value, ord, scope): call arguments, assignments, function parameters, imports; scope: the function around."""
+def uses(expression: str) -> set[str]:
+    """Names in an expression, quoted texts apart (holes of templates count)."""
+    bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", expression).replace("${", " ")
+    return set(re.split(r"[^A-Za-z0-9_$.]+|\.", bare)) - {""}
+
+
+_SOURCE, _CLEANER = re.compile(SOURCES), re.compile(CLEANERS)
+OUTSIDE = "outside"
+
+
+def followed(events: list[tuple[int, str, int, str, str, str]], params: list[tuple[str, str, int, int]]) -> list[dict[str, tuple[int, ...]]]:
+    """For each event (offset, kind, line, name, value, scope), in order, what its value carries: a label's lines.
+
+    A label is OUTSIDE, for data from outside, or the number of a parameter (scope, name, number, line) of the function
+    around. An assignment gives its name what its value carries, and takes away what the name carried before; a cleaned
+    value carries nothing. A function sees its own names, then those outside all functions.
+    """
+    state: dict[tuple[str, str], dict[str, tuple[int, ...]]] = {(scope, name): {str(k): (line,)} for scope, name, k, line in params}
+    out = []
+    for _, kind, line, name, value, scope in events:
+        found: dict[str, tuple[int, ...]] = {}
+        if not _CLEANER.search(value):
+            if _SOURCE.search(value):
+                found[OUTSIDE] = (line,)
+            for u in sorted(uses(value)):
+                for label, lines in state.get((scope, u), state.get(("", u), {})).items():
+                    found.setdefault(label, (*lines, line))
+        out.append(found)
+        if kind == "assign":
+            state[scope, name] = found
+    return out
+
+
+def facts_of(text: str) -> list[tuple[str, int, str, str, int, str, list[str], list[int]]]:
+    """(kind, line, name, value, ord, scope, labels, steps): call arguments, assignments, function parameters, imports; scope: the function around.
+
+    labels: what a value carries (see followed()); steps: the lines by which data from outside came to it.
+    """
     clean = "\n".join(without_comments(x) for x in text.split("\n"))
     line_of = lambda at: clean.count("\n", 0, at) + 1
     scopes = []
@@ -94,36 +129,39 @@ def facts_of(text: str) -> list[tuple[str, int, str, str, int, str]]:
         scopes.append((m.start(), end[1] if end else (clean.find("\n", m.end()) + 1 or len(clean) + 1) - 1, name))
         scopes[-1] += ([p.split(":")[0].split("=")[0].strip(" {}.") for p in (params or "").split(",") if p.strip()],)
     around = lambda at: min(((b - a, n) for a, b, n, _ in scopes if a <= at < b), default=(0, ""))[1]
-    out = []
-    for a, _, name, params in scopes:
-        out += [("param", line_of(a), name, p, k, name) for k, p in enumerate(params)]
+    params = [(name, p, k, line_of(a)) for a, _, name, own in scopes for k, p in enumerate(own)]
+    events = []
     for m in _CALL.finditer(clean):
         name = re.sub(r"\s", "", m[1])
         before = clean[max(0, m.start() - 10) : m.start()]
         if name.split(".")[0] in _KEYWORDS or re.search(r"function\s+$", before):
             continue
         if found := arguments(clean, m.end() - 1):
-            out += [("arg", line_of(m.start()), name, x, k, around(m.start())) for k, x in enumerate(found[0])]
+            events += [(m.start(), "arg", line_of(m.start()), name, x, around(m.start()), k) for k, x in enumerate(found[0])]
     for m in _DECLARED.finditer(clean):
         end = re.compile(r";|\n(?!\s*[.+?:&|])|$").search(clean, m.end())
         value = clean[m.end() : end.start()].strip()
         if re.match(r"(async\s*)?(function\b|\([^)]*\)\s*=>|[A-Za-z_$]+\s*=>)", value):
             continue
-        for n in re.findall(_NAME, m[1]):
-            out.append(("assign", line_of(m.start(1)), n, value, 0, around(m.start(1))))
+        # Calls inside the value come before the assignment does.
+        events += [(end.start(), "assign", line_of(m.start(1)), n, value, around(m.start(1)), 0) for n in re.findall(_NAME, m[1])]
+    events.sort(key=lambda e: e[0])
+    out = [("param", line, scope, p, k, scope, [], []) for scope, p, k, line in params]
+    for (_, kind, line, name, value, scope, k), found in zip(events, followed([e[:6] for e in events], params), strict=True):
+        out.append((kind, line, name, value, k, scope, sorted(found), list(found.get(OUTSIDE, ()))))
     for m in _IMPORT.finditer(clean):
         for part in m[1].split(","):
             names = part.split(" as ")
             if names[0].strip():
-                out.append(("import", line_of(m.start()), names[-1].strip(), f"{m[2]}#{names[0].strip()}", 0, ""))
+                out.append(("import", line_of(m.start()), names[-1].strip(), f"{m[2]}#{names[0].strip()}", 0, "", [], []))
     return out
 
 
-_FACTS = pa.schema([("file", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("name", pa.string()), ("value", pa.string()), ("ord", pa.int32()), ("scope", pa.string())])
+_FACTS = pa.schema([("file", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("name", pa.string()), ("value", pa.string()), ("ord", pa.int32()), ("scope", pa.string()), ("labels", pa.list_(pa.string())), ("steps", pa.list_(pa.int32()))])
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """file, kind, line, name, value, ord, scope of files (file, text); texts without a call or an assignment stay in the JVM."""
+    """file, kind, line, name, value, ord, scope, labels, steps of files (file, text); texts without a call or an assignment stay in the JVM."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,42 +171,22 @@ def facts(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_FACTS)], schema=_FACTS)
 
     some = files.filter(F.col("text").rlike(r"[(=]")).select(F.col("file").cast("string").alias("file"), "text")
-    return some.mapInArrow(rows, "file string, kind string, line int, name string, value string, ord int, scope string")
+    return some.mapInArrow(rows, "file string, kind string, line int, name string, value string, ord int, scope string, labels array<string>, steps array<int>")
 
 
-def _uses(value: Column) -> Column:
+def _mentions(value: Column, name: Column) -> Column:
+    """Whether an expression uses a variable: its name, quoted texts apart (template holes count)."""
     bare = F.regexp_replace(F.regexp_replace(value, r"\"[^\"]*\"|'[^']*'", ""), r"\$\{", " ")
-    return F.split(bare, r"[^A-Za-z0-9_$.]+|\.")
+    return F.array_contains(F.split(bare, r"[^A-Za-z0-9_$.]+|\."), name)
 
 
-def _mentions(value: Column, name: Column) -> Column:
-    """Whether an expression uses a variable: its name, quoted texts apart (template holes count)."""
-    return F.array_contains(_uses(value), name)
-
-
-def _carried(t: pa.Table) -> pa.Table:
-    """Of a file's assignments, those that data from outside gets to, directly or through others."""
-    scope, name, users = t.column("scope").to_pylist(), t.column("name").to_pylist(), defaultdict(list)
-    for i, uses in enumerate(t.column("uses").to_pylist()):
-        for u in set(uses):
-            users[u].append(i)
-    todo = [i for i, own in enumerate(t.column("outside").to_pylist()) if own]
-    found, spread = set(todo), set()
-    while todo:
-        i = todo.pop()
-        if (scope[i], name[i]) not in spread:
-            spread.add((scope[i], name[i]))
-            more = [j for j in users[name[i]] if j not in found and scope[i] in ("", scope[j])]
-            found.update(more)
-            todo += more
-    return t.select(["file", "scope", "name", "line"]).take(pa.array(sorted(found), pa.int64()))
+def _from_outside() -> Column:
+    return F.array_contains("labels", OUTSIDE)
 
 
 def tainted_names(f: DataFrame) -> DataFrame:
-    """file, scope, name, line: variables that hold data from outside, through any number of assignments; a cleaned value is none."""
-    assigned = f.filter("kind = 'assign'").filter(~F.col("value").rlike(CLEANERS))
-    each = assigned.select("file", "scope", "name", "line", _uses(F.col("value")).alias("uses"), F.col("value").rlike(SOURCES).alias("outside"))
-    return each.groupBy("file").applyInArrow(lambda t: _carried(t), "file string, scope string, name string, line int").distinct()
+    """file, scope, name, line: assignments of data from outside, through any number of others before them."""
+    return f.filter((F.col("kind") == "assign") & _from_outside()).select("file", "scope", "name", "line").distinct()
 
 
 def sink_calls(f: DataFrame) -> DataFrame:
@@ -178,35 +196,30 @@ def sink_calls(f: DataFrame) -> DataFrame:
 
 
 def summaries(f: DataFrame) -> DataFrame:
-    """file, function, ord, rule_id: parameters that a function hands to a sink."""
-    p = f.filter("kind = 'param'").select(F.col("file").alias("p_file"), F.col("name").alias("function"), F.col("value").alias("param"), F.col("ord").alias("p_ord"))
-    s = sink_calls(f).filter(~F.col("value").rlike(CLEANERS))
-    hit = s.join(p, (F.col("file") == F.col("p_file")) & (F.col("scope") == F.col("function")) & _mentions(F.col("value"), F.col("param")))
-    return hit.select("file", "function", F.col("p_ord").alias("ord"), "rule_id").distinct()
+    """file, function, ord, rule_id, line: parameters that a function hands to a sink, and where it does first."""
+    s = sink_calls(f).filter("scope <> ''").select("file", F.col("scope").alias("function"), F.explode("labels").alias("label"), "rule_id", "line").filter(F.col("label") != OUTSIDE)
+    return s.groupBy("file", "function", F.col("label").cast("int").alias("ord"), "rule_id").agg(F.min("line").alias("line"))
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
-    """rule_id, file, line, code, hops: data from outside that reaches a sink, in a file (0 hops) or through one call of its own or an imported function (1 hop)."""
-    f = facts(files)
-    bad = tainted_names(f).select(F.col("file").alias("t_file"), F.col("scope").alias("t_scope"), F.col("name").alias("t_name")).distinct()
-    direct = lambda v: v.rlike(SOURCES) & ~v.rlike(CLEANERS)
+    """rule_id, file, line, code, hops, taint_steps: data from outside that reaches a sink, in a file (0 hops) or through one call of its own or an imported function (1 hop).
 
-    def reached(calls: DataFrame) -> DataFrame:
-        by_name = calls.filter(~F.col("value").rlike(CLEANERS)).join(bad, (F.col("file") == F.col("t_file")) & ((F.col("scope") == F.col("t_scope")) | (F.col("t_scope") == "")) & _mentions(F.col("value"), F.col("t_name"))).select(calls.columns)
-        return by_name.union(calls.filter(direct(F.col("value"))))
-
-    own = reached(sink_calls(f)).select("rule_id", "file", "line", F.col("name").alias("code"), F.lit(0).alias("hops"))
+    A file is read in order: what a name carries at a call counts, and an assignment of something clean ends it.
+    taint_steps: how many places the data passes, the sink's included.
+    """
+    f = facts(files)
+    own = sink_calls(f).filter(_from_outside()).select("rule_id", "file", "line", F.col("name").alias("code"), F.lit(0).alias("hops"), F.size("steps").alias("taint_steps"))
     s = summaries(f).select(F.col("file").alias("s_file"), F.col("function").alias("s_function"), F.col("ord").alias("s_ord"), F.col("rule_id").alias("s_rule"))
     here = f.filter("kind = 'import'").select("file", F.col("name").alias("local"), F.split("value", "#")[0].alias("spec"), F.split("value", "#")[1].alias("exported"))
-    base = normal_path(F.when(F.col("spec").startswith("@/"), F.substring("spec", 3, 10_000)).otherwise(F.concat(F.regexp_replace("file", "[^/]*$", ""), F.col("spec"))))
-    tried = F.array(*[F.concat(base, F.lit(e)) for e in ("", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS])])
-    to = here.filter(F.col("spec").rlike(r"^(\.|@/)")).select(F.col("file").alias("i_file"), "local", "exported", F.explode(tried).alias("target"))
-    calls = f.filter("kind = 'arg'")
+    to = here.select(F.col("file").alias("i_file"), "local", "exported", F.posexplode(targets(F.col("spec"), F.col("file"))).alias("n", "target"))
+    known = files.select(F.col("file").cast("string").alias("target")).distinct()
+    to = to.join(known, "target").groupBy("i_file", "local", "exported").agg(F.min_by("target", "n").alias("target"))
+    calls = f.filter("kind = 'arg'").filter(_from_outside())
     imported = calls.join(to, (F.col("file") == F.col("i_file")) & (F.col("name") == F.col("local"))).join(s, (F.col("target") == F.col("s_file")) & (F.col("exported") == F.col("s_function")) & (F.col("ord") == F.col("s_ord")))
     local = calls.join(s, (F.col("file") == F.col("s_file")) & (F.col("name") == F.col("s_function")) & (F.col("ord") == F.col("s_ord")))
-    columns = ["file", "kind", "line", "name", "value", "ord", "scope", "s_rule"]
-    hop = reached(imported.select(columns).union(local.select(columns))).select(F.col("s_rule").alias("rule_id"), "file", "line", F.col("name").alias("code"), F.lit(1).alias("hops"))
-    return own.union(hop).distinct()
+    columns = ["file", "line", "name", "s_rule", "steps"]
+    hop = imported.select(columns).union(local.select(columns)).select(F.col("s_rule").alias("rule_id"), "file", "line", F.col("name").alias("code"), F.lit(1).alias("hops"), (F.size("steps") + 1).alias("taint_steps"))
+    return own.union(hop).groupBy("rule_id", "file", "line", "code", "hops").agg(F.min("taint_steps").alias("taint_steps"))
 
 
 #: Ours: model calls, calls that act on the world, and words of request data in prompts.

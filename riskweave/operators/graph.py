@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_place, staged
+
 #: Extensions that an import may leave out, in the order in which they are tried, also as an index file.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 
@@ -19,64 +21,75 @@ def import_specs(text: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """A path without . and .. parts; null if it leaves the root."""
-    step = lambda acc, p: F.when(acc.isNull(), acc).when((p == "") | (p == "."), acc).when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))).otherwise(F.concat(acc, F.array(p)))
+    """A path without . and .. parts; .. at the root stays there."""
+    step = lambda acc, p: F.when((p == "") | (p == "."), acc).when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(p)))
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def edges(files: DataFrame) -> DataFrame:
-    """src, dst: each import of a file of the corpus, "./" relative or "@/" from the root, by the first name that exists.
+def targets(spec: Column, importer: Column, roots: tuple[str, ...] = ("", "src")) -> Column:
+    """The files that a module name may mean, in the order in which they are tried; empty for a package.
 
-    files: file, text.
+    A name that starts with a dot is relative to the importer, one that starts with @/ or ~/ to each of the roots.
     """
+    ends = ["", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS]]
+    tries = lambda base: F.array(*[F.concat(base, F.lit(e)) for e in ends])
+    here = normal_path(F.concat(F.regexp_replace(importer, "[^/]*$", ""), spec))
+    aliased = F.concat(*[tries(normal_path(F.concat(F.lit(f"{r}/"), F.substring(spec, 3, 10_000)))) for r in roots])
+    return F.when(spec.rlike(r"^[@~]/"), aliased).when(spec.startswith("."), tries(here)).otherwise(F.array().cast("array<string>"))
+
+
+def edges(files: DataFrame, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
+    """src, dst: each import of a file of the corpus by another, by the first name that exists. files: file, text."""
     specs = files.select(F.col("file").alias("src"), F.explode(import_specs(F.col("text"))).alias("spec"))
-    here = F.regexp_replace("src", "[^/]*$", "")
-    full = F.when(F.col("spec").startswith("@/"), F.substring("spec", 3, 10_000)).when(F.col("spec").rlike(r"^\.\.?(/|$)"), F.concat(here, F.col("spec")))
-    based = specs.withColumn("base", normal_path(full)).filter("base IS NOT NULL")
-    tries = ["", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS]]
-    tried = based.select("src", "spec", F.posexplode(F.array(*[F.concat("base", F.lit(t)) for t in tries])).alias("n", "dst"))
-    known = files.select(F.col("file").alias("dst"))
+    tried = specs.select("src", "spec", F.posexplode(targets(F.col("spec"), F.col("src"), roots)).alias("n", "dst"))
+    known = files.select(F.col("file").alias("dst")).distinct()
     return tried.join(known, "dst").groupBy("src", "spec").agg(F.min_by("dst", "n").alias("dst")).select("src", "dst").distinct()
 
 
-def entry_kind(file: Column, text: Column) -> Column:
-    """server, client or null: what makes a file an entry point."""
-    client = text.rlike(r"^\s*['\"]use client['\"]")
-    name = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
-    return (
-        F.when(file.rlike(r"^(src/)?middleware" + name), "server").when(file.rlike(r"(^|/)app/(.*/)?route" + name), "server").when(file.rlike(r"(^|/)pages/api/.*" + name), "server")
-        .when(file.rlike(r"(^|/)app/(.*/)?(page|layout|template|loading|error|not-found|default)" + name), F.when(client, "client").otherwise("server")).when(file.rlike(r"(^|/)pages/.*" + name), "client")
-        .when(text.rlike(r"^\s*['\"]use server['\"]"), "server").when(client, "client").when(file.rlike(r"^(src/)?(main|index|App)" + name), "client")
-    )
+#: Names of files that the router of an app directory renders.
+RENDERED = ("page", "layout", "template", "default", "loading", "error", "not-found", "global-error", "head", "opengraph-image", "icon")
 
 
-def _spread(start: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """rel, entrypoint, path, hops: shortest ways from the start rows (rel), ties to the smallest path; lineage is cut each round."""
-    found = start.select("rel", F.col("rel").alias("entrypoint"), F.array("rel").alias("path"), F.lit(0).alias("hops"))
-    front, parts = found, [found]
-    seen = found.select("rel")
-    for hop in range(1, rounds + 1):
-        step = front.join(edges, front["rel"] == edges["src"]).select(F.col("dst").alias("to"), "entrypoint", F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("to").agg(F.min(F.struct("path", "entrypoint")).alias("best")).select(F.col("to").alias("rel"), "best.entrypoint", "best.path", F.lit(hop).alias("hops"))
-        front = step.join(seen, "rel", "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        parts.append(front)
-        seen = seen.union(front.select("rel"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def entry_kind(file: Column, text: Column, framework: str | None = None) -> Column:
+    """server, client or null: what makes a file an entry point. framework: of the project, if known."""
+    parts = F.split(file, "/")
+    name = F.element_at(parts, -1)
+    stem = F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
+    has = lambda d: F.array_contains(parts, d)
+    head = F.array_join(F.slice(F.split(text, r"\r?\n"), 1, 3), "\n")
+    single_page = stem.isin("main", "index") & (has("src") | (F.size(parts) == 1)) & (name.startswith("main.") if framework not in ("vite", "react") else F.lit(True))
+    return (
+        F.when(file.rlike(r"^(src/)?middleware\.(ts|tsx|js|jsx|mjs|cjs)$"), "server")
+        .when(has("app") & (stem == "route"), "server").when(has("app") & stem.isin(*RENDERED), "client")
+        .when(has("pages"), F.when(F.concat(F.lit("/"), file).contains("/api/"), "server").otherwise("client"))
+        .when(head.rlike(r"(?m)^\s*['\"]use server['\"]"), "server").when(single_page, "client")
+    )
 
 
 def reach(entrypoints: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """rel, kind, entrypoint, path: what is reachable; server entries win over client ones; paths are shortest.
+    """rel, kind, entrypoint, path, hops: what is reachable; server entries win over client ones; paths are shortest, ties to the smallest.
 
-    entrypoints: rel, kind. Set the checkpoint folder first (spark.checkpoint.dir).
+    entrypoints: rel, kind. Each round is one job that writes the files which it reaches first to the shared folder, where
+    the next one finds all of them, so plans don't grow and a lost executor costs one round. More than `rounds` hops
+    are an error, no cut.
     """
-    server = _spread(entrypoints.filter("kind = 'server'").select("rel").distinct(), edges, rounds).withColumn("kind", F.lit("server"))
-    client = _spread(entrypoints.filter("kind = 'client'").select("rel").distinct(), edges, rounds).withColumn("kind", F.lit("client"))
-    return server.unionByName(client.join(server.select("rel"), "rel", "left_anti")).select("rel", "kind", "entrypoint", "path", "hops")
+    spark = entrypoints.sparkSession
+    links = staged(edges.select("src", "dst").distinct(), "edges")
+    place = new_place(spark, "reached")
+    schema = "rel string, kind string, path array<string>"
+    entrypoints.select("rel", "kind", F.array("rel").alias("path")).distinct().write.parquet(f"{place}/hops=0")
+    for hop in range(1, rounds + 3):
+        front = spark.read.schema(schema).parquet(f"{place}/hops={hop - 1}")
+        if front.isEmpty():
+            break
+        if hop > rounds + 1:
+            raise ValueError(f"some file is over {rounds} imports away")
+        seen = spark.read.schema(schema + ", hops int").parquet(place).select("rel", "kind")
+        step = front.join(links, F.col("rel") == F.col("src")).select(F.col("dst").alias("rel"), "kind", F.concat("path", F.array("dst")).alias("path"))
+        step.groupBy("rel", "kind").agg(F.min("path").alias("path")).join(seen, ["rel", "kind"], "left_anti").select("rel", "kind", "path").write.parquet(f"{place}/hops={hop}")
+    all_ = spark.read.schema(schema + ", hops int").parquet(place)
+    best = all_.groupBy("rel").agg(F.max_by(F.struct("kind", "path", "hops"), "kind").alias("b"))  # "server" comes after "client"
+    return best.select("rel", "b.kind", F.col("b.path")[0].alias("entrypoint"), "b.path", "b.hops")
 
 
 def annotated(findings: DataFrame, reached: DataFrame, has_entrypoints: bool, source: str = r"\.(ts|tsx|js|jsx|mjs|cjs)$") -> DataFrame:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import severity_name, severity_rank
+from ..functions.text import severity_name, severity_rank, test_path
 
 # Roles by rule id and by the start of rule ids.
 ROLE_IDS = {
@@ -36,6 +34,20 @@ MOST_SCORE = (39, 59, 79, 100, 100)
 MOST_PATHS = 12
 TEMPLATE_CAPS = {"unauth-exec": 4, "exploited-dependency": 4, "supply-chain": 4, "data-egress": 5}
 
+#: The steps of each template, as (which of the path's findings, tactic), and the step whose fix breaks the chain.
+STEPS = {
+    "taint-flow": (((0, "Initial Access"), (0, "Execution")), 1),
+    "unauth-exec": (((0, "Initial Access"), (1, "Execution"), (1, "Impact")), 0),
+    "xss-unleashed": (((0, "Initial Access"), (1, "Defense Evasion"), (0, "Credential Access")), 0),
+    "secret-pivot": (((0, "Execution"), (1, "Credential Access"), (1, "Lateral Movement")), 0),
+    "cors-token-theft": (((0, "Initial Access"), (1, "Credential Access"), (1, "Exfiltration")), 0),
+    "exploited-dependency": (((0, "Initial Access"), (0, "Execution")), 0),
+    "supply-chain": (((0, "Initial Access"), (0, "Execution")), 0),
+    "data-egress": (((0, "Collection"), (0, "Exfiltration")), 1),
+}
+#: Fixed value: a setting of a development server, no exposure of what is shipped.
+DEV_CORS = "vite.dev-server-cors-wildcard"
+
 ROLES = tuple(sorted({*ROLE_IDS, *ROLE_STARTS}))
 
 
@@ -55,12 +67,26 @@ def stage(tactic: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in TACTICS]), tactic), F.lit(0)) - 1, F.lit(len(TACTICS)))
 
 
+def live(f: str = "reachable") -> Column:
+    """Not proven dead: reachable, or not analysed."""
+    return F.coalesce(F.col(f), F.lit(True))
+
+
+def on_server() -> Column:
+    """Proven reachable from a server's entry point, or of the project as a whole."""
+    return F.coalesce(F.col("reachable") & F.col("reach_kind").isin("server", "project"), F.lit(False))
+
+
+def on_client() -> Column:
+    return F.coalesce(F.col("reachable") & (F.col("reach_kind") == "client"), F.lit(False))
+
+
 def score(worst: Column, bundled: Column, server: Column, client: Column, all_dead: Column, kev: Column, epss: Column, impact: Column, secret: Column, distinct: Column, all_high: Column) -> Column:
     """0 to 100 from aggregates over a path's findings; worst is a severity rank. Halves round to even."""
     total = F.array(*[F.lit(x) for x in BASE_SCORE])[worst]
     total += F.when(bundled, 16).when(server, 16).when(client, 6).otherwise(0)
     total += F.when(all_dead, -22).otherwise(0) + F.when(kev, 20).otherwise(0)
-    total += F.bround(F.least(F.lit(15.0), 15 * F.greatest(epss, F.lit(0.0))), 0).cast("int")
+    total += F.bround(15 * F.least(F.greatest(epss, F.lit(0.0)), F.lit(1.0)), 0).cast("int")
     total += F.when(impact, 8).otherwise(0) + F.when(secret, 8).otherwise(0)
     total += F.when(distinct >= 2, F.least(F.lit(12), 4 * distinct) + F.when(all_high, 4).otherwise(0)).otherwise(0)
     return F.least(F.greatest(F.lit(0), F.least(F.lit(100), total)), F.array(*[F.lit(x) for x in MOST_SCORE])[worst]).cast("int")
@@ -70,58 +96,85 @@ def band(s: Column) -> Column:
     return F.when(s >= 80, "critical").when(s >= 60, "high").when(s >= 40, "medium").otherwise("low")
 
 
-def _argmax(findings: DataFrame, role: str, by: list[str], tag: str) -> DataFrame:
-    """The worst live finding of a role for each key; ties: first by place."""
-    rank = severity_rank(F.col("severity"))
-    order = F.struct((-rank).alias("r"), (~F.coalesce("reachable", F.lit(False))).alias("d"), "file", "line", "fingerprint")
-    chosen = findings.filter(has_role(F.col("rule_id"), role) & F.coalesce("reachable", F.lit(True))).groupBy(*[F.col(c).alias(f"{tag}_{c}") for c in by]).agg(F.min_by("fingerprint", order).alias(tag))
-    return chosen.filter(F.col(tag).isNotNull())
+def _argmax(findings: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """The worst finding for each key, among equals one that is proven reachable, then the first by place."""
+    order = F.struct((-severity_rank(F.col("severity"))).alias("r"), (~F.coalesce("reachable", F.lit(False))).alias("d"), "file", "line", "fingerprint")
+    return findings.groupBy(*[F.col(c).alias(f"{tag}_{c}") for c in by]).agg(F.min_by("fingerprint", order).alias(tag)).filter(F.col(tag).isNotNull())
+
+
+def _first(findings: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """The worst finding for each key, among equals the first by place."""
+    order = F.struct((-severity_rank(F.col("severity"))).alias("r"), "file", "line", "fingerprint")
+    return findings.groupBy(*[F.col(c).alias(f"{tag}_{c}") for c in by]).agg(F.min_by("fingerprint", order).alias(tag)).filter(F.col(tag).isNotNull())
 
 
 def candidate_paths(findings: DataFrame) -> DataFrame:
     """template, impact, fingerprints array<string>: what the eight templates find.
 
-    findings: fingerprint, rule_id, severity, file, line, reachable, reach_kind, reach_entrypoint, kev, epss. Joins are
-    on the entry point, or of one row with one row (the worst finding of a role).
+    findings: fingerprint, rule_id, severity, file, line, reachable, reach_kind, reach_entrypoint, kev, and where known
+    vex_state and taint_steps (a flow's places; without them no finding is one of data flow). Joins are on the entry
+    point, or of one row with one row (the worst finding of a role).
     """
     f = findings
-    one = lambda t, impact, df: df.select(F.lit(t).alias("template"), F.lit(impact).alias("impact"), "fingerprints")
-    solo = lambda cond: f.filter(cond).select("*", F.array("fingerprint").alias("fingerprints"))
-
-    def top(df: DataFrame, n: int) -> DataFrame:
-        return df.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line", "fingerprint").limit(n)
-
-    flow = one("taint-flow", True, solo(F.col("taint_steps") > 1) if "taint_steps" in f.columns else solo(F.lit(False)))
-    routed = f.filter(F.col("reach_entrypoint").isNotNull())
-    door = _argmax(routed, "open_door", ["reach_entrypoint"], "door")
-    sink = _argmax(routed.filter("reachable"), "code_exec", ["reach_entrypoint"], "sink")
-    unauth = door.join(sink, F.col("door_reach_entrypoint") == F.col("sink_reach_entrypoint")).orderBy("door_reach_entrypoint").limit(TEMPLATE_CAPS["unauth-exec"])
-    pair = lambda a, b: _argmax(f, a, [], "x").crossJoin(F.broadcast(_argmax(f, b, [], "y"))).filter(F.col("x") != F.col("y")).select(F.array("x", "y").alias("fingerprints"))  # noqa: E731  one row each
-    server_exec = f.filter("reach_kind = 'server'")
-    exec_ = _argmax(server_exec, "code_exec", [], "x")
-    secret = _argmax(f.filter(~F.col("rule_id").isin(*PUBLIC_SECRETS)), "secret", [], "y")
-    pivot = exec_.crossJoin(F.broadcast(secret)).filter(F.col("x") != F.col("y")).select(F.array("x", "y").alias("fingerprints"))
+    for name, kind in (("vex_state", "string"), ("taint_steps", "int")):
+        if name not in f.columns:
+            f = f.withColumn(name, F.lit(None).cast(kind))
+    role = lambda r: has_role(F.col("rule_id"), r)
+    flows = F.coalesce(F.col("taint_steps") > 0, F.lit(False)) & live()
+
+    def alone(template: str, which: Column) -> DataFrame:
+        rows = f.filter(which)
+        if template in TEMPLATE_CAPS:
+            rows = rows.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line", "fingerprint").limit(TEMPLATE_CAPS[template])
+        return rows.select(F.lit(template).alias("template"), F.array("fingerprint").alias("fingerprints"))
+
+    def both(template: str, which_a: Column, which_b: Column) -> DataFrame:
+        one = _argmax(f.filter(which_a), [], "a").crossJoin(F.broadcast(_argmax(f.filter(which_b), [], "b")))  # one row each
+        return one.select(F.lit(template).alias("template"), F.array("a", "b").alias("fingerprints"))
+
+    routed = f.filter(F.col("reach_entrypoint").isNotNull() & live())
+    doors, sinks = _first(routed.filter(role("open_door")), ["reach_entrypoint"], "door"), _argmax(routed.filter(role("code_exec")), ["reach_entrypoint"], "sink")
+    met = doors.join(sinks, F.col("door_reach_entrypoint") == F.col("sink_reach_entrypoint")).orderBy("door_reach_entrypoint").limit(TEMPLATE_CAPS["unauth-exec"])
+    shipped = ~test_path(F.col("file"))
     parts = [
-        flow,
-        one("unauth-exec", True, unauth.select(F.array("door", "sink").alias("fingerprints"))),
-        one("xss-unleashed", True, pair("browser_exec", "weak_csp")),
-        one("secret-pivot", True, pivot),
-        one("cors-token-theft", True, pair("open_cors", "token_store")),
-        one("exploited-dependency", True, top(solo(has_role(F.col("rule_id"), "vuln_dep") & (F.coalesce("kev", F.lit(False)) | (F.coalesce("epss", F.lit(0.0)) >= 0.5))), TEMPLATE_CAPS["exploited-dependency"])),
-        one("supply-chain", False, top(solo(has_role(F.col("rule_id"), "supply_foothold") & (severity_rank(F.col("severity")) >= 3)), TEMPLATE_CAPS["supply-chain"])),
-        one("data-egress", True, top(solo(has_role(F.col("rule_id"), "sensitive_egress")), TEMPLATE_CAPS["data-egress"])),
+        alone("taint-flow", flows & ~F.col("rule_id").startswith("dataflow.")),
+        met.select(F.lit("unauth-exec").alias("template"), F.array("door", "sink").alias("fingerprints")),
+        both("xss-unleashed", role("browser_exec") & live() & ~on_server(), role("weak_csp")),
+        both("secret-pivot", role("code_exec") & on_server() & shipped, role("secret") & live() & ~F.col("rule_id").isin(*PUBLIC_SECRETS) & shipped),
+        both("cors-token-theft", role("open_cors") & (F.col("rule_id") != DEV_CORS), role("token_store")),
+        alone("exploited-dependency", role("vuln_dep") & (F.coalesce("kev", F.lit(False)) | F.coalesce("reachable", F.lit(False)) | F.coalesce(F.col("vex_state") == "exploitable", F.lit(False)))),
+        alone("supply-chain", role("supply_foothold") & (severity_rank(F.col("severity")) >= 3)),
+        alone("data-egress", role("sensitive_egress") & flows),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).select("template", F.lit(True).alias("impact"), "fingerprints")
+
+
+def path_steps(paths: DataFrame, findings: DataFrame) -> DataFrame:
+    """path_key, kind, step, tactic, rule_id, file, line, fingerprint, breaks, techniques: the steps of each path in the order of the narrative.
+
+    paths: path_key, template, fingerprints; findings: fingerprint, rule_id, file, line and, where known, attack
+    (techniques). Steps of one tactic stay in the template's order; one step a path breaks the chain. techniques: those
+    of the path's findings, each once, in the order of the findings.
+    """
+    rows = [(t, n, which, tactic, TACTICS.index(tactic), n == cut) for t, (steps, cut) in STEPS.items() for n, (which, tactic) in enumerate(steps)]
+    shape = F.broadcast(paths.sparkSession.createDataFrame(rows, "s_template string, n int, which int, tactic string, stage int, breaks boolean"))  # some twenty rows
+    attack = F.col("attack") if "attack" in findings.columns else F.array().cast("array<string>")
+    f = findings.select(F.col("fingerprint").alias("fp"), "rule_id", "file", "line", F.coalesce(attack, F.array()).alias("attack"))
+    steps = paths.select("path_key", "template", "fingerprints").join(shape, F.col("template") == F.col("s_template"))
+    steps = steps.withColumn("fp", F.element_at("fingerprints", F.col("which") + 1)).join(f, "fp")
+    inside = Window.partitionBy("path_key")
+    numbered = steps.withColumn("step", F.row_number().over(inside.orderBy("stage", "n")))
+    all_ = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("which", "attack")).over(inside)), lambda x: x["attack"])))
+    return numbered.select("path_key", F.col("template").alias("kind"), "step", "tactic", "rule_id", "file", "line", F.col("fp").alias("fingerprint"), "breaks", all_.alias("techniques"))
 
 
 def scored_paths(paths: DataFrame, findings: DataFrame) -> DataFrame:
     """template, impact, fingerprints, score, band, worst, n from candidate_paths() and their findings."""
     p = paths.withColumn("path_key", F.concat_ws(":", "template", F.array_join("fingerprints", ",")))
     steps = p.select("path_key", "template", "impact", "fingerprints", F.explode(F.array_distinct("fingerprints")).alias("fp")).join(findings, F.col("fp") == F.col("fingerprint"))
-    r = F.coalesce("reachable", F.lit(True))
     agg = steps.groupBy("path_key", "template", "impact", "fingerprints").agg(
-        F.max(severity_rank(F.col("severity"))).alias("worst"), F.bool_or(F.col("blast_radius").isNotNull() if "blast_radius" in findings.columns else F.lit(False)).alias("bundled"), F.bool_or(F.coalesce(F.col("reach_kind") == "server", F.lit(False))).alias("server"),
-        F.bool_or(F.coalesce(F.col("reach_kind") == "client", F.lit(False))).alias("client"), F.bool_and(~r).alias("dead"), F.bool_or(F.coalesce("kev", F.lit(False))).alias("kev"), F.max(F.coalesce("epss", F.lit(0.0))).alias("epss"),
+        F.max(severity_rank(F.col("severity"))).alias("worst"), F.bool_or(F.col("blast_radius").isNotNull() if "blast_radius" in findings.columns else F.lit(False)).alias("bundled"), F.bool_or(on_server()).alias("server"),
+        F.bool_or(on_client()).alias("client"), F.bool_and(~live()).alias("dead"), F.bool_or(F.coalesce("kev", F.lit(False))).alias("kev"), F.max(F.coalesce("epss", F.lit(0.0))).alias("epss"),
         F.bool_or(has_role(F.col("rule_id"), "secret") & ~F.col("rule_id").isin(*PUBLIC_SECRETS)).alias("secret"), F.countDistinct("fingerprint").cast("int").alias("n"), F.bool_and(F.col("confidence") == "high").alias("all_high"),
     )
     s = score(F.col("worst"), F.col("bundled"), F.col("server"), F.col("client"), F.col("dead"), F.col("kev"), F.col("epss"), F.col("impact"), F.col("secret"), F.col("n"), F.col("all_high"))
@@ -129,29 +182,22 @@ def scored_paths(paths: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def suppressed(paths: DataFrame, group: str | None = None, most: int = MOST_PATHS) -> DataFrame:
-    """Best paths first, without those whose findings lie within a kept path's, or repeat a signature; numbered path-1 on.
+    """Best paths first, without those whose findings all lie in a better path's; numbered path-1 on, for each group (project).
 
-    paths: path_key, fingerprints, score, n. Templates cap their paths, so a project has a few dozen at most, and each group (project) is folded by itself.
+    paths: path_key, fingerprints, score, n. What lies in a path that itself goes lies in the one that stays instead, so
+    comparing with all better paths of the group leaves the same as going through them in order.
     """
-    key = group or "__all"
-    df = paths if group else paths.withColumn("__all", F.lit(0))
-
-    def fold(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (-r["score"], -r["n"], r["path_key"]))
-        kept, sets, signatures = [], [], set()
-        for r in rows:
-            own, signature = set(r["fingerprints"]), r["path_key"].split(":")[0]
-            signature = (signature, *sorted(own))
-            if signature in signatures or any(own <= s for s in sets):
-                continue
-            kept.append(r | {"path_id": f"path-{len(kept) + 1}"})
-            sets.append(own)
-            signatures.add(signature)
-            if len(kept) == most:
-                break
-        return pa.Table.from_pylist(kept, schema=t.schema.append(pa.field("path_id", pa.string())))
-
-    return df.groupBy(key).applyInArrow(lambda t: fold(t), T.StructType([*df.schema.fields, T.StructField("path_id", T.StringType())])).drop("__all")
+    key = [group] if group else []
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("n"), "path_key")
+    own = paths.withColumn("place", F.row_number().over(order))
+    better = own.select(*[F.col(k).alias(f"b_{k}") for k in key], F.col("place").alias("b_place"), F.col("fingerprints").alias("b_fingerprints"), F.explode("fingerprints").alias("b_one"))
+    # A path that lies in another shares its first finding with it: an equi join, not all with all.
+    within = (F.col("fingerprints")[0] == F.col("b_one")) & (F.col("b_place") < F.col("place")) & (F.size(F.array_except("fingerprints", "b_fingerprints")) == 0)
+    for k in key:
+        within &= F.col(k) == F.col(f"b_{k}")
+    kept = own.filter(F.size("fingerprints") > 0).join(better, within, "left_anti")
+    kept = kept.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("place"))).filter(F.col("i") <= most)
+    return kept.withColumn("path_id", F.concat(F.lit("path-"), "i")).drop("place", "i")
 
 
 def grounded(a: str, b: str) -> Column:
@@ -165,7 +211,7 @@ def grounded(a: str, b: str) -> Column:
     return F.when(
         live,
         F.when(is_a("open_door") & (is_b("code_exec") | is_b("browser_exec")) & same & b_live, "open-door")
-        .when(is_a("code_exec") & F.coalesce(x("reach_kind") == "server", F.lit(False)) & eligible(y, is_b), "server-reads-secret")
+        .when(is_a("code_exec") & F.coalesce(x("reachable") & x("reach_kind").isin("server", "project"), F.lit(False)) & eligible(y, is_b), "server-reads-secret")
         .when(is_a("vuln_dep") & F.coalesce(x("reachable"), F.lit(False)) & eligible(y, is_b), "dependency-reads-secret")
         .when((is_a("weak_csp") | is_a("open_cors")) & (is_b("browser_exec") | is_b("token_store") | is_b("data_leak")) & b_live, "missing-control")
         .when(is_a("browser_exec") & (is_b("token_store") | is_b("data_leak") | is_b("sensitive_egress")) & b_live, "script-reads-data")

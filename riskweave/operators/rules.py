@@ -88,11 +88,11 @@ def line_findings(files: DataFrame, rules: list[Rule], framework: str | None = N
     chosen = [(k, r, c) for k, r in enumerate(rules) if (c := _applies(r, files.columns, framework)) is not None]
     src = files.select(F.col(key).alias("file"), "text", F.array(*[c for *_, c in chosen]).alias("on")) if chosen else files.select(F.col(key).alias("file"), "text", F.array().cast("array<boolean>").alias("on"))
     lines = src.select("file", "on", F.posexplode(F.split("text", "\n")).alias("i", "line_text")).withColumn("line", F.col("i") + 1)
-    windows = {r.exclude_window: r.window for _, r, _ in chosen if r.exclude_window}
-    for n, (pattern, size) in enumerate(windows.items()):
+    windows = {(r.exclude_window, r.window): None for _, r, _ in chosen if r.exclude_window}
+    for n, (pattern, size) in enumerate(windows):
         near = Window.partitionBy("file").orderBy("line").rowsBetween(-size, size)
         lines = lines.withColumn(f"near{n}", F.max(F.col("line_text").rlike(pattern)).over(near))
-    near_column = {p: f"near{n}" for n, p in enumerate(windows)}
+    near_column = {w: f"near{n}" for n, w in enumerate(windows)}
 
     def hit(at: int, k: int, r: Rule) -> Column:
         found = F.col("on")[at] & F.col("line_text").rlike(r.regex)
@@ -101,8 +101,8 @@ def line_findings(files: DataFrame, rules: list[Rule], framework: str | None = N
         if r.exclude_line:
             found &= ~F.col("line_text").rlike(r.exclude_line)
         if r.exclude_window:
-            found &= ~F.col(near_column[r.exclude_window])
-        column = F.instr(F.col("line_text"), F.regexp_extract("line_text", r.regex, 0))
+            found &= ~F.col(near_column[r.exclude_window, r.window])
+        column = F.regexp_instr(F.col("line_text"), F.lit(r.regex))
         return F.when(found, F.struct(F.lit(r.rule_id).alias("rule_id"), column.alias("column"), F.lit(r.confidence).alias("confidence"), F.lit(r.severity).alias("severity"), F.lit(k).alias("rule_ord")))
 
     fits = (F.length("line_text") <= LONGEST_LINE) & ~F.col("line_text").rlike(IGNORE)

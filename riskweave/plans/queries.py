@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,35 +12,9 @@ from ..operators import findings as fi
 from ..operators.rules import IGNORE, LONGEST_LINE, Rule, line_findings, multiline_findings
 from ..sources import reports
 from ..streaming import logs
+from .registry import QUERIES, RANK_SQL, SQL, _q, _t, _values, choice, query  # noqa: F401
 from .packs import BRIDGE, DIMENSION, TECHNIQUES, TEXT_RULES, bridge, dimension, techniques
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else _q(x)
-    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({columns})"
-
-
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text", F.col("lang").alias("ext"))
 
@@ -55,13 +27,12 @@ L = "l AS (SELECT file, ext, unnest(generate_series(1, len(x)))::INTEGER AS line
 
 
 def _rule_sql(rules: list[Rule], where: str = "true") -> str:
-    one = "SELECT {id} AS rule_id, file, line, strpos(t, regexp_extract(t, {re}))::INTEGER AS \"column\", trim(t, ' ') AS code_snippet, {c} AS confidence, {s} AS severity, {k}::INTEGER AS rule_ord FROM l WHERE length(t) <= {n} AND NOT regexp_matches(t, {ignore}) AND regexp_matches(t, {re}) AND {where}"
-    parts = [one.format(id=_q(r.rule_id), re=_q(r.regex), c=_q(r.confidence), s=_q(r.severity), k=k, n=LONGEST_LINE, ignore=_q(IGNORE), where=where) for k, r in enumerate(rules)]
+    one = "SELECT {id} AS rule_id, file, line, (length(regexp_extract(t, {before}, 1)) + 1)::INTEGER AS \"column\", trim(t, ' ') AS code_snippet, {c} AS confidence, {s} AS severity, {k}::INTEGER AS rule_ord FROM l WHERE length(t) <= {n} AND NOT regexp_matches(t, {ignore}) AND regexp_matches(t, {re}) AND {where}"
+    parts = [one.format(id=_q(r.rule_id), re=_q(r.regex), before=_q(f"^([\\s\\S]*?)(?:{r.regex})"), c=_q(r.confidence), s=_q(r.severity), k=k, n=LONGEST_LINE, ignore=_q(IGNORE), where=where) for k, r in enumerate(rules)]
     return "f0 AS (" + " UNION ALL ".join(parts) + "), f AS (SELECT *, substr(sha1(concat_ws('|', rule_id, file, line::VARCHAR, code_snippet)), 1, 16) AS fingerprint FROM f0)"
 
 
 F_SQL = f"WITH {L}, {_rule_sql(TEXT_RULES)} "
-RANK_SQL = "CASE coalesce(severity, 'medium') WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 2 END"
 ROW = 'rule_id, file, line, "column", code_snippet, confidence, severity, rule_ord, fingerprint'
 
 
@@ -111,12 +82,6 @@ def line_guards(spark, sf):
     return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.length("line_text") > 200).alias("long_lines"), F.count_if(F.col("line_text").rlike("(?i)licen[cs]e")).alias("marked"))
 
 
-@query()
-def multiline_matches(spark, sf):
-    pages = _t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
-    return multiline_findings(pages, [Rule("dom.inline-script", r"<script>[^<]*</script>", "low", "medium", multiline=True), Rule("dom.list", r"<ul>[\s\S]*?</ul>", "info", "low", multiline=True)])
-
-
 # --- enrichment and controls
 
 
@@ -284,18 +249,6 @@ def version_range_join(spark, sf):
     return found.select("p_partkey", "name", "id", "severity", "kev")
 
 
-@query(
-    f"WITH u AS (SELECT p_brand AS package, list(DISTINCT l_returnflag) AS symbols, bool_or(l_quantity > 49) AS unresolved FROM part JOIN lineitem ON l_partkey = p_partkey AND l_linestatus = 'F' AND l_discount > 0.09 AND l_returnflag <> 'N' GROUP BY 1), "
-    f"x AS (SELECT p_partkey, name, id, CASE WHEN a.symbols = '' THEN [] ELSE string_split(a.symbols, ',') END AS s, u.package AS up, u.symbols AS us, unresolved FROM ({V_SQL}) JOIN {A_SQL.replace('AS v(', 'AS a(')} ON name = a.package AND v BETWEEN lo AND hi LEFT JOIN u ON u.package = name), "
-    "y AS (SELECT *, CASE WHEN up IS NULL THEN false WHEN len(s) = 0 THEN NULL WHEN list_has_any(s, us) THEN true WHEN unresolved THEN NULL ELSE false END AS hit FROM x) "
-    "SELECT p_partkey, id, CASE WHEN hit THEN 'exploitable' WHEN NOT hit THEN 'not_affected' WHEN len(s) = 0 THEN 'in_triage' ELSE 'under_investigation' END AS vex_state FROM y"
-)
-def vex_states(spark, sf):
-    lines = _t(spark, sf, "lineitem").filter("l_linestatus = 'F' AND l_discount > 0.09 AND l_returnflag <> 'N'").select("l_partkey", "l_returnflag", "l_quantity")
-    usage = _t(spark, sf, "part").join(lines, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("package")).agg(F.collect_set("l_returnflag").alias("symbols"), F.bool_or(F.col("l_quantity") > 49).alias("unresolved"))
-    return deps.vex(deps.known_vulnerabilities(_parts_as_deps(spark, sf), _advisories(spark)), usage).select("p_partkey", "id", "vex_state")
-
-
 @query("SELECT name, version, bool_and(dev) AS dev, 'pkg:npm/' || replace(name, '@', '%40') || '@' || version AS purl FROM (SELECT '@' || lower(p_type) || '/' || replace(p_name, ' ', '-') AS name, (p_size % 4)::VARCHAR || '.0.0' AS version, p_partkey % 3 = 0 AS dev FROM part) GROUP BY name, version")
 def sbom_components(spark, sf):
     p = _t(spark, sf, "part").select(F.concat(F.lit("node_modules/x/node_modules/@"), F.lower("p_type"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("path"), F.concat((F.col("p_size") % 4).cast("string"), F.lit(".0.0")).alias("version"), (F.col("p_partkey") % 3 == 0).alias("dev"))
@@ -327,19 +280,10 @@ EDGES_SQL = "e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst F
     "m AS (SELECT rel, kind, min(hops)::INTEGER AS hops FROM b GROUP BY rel, kind) SELECT rel, max(kind) AS kind, arg_max(hops, kind) AS hops FROM m GROUP BY rel"
 )
 def reachability_bfs(spark, sf):
-    _checkpointed(spark)
     edges, entries = _edges(spark, sf)
     return graph.reach(entries, edges).select("rel", "kind", "hops")
 
 
-def _checkpointed(spark) -> None:
-    """Iterations cut their lineage in spark.checkpoint.dir; where it is unset (tests), in a folder of our own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-checkpoints-"))
-
-
 # --- text functions
 
 
@@ -348,12 +292,6 @@ def url_parse(spark, sf):
     return _t(spark, sf, "pages").withColumn("u", tx.url_parts(F.col("url"))).select("page_id", "u.scheme", "u.host", "u.query")
 
 
-@query("SELECT page_id, regexp_matches(html, '(?i)<script>') AS inline_script, regexp_matches(html, '(?i)<form') AS form, regexp_matches(html, '(?i)content-security-policy') AS policy, len(regexp_extract_all(html, 'href=\"/')) AS relative_links FROM pages")
-def response_checks(spark, sf):
-    h = F.col("html")
-    return _t(spark, sf, "pages").select("page_id", h.rlike("(?i)<script>").alias("inline_script"), h.rlike("(?i)<form").alias("form"), h.rlike("(?i)content-security-policy").alias("policy"), F.regexp_count(h, F.lit('href="/')).cast("long").alias("relative_links"))
-
-
 @query("WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part), n AS (SELECT p_partkey, c, count(*) AS k, sum(count(*)) OVER (PARTITION BY p_partkey) AS n FROM c WHERE c <> '' GROUP BY p_partkey, c) SELECT p_partkey, round(-sum(k / n * log2(k / n)), 6) AS bits FROM n GROUP BY p_partkey")
 def entropy_tokens(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", F.round(tx.entropy(F.col("p_name")), 6).alias("bits"))
@@ -386,16 +324,27 @@ def sensitive_names(spark, sf):
 # --- paths: orders as findings of our rules, customers as entry points
 
 
-IDS = ("ai.endpoint-no-auth", "sqli.template", "xss.raw-html", "csp.unsafe-inline", "secret.hardcoded", "cors.wildcard-credentials", "react.token-in-web-storage", "deps.known-vulnerability", "dataflow.email", "info-leak.stack", "injection.eval")
-ID_SQL = "CASE (o_orderkey % 11) " + " ".join(f"WHEN {k} THEN {_q(i)}" for k, i in enumerate(IDS)) + " END"
-O_SQL = f"o AS (SELECT o_orderkey::VARCHAR AS fingerprint, {ID_SQL} AS rule_id, {SEV_OF_ORDER} AS severity, o_custkey AS c, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 <> 0 END AS reachable, CASE o_orderkey % 3 WHEN 0 THEN 'server' WHEN 1 THEN 'client' END AS reach_kind, o_orderkey % 13 = 0 AS kev, (o_orderkey % 100) / 100.0 AS epss, CASE o_orderkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS confidence FROM orders)"
+IDS = (
+    "ai.endpoint-no-auth", "sqli.template", "xss.raw-html", "csp.unsafe-inline", "secret.hardcoded", "cors.wildcard-credentials", "react.token-in-web-storage", "deps.known-vulnerability", "dataflow.email", "info-leak.stack", "injection.eval",
+    "supply-chain.dependency-install-script", "vite.vite-prefixed-secret", "vite.dev-server-cors-wildcard", "react.ref-inner-html",
+)
+ID_SQL = choice("o_orderkey", list(IDS))
+FILE_SQL = "CASE WHEN o_orderkey % 17 = 0 THEN 'src/x.test.' ELSE 'src/' END || CAST(o_custkey AS STRING)"
+KIND_SQL, VEX_SQL = choice("o_orderkey", ["server", "client", "project", None]), choice("o_orderkey", ["exploitable", "not_affected", None, None, None])
+O_SQL = (
+    f"o AS (SELECT o_orderkey::VARCHAR AS fingerprint, {ID_SQL} AS rule_id, {SEV_OF_ORDER} AS severity, o_custkey AS c, {FILE_SQL.replace('STRING', 'VARCHAR')} AS file, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 <> 0 END AS reachable, {KIND_SQL} AS reach_kind, o_orderkey % 13 = 0 AS kev, (o_orderkey % 110) / 100.0 AS epss, "
+    f"CASE o_orderkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS confidence, {VEX_SQL} AS vex_state, CASE WHEN o_orderkey % 23 = 0 THEN 2 END AS taint_steps FROM orders)"
+)
+# What the rules ask of a finding: alive unless proven dead, on a server if proven reachable from one or from the project, not of tests.
+FACTS_SQL = f"r AS (SELECT *, {RANK_SQL} AS rank, coalesce(reachable, true) AS live, coalesce(reachable, false) AS proven, coalesce(reachable AND reach_kind IN ('server', 'project'), false) AS srv, coalesce(reachable AND reach_kind = 'client', false) AS cli, o_test AS test FROM (SELECT *, contains(file, '.test.') AS o_test FROM o))"
 
 
 def _orders_as_findings(spark, sf):
     k = F.col("o_orderkey")
     return _t(spark, sf, "orders").select(
-        k.cast("string").alias("fingerprint"), F.expr(ID_SQL).alias("rule_id"), F.expr(SEV_OF_ORDER).alias("severity"), F.col("o_custkey").cast("string").alias("file"), F.lit(1).alias("line"), F.when(k % 5 != 0, k % 7 != 0).alias("reachable"),
-        F.when(k % 3 == 0, "server").when(k % 3 == 1, "client").alias("reach_kind"), F.col("o_custkey").cast("string").alias("reach_entrypoint"), (k % 13 == 0).alias("kev"), ((k % 100) / 100.0).alias("epss"), F.when(k % 2 == 0, "high").otherwise("low").alias("confidence"), "o_custkey",
+        k.cast("string").alias("fingerprint"), F.expr(ID_SQL).alias("rule_id"), F.expr(SEV_OF_ORDER).alias("severity"), F.expr(FILE_SQL).alias("file"), F.lit(1).alias("line"), F.when(k % 5 != 0, k % 7 != 0).alias("reachable"), F.expr(KIND_SQL).alias("reach_kind"),
+        F.col("o_custkey").cast("string").alias("reach_entrypoint"), (k % 13 == 0).alias("kev"), ((k % 110) / 100.0).alias("epss"), F.when(k % 2 == 0, "high").otherwise("low").alias("confidence"), F.expr(VEX_SQL).alias("vex_state"), F.when(k % 23 == 0, 2).alias("taint_steps"),
+        F.array(F.concat(F.lit("T"), k % 3), F.lit("T9")).alias("attack"), "o_custkey",
     )
 
 
@@ -409,27 +358,74 @@ def roles(spark, sf):
     return _orders_as_findings(spark, sf).select(F.explode(paths.roles(F.col("rule_id"))).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"WITH {O_SQL}, r AS (SELECT *, {RANK_SQL} AS rank, NOT coalesce(reachable, false) AS dead FROM o WHERE coalesce(reachable, true)), "
-    f"d AS (SELECT c, fingerprint FROM r WHERE {_role_sql('open_door')} QUALIFY row_number() OVER (PARTITION BY c ORDER BY rank DESC, dead, fingerprint) = 1), s AS (SELECT c, fingerprint FROM r WHERE {_role_sql('code_exec')} AND reachable QUALIFY row_number() OVER (PARTITION BY c ORDER BY rank DESC, dead, fingerprint) = 1) "
-    "SELECT d.c AS o_custkey, d.fingerprint AS door, s.fingerprint AS sink FROM d JOIN s ON d.c = s.c"
+DOOR_SINK = (
+    f"d AS (SELECT c, fingerprint, file FROM r WHERE {_role_sql('open_door')} AND live QUALIFY row_number() OVER (PARTITION BY c ORDER BY rank DESC, file, fingerprint) = 1), s AS (SELECT c, fingerprint FROM r WHERE {_role_sql('code_exec')} AND live QUALIFY row_number() OVER (PARTITION BY c ORDER BY rank DESC, proven DESC, file, fingerprint) = 1)"
 )
+
+
+@query(f"WITH {O_SQL}, {FACTS_SQL}, {DOOR_SINK} SELECT d.c AS o_custkey, d.fingerprint AS door, s.fingerprint AS sink FROM d JOIN s ON d.c = s.c")
 def door_sink_join(spark, sf):
-    f = _orders_as_findings(spark, sf)
-    door, sink = paths._argmax(f, "open_door", ["o_custkey"], "door"), paths._argmax(f.filter("reachable"), "code_exec", ["o_custkey"], "sink")
+    f = _orders_as_findings(spark, sf).filter(paths.live())
+    door, sink = paths._first(f.filter(paths.has_role(F.col("rule_id"), "open_door")), ["o_custkey"], "door"), paths._argmax(f.filter(paths.has_role(F.col("rule_id"), "code_exec")), ["o_custkey"], "sink")
     return door.join(sink, F.col("door_o_custkey") == F.col("sink_o_custkey")).select(F.col("door_o_custkey").alias("o_custkey"), "door", "sink")
 
 
-@query(f"WITH {O_SQL}, r AS (SELECT *, {RANK_SQL} AS rank, NOT coalesce(reachable, false) AS dead FROM o WHERE coalesce(reachable, true)), b AS (SELECT fingerprint FROM r WHERE {_role_sql('browser_exec')} ORDER BY rank DESC, dead, c::VARCHAR, fingerprint LIMIT 1), w AS (SELECT fingerprint FROM r WHERE {_role_sql('weak_csp')} ORDER BY rank DESC, dead, c::VARCHAR, fingerprint LIMIT 1) SELECT b.fingerprint AS a, w.fingerprint AS b FROM b, w")
+@query(f"WITH {O_SQL}, {FACTS_SQL}, b AS (SELECT fingerprint FROM r WHERE {_role_sql('browser_exec')} AND live AND NOT srv ORDER BY rank DESC, proven DESC, file, fingerprint LIMIT 1), w AS (SELECT fingerprint FROM r WHERE {_role_sql('weak_csp')} ORDER BY rank DESC, proven DESC, file, fingerprint LIMIT 1) SELECT b.fingerprint AS a, w.fingerprint AS b FROM b, w")
 def argmax_cross(spark, sf):
+    f = paths.candidate_paths(_orders_as_findings(spark, sf)).filter("template = 'xss-unleashed'")
+    return f.select(F.col("fingerprints")[0].alias("a"), F.col("fingerprints")[1].alias("b"))
+
+
+def _best_sql(which: str) -> str:
+    return f"(SELECT fingerprint FROM r WHERE {which} ORDER BY rank DESC, proven DESC, file, fingerprint LIMIT 1)"
+
+
+def _two_sql(template: str, a: str, b: str) -> str:
+    return f"SELECT '{template}' AS template, [a.fingerprint, b.fingerprint] AS fps FROM {_best_sql(a)} a, {_best_sql(b)} b"
+
+
+def _one_sql(template: str, which: str) -> str:
+    most = paths.TEMPLATE_CAPS.get(template)
+    rows = f"SELECT '{template}' AS template, [fingerprint] AS fps FROM r WHERE {which}"
+    return f"(SELECT * FROM ({rows} ORDER BY rank DESC, file, fingerprint LIMIT {most}))" if most else rows
+
+
+PUBLIC_SQL = ", ".join(map(_q, paths.PUBLIC_SECRETS))
+# The rule of each template, written out.
+TEMPLATES_SQL = f"{O_SQL}, {FACTS_SQL}, {DOOR_SINK}, cand AS (" + " UNION ALL ".join([
+    _one_sql("taint-flow", "taint_steps > 0 AND live AND NOT starts_with(rule_id, 'dataflow.')"),
+    "(SELECT 'unauth-exec' AS template, [d.fingerprint, s.fingerprint] AS fps FROM d JOIN s ON d.c = s.c ORDER BY d.c::VARCHAR LIMIT 4)",
+    _two_sql("xss-unleashed", f"{_role_sql('browser_exec')} AND live AND NOT srv", _role_sql("weak_csp")),
+    _two_sql("secret-pivot", f"{_role_sql('code_exec')} AND srv AND NOT test", f"{_role_sql('secret')} AND live AND NOT test AND rule_id NOT IN ({PUBLIC_SQL})"),
+    _two_sql("cors-token-theft", f"{_role_sql('open_cors')} AND rule_id <> 'vite.dev-server-cors-wildcard'", _role_sql("token_store")),
+    _one_sql("exploited-dependency", f"{_role_sql('vuln_dep')} AND (kev OR proven OR coalesce(vex_state = 'exploitable', false))"),
+    _one_sql("supply-chain", f"{_role_sql('supply_foothold')} AND rank >= 3"),
+    _one_sql("data-egress", f"{_role_sql('sensitive_egress')} AND taint_steps > 0 AND live"),
+]) + ")"
+
+
+@query(f"WITH {TEMPLATES_SQL} SELECT template, array_to_string(fps, ',') AS fingerprints FROM cand")
+def path_templates(spark, sf):
+    return paths.candidate_paths(_orders_as_findings(spark, sf)).select("template", F.array_join("fingerprints", ",").alias("fingerprints"))
+
+
+STEP_ROWS = [(t, n, which, tactic, paths.TACTICS.index(tactic), n == cut) for t, (steps, cut) in paths.STEPS.items() for n, (which, tactic) in enumerate(steps)]
+
+
+@query(
+    f"WITH {TEMPLATES_SQL}, e AS (SELECT template || ':' || array_to_string(fps, ',') AS path_key, fps, v.* FROM cand JOIN {_values([(*r[:5], int(r[5])) for r in STEP_ROWS], 't, n, which, tactic, stage, cut')} ON v.t = template), "
+    "tech AS (SELECT template || ':' || array_to_string(fps, ',') AS path_key, 'T' || (fps[1]::BIGINT % 3) || ',T9' || CASE WHEN len(fps) = 2 AND fps[1]::BIGINT % 3 <> fps[2]::BIGINT % 3 THEN ',T' || (fps[2]::BIGINT % 3) ELSE '' END AS techniques FROM cand) "
+    "SELECT e.path_key, e.t AS kind, row_number() OVER (PARTITION BY e.path_key ORDER BY e.stage, e.n)::INTEGER AS step, e.tactic, r.rule_id, r.file, r.fingerprint, e.cut = 1 AS breaks, tech.techniques FROM e JOIN r ON r.fingerprint = fps[e.which + 1] JOIN tech ON tech.path_key = e.path_key"
+)
+def path_steps(spark, sf):
     f = _orders_as_findings(spark, sf)
-    both = paths._argmax(f, "browser_exec", [], "a").crossJoin(F.broadcast(paths._argmax(f, "weak_csp", [], "b")))  # one row each
-    return both
+    made = paths.candidate_paths(f).withColumn("path_key", F.concat_ws(":", "template", F.array_join("fingerprints", ",")))
+    return paths.path_steps(made, f).withColumn("techniques", F.array_join("techniques", ",")).drop("line")
 
 
 @query(
-    f"WITH {O_SQL}, p AS (SELECT c, max({RANK_SQL}) AS worst, bool_or(coalesce(reach_kind = 'server', false)) AS server, bool_or(coalesce(reach_kind = 'client', false)) AS client, bool_and(NOT coalesce(reachable, true)) AS dead, bool_or(kev) AS kev, max(epss) AS epss, bool_or({_role_sql('secret')}) AS secret, count(DISTINCT fingerprint) AS n, bool_and(confidence = 'high') AS high FROM o GROUP BY c), "
-    "s AS (SELECT c, worst, n, (CASE worst WHEN 0 THEN 8 WHEN 1 THEN 18 WHEN 2 THEN 34 WHEN 3 THEN 50 ELSE 62 END + CASE WHEN server THEN 16 WHEN client THEN 6 ELSE 0 END + CASE WHEN dead THEN -22 ELSE 0 END + CASE WHEN kev THEN 20 ELSE 0 END + round_even(least(15.0, 15 * epss), 0)::INTEGER + 8 + CASE WHEN secret THEN 8 ELSE 0 END + CASE WHEN n >= 2 THEN least(12, 4 * n) + CASE WHEN high THEN 4 ELSE 0 END ELSE 0 END) AS total FROM p), "
+    f"WITH {O_SQL}, {FACTS_SQL}, p AS (SELECT c, max(rank) AS worst, bool_or(srv) AS server, bool_or(cli) AS client, bool_and(NOT live) AS dead, bool_or(kev) AS kev, max(epss) AS epss, bool_or({_role_sql('secret')} AND rule_id NOT IN ({PUBLIC_SQL})) AS secret, count(DISTINCT fingerprint) AS n, bool_and(confidence = 'high') AS high FROM r GROUP BY c), "
+    "s AS (SELECT c, worst, n, (CASE worst WHEN 0 THEN 8 WHEN 1 THEN 18 WHEN 2 THEN 34 WHEN 3 THEN 50 ELSE 62 END + CASE WHEN server THEN 16 WHEN client THEN 6 ELSE 0 END + CASE WHEN dead THEN -22 ELSE 0 END + CASE WHEN kev THEN 20 ELSE 0 END + round_even(15 * least(1.0, epss), 0)::INTEGER + 8 + CASE WHEN secret THEN 8 ELSE 0 END + CASE WHEN n >= 2 THEN least(12, 4 * n) + CASE WHEN high THEN 4 ELSE 0 END ELSE 0 END) AS total FROM p), "
     "t AS (SELECT c AS o_custkey, n::INTEGER AS n, least(greatest(0, least(100, total)), CASE worst WHEN 0 THEN 39 WHEN 1 THEN 59 WHEN 2 THEN 79 ELSE 100 END)::INTEGER AS score FROM s) SELECT *, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS band FROM t"
 )
 def path_scores(spark, sf):
@@ -438,11 +434,15 @@ def path_scores(spark, sf):
     return paths.scored_paths(made, f).select(F.col("template").cast("long").alias("o_custkey"), "n", "score", "band")
 
 
-@query()
+# Paths that overlap: a customer's even orders, those of a number divisible by 3, and by 6.
+@query(
+    "WITH m AS (SELECT o_custkey::VARCHAR AS project, d, list(o_orderkey::VARCHAR ORDER BY o_orderkey::VARCHAR) AS fps FROM orders JOIN (VALUES (2), (3), (6)) AS v(d) ON o_orderkey % d = 0 GROUP BY 1, 2), k AS (SELECT *, 'd' || d || ':' || array_to_string(fps, ',') AS path_key, (3 * len(fps))::INTEGER AS score, row_number() OVER (PARTITION BY project ORDER BY len(fps) DESC, 'd' || d || ':' || array_to_string(fps, ',')) AS place FROM m) "
+    "SELECT project, 'path-' || row_number() OVER (PARTITION BY project ORDER BY place) AS path_id, path_key, score FROM k p WHERE NOT EXISTS (SELECT 1 FROM k q WHERE q.project = p.project AND q.place < p.place AND list_has_all(q.fps, p.fps))"
+)
 def subset_suppression(spark, sf):
-    f = _orders_as_findings(spark, sf).withColumn("parts", F.array(F.lit("all"), F.concat(F.lit("k"), "reach_kind")))
-    made = f.select("o_custkey", "fingerprint", F.explode(F.array_compact("parts")).alias("part")).groupBy("o_custkey", "part").agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
-    made = made.select(F.col("o_custkey").cast("string").alias("project"), F.concat_ws(":", "part", F.array_join("fingerprints", ",")).alias("path_key"), "fingerprints", (F.size("fingerprints") * 3).alias("score"), F.size("fingerprints").alias("n"))
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.explode(F.array(F.lit(2), F.lit(3), F.lit(6))).alias("d")).filter("o_orderkey % d = 0")
+    made = o.groupBy("o_custkey", "d").agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("fingerprints"))
+    made = made.select(F.col("o_custkey").cast("string").alias("project"), F.concat(F.lit("d"), "d", F.lit(":"), F.array_join("fingerprints", ",")).alias("path_key"), "fingerprints", (F.size("fingerprints") * 3).alias("score"), F.size("fingerprints").alias("n"))
     return paths.suppressed(made, "project").select("project", "path_id", "path_key", "score")
 
 
@@ -455,7 +455,26 @@ def chain_edges_lead(spark, sf):
     return f.filter("next_rule IS NOT NULL").groupBy("rule_id", "next_rule").agg(F.count("*").alias("n"))
 
 
-@query()
+def _has_sql(side: str, *roles_: str) -> str:
+    return "(" + " OR ".join(_role_sql(r, f"{side}.rule_id") for r in roles_) + ")"
+
+
+def _held_secret(side: str) -> str:
+    return f"({_has_sql(side, 'secret')} AND {side}.rule_id NOT IN ({PUBLIC_SQL}) AND {side}.proven)"
+
+
+# Why an attacker gets from a step to the next, in the order in which reasons count.
+WHY_SQL = (
+    f"CASE WHEN NOT (a.live AND b.live) THEN NULL WHEN {_has_sql('a', 'open_door')} AND {_has_sql('b', 'code_exec', 'browser_exec')} AND b.proven THEN 'open-door' WHEN {_has_sql('a', 'code_exec')} AND a.srv AND {_held_secret('b')} THEN 'server-reads-secret' WHEN {_has_sql('a', 'vuln_dep')} AND a.proven AND {_held_secret('b')} THEN 'dependency-reads-secret' "
+    f"WHEN {_has_sql('a', 'weak_csp', 'open_cors')} AND {_has_sql('b', 'browser_exec', 'token_store', 'data_leak')} AND b.proven THEN 'missing-control' WHEN {_has_sql('a', 'browser_exec')} AND {_has_sql('b', 'token_store', 'data_leak', 'sensitive_egress')} AND b.proven THEN 'script-reads-data' WHEN {_held_secret('a')} AND {_has_sql('b', 'sensitive_egress', 'data_leak')} THEN 'secret-carried-out' END"
+)
+
+
+@query(
+    f"WITH {O_SQL}, {FACTS_SQL}, w AS (SELECT c, fingerprint AS f1, lead(fingerprint, 1) OVER x AS f2, lead(fingerprint, 2) OVER x AS f3 FROM o WINDOW x AS (PARTITION BY c ORDER BY fingerprint::BIGINT)), g AS (SELECT w.*, {WHY_SQL} AS w1, a.rule_id AS i1, b.rule_id AS i2 FROM w JOIN r a ON a.fingerprint = w.f1 JOIN r b ON b.fingerprint = w.f2), "
+    f"h AS (SELECT g.*, {WHY_SQL} AS w2, b.rule_id AS i3 FROM g LEFT JOIN r a ON a.fingerprint = g.f2 LEFT JOIN r b ON b.fingerprint = g.f3), k AS (SELECT c || ':' || f1 || ':2' AS chain_id, 2 AS n, w1 AS reasons, [i1, i2] AS ids FROM h WHERE w1 IS NOT NULL UNION ALL SELECT c || ':' || f1 || ':3', CASE WHEN f3 IS NULL THEN 2 ELSE 3 END, w1 || CASE WHEN f3 IS NULL THEN '' ELSE ',' || w2 END, [i1, i2] || CASE WHEN f3 IS NULL THEN [] ELSE [i3] END FROM h WHERE w1 IS NOT NULL AND (f3 IS NULL OR w2 IS NOT NULL)) "
+    f"SELECT chain_id, n::BIGINT AS n, reasons FROM k WHERE len(list_filter(ids, lambda z: {' OR '.join(_role_sql(r, 'z') for r in paths.IMPACT_ROLES)})) > 0"
+)
 def verified_chains(spark, sf):
     f = _orders_as_findings(spark, sf)
     # Proposed: each finding of a customer with the next one, and with the next two.
@@ -479,9 +498,14 @@ def burst_range_count(spark, sf):
     return logs.sliding_counts(_t(spark, sf, "events"), ["user_id"], "ts", 86_400).select("event_id", "user_id", "hits")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events), c AS (SELECT user_id, event_id, us, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, us ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hits FROM e), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM c WHERE hits > 5), a AS (SELECT user_id, event_id, us, hits, i FROM o WHERE i = 1 UNION ALL SELECT n.user_id, n.event_id, n.us, n.hits, n.i FROM a JOIN o n ON n.user_id = a.user_id AND n.i = (SELECT min(m.i) FROM o m WHERE m.user_id = a.user_id AND m.i > a.i AND m.us >= a.us + 86400000000)) "
+    "SELECT user_id, event_id, us, hits::BIGINT AS hits FROM a"
+)
 def burst_cooldown(spark, sf):
-    return logs.burst_alerts(_t(spark, sf, "events"), ["user_id"], "ts", 86_400, F.lit(5), "event_id")
+    found = logs.burst_alerts(_t(spark, sf, "events"), ["user_id"], "ts", 86_400, F.lit(5), "event_id")
+    return found.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "hits")
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -500,7 +524,7 @@ def _events_as_log(spark, sf):
 
 LOG_SQL = (
     "a AS (SELECT 'path-traversal' AS rule, event_id, user_id, ts, event_type, '../' AS evidence FROM events WHERE event_type = 'error' UNION ALL SELECT 'verbose-error', event_id, user_id, ts, event_type, 'status 500' FROM events WHERE event_type = 'error' UNION ALL SELECT 'reflected-xss', event_id, user_id, ts, event_type, '<script' FROM events WHERE event_type = 'signup' "
-    "UNION ALL SELECT 'automated-client-ua', event_id, user_id, ts, event_type, 'curl' FROM events WHERE user_id % 4 = 0 UNION ALL SELECT 'scanner-tooling-ua', event_id, user_id, ts, event_type, 'sqlmap' FROM events WHERE user_id % 4 = 1 UNION ALL SELECT 'exfiltration-to-c2', event_id, user_id, ts, event_type, 'c2' FROM events WHERE user_id % 10 = 0)"
+    "UNION ALL SELECT 'automated-client-ua', event_id, user_id, ts, event_type, 'curl/' FROM events WHERE user_id % 4 = 0 UNION ALL SELECT 'scanner-tooling-ua', event_id, user_id, ts, event_type, 'sqlmap' FROM events WHERE user_id % 4 = 1 UNION ALL SELECT 'exfiltration-to-c2', event_id, user_id, ts, event_type, 'c2' FROM events WHERE user_id % 10 = 0)"
 )
 
 
@@ -533,14 +557,19 @@ def scorecard_flags(spark, sf):
 # --- reports
 
 
-@query()
+@query(f"{F_SQL} SELECT fingerprint, rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, file AS uri, line AS start_line, \"column\" AS start_column, code_snippet AS message FROM f")
 def sarif_rows(spark, sf):
-    return reports.sarif_results(_found(spark, sf))
+    """Results read back from their JSON."""
+    shape = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int>>>>, partialFingerprints struct<primary:string>"
+    r = reports.sarif_results(_found(spark, sf)).select(F.from_json("value", shape).alias("r")).select("r.*").withColumn("p", F.col("locations")[0]["physicalLocation"])
+    return r.select(F.col("partialFingerprints.primary").alias("fingerprint"), F.col("ruleId").alias("rule_id"), "level", F.col("p.artifactLocation.uri").alias("uri"), F.col("p.region.startLine").alias("start_line"), F.col("p.region.startColumn").alias("start_column"), F.col("message.text").alias("message"))
 
 
-@query()
+@query(SQL["sbom_components"].replace("SELECT name, version, bool_and(dev) AS dev, ", "SELECT 'library' AS type, name, version, CASE WHEN bool_and(dev) THEN 'optional' ELSE 'required' END AS scope, "))
 def cyclonedx_rows(spark, sf):
-    return reports.cyclonedx_components(sbom_components(spark, sf))
+    """Components read back from their JSON."""
+    made = reports.cyclonedx_components(sbom_components(spark, sf))
+    return made.select(F.from_json("value", "type string, name string, version string, scope string, purl string").alias("c")).select("c.*")
 
 
 # --- facts and data flow over scripts of pages
@@ -555,7 +584,4 @@ def call_argument_facts(spark, sf):
     return facts.facts(_page_files(spark, sf))
 
 
-@query()
-def taint_over_one_hop(spark, sf):
-    script = F.concat(F.lit("const q = location.search\nconst url = "), F.concat(F.lit("'"), "url", F.lit("' + q\nfetch(url)\nfetch('/fixed')")))
-    return facts.taint_findings(_t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file"), script.alias("text")))
+from . import project_queries  # noqa: E402,F401  registers its queries

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as fi
 from ..operators import graph, paths
+from ..functions.text import fingerprint
+from ..operators.facts import taint_findings
 from ..operators.rules import Rule, findings_of
+from ..sources.shared import staged
 from .packs import WEB_RULES, bridge, dimension
 
 
@@ -45,16 +48,25 @@ def chosen(config: Config) -> list[Rule]:
 
 
 def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None = None, changed: DataFrame | None = None, extra: DataFrame | None = None) -> Result:
-    """files: file, ext, text (see sources.readers.source_files). extra: findings of other detectors, in the same columns."""
+    """files: file, ext, text (see sources.readers.source_files). extra: findings of other detectors, in the same columns.
+
+    Findings are written once to the shared folder: findings, paths, counts and the gate read them from there.
+    """
     spark = files.sparkSession
     found = findings_of(files, chosen(config), config.framework).withColumn("detector_ord", F.lit(0))
     if extra is not None:
         found = found.unionByName(extra.withColumn("detector_ord", F.lit(1)), allowMissingColumns=True)
+    flows = taint_findings(files).groupBy("rule_id", "file", "line").agg(F.max("taint_steps").alias("taint_steps"), F.min("code").alias("code_snippet"))
+    flows = flows.select("rule_id", "file", "line", F.lit(1).alias("column"), "code_snippet", F.lit("high").alias("confidence"), F.lit("high").alias("severity"), F.lit(len(config.rules)).alias("rule_ord"), fingerprint(F.col("rule_id"), F.col("file"), F.col("line"), F.col("code_snippet")).alias("fingerprint"), "taint_steps", F.lit(2).alias("detector_ord"))
+    family = F.substring_index("rule_id", ".", 1)
+    if config.only:
+        flows = flows.filter(family.isin(*config.only))
+    found = found.unionByName(flows.filter(~family.isin(*config.skip)) if config.skip else flows, allowMissingColumns=True)
     found = fi.with_techniques(fi.enrich(found, dimension(spark)), bridge(spark))
     found = fi.controlled(fi.capped_dev_only(found), list(config.disabled), config.overrides)
     found = fi.first_of_each(found, [F.col("detector_ord"), F.col("rule_ord"), F.col("column")])
     found = fi.at_least(found, config.min_severity)
-    entries = files.select(F.col("file").alias("rel"), graph.entry_kind(F.col("file"), F.col("text")).alias("kind")).filter("kind IS NOT NULL")
+    entries = files.select(F.col("file").alias("rel"), graph.entry_kind(F.col("file"), F.col("text"), config.framework).alias("kind")).filter("kind IS NOT NULL")
     has_entries = not entries.isEmpty()
     reached = graph.reach(entries, graph.edges(files)) if has_entries else None
     found = graph.annotated(found, reached, has_entries)
@@ -68,5 +80,6 @@ def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None
         found = fi.in_diff(found, changed)
     if baseline is not None:
         found = fi.not_in_baseline(found, baseline)
+    found = staged(found, "findings")
     ways = paths.suppressed(paths.scored_paths(paths.candidate_paths(found), found))
     return Result(fi.ranked(found), ways, fi.severity_counts(found), fi.gate(found, config.fail_on))

@@ -12,54 +12,68 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LOG_SCHEMA = "ts string, svc string, ip string, method string, path string, query string, status int, ua string, ref string, body string"
 
-# Rule, severity, technique. The expressions are ours.
+# Rule, severity, technique.
 LOG_RULES = (
     ("reflected-xss", "HIGH", "T1059.007"), ("sql-injection", "HIGH", "T1190"), ("os-command-injection", "CRITICAL", "T1059.004"), ("path-traversal", "HIGH", "T1083"), ("open-redirect", "MEDIUM", "T1190"), ("scanner-tooling-ua", "MEDIUM", "T1595.002"),
     ("automated-client-ua", "INFO", "T1595.002"), ("verbose-error", "LOW", "T1592"), ("internal-tier-access", "CRITICAL", "T1210"), ("exfiltration-to-c2", "CRITICAL", "T1041"), ("denial-of-wallet-burst", "HIGH", "T1499.003"),
 )
+# What alerts must match, by rule, tried in this order, whatever the case.
 LOG_PATTERNS = {
-    "reflected-xss": (r"(?i)<script", r"(?i)javascript:", r"(?i)on(error|load|click|mouseover)\s*=", r"(?i)<(img|svg|iframe)[^>]*>", r"(?i)document\.cookie"),
-    "sql-injection": (r"(?i)union\s+(all\s+)?select", r"(?i)'\s*or\s+'?\d", r"(?i)or\s+1\s*=\s*1", r"(?i);\s*drop\s+table", r"(?i)sleep\s*\(\s*\d", r"(?i)information_schema", r"--\s*$"),
-    "os-command-injection": (r"[;|&]\s*(cat|ls|id|whoami|curl|wget|nc|sh|bash)(\s|$)", r"\$\([^)]*\)", r"`[^`]+`"),
-    "path-traversal": (r"\.\./", r"(?i)%2e%2e(%2f|/)", r"/etc/(passwd|shadow)", r"(?i)\.\.\\"),
-    "scanner-tooling-ua": (r"(?i)(sqlmap|nikto|nmap|masscan|nuclei|dirbuster|gobuster|wpscan|burp|zap)",),
-    "automated-client-ua": (r"(?i)(curl|wget|python-requests|go-http-client|httpie|okhttp|libwww|axios)",),
-}
-REDIRECT_PARAMS = "next|url|redirect|redirect_uri|return|returnTo|target|dest|continue"
-INTERNAL_SERVICES = ("internal", "admin-internal", "metadata")
-KNOWN_BAD_SERVICES = ("c2", "exfil", "collector")
-
-
-def parsed_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The log's fields, at (event time, null if ts can't be read) and malformed, from one JSON text a row."""
+    "reflected-xss": (r"<\s*script", r"%3c\s*script", r"</\s*script", r"\bon(error|load|mouseover|click|focus|toggle)\s*=", r"javascript:", r"<\s*img[^>]+src", r"<\s*svg", r"<\s*iframe", r"document\.cookie", r"alert\s*\("),
+    "sql-injection": (
+        r"union\s+select", r"\bor\s+1\s*=\s*1\b", r"'\s*or\s+'?\d", r"'\s*or\s+'[^']*'\s*=\s*'", r";\s*drop\s+table", r"\bsleep\s*\(\s*\d", r"\bwaitfor\s+delay\b", r"\bbenchmark\s*\(", r"\bdrop\s+(table|database)\b", r"\bxp_cmdshell\b", r"information_schema",
+        r"--\s+", r"%27\s*or",
+    ),
+    "os-command-injection": (
+        r";\s*(id|whoami|uname|cat|ls|pwd|nc|bash|sh|wget|curl)\b", r"\|\s*(id|whoami|uname|cat|ls|nc|bash|sh)\b", r"&&\s*(id|whoami|uname|cat|ls|nc|bash|sh)\b", r"\$\(", r"`[^`]+`", r"%3b\s*(id|whoami|cat|ls|uname)", r"%7c\s*(id|whoami|cat|ls|uname)", r";\s*sleep\s+\d",
+    ),
+    "path-traversal": (r"\.\./", r"\.\.\\", r"%2e%2e", r"\.\.%2f", r"%2e%2e%2f", r"/etc/passwd", r"\.\.%5c", r"(?:\.\.[\\/]){2,}"),
+    "scanner-tooling-ua": (r"\bnmap\b", r"\bnikto\b", r"\bsqlmap\b", r"\bdirb\b", r"\bdirbuster\b", r"\bgobuster\b", r"\bwpscan\b", r"\bmasscan\b", r"\bzgrab\b", r"\bnuclei\b", r"\bhydra\b", r"\bwfuzz\b", r"\bffuf\b", r"\bzaproxy\b|\bOWASP ZAP\b"),
+    "automated-client-ua": (r"\bcurl/", r"\bwget/", r"python-requests", r"\bgo-http-client\b", r"\bokhttp\b", r"\blibwww-perl\b", r"\bhttpie\b", r"\b(node-fetch|axios|java)/"),
+}
+# Parameters that redirect, hosts that are our own, and the services of the inner tier and of the attacker.
+REDIRECT_PARAMS = "url|next|return|returnto|return_to|dest|destination|redirect|redirect_uri|continue|to|goto|target"
+INTERNAL_HOST = r"^(localhost|127\.0\.0\.1|0\.0\.0\.0|web|api|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+)(:\d+)?$"
+INTERNAL_SERVICE, INTERNAL_PATH, KNOWN_BAD_SERVICE = "internal", "/admin", "c2"
+
+
+def parsed_log(lines: DataFrame, column: str = "value", arrival: Column | None = None) -> DataFrame:
+    """The log's fields, at (event time) and malformed, from one JSON text a row.
+
+    A row whose ts can't be read has the time of its arrival: a column of lines, or the time of the run.
+    """
     schema = T._parse_datatype_string(LOG_SCHEMA)
     schema.add("_corrupt_record", T.StringType())
     j = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    out = lines.select(j.alias("j"), F.col(column).alias("raw"))
-    return out.select("j.*", "raw").withColumn("malformed", F.col("_corrupt_record").isNotNull() | F.col("path").isNull() & F.col("ip").isNull()).drop("_corrupt_record").withColumn("at", F.try_to_timestamp("ts"))
+    out = lines.select(j.alias("j"), F.col(column).alias("raw"), (F.current_timestamp() if arrival is None else arrival).alias("arrival"))
+    bad = F.col("_corrupt_record").isNotNull() | F.col("path").isNull() & F.col("ip").isNull()
+    return out.select("j.*", "raw", "arrival").withColumn("malformed", bad).withColumn("at", F.coalesce(F.try_to_timestamp("ts"), "arrival")).drop("_corrupt_record", "arrival")
 
 
 def _evidence(text: Column, rule: str) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in LOG_PATTERNS[rule]])
+    """The text that the first of a rule's patterns finds; one look at all of them comes first, since most texts have none."""
+    first = F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for p in LOG_PATTERNS[rule]])
+    return F.when(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in LOG_PATTERNS[rule])), first)
 
 
-def external_redirect(query: Column, host: Column) -> Column:
-    """The first redirect target in a query that leads to another host; null if none."""
-    values = F.regexp_extract_all(query, F.lit(rf"(?:^|&)(?:{REDIRECT_PARAMS})=([^&]*)"), 1)
-    urls = F.transform(values, lambda v: F.coalesce(F.try_url_decode(v), v))
-    away = F.filter(urls, lambda u: u.rlike(r"^(?i)(https?:)?//[^/]+") & (F.regexp_extract(u, r"^(?i)(?:https?:)?//([^/?#]+)", 1) != F.coalesce(host, F.lit(""))))
+def external_redirect(query: Column) -> Column:
+    """The first redirect parameter of a query, with its value, that leads to a host which isn't our own; null if none."""
+    pairs = F.regexp_extract_all(query, F.lit(rf"(?i)(?:^|&)((?:{REDIRECT_PARAMS})=[^&]+)"), 1)
+    host = lambda v: F.regexp_extract(F.trim(F.coalesce(F.try_url_decode(v), v)), r"(?i)^(?:https?:)?//([^/?#]+)", 1)
+    value = lambda p: F.substring(p, F.instr(p, "=") + 1, 10_000)
+    away = F.filter(pairs, lambda p: (host(value(p)) != "") & ~host(value(p)).rlike("(?i)" + INTERNAL_HOST))
     return F.get(away, F.lit(0))
 
 
 def stateless_alerts(events: DataFrame) -> DataFrame:
     """rule, severity, technique, evidence and the event's fields: one event may raise several alerts. Works on streams too."""
-    text = F.concat_ws(" ", F.coalesce(F.try_url_decode(F.col("path")), F.col("path")), F.coalesce(F.try_url_decode(F.col("query")), F.col("query")), F.col("body"))
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("path", "query", "body")]))
     finds = {r: _evidence(text, r) for r in ("reflected-xss", "sql-injection", "os-command-injection", "path-traversal")}
     finds |= {r: _evidence(F.coalesce("ua", F.lit("")), r) for r in ("scanner-tooling-ua", "automated-client-ua")}
-    finds["open-redirect"] = external_redirect(F.col("query"), F.lit(None).cast("string"))
+    finds["open-redirect"] = external_redirect(F.col("query"))
     finds["verbose-error"] = F.when(F.col("status") == 500, F.lit("status 500"))
-    finds["internal-tier-access"] = F.when(F.col("svc").isin(*INTERNAL_SERVICES), F.col("svc"))
-    finds["exfiltration-to-c2"] = F.when(F.col("svc").isin(*KNOWN_BAD_SERVICES), F.col("svc"))
+    finds["internal-tier-access"] = F.when((F.col("svc") == INTERNAL_SERVICE) & F.col("path").startswith(INTERNAL_PATH), F.col("path"))
+    finds["exfiltration-to-c2"] = F.when(F.col("svc") == KNOWN_BAD_SERVICE, F.coalesce(F.nullif(F.trim(F.coalesce(F.nullif("query", F.lit("")), "body", F.lit(""))), F.lit("")), "svc"))
     rules = {r: (s, t) for r, s, t in LOG_RULES}
     hits = [F.when(e.isNotNull(), F.struct(F.lit(r).alias("rule"), F.lit(rules[r][0]).alias("severity"), F.lit(rules[r][1]).alias("technique"), e.alias("evidence"))) for r, e in finds.items()]
     return events.withColumn("a", F.explode(F.array_compact(F.array(*hits)))).select("a.*", *[c for c in events.columns])

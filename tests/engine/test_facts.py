@@ -6,7 +6,7 @@ def test_scanner():
     assert arguments("f(a", 1) is None and arguments("f()", 1)[0] == []
     assert without_comments("a // b") == "a " and without_comments("'//' // c") == "'//' " and without_comments("https://x") == "https://x"
     assert plain_literal("'a'") and plain_literal("`x`") and not plain_literal("`${x}`") and not plain_literal("a + 'b'") and plain_literal("12")
-    got = facts_of("function run(cmd, o) {\n  exec(cmd)\n}\nconst { id } = req.query;\nrun(id, 1)")
+    got = [f[:6] for f in facts_of("function run(cmd, o) {\n  exec(cmd)\n}\nconst { id } = req.query;\nrun(id, 1)")]
     assert ("param", 1, "run", "cmd", 0, "run") in got and ("arg", 2, "exec", "cmd", 0, "run") in got and ("assign", 4, "id", "req.query", 0, "") in got and ("arg", 5, "run", "id", 0, "") in got
 
 
@@ -30,7 +30,17 @@ def test_taint_through_ten_assignments(spark):
     chain = "\n".join(["const a0 = req.query.x", *[f"const a{k} = a{k - 1}" for k in range(1, 11)], "eval(a10)"])
     scoped = "function f() {\n  const b = req.body\n  const c = b\n}\nfunction g() {\n  const d = b\n  eval(d)\n}\nlet p = q\nlet q = p"
     files = spark.createDataFrame([("up.ts", chain), ("down.ts", "\n".join(chain.split("\n")[:11][::-1] + ["eval(a10)"])), ("clean.ts", chain.replace("= a7", "= escape(a7)")), ("scoped.ts", scoped)], "file string, text string")
-    assert sorted((r.file, r.line, r.rule_id, r.hops) for r in taint_findings(files).collect()) == [("down.ts", 12, "injection.eval", 0), ("up.ts", 12, "injection.eval", 0)]
+    assert sorted((r.file, r.line, r.rule_id, r.hops) for r in taint_findings(files).collect()) == [("up.ts", 12, "injection.eval", 0)]  # down.ts assigns each name before what it is taken from holds anything
+
+
+def test_order_counts():
+    def carried(text):
+        return [(f[1], f[2], f[6], f[7]) for f in facts_of(text) if f[0] == "arg"]
+
+    assert carried("let q = req.query.id\nq = 'fixed'\ndb.query(q)") == [(3, "db.query", [], [])]
+    assert carried("let q = 'fixed'\nq = req.query.id\ndb.query(q)") == [(3, "db.query", ["outside"], [2, 3])]
+    assert carried("const q = req.query.id\nfunction f(q) {\n  eval(q)\n}\neval(q)") == [(3, "eval", ["0"], []), (5, "eval", ["outside"], [1, 5])]
+    assert carried("let q = f(req.body)\nq = g(q)\nh(q)")[1:] == [(2, "g", ["outside"], [1, 2]), (3, "h", ["outside"], [1, 2, 3])]
 
 
 def test_agency(spark):

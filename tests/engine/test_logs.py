@@ -10,15 +10,17 @@ def event(ts, ip="1", path="/", query=None, status=200, ua="Mozilla", svc="shop"
     return json.dumps({"ts": ts, "svc": svc, "ip": ip, "method": "GET", "path": path, "query": query, "status": status, "ua": ua, "ref": None, "body": body})
 
 
-def parsed(spark, lines):
-    return logs.parsed_log(spark.createDataFrame([(x,) for x in lines], "value string"))
+def parsed(spark, lines, arrival=None):
+    return logs.parsed_log(spark.createDataFrame([(x,) for x in lines], "value string"), arrival=arrival)
 
 
 def test_rules(spark):
-    e = parsed(spark, [event("2024-01-01T00:00:00Z", path="/s", query="q=%3Cscript%3E"), event("2024-01-01T00:00:01Z", query="id=1' or '1"), event("x", query="next=https%3A%2F%2Fevil.example%2Fa"), event(None, query="next=/home"), event("2024-01-01T00:00:02Z", ua="sqlmap", status=500), "{broken", event("2024-01-01T00:00:03Z", svc="c2")])
-    assert e.filter("malformed").count() == 1 and e.filter("at IS NULL").count() == 3
+    lines = [event("2024-01-01T00:00:00Z", path="/s", query="q=<ScRipt>"), event("2024-01-01T00:00:01Z", query="id=1' or '1"), event("x", query="next=https%3A%2F%2Fevil.example%2Fa"), event(None, query="next=/home"), event("2024-01-01T00:00:02Z", ua="sqlmap", status=500), "{broken", event("2024-01-01T00:00:03Z", svc="c2")]
+    e = parsed(spark, lines, F.timestamp_seconds(F.lit(1_800_000_000)))
+    assert e.filter("malformed").count() == 1 and e.filter("at = timestamp_seconds(1800000000)").count() == 3
+    assert parsed(spark, lines).filter("at IS NULL").count() == 0
     got = sorted((r.rule, r.evidence) for r in logs.stateless_alerts(e.filter("NOT malformed")).collect())
-    assert got == [("exfiltration-to-c2", "c2"), ("open-redirect", "https://evil.example/a"), ("reflected-xss", "<script"), ("scanner-tooling-ua", "sqlmap"), ("sql-injection", "' or '1"), ("verbose-error", "status 500")]
+    assert got == [("exfiltration-to-c2", "c2"), ("open-redirect", "next=https%3A%2F%2Fevil.example%2Fa"), ("reflected-xss", "<script"), ("scanner-tooling-ua", "sqlmap"), ("sql-injection", "' or '1"), ("verbose-error", "status 500")]
 
 
 def model(rows, seconds, most):

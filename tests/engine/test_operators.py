@@ -136,6 +136,15 @@ def test_paths(spark):
     assert {r.path_id for r in kept} == {f"path-{i + 1}" for i in range(len(kept))}
 
 
+def test_reach_is_no_cut(spark, checkpoints):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    entry = spark.createDataFrame([("n0", "server")], "rel string, kind string")
+    assert graph.reach(entry, edges, rounds=6).count() == 7
+    with pytest.raises(ValueError):
+        graph.reach(entry, edges, rounds=5)
+    assert graph.reach(entry.limit(0), edges).collect() == []
+
+
 def test_suppression_equals_python(spark):
     rng = random.Random(3)
     rows = []
@@ -170,7 +179,7 @@ def test_chain_query_equals_brute_force(spark, sf):
             return None
         if role(x, "open_door") and (role(y, "code_exec") or role(y, "browser_exec")) and x.reach_entrypoint == y.reach_entrypoint and y.reachable:
             return "open-door"
-        if role(x, "code_exec") and x.reach_kind == "server" and secret:
+        if role(x, "code_exec") and x.reachable and x.reach_kind in ("server", "project") and secret:
             return "server-reads-secret"
         if role(x, "vuln_dep") and x.reachable and secret:
             return "dependency-reads-secret"
