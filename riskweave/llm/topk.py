@@ -1,19 +1,21 @@
 """Exact top-k by inner product, a block of the id range at a time.
 
-Vectors are dealt into shards, and each shard's rows, in id order, into blocks with a forward index (a matrix) and
-each term's maximum and minimum. A query's bound for a block is the sum over its terms of the larger product; blocks
-are taken in the order of their bounds, and a query stops when its next bound is below its k-th score so far. Groups
-of queries meet shards in a grid, so a task holds one group and one shard, whatever the table's size.
+Vectors are numbered in the order of their ids and cut into shards, ranges of some thousand rows, and those into
+blocks with a forward index (a matrix) and each term's maximum and minimum. A query's bound for a range is the sum over
+its terms of the larger product. Each query is first searched in the shard of its highest bound, which gives a k-th score
+to beat, and then only in the shards whose bounds reach it; in a shard, blocks are taken in the order of their bounds
+until the next bound is below the k-th score. Groups of queries meet shards in tasks of their own, so a task holds one
+group and one shard, whatever the table's size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import picked, table
+from .common import picked, staged, table
 from .vectors import best, matrix, once_each, top_rows, usable
 
 SHARD_ROWS = 8192
@@ -22,12 +24,10 @@ BLOCK_ROWS = 256
 #: Integers below this are exact in double precision.
 EXACT = 1 << 53
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
 
 def lowest_of(kind: np.dtype) -> int | float:
     """Below any score."""
-    return -np.inf if kind != object else -(1 << 200)
+    return -np.inf if kind != object else -(1 << 200)  # whole numbers have no end
 
 
 def quantized(vector, scale: int = 1024):
@@ -45,17 +45,18 @@ class Blocks:
         self.most = np.stack([r.max(0) for _, r in self.blocks])
         self.least = np.stack([r.min(0) for _, r in self.blocks])
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Each query's k best scores and ids in this shard; how many block scorings were done."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beat: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Each query's k best scores and ids in this shard; how many block scorings were done. beat: scores below which nothing is wanted."""
         n = len(query_ids)
         lowest = lowest_of(queries.dtype)
+        beat = np.full(n, lowest, dtype=queries.dtype) if beat is None else beat
         bounds = np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
         order = np.argsort(-bounds, axis=1, kind="stable")
         scores, ids = np.full((n, k), lowest, dtype=queries.dtype), np.full((n, k), np.iinfo(np.int64).max)
         active, done = np.arange(n), 0
         for step in range(len(self.blocks)):
             nth = order[active, step]
-            active = active[bounds[active, nth] >= scores[active, k - 1]]
+            active = active[bounds[active, nth] >= np.maximum(scores[active, k - 1], beat[active])]
             if not len(active):
                 break
             nth = order[active, step]
@@ -82,31 +83,89 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id
     long they stop at its ends.
     """
     rows = picked(vectors.withColumn("__query", is_query), vec_id=vec_id, v=vector, is_query="__query").filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
-    n, q = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, groups = max(1, -(-n // shard_rows)), max(1, -(-q // group_queries))
-    rows = rows.withColumn("d", F.size("v"))
-    candidates = rows.select("d", F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "vec_id", "v")
-    queries = rows.filter("is_query").select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v")
-
-    def search(mine, theirs):
+    rows = _sharded(rows.withColumn("d", F.size("v")), shard_rows)
+    q = rows.filter("is_query").count()
+    groups = max(1, -(-q // group_queries))
+    asked = rows.filter("is_query").select("d", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v", F.monotonically_increasing_id().alias("row"))
+    asked = staged(asked, "queries")
+    bounds = staged(_bounds(asked, rows, groups), "bounds")
+    # The best shard of each query gives a score to beat; a query with fewer rows there than it asks for beats everything.
+    best_of = Window.partitionBy("row").orderBy(F.desc("bound"), "shard")
+    ranked = bounds.withColumn("n", F.row_number().over(best_of))
+    first = staged(_searched(ranked.filter("n = 1").select("row", "shard"), asked, rows, k, block_rows, None), "first")
+    beat = first.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("beat")).filter(F.col("n") >= k).select(F.col("row").alias("b_row"), "beat")
+    rest = ranked.filter("n > 1").join(beat, F.col("row") == F.col("b_row"), "left").filter(F.col("beat").isNull() | (F.col("bound") >= F.col("beat")))
+    found = first.unionByName(_searched(rest.select("row", "shard", "beat"), asked, rows, k, block_rows, "beat"))
+    return top_rows(found.select("query_id", "vec_id", "score"), k)
+
+
+def _sharded(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """rows with shard: ranges of vec_id of so many rows, within one length each."""
+    ranged = staged(rows.repartitionByRange("d", "vec_id", F.xxhash64("v")).withColumn("place", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("place").agg(F.count("*").alias("n"))  # one row a task
+    bases = sizes.select(F.col("place").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    numbered = ranged.withColumn("within", F.row_number().over(Window.partitionBy("place").orderBy("d", "vec_id"))).join(F.broadcast(bases), F.col("place") == F.col("p"))
+    return staged(numbered.select("d", "vec_id", "v", "is_query", F.floor((F.col("base") + F.col("within") - 1) / shard_rows).alias("shard")), "shards")
+
+
+_BOUNDS = pa.schema([("row", pa.int64()), ("shard", pa.int64()), ("bound", pa.int64())])
+
+
+def _bounds(asked: DataFrame, rows: DataFrame, groups: int) -> DataFrame:
+    """row, shard, bound: for each query and each shard that holds vectors of its length, the most that a score can be."""
+    terms = rows.select("d", "shard", F.posexplode("v").alias("i", "x")).groupBy("d", "shard", "i").agg(F.max("x").alias("most"), F.min("x").alias("least"))
+    ends = terms.groupBy("d", "shard").agg(F.array_sort(F.collect_list(F.struct("i", "most", "least"))).alias("t"))  # one struct a component
+    ends = ends.select("d", "shard", F.col("t.most").alias("most"), F.col("t.least").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+
+    def bound(mine, theirs):
         if not len(mine) or not len(theirs):
+            return _BOUNDS.empty_table()
+        qs, most, least = _exact(*(matrix(t.column(c), np.int64) for t, c in ((mine, "v"), (theirs, "most"), (theirs, "least"))))
+        top = np.maximum(qs, 0) @ most.T + np.minimum(qs, 0) @ least.T
+        row, shard = np.meshgrid(mine.column("row").to_numpy(), theirs.column("shard").to_numpy(), indexing="ij")
+        return pa.table([pa.array(row.ravel()), pa.array(shard.ravel()), pa.array(_longs(top).ravel())], schema=_BOUNDS)
+
+    return asked.groupBy("d", "part").cogroup(ends.groupBy("d", "part")).applyInArrow(bound, "row long, shard long, bound long")
+
+
+def _exact(*matrices: np.ndarray) -> list[np.ndarray]:
+    """Matrices whose rows' products sum up exactly: in doubles, or as Python's whole numbers where sums could pass 2**53."""
+    first, *rest = (int(np.abs(m.astype(float)).max(initial=0)) + 1 for m in matrices)
+    kind = np.float64 if first * max(rest) * matrices[0].shape[1] < EXACT else object
+    return [m.astype(kind) for m in matrices]
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        ends = np.iinfo(np.int64)
+        scores = np.clip(scores, ends.min, ends.max)
+    return scores.astype(np.int64)
+
+
+_FOUND = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _searched(pairs: DataFrame, asked: DataFrame, rows: DataFrame, k: int, block_rows: int, beat: str | None) -> DataFrame:
+    """row, query_id, vec_id, score: the k best of each pair's shard for its query row; with beat, scores below it may be left out."""
+    least = F.col(beat) if beat else F.lit(None).cast("long")
+    mine = pairs.select(F.col("row").alias("p_row"), "shard", least.alias("beat")).join(asked, F.col("p_row") == F.col("row")).select("d", "shard", "part", "row", "vec_id", "v", "beat")
+    # Candidates go only to the groups that ask their shard.
+    wanted = mine.select(F.col("shard").alias("w_shard"), F.col("part").alias("w_part")).distinct()
+    theirs = rows.join(wanted, F.col("shard") == F.col("w_shard")).select(F.col("d").alias("w_d"), "w_shard", "w_part", "vec_id", "v")
+
+    def search(ours, others):
+        if not len(ours) or not len(others):
             return _FOUND.empty_table()
-        qid, cid = mine.column("vec_id").to_numpy(), theirs.column("vec_id").to_numpy()
-        qs, cs = matrix(mine.column("v"), np.int64), matrix(theirs.column("v"), np.int64)
-        largest = max(1, int(np.abs(qs.astype(float)).max()) + 1) * max(1, int(np.abs(cs.astype(float)).max()) + 1) * qs.shape[1]
-        kind = np.float64 if largest < EXACT else object
-        scores, ids, _ = Blocks(cid, cs.astype(kind), block_rows).search(qid, qs.astype(kind), k)
-        found = ids != np.iinfo(np.int64).max
-        found &= scores != lowest_of(scores.dtype)
-        if kind is object:
-            ends = np.iinfo(np.int64)
-            scores = np.clip(scores, ends.min, ends.max)
-        at = np.broadcast_to(qid[:, None], ids.shape)[found]
-        return pa.table([pa.array(at), pa.array(ids[found]), pa.array(scores[found].astype(np.int64))], schema=_FOUND)
-
-    keys = ("d", "shard", "part")
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    return top_rows(found, k)
+        qid, cid = ours.column("vec_id").to_numpy(), others.column("vec_id").to_numpy()
+        qs, cs = _exact(matrix(ours.column("v"), np.int64), matrix(others.column("v"), np.int64))
+        lowest = lowest_of(qs.dtype)
+        below = np.array([lowest if x is None else x for x in ours.column("beat").to_pylist()], dtype=qs.dtype)
+        scores, ids, _ = Blocks(cid, cs, block_rows).search(qid, qs, k, below)
+        found = (ids != np.iinfo(np.int64).max) & (scores != lowest)
+        spread = lambda x: np.broadcast_to(x[:, None], ids.shape)[found]
+        return pa.table([pa.array(spread(ours.column("row").to_numpy())), pa.array(spread(qid)), pa.array(ids[found]), pa.array(_longs(scores[found]))], schema=_FOUND)
+
+    return mine.groupBy("d", "shard", "part").cogroup(theirs.groupBy("w_d", "w_shard", "w_part")).applyInArrow(search, "row long, query_id long, vec_id long, score long")
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from riskweave.llm import ann
+from riskweave.llm import ann, topk
 from riskweave.llm.ann import hilbert_keys, nearest, op6_nearest_neighbours
 from riskweave.llm.topk import Blocks, exact_top_k, op4_exact_topk, quantized
 from riskweave.llm.vectors import best, usable
@@ -62,6 +62,19 @@ def test_pruning_skips_blocks_and_loses_nothing():
     assert done < 0.3 * len(q) * 40
 
 
+def test_shards_below_the_score_to_beat_are_left_out(spark, monkeypatch):
+    """Clusters in the order of their ids: most queries look at few shards, and answers are those of all rows."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.integers(-200, 200, (20, 8)), 50, 0) + rng.integers(-5, 5, (1000, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    asked, searched = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda pairs, *a: asked.append(pairs) or searched(pairs, *a))
+    got = answers(exact_top_k(df, F.col("vec_id") % 10 == 0, 10, shard_rows=50, group_queries=30, block_rows=16))
+    assert got == brute(rows, lambda i: i % 10 == 0, 10)
+    assert asked[0].count() == 100 and asked[1].count() < 100 * 19 / 2
+
+
 @pytest.mark.parametrize("dims,bits", [(1, 5), (2, 3), (3, 3), (4, 2)])
 def test_hilbert_steps_are_neighbours(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(2**bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
