@@ -45,7 +45,7 @@ DENSE, DENSE_GRAMS = 32, 1 << 11
 #: Pairs that lookups expand to at once.
 LOOKUP = 1 << 21
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("cells", pa.int32()), ("counts", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("sid", pa.binary()), ("cells", pa.int32()), ("counts", pa.binary())])
 _PREFIX = pa.schema([("sid", pa.binary()), ("n", pa.int64()), ("grams", pa.list_(pa.int64())), ("often", pa.list_(pa.bool_()))])
 _PARTS = pa.schema([("sid", pa.binary()), ("fragment", pa.int32()), ("grams", pa.binary())])
 
@@ -65,11 +65,11 @@ def _sets(n: int):
                 sets = shingle_sets(part.column("text").to_pylist(), n)
                 sketch += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS).astype(np.uint32) if sets else 0
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_SETS)
         for i in range(0, CELLS, SLICE_CELLS):
             own = sketch[i : i + SLICE_CELLS]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i // SLICE_CELLS], pa.int32()), pa.array([zlib.compress(own.astype("<u4").tobytes(), 1)])], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i // SLICE_CELLS], pa.int32()), pa.array([zlib.compress(own.astype("<u4").tobytes(), 1)])], schema=_SETS)
 
     return rows
 
@@ -434,11 +434,29 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, doc_id: str = "doc_
     return _grouped(docs, words, percent, doc_id, text, True)
 
 
-def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, count: bool) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """Tells different texts apart, a null one too."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit("none"))
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, key (text_key): the rows that stay, one of each group, and those that link with nothing.
+
+    A group's row of smallest doc_id stays; one with a null doc_id only if the group has no other; of rows that share an
+    id, that of the smallest key. Rows of equal id and text are one. A text without words is no one's copy.
+    """
+    member = _grouped(docs, words, percent, doc_id, text, False, True)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = member.filter("whole").groupBy("root").agg(F.min(first).alias("f")).select("f.doc_id", "f.key")
+    return kept.union(member.filter("NOT whole").select("doc_id", "key").distinct())
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, count: bool, members: bool = False) -> DataFrame:
     spark = docs.sparkSession
     docs = picked(docs, doc_id=doc_id, text=text)
-    sets = staged(mapped(docs, _sets(words), "doc_id long, n long, sid binary, cells int, counts binary"), "sets")
-    own = sets.filter(F.col("cells").isNull()).select("doc_id", "n", "sid")
+    keyed = docs.withColumn("key", text_key(F.col("text")) if members else F.lit(None).cast("string"))
+    sets = staged(mapped(keyed, _sets(words), "doc_id long, key string, n long, sid binary, cells int, counts binary"), "sets")
+    own = sets.filter(F.col("cells").isNull()).select("doc_id", "key", "n", "sid")
     sketch = _sketch(sets)
     shared = spark.sparkContext.broadcast(sketch)
     seed = _seed(own)
@@ -502,6 +520,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str,
         member = member.withColumn("root", F.when(F.col("whole"), F.coalesce("root", "node")))
     else:
         member = member.withColumn("root", F.when(F.col("whole"), F.col("node")))
+    if members:
+        return member.select("doc_id", "key", "whole", "root")
     # Written first, so that the join below is one of two shuffled tables, whose large partitions Spark can split.
     least = staged(member.filter("whole").groupBy("root").agg(F.min("doc_id").alias("least")).select(F.col("root").alias("r"), "least"), "least")
     out = member.join(least, F.col("root") == F.col("r"), "left")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.llm import ngram_join
 from riskweave.llm.components import components
@@ -170,3 +171,14 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     want = {i: find(i) for i in list(root)}
     assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, far = " ".join(words), " ".join([*words[:-1], "x"]), "something else altogether here now"
+    rows = [(5, a), (5, a), (5, far), (7, near), (3, near), (3, far), (None, near), (None, "alone one two three four five"), (None, None), (9, None), (9, ""), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = df.join(ngram_join.representatives(df).withColumnRenamed("doc_id", "d"), (F.col("d").eqNullSafe(F.col("doc_id"))) & (F.col("key") == ngram_join.text_key(F.col("text"))), "left_semi").distinct()
+    want = {(3, near), (3, far), (None, "alone one two three four five"), (None, None), (9, None), (9, "")}
+    assert {(r.doc_id, r.text) for r in kept.collect()} == want
+    assert ngram_join.representatives(df.filter("false")).collect() == []
