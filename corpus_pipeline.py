@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import staged, table
 from riskweave.llm.language import UNKNOWN, filters_of, identify
-from riskweave.llm.ngram_join import groups
+from riskweave.llm.ngram_join import representatives, text_key
 from riskweave.llm.packing import pack
 from riskweave.llm.secrets import redact
 
@@ -36,10 +36,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest doc_id; a repeated row stays once; a null doc_id stays."""
-    kept = groups(docs, WORDS, PERCENT).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of near duplicates, the one of smallest doc_id; a group in which all ids are null keeps one of its rows.
+
+    Rows that share an id are told apart by their texts, and a repeated row stays once. A text without words, or a null
+    one, is no one's copy.
+    """
+    kept = representatives(docs, WORDS, PERCENT).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    keyed = docs.withColumn("__own", text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__own"]).select(docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
