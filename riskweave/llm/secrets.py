@@ -27,8 +27,8 @@ from .forest import Forest
 
 #: Labelled findings that a forest is trained on: the bound of the sample.
 LABELLED_FINDINGS = 3000
-#: Words of the dictionary: those that most documents hold. Counts cover all documents; this is the model's size.
-DICTIONARY_WORDS = 20_000
+#: A word is of the dictionary if this share of all documents, and two at least, hold it: at most 1 / LEAST_SHARE times the plain words of a document.
+LEAST_SHARE = 0.005
 #: Plain words of 4 to 16 letters, as they stand alone between blanks; values and identifiers don't count.
 PLAIN_WORD = r"(?<!\S)[a-z]{4,16}(?=[.,;:!?]?(?:\s|$))"
 #: A candidate counts as a secret from this share of the trees' votes on.
@@ -104,14 +104,15 @@ class Lexicon:
         return sum(found) / len(found) if found else 0.0
 
 
-def lexicon_of(docs: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> Lexicon:
-    """The words that most documents hold (ties by word), each counted once a document, over all documents.
+def lexicon_of(docs: DataFrame, text: str = "text", least_share: float = LEAST_SHARE) -> Lexicon:
+    """The words that enough of all documents hold, each counted once a document.
 
-    Null texts have none; an empty table leaves the built-in words. At most `words` words of 16 letters reach the driver.
+    Null texts have none; an empty table leaves the built-in words. Only words over the limit reach the driver.
     """
+    least = max(2, math.ceil(least_share * docs.count()))
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(docs[text]), F.lit(PLAIN_WORD), F.lit(0)))).alias("word"))
-    rows = each.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
-    return Lexicon.of({r["word"]: r["n"] for r in rows})
+    rows = each.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()
+    return Lexicon.of({r["word"]: r["n"] for r in sorted(rows)})
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -255,7 +256,7 @@ def scan(docs: DataFrame, detector: Detector | None = None, threshold: float = T
     null doc_id stays null; a null path says nothing; repeated rows are scanned each; an empty table gives no rows;
     other columns are ignored. Whole texts are scanned, values are taken whole. The value itself isn't returned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(detector or detector_of(docs, text))  # some thousand nodes and DICTIONARY_WORDS words
+    shared = docs.sparkSession.sparkContext.broadcast(detector or detector_of(docs, text))  # some thousand nodes, and the words that LEAST_SHARE bounds
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

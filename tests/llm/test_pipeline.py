@@ -39,7 +39,25 @@ def test_stages_equal_brute_force(spark, sf):
 
 def test_run_and_odd_rows(spark, sf, odd_docs, no_docs):
     assert corpus_pipeline.run(spark, sf).count() > 0
-    for df in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            df = stage(spark, df, sf)
-            df.collect()
+    df, seen = odd_docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, sf)
+        assert df.columns == odd_docs.columns, name
+        seen[name] = {r.doc_id: r.text for r in df.collect()}
+    texts = seen["language_id"]
+    assert {4, 10} <= texts.keys() and all(any(c.isalpha() for c in t) for t in texts.values())
+    # Of equal texts the first stays.
+    want = sorted(i for i, t in texts.items() if not any(j < i and u == t for j, u in texts.items()))
+    got = sorted(seen["secret_scans"])
+    assert got == want
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, df, sf).collect()} == set(want)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, sf).collect() == []
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark, sf):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "a", 1), (2, words, "en", "a", 1), (2, "another text of its own", "en", "a", 1), (None, words, "en", "a", 1), (None, "no id and no copy of this one", "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, df, sf).collect()}
+    assert got == {(1, words), (2, "another text of its own"), (None, "no id and no copy of this one")}

@@ -62,9 +62,10 @@ def test_held_out_templates():
 
 
 def test_lexicon_counts_documents(spark, no_docs):
-    docs = spark.createDataFrame([("Alpha alpha beta, gamma=delta",), ("alpha! (beta) token: epsilonx",), (None,), ("",), ("alpha beta9 abc",)], "text string")
-    assert lexicon_of(docs, words=2).words - Lexicon.of({}).words == {"alpha", "beta"}
-    assert {"alpha", "beta", "epsilonx"} <= lexicon_of(docs).words and "delta" not in lexicon_of(docs).words
+    docs = spark.createDataFrame([("Alpha alpha beta, gamma=deltas",), ("alpha! (beta) token: epsilonx",), (None,), ("",), ("alpha beta9 abc",)], "text string")
+    assert lexicon_of(docs).words - Lexicon.of({}).words == {"alpha"}
+    assert lexicon_of(docs.union(docs), least_share=0.3).words - Lexicon.of({}).words == {"alpha"}
+    assert lexicon_of(docs.union(docs)).words - Lexicon.of({}).words == {"alpha", "beta", "epsilonx"}
     assert lexicon_of(no_docs).words == Lexicon.of({}).words
     f = Lexicon.of({"qqqq": 10**6}).follows
     assert f[16, 16] > 3 and np.allclose(np.exp(f).sum(1), 26)
