@@ -153,19 +153,17 @@ def words_of(s):
 
 
 def pieces(value):
-    """Runs of lower-case letters, or a capital with the lower-case letters after it."""
-    out = []
-    for c in value:
-        if c in UPPER:
+    """Words of a value: runs of letters, cut before a capital that follows a small letter or that a small letter follows."""
+    out, last = [""], ""
+    for i, c in enumerate(value):
+        if c not in LOWER + UPPER:
+            out.append("")
+        elif c in UPPER and (last and last in LOWER or value[i + 1 : i + 2] and value[i + 1] in LOWER):
             out.append(c)
-        elif c in LOWER:
-            if out and out[-1]:
-                out[-1] += c
-            else:
-                out.append(c)
         else:
-            out.append("")
-    return [p.lower() for p in out]
+            out[-1] += c
+        last = c
+    return [p.lower() for p in out if p]
 
 
 def slow_features(t, kind, a, b, made_up, in_use, pathlike, lexicon):
