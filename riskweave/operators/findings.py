@@ -11,9 +11,9 @@ from ..functions.text import RANK, SEVERITIES, dev_only, severity_name, severity
 def enrich(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds what a finding lacks from the rule dimension (rule_id, title, severity, why, fix, cwe); an unknown rule has its id as title and medium severity.
 
-    The dimension is a rule pack, some hundred rows whatever the corpus.
+    The dimension is a rule pack, some hundred rows whatever the corpus; Spark broadcasts it by its size.
     """
-    r = F.broadcast(rules.select(F.col("rule_id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in ("title", "severity", "why", "fix", "cwe") if c in rules.columns]))
+    r = rules.select(F.col("rule_id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in ("title", "severity", "why", "fix", "cwe") if c in rules.columns])
     out = findings.join(r, F.col("rule_id") == F.col("r_id"), "left")
     for c in ("title", "severity", "why", "fix", "cwe"):
         if f"r_{c}" in out.columns:
@@ -36,7 +36,7 @@ def merged_rules(*sources: DataFrame) -> DataFrame:
 def with_techniques(findings: DataFrame, bridge: DataFrame) -> DataFrame:
     """Adds attack array<string> from (rule_id, technique_id), sorted; empty if none."""
     grouped = bridge.groupBy(F.col("rule_id").alias("b_id")).agg(F.array_sort(F.collect_set("technique_id")).alias("attack"))
-    return findings.join(F.broadcast(grouped), F.col("rule_id") == F.col("b_id"), "left").drop("b_id").withColumn("attack", F.coalesce("attack", F.array().cast("array<string>")))
+    return findings.join(grouped, F.col("rule_id") == F.col("b_id"), "left").drop("b_id").withColumn("attack", F.coalesce("attack", F.array().cast("array<string>")))
 
 
 def capped_dev_only(findings: DataFrame) -> DataFrame:

@@ -153,10 +153,10 @@ def baseline_known(spark, sf):
     return fi.in_baseline(found, found.filter(F.col("file").cast("long") % 2 == 0)).select("fingerprint")
 
 
-@query(f"{F_SQL}, g AS (SELECT *, CASE WHEN rule_ord = 4 THEN 0 ELSE line END AS place FROM f) SELECT fingerprint, place AS line FROM g WHERE file::BIGINT % 3 = 0 AND (place <= 0 OR place % 2 = 1)")
+@query(f"{F_SQL}, g AS (SELECT *, CASE WHEN rule_ord = 4 THEN 0 ELSE line END AS place FROM f) SELECT fingerprint, place AS line FROM g WHERE place <= 0 OR place % 2 = 1")
 def diff_filter(spark, sf):
     found = _found(spark, sf).withColumn("line", F.when(F.col("rule_ord") == 4, F.lit(0)).otherwise(F.col("line")))
-    changed = tx.explode_lines(_docs(spark, sf).filter(F.col("file").cast("long") % 3 == 0), "file").filter("line % 2 = 1").select("file", "line")
+    changed = tx.explode_lines(_docs(spark, sf), "file").filter("line % 2 = 1").select("file", "line")
     return fi.in_diff(found, changed).select("fingerprint", "line")
 
 
@@ -169,10 +169,10 @@ def navigator_counts(spark, sf):
 # --- history
 
 
-@query("WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996), a AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1997) SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'new' WHEN a.o_custkey IS NULL THEN 'fixed' ELSE 'persistent' END AS status FROM b FULL JOIN a ON a.o_custkey = b.o_custkey")
+@query("WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) < 1996), a AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) >= 1996) SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'new' WHEN a.o_custkey IS NULL THEN 'fixed' ELSE 'persistent' END AS status FROM b FULL JOIN a ON a.o_custkey = b.o_custkey")
 def snapshot_diff(spark, sf):
     orders = _t(spark, sf, "orders")
-    return history.snapshot_diff(orders.filter(F.year("o_orderdate") == 1996), orders.filter(F.year("o_orderdate") == 1997), "o_custkey")
+    return history.snapshot_diff(orders.filter(F.year("o_orderdate") < 1996), orders.filter(F.year("o_orderdate") >= 1996), "o_custkey")
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS place FROM orders QUALIFY place <= 5")
@@ -200,10 +200,10 @@ def trend_last_40(spark, sf):
     return history.latest(days, ["user_id"], [F.desc("day")], 40).select("user_id", "day", "n", "place")
 
 
-@query("WITH h AS (SELECT o_custkey, year(o_orderdate) AS y, sha1(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS h FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1, 2) SELECT a.o_custkey, b.h AS old_hash, a.h AS hash FROM h a JOIN h b ON a.o_custkey = b.o_custkey AND a.y = 1997 AND b.y = 1996 AND a.h <> b.h")
+@query("WITH h AS (SELECT o_custkey, year(o_orderdate) >= 1996 AS late, sha1(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1, 2) SELECT a.o_custkey, b.h AS old_hash, a.h AS hash FROM h a JOIN h b ON a.o_custkey = b.o_custkey AND a.late AND NOT b.late AND a.h <> b.h")
 def hash_change_detection(spark, sf):
-    h = lambda y: _t(spark, sf, "orders").filter(F.year("o_orderdate") == y).groupBy("o_custkey").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",")).alias("hash"))
-    return history.changed_hashes(h(1997), h(1996), ["o_custkey"], "hash").select("o_custkey", "old_hash", "hash")
+    h = lambda late: _t(spark, sf, "orders").filter((F.year("o_orderdate") >= 1996) == late).groupBy("o_custkey").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",")).alias("hash"))
+    return history.changed_hashes(h(True), h(False), ["o_custkey"], "hash").select("o_custkey", "old_hash", "hash")
 
 
 @query("SELECT coalesce(a.k, b.k) AS o_orderpriority, coalesce(a.n, 0) AS \"before\", coalesce(b.n, 0) AS \"after\" FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) b ON a.k = b.k")

@@ -78,6 +78,63 @@ def access_log(spark: SparkSession, path: str) -> DataFrame:
     return parsed_log(spark.read.text(path))
 
 
+def installed_packages(spark: SparkSession, root: str, largest: int = 1_000_000) -> DataFrame:
+    """project (the folder above the outermost node_modules), name, version, scripts of every installed package's manifest; unreadable ones give no rows.
+
+    All are read: there is no cap on their number. A manifest without a name has that of its folder.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "package.json").load(root)
+    inside = raw.filter((F.col("length") <= largest) & F.col("path").contains("/node_modules/"))
+    j = inside.select("path", F.from_json(_text(), "name string, version string, scripts map<string,string>, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("j")).filter("j IS NOT NULL AND j._corrupt_record IS NULL")
+    own = F.regexp_extract("path", r"([^/]+)/package\.json$", 1)
+    return j.select(F.substring_index("path", "/node_modules/", 1).alias("project"), F.coalesce("j.name", own).alias("name"), F.coalesce("j.version", F.lit("")).alias("version"), "j.scripts")
+
+
+def env_files(spark: SparkSession, root: str) -> DataFrame:
+    """project (the root), file: the environment files right under the root. Spark's readers pass over names that start with a dot, so their folder is listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.env*")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place) or []
+    return spark.createDataFrame([(root.rstrip("/"), f.getPath().getName()) for f in found if f.isFile()], "project string, file string")  # a handful of names
+
+
+def listed(spark: SparkSession, path: str, project: str, column: str) -> DataFrame:
+    """project and one column of a text file's lines that aren't blank: a repository's list of files, or its ignore patterns."""
+    return spark.read.text(path).filter(F.trim("value") != "").select(F.lit(project).alias("project"), F.col("value").alias(column))
+
+
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded HTTP responses, one JSON text a line, as checks.response_findings() asks for them."""
+    return spark.read.schema("url string, status int, headers map<string,string>, cookies array<string>, body string, probe_kind string, probe string").json(path)
+
+
+def exploited(spark: SparkSession, path: str) -> DataFrame:
+    """cve: the catalogue of exploited vulnerabilities, a JSON document with a list of entries."""
+    doc = spark.read.option("multiLine", "true").schema("vulnerabilities array<struct<cveID:string>>").json(path)
+    return doc.select(F.explode("vulnerabilities").alias("v")).select(F.upper("v.cveID").alias("cve")).filter("cve IS NOT NULL").distinct()
+
+
+def exploit_scores(spark: SparkSession, path: str) -> DataFrame:
+    """cve, p: exploit probabilities, a CSV with columns cve and epss after comment lines."""
+    rows = spark.read.option("header", "true").option("comment", "#").csv(path)
+    return rows.select(F.upper("cve").alias("cve"), F.expr("try_cast(epss AS double)").alias("p")).filter("p IS NOT NULL")
+
+
+def config_file(path: str) -> dict:
+    """Settings of a scan from a JSON or TOML file: only names that a scan knows; null where nothing is said."""
+    from ..plans.scan import Config
+
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    else:
+        import tomllib
+
+        with open(path, "rb") as f:
+            found = tomllib.load(f)
+    known = Config.__dataclass_fields__.keys() - {"rules"}
+    return {k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in known}
+
+
 def rule_pack(path: str) -> list[dict]:
     """Entries of a YAML or JSON rule file."""
     with open(path, encoding="utf-8") as f:

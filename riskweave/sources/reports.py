@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import severity_rank
+from ..functions.text import SEVERITIES, severity_rank
 
 #: SARIF levels by severity.
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
@@ -24,11 +26,21 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("code_snippet").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))).alias("value"))
 
 
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """value: each rule that fired as an entry of a SARIF driver. findings: rule_id and, where known, title, why, fix, cwe."""
+    of = lambda c: F.first(c, ignorenulls=True).alias(c) if c in findings.columns else F.lit(None).cast("string").alias(c)
+    each = findings.groupBy("rule_id").agg(F.max(severity_rank(F.col("severity"))).alias("rank"), *[of(c) for c in ("title", "why", "fix", "cwe")])
+    text = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("text")))
+    body = F.struct(F.col("rule_id").alias("id"), text("title").alias("shortDescription"), text("why").alias("fullDescription"), text("fix").alias("help"), F.struct(F.array_compact(F.array("cwe")).alias("tags"), F.element_at(F.array(*[F.lit(str(x)) for _, _, x in SEVERITIES]), F.col("rank") + 1).alias("security-severity")).alias("properties"))
+    return each.orderBy("rule_id").select(F.to_json(body).alias("value"))
+
+
 def sarif(findings: DataFrame, tool: str = "riskweave", most: int = 5000) -> str:
-    """A whole SARIF document of the worst findings: a report for people, so its size is a parameter."""
-    rows = sarif_results(findings.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line").limit(most)).collect()
-    body = ",".join(r["value"] for r in rows)
-    return f'{{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":"{tool}"}}}},"results":[{body}]}}]}}'
+    """A whole SARIF document of the worst findings, with their rules: a report for people, so its size is a parameter."""
+    worst = findings.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line").limit(most)
+    rows, rules = sarif_results(worst).collect(), sarif_rules(worst).collect()
+    joined = lambda x: ",".join(r["value"] for r in x)
+    return f'{{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":[{joined(rules)}]}}}},"results":[{joined(rows)}]}}]}}'
 
 
 def navigator_techniques(counts: DataFrame) -> DataFrame:
@@ -51,9 +63,36 @@ def spdx_packages(components: DataFrame) -> DataFrame:
     return components.select(F.to_json(F.struct(ref.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))).alias("externalRefs"))).alias("value"))
 
 
-def sigma_rules(rules: DataFrame) -> DataFrame:
-    """value: each log rule as a Sigma text. rules: rule, severity, technique."""
-    return rules.select(F.format_string("title: %s\nstatus: experimental\nlevel: %s\ntags:\n  - attack.%s\nlogsource:\n  category: webserver\n", "rule", F.lower("severity"), F.lower("technique")).alias("value"))
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID (version 5) of a column of names."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+#: The namespace of names that aren't anything else's: that of URLs.
+NAMES = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def sigma_rules(rules: DataFrame, patterns: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """value: each log rule as a Sigma text, with an id that stays the same. rules: rule, severity, technique; patterns: what a rule looks for, by rule."""
+    looks = {r: "\n".join(f"      - '{p.replace(chr(39), chr(39) * 2)}'" for p in ps) for r, ps in (patterns or {}).items()}
+    found = F.coalesce(*[F.when(F.col("rule") == r, F.lit(t)) for r, t in looks.items()], F.lit("      - '.*'"))
+    return rules.select(
+        F.format_string(
+            "title: %s\nid: %s\nstatus: experimental\nlevel: %s\ntags:\n  - attack.%s\nlogsource:\n  category: webserver\ndetection:\n  selection:\n    request|re:\n%s\n  condition: selection\n",
+            "rule", uuid5(NAMES, F.col("rule")), F.lower("severity"), F.lower("technique"), found,
+        ).alias("value")
+    )
+
+
+def cyclonedx(components: DataFrame, name: str, most: int = 50_000) -> str:
+    """A whole CycloneDX 1.5 document of a project's components, by name and version; its size is a parameter."""
+    from uuid import uuid5 as named, UUID
+
+    rows = cyclonedx_components(components.orderBy("name", "version").limit(most)).collect()
+    body = ",".join(r["value"] for r in rows)
+    return f'{{"bomFormat":"CycloneDX","specVersion":"1.5","serialNumber":"urn:uuid:{named(UUID(NAMES), name + body)}","version":1,"metadata":{{"component":{{"type":"application","name":{json.dumps(name)}}}}},"components":[{body}]}}'
 
 
 def terminal(findings: DataFrame, most: int = 40) -> str:
@@ -82,4 +121,16 @@ def kept_snapshots(snapshots: DataFrame, most: int = 50) -> DataFrame:
     return snapshots.select("project_id", "snap_id").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).drop("n")
 
 
+def prune_snapshots(spark: SparkSession, path: str, most: int = 50) -> list[str]:
+    """Deletes what kept_snapshots() doesn't keep under path, and tells which folders went."""
+    every = spark.read.parquet(path).select("project_id", "snap_id").distinct()
+    gone = every.join(kept_snapshots(every, most), ["project_id", "snap_id"], "left_anti").orderBy("project_id", "snap_id").collect()  # one row a snapshot
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    places = [f"{path}/project_id={r['project_id']}/snap_id={r['snap_id']}" for r in gone]
+    for p in places:
+        target = fs_path(p)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return places
+
+
 FORMATS = {"json": as_json, "sarif": sarif_results, "navigator": navigator_techniques, "cyclonedx": cyclonedx_components, "spdx": spdx_packages, "sigma": sigma_rules}

@@ -21,8 +21,10 @@ def test_sql_is_text():
     assert all(isinstance(v, str) for v in __spark_entry__.oracle_sql().values())
 
 
-def test_imports_without_the_training_operators(tmp_path):
-    for name in ("riskweave", "__spark_entry__.py"):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_imports_without_the_training_operators(tmp_path, left):
+    """The folder is gone, and the pipeline's file with it or not."""
+    for name in ("riskweave", "__spark_entry__.py", *left):
         source = os.path.join(ROOT, name)
         if os.path.isdir(source):
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
