@@ -6,6 +6,8 @@ from riskweave.functions import text as tx
 from riskweave.functions.versions import bounds, version, within
 from riskweave.operators.rules import Rule, findings_of, line_findings, load_pack, multiline_findings
 from riskweave.plans.packs import PACK
+from riskweave.plans.packs import FAMILY_RULES
+from riskweave.plans.project_queries import EXAMPLES
 
 SCHEMA = "file string, ext string, text string"
 
@@ -83,3 +85,9 @@ def test_versions(spark):
     cases = [("^1.2.3", ">=1.2.0, <2.0.0", True), ("2.0.0", ">=1.2.0, <2.0.0", False), ("1", "<1.0.1", True), ("1.2", "=1.2.0", True), ("latest", ">=0.0.0", False), ("1.0.0-beta", "<1.0.0", True), ("~3.1.4", "!=3.1.4", False), ("1.0.0", "junk", False), (None, ">=1.0.0", False)]
     df = spark.createDataFrame(cases, "v string, r string, want boolean").withColumn("got", within(version(F.col("v")), bounds(F.col("r"))))
     assert [(r.v, r.r) for r in df.collect() if r.got != r.want] == []
+
+
+def test_every_family_rule_has_examples():
+    assert [e[0] for e in EXAMPLES] == [r.rule_id for r in FAMILY_RULES]
+    rules, warnings = load_pack([{"rule_id": r.rule_id, "regex": r.regex} for r in FAMILY_RULES])
+    assert len(rules) == len(FAMILY_RULES) and not warnings
