@@ -24,8 +24,9 @@ DIMENSIONS, BITS = 8, 7
 #: Queries whose true neighbours set the window, and the share of those neighbours that must lie within it.
 SAMPLE_QUERIES = 128
 WITHIN = 0.96
-#: Rows of a curve that are searched at once, however wide the window is.
-BUCKET_ROWS = 1024
+#: Rows of a curve that are searched at once: as many as the window's, but no fewer than BUCKET_ROWS, and no more than have
+#: BUCKET_CELLS components (32 MB as doubles), so that a task's memory doesn't grow with the table.
+BUCKET_ROWS, BUCKET_CELLS = 1024, 1 << 22
 
 _LOWEST = -np.inf
 
@@ -141,18 +142,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     asking = rows.filter("is_query").select("v").distinct().withColumn("asks", F.lit(True))
     reps = groups.join(asking, "v", "left").select(F.col("ids")[0].alias("rep"), "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
     reps = staged(reps, "vectors")
-    n, asks, scale = reps.agg(F.count("*"), F.count_if("asks"), F.sqrt(F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x.cast("double")) / F.size("v")))).first()
+    longest, asks, scale = reps.agg(F.max(F.size("v")), F.count_if("asks"), F.sqrt(F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x.cast("double")) / F.size("v")))).first()
     ordered = staged(_ordered(reps, curves, scale or 1.0), "numbered")
     if window is None:
         part = min(1.0, 4 * sample_queries / max(1, asks))
         drawn = reps.filter("asks").filter(F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))).select("rep", "v").orderBy(F.xxhash64("rep")).limit(sample_queries).collect()
         window = _window(reps, ordered, drawn, k, within)
     window = max(k + 1, window)
+    bucket_rows = max(BUCKET_ROWS, min(window, BUCKET_CELLS // max(1, longest or 1)))
 
     # Each vector goes to its bucket on each curve; each query to all buckets that its window touches.
-    placed = ordered.join(reps.select("rep", "v", "asks"), "rep").withColumn("bucket", F.floor(F.col("at") / BUCKET_ROWS))
+    placed = ordered.join(reps.select("rep", "v", "asks"), "rep").withColumn("bucket", F.floor(F.col("at") / bucket_rows))
     candidates = placed.select("curve", "d", "bucket", "rep", "v", "at")
-    beside = F.explode(F.sequence(F.floor((F.col("at") - window) / BUCKET_ROWS), F.floor((F.col("at") + window) / BUCKET_ROWS))).alias("q_bucket")
+    beside = F.explode(F.sequence(F.floor((F.col("at") - window) / bucket_rows), F.floor((F.col("at") + window) / bucket_rows))).alias("q_bucket")
     queries = placed.filter("asks").select(F.col("curve").alias("q_curve"), F.col("d").alias("q_d"), beside, F.col("rep").alias("query"), F.col("v").alias("q"), F.col("at").alias("q_at"))
     reach = window
 

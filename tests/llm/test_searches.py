@@ -129,7 +129,7 @@ def test_rows_that_share_an_id(spark):
     assert answers(nearest(floats, F.col("vec_id") % 10 == 0, 4)) == want(4)
 
 
-def test_nearest_odd_rows_and_hot_vector(spark):
+def test_nearest_odd_rows_and_hot_vector(spark, monkeypatch):
     df = odd_vectors(spark)
     kept = df.filter(usable(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("vec_id").isNotNull())
     assert answers(nearest(df, F.col("vec_id") % 10 == 0, 3)) == brute([tuple(r) for r in kept.select("vec_id", "vector").collect()], lambda i: i % 10 == 0, 3)
@@ -138,5 +138,8 @@ def test_nearest_odd_rows_and_hot_vector(spark):
     hot = spark.createDataFrame(rows, "vec_id long, vector array<double>")
     want = brute(rows, lambda i: i % 20 == 0, 20)
     assert answers(nearest(hot, F.col("vec_id") % 20 == 0, window=300)) == want
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(ann, "BUCKET_CELLS", 64)  # 32 rows a bucket, and a window of several
+    assert answers(nearest(hot, F.col("vec_id") % 20 == 0, window=300)) == want
     got = answers(nearest(hot, F.col("vec_id") % 20 == 0))
     assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 20 * len(want)
