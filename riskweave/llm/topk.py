@@ -120,22 +120,22 @@ def _bounds(asked: DataFrame, rows: DataFrame, groups: int) -> DataFrame:
     def bound(mine, theirs):
         if not len(mine) or not len(theirs):
             return _BOUNDS.empty_table()
-        qs, most, least = _exact(*(matrix(t.column(c), np.int64) for t, c in ((mine, "v"), (theirs, "most"), (theirs, "least"))))
+        qs, most, least = exact_matrices(*(matrix(t.column(c), np.int64) for t, c in ((mine, "v"), (theirs, "most"), (theirs, "least"))))
         top = np.maximum(qs, 0) @ most.T + np.minimum(qs, 0) @ least.T
         row, shard = np.meshgrid(mine.column("row").to_numpy(), theirs.column("shard").to_numpy(), indexing="ij")
-        return pa.table([pa.array(row.ravel()), pa.array(shard.ravel()), pa.array(_longs(top).ravel())], schema=_BOUNDS)
+        return pa.table([pa.array(row.ravel()), pa.array(shard.ravel()), pa.array(longs(top).ravel())], schema=_BOUNDS)
 
     return asked.groupBy("d", "part").cogroup(ends.groupBy("d", "part")).applyInArrow(bound, "row long, shard long, bound long")
 
 
-def _exact(*matrices: np.ndarray) -> list[np.ndarray]:
+def exact_matrices(*matrices: np.ndarray) -> list[np.ndarray]:
     """Matrices whose rows' products sum up exactly: in doubles, or as Python's whole numbers where sums could pass 2**53."""
     first, *rest = (int(np.abs(m.astype(float)).max(initial=0)) + 1 for m in matrices)
     kind = np.float64 if first * max(rest) * matrices[0].shape[1] < EXACT else object
     return [m.astype(kind) for m in matrices]
 
 
-def _longs(scores: np.ndarray) -> np.ndarray:
+def longs(scores: np.ndarray) -> np.ndarray:
     if scores.dtype == object:
         ends = np.iinfo(np.int64)
         scores = np.clip(scores, ends.min, ends.max)
@@ -157,13 +157,13 @@ def _searched(pairs: DataFrame, asked: DataFrame, rows: DataFrame, k: int, block
         if not len(ours) or not len(others):
             return _FOUND.empty_table()
         qid, cid = ours.column("vec_id").to_numpy(), others.column("vec_id").to_numpy()
-        qs, cs = _exact(matrix(ours.column("v"), np.int64), matrix(others.column("v"), np.int64))
+        qs, cs = exact_matrices(matrix(ours.column("v"), np.int64), matrix(others.column("v"), np.int64))
         lowest = lowest_of(qs.dtype)
         below = np.array([lowest if x is None else x for x in ours.column("beat").to_pylist()], dtype=qs.dtype)
         scores, ids, _ = Blocks(cid, cs, block_rows).search(qid, qs, k, below)
         found = (ids != np.iinfo(np.int64).max) & (scores != lowest)
         spread = lambda x: np.broadcast_to(x[:, None], ids.shape)[found]
-        return pa.table([pa.array(spread(ours.column("row").to_numpy())), pa.array(spread(qid)), pa.array(ids[found]), pa.array(_longs(scores[found]))], schema=_FOUND)
+        return pa.table([pa.array(spread(ours.column("row").to_numpy())), pa.array(spread(qid)), pa.array(ids[found]), pa.array(longs(scores[found]))], schema=_FOUND)
 
     return mine.groupBy("d", "shard", "part").cogroup(theirs.groupBy("w_d", "w_shard", "w_part")).applyInArrow(search, "row long, query_id long, vec_id long, score long")
 
