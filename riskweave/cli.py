@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,9 @@ def _session() -> SparkSession:
     return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _print(df: DataFrame, most: int) -> None:
-    for r in df.limit(most).collect():
-        print(r["value"])
+def _print(lines: DataFrame) -> None:
+    for line in reports.document_lines(lines):
+        print(line)
 
 
 def _scan(a: argparse.Namespace) -> int:
@@ -46,15 +47,15 @@ def _scan(a: argparse.Namespace) -> int:
     elif a.format == "html":
         print(reports.html(result.findings, a.most))
     elif a.format == "sarif":
-        print(reports.sarif(result.findings, most=a.most))
+        _print(reports.sarif(result.findings, result.paths))
     else:
-        _print(reports.as_json(result.findings), a.most)
+        _print(reports.as_json(result.findings))
     return int(result.failed.first()["failed"])
 
 
 def _sbom(a: argparse.Namespace) -> int:
-    parts = deps.components(readers.lock_packages(_session(), a.path)).orderBy(F.lower("name"))
-    _print({"cyclonedx": reports.cyclonedx_components, "spdx": reports.spdx_packages}[a.format](parts), a.most)
+    parts = deps.components(readers.lock_packages(_session(), a.path))
+    _print({"cyclonedx": reports.cyclonedx, "spdx": reports.spdx}[a.format](parts, os.path.basename(os.path.abspath(a.path))))
     return 0
 
 
@@ -98,8 +99,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("path")
     b.add_argument("--format", choices=("cyclonedx", "spdx"), default="cyclonedx")
     b.set_defaults(run=_sbom)
-    for x in (s, b):
-        x.add_argument("--most", type=int, default=1000, help="rows of the report")
+    s.add_argument("--most", type=int, default=200, help="findings that the terminal and HTML displays show; JSON and SARIF have them all")
     sub.add_parser("rules").set_defaults(run=_rules)
     e = sub.add_parser("explain")
     e.add_argument("rule")

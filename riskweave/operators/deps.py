@@ -72,7 +72,7 @@ def package_uses(files: DataFrame) -> DataFrame:
     bare = F.transform(F.regexp_extract_all(t, F.lit(_BARE), 1), lambda s: F.struct(F.lit("").alias("clause"), s.alias("spec")))
     each = files.filter(t.rlike(r"import|require")).select("file", "text", F.explode(F.concat(both(_CLAUSE), bare, both(_REQUIRED))).alias("i"))
     root = package_root(F.col("i.spec"))
-    deeper = F.substring(F.col("i.spec"), F.length(root) + 2, F.lit(10_000))
+    deeper = F.substr(F.col("i.spec"), F.length(root) + 2)
     named = F.regexp_extract("i.clause", r"\{([^}]*)\}", 1)
     names = F.filter(F.transform(F.split(named, ","), lambda n: F.regexp_extract(n, r"^\s*(?:type\s+)?([A-Za-z0-9_$]+)", 1)), lambda n: n != "")
     whole = F.filter(F.transform(F.split(F.regexp_replace("i.clause", r"\{[^}]*\}", ""), ","), lambda n: F.regexp_extract(n, r"^\s*(?:\*\s+as\s+)?([A-Za-z0-9_$]+)\s*$", 1)), lambda n: n != "")

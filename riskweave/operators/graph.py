@@ -34,7 +34,7 @@ def targets(spec: Column, importer: Column, roots: tuple[str, ...] = ("", "src")
     ends = ["", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS]]
     tries = lambda base: F.array(*[F.concat(base, F.lit(e)) for e in ends])
     here = normal_path(F.concat(F.regexp_replace(importer, "[^/]*$", ""), spec))
-    aliased = F.concat(*[tries(normal_path(F.concat(F.lit(f"{r}/"), F.substring(spec, 3, 10_000)))) for r in roots])
+    aliased = F.concat(*[tries(normal_path(F.concat(F.lit(f"{r}/"), F.substr(spec, F.lit(3))))) for r in roots])
     return F.when(spec.rlike(r"^[@~]/"), aliased).when(spec.startswith("."), tries(here)).otherwise(F.array().cast("array<string>"))
 
 

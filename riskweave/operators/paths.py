@@ -201,10 +201,13 @@ def suppressed(paths: DataFrame, group: str | None = None, most: int = MOST_PATH
 
 
 def grounded(a: str, b: str) -> Column:
-    """Why an attacker gets from finding a to finding b, structs with rule_id, reachable, reach_kind, reach_entrypoint; null if not. The first reason counts."""
+    """Why an attacker gets from finding a to finding b, structs with rule_id, file, reachable, reach_kind, reach_entrypoint; null if not. The first reason counts.
+
+    A secret counts unless it is public by design, lies in a test, or is proven dead.
+    """
     x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
     is_a, is_b = (lambda r: has_role(x("rule_id"), r)), (lambda r: has_role(y("rule_id"), r))
-    eligible = lambda c, own: own("secret") & ~c("rule_id").isin(*PUBLIC_SECRETS) & F.coalesce(c("reachable"), F.lit(False))
+    eligible = lambda c, own: own("secret") & ~c("rule_id").isin(*PUBLIC_SECRETS) & ~test_path(c("file")) & F.coalesce(c("reachable"), F.lit(True))
     live = F.coalesce(x("reachable"), F.lit(True)) & F.coalesce(y("reachable"), F.lit(True))
     b_live = F.coalesce(y("reachable"), F.lit(False))
     same = F.coalesce(x("reach_entrypoint") == y("reach_entrypoint"), F.lit(False))
@@ -228,7 +231,7 @@ def verified_chains(chains: DataFrame, findings: DataFrame) -> DataFrame:
     Unknown and repeated findings go; fewer than two steps, a step that isn't grounded, or no role of impact void it.
     """
     once = chains.groupBy("chain_id", "fingerprint").agg(F.min("ord").alias("ord"))
-    f = findings.select(F.col("fingerprint").alias("fp"), F.struct("rule_id", "reachable", "reach_kind", "reach_entrypoint").alias("f"))
+    f = findings.select(F.col("fingerprint").alias("fp"), F.struct("rule_id", "file", "reachable", "reach_kind", "reach_entrypoint").alias("f"))
     steps = once.join(f, F.col("fingerprint") == F.col("fp"))
     w = Window.partitionBy("chain_id").orderBy("ord", "fingerprint")
     steps = steps.withColumn("g", F.lead("f").over(w)).withColumn("why", F.when(F.col("g").isNotNull(), grounded("f", "g"))).withColumn("last", F.col("g").isNull())

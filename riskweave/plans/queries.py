@@ -460,7 +460,7 @@ def _has_sql(side: str, *roles_: str) -> str:
 
 
 def _held_secret(side: str) -> str:
-    return f"({_has_sql(side, 'secret')} AND {side}.rule_id NOT IN ({PUBLIC_SQL}) AND {side}.proven)"
+    return f"({_has_sql(side, 'secret')} AND {side}.rule_id NOT IN ({PUBLIC_SQL}) AND {side}.live AND NOT {side}.test)"
 
 
 # Why an attacker gets from a step to the next, in the order in which reasons count.
@@ -572,6 +572,22 @@ def cyclonedx_rows(spark, sf):
     return made.select(F.from_json("value", "type string, name string, version string, scope string, purl string").alias("c")).select("c.*")
 
 
+@query(f"WITH {O_SQL} SELECT fingerprint, rule_id, CASE coalesce(severity, 'medium') WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, file AS uri FROM o")
+def sarif_document(spark, sf):
+    """Every order as a finding; results read back from the lines of the whole document."""
+    found = _orders_as_findings(spark, sf).withColumns({"column": F.lit(1), "code_snippet": F.col("fingerprint")})
+    results = reports.sarif(found).filter(F.col("value").rlike(r'^,?\{"ruleId"')).select(F.from_json(F.ltrim("value", F.lit(",")), "ruleId string, level string, partialFingerprints struct<primary:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>").alias("r"))
+    return results.select(F.col("r.partialFingerprints.primary").alias("fingerprint"), F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"))
+
+
+@query("SELECT 'p' || l_partkey AS name, l_orderkey::VARCHAR AS version, CASE WHEN bool_and(l_linenumber % 2 = 0) THEN 'optional' ELSE 'required' END AS scope, 'pkg:npm/p' || l_partkey || '@' || l_orderkey AS purl FROM lineitem GROUP BY l_partkey, l_orderkey")
+def cyclonedx_document(spark, sf):
+    """Every line item as a locked package; components read back from the lines of the whole document."""
+    locked = _t(spark, sf, "lineitem").select(F.concat(F.lit("node_modules/p"), "l_partkey").alias("path"), F.col("l_orderkey").cast("string").alias("version"), (F.col("l_linenumber") % 2 == 0).alias("dev"))
+    lines = reports.cyclonedx(deps.components(locked), "shop").filter(F.col("value").rlike(r'^,?\{"type"'))
+    return lines.select(F.from_json(F.ltrim("value", F.lit(",")), "name string, version string, scope string, purl string").alias("c")).select("c.*")
+
+
 # --- facts and data flow over scripts of pages
 
 

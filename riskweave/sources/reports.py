@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SEVERITIES, severity_rank
+from .shared import staged
 
 #: SARIF levels by severity.
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
@@ -18,12 +21,47 @@ def as_json(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*findings.columns)).alias("value"))
 
 
+def document(spark: SparkSession, sections: list[tuple[str, DataFrame]], end: str) -> DataFrame:
+    """value: the lines of a text, in order: what comes before each section, then the section's values set apart by commas.
+
+    Sections come in the order of their rows; each is sorted by Spark and written to the shared folder, so that the
+    driver holds none of it whatever its size.
+    """
+    lines, schema = [], "section int, at long, value string"
+    for k, (before, rows) in enumerate(sections):
+        numbered = staged(rows.withColumn("at", F.monotonically_increasing_id()).select("at", "value"), "report")
+        first = numbered.agg(F.min("at")).first()[0]
+        lines += [spark.createDataFrame([(k, -1, before)], schema), numbered.select(F.lit(k).alias("section"), "at", F.when(F.col("at") == first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))]
+    return reduce(DataFrame.unionByName, [*lines, spark.createDataFrame([(len(sections), 0, end)], schema)]).orderBy("section", "at").select("value")
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """A document as text files whose names, in order, give its order."""
+    lines.write.mode("overwrite").text(path)
+
+
+def document_lines(lines: DataFrame) -> Iterator[str]:
+    """A document's lines for a terminal, a partition at a time."""
+    return (r["value"] for r in lines.toLocalIterator())
+
+
+def _worst_first(findings: DataFrame) -> DataFrame:
+    return findings.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line", "fingerprint")
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """value: each finding as a SARIF 2.1.0 result."""
+    """value: each finding as a SARIF 2.1.0 result; steps of its data flow (taint_flow: label, file, line, kind, code), where it has them, as a code flow."""
     level = F.coalesce(*[F.when(F.col("severity") == s, F.lit(v)) for s, v in LEVELS.items()], F.lit("warning"))
-    region = F.struct(F.greatest(F.col("line"), F.lit(1)).alias("startLine"), F.greatest(F.col("column"), F.lit(1)).alias("startColumn"))
-    place = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
-    return findings.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("code_snippet").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))).alias("value"))
+    at = lambda file, line, extra=(): F.struct(F.struct(file.alias("uri")).alias("artifactLocation"), F.struct(F.greatest(line, F.lit(1)).alias("startLine"), *extra).alias("region"))
+    place = F.array(F.struct(at(F.col("file"), F.col("line"), [F.greatest(F.col("column"), F.lit(1)).alias("startColumn"), F.struct(F.col("code_snippet").alias("text")).alias("snippet")]).alias("physicalLocation")))
+    own = [F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.coalesce("message", "code_snippet").alias("text") if "message" in findings.columns else F.col("code_snippet").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints")]
+    if "confidence" in findings.columns:
+        own.append(F.struct("confidence").alias("properties"))
+    if "taint_flow" in findings.columns:
+        step = lambda s: F.struct(F.struct(at(s["file"], s["line"], [F.struct(s["code"].alias("text")).alias("snippet")]).alias("physicalLocation"), F.struct(F.concat(s["kind"], F.lit(": "), s["label"]).alias("text")).alias("message")).alias("location"))
+        flow = F.array(F.struct(F.array(F.struct(F.transform("taint_flow", step).alias("locations"))).alias("threadFlows")))
+        own.append(F.when(F.size("taint_flow") > 0, flow).alias("codeFlows"))
+    return findings.select(F.to_json(F.struct(*own)).alias("value"))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -35,12 +73,13 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return each.orderBy("rule_id").select(F.to_json(body).alias("value"))
 
 
-def sarif(findings: DataFrame, tool: str = "riskweave", most: int = 5000) -> str:
-    """A whole SARIF document of the worst findings, with their rules: a report for people, so its size is a parameter."""
-    worst = findings.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line").limit(most)
-    rows, rules = sarif_results(worst).collect(), sarif_rules(worst).collect()
-    joined = lambda x: ",".join(r["value"] for r in x)
-    return f'{{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":[{joined(rules)}]}}}},"results":[{joined(rows)}]}}]}}'
+def sarif(findings: DataFrame, paths: DataFrame | None = None, tool: str = "riskweave") -> DataFrame:
+    """value: the lines of a whole SARIF document: the rules that fired, the worst findings first, and attack paths as properties of the run."""
+    head = f'{{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":{json.dumps(tool)},"rules":['
+    sections = [(head, sarif_rules(findings)), (']}},"results":[', sarif_results(_worst_first(findings)))]
+    if paths is not None:
+        sections.append(('],"properties":{"attackPaths":[', paths.orderBy("path_id").select(F.to_json(F.struct(*paths.columns)).alias("value"))))
+    return document(findings.sparkSession, sections, "]}]}" if paths is None else "]}}]}")
 
 
 def navigator_techniques(counts: DataFrame) -> DataFrame:
@@ -50,17 +89,35 @@ def navigator_techniques(counts: DataFrame) -> DataFrame:
 
 def cyclonedx_components(components: DataFrame) -> DataFrame:
     """value: each component in CycloneDX 1.5 form."""
-    return components.select(F.to_json(F.struct(F.lit("library").alias("type"), "name", "version", "purl", F.when(F.col("dev"), "optional").otherwise("required").alias("scope"))).alias("value"))
+    return components.select(F.to_json(F.struct(F.lit("library").alias("type"), "name", "version", "purl", F.col("purl").alias("bom-ref"), F.when(F.col("dev"), "optional").otherwise("required").alias("scope"))).alias("value"))
+
+
+#: CycloneDX's words for why a dependency isn't affected, by the reason that its use gives.
+JUSTIFICATIONS = {"component_not_imported": "code_not_present", "vulnerable_code_not_in_use": "code_not_reachable"}
 
 
 def cyclonedx_vex(vulnerable: DataFrame) -> DataFrame:
+    """value: each vulnerable dependency as an entry of CycloneDX's vulnerabilities, with what its use says of it.
+
+    vulnerable: name, id, vex_state, vex_reason, and purl, severity, cwe, summary, patched where known.
+    """
+    has = lambda c: F.col(c) if c in vulnerable.columns else F.lit(None).cast("string")
     state = F.when(F.col("vex_state") == "under_investigation", "in_triage").otherwise(F.col("vex_state"))
-    return vulnerable.select(F.to_json(F.struct("id", F.struct(state.alias("state"), F.col("vex_reason").alias("detail")).alias("analysis"), F.array(F.struct(F.col("name").alias("ref"))).alias("affects"))).alias("value"))
+    why = F.coalesce(*[F.when(F.col("vex_reason") == k, F.lit(v)) for k, v in JUSTIFICATIONS.items()])
+    number = F.nullif(F.regexp_extract(has("cwe"), r"(\d+)", 1), F.lit("")).cast("int")
+    body = F.struct(
+        "id", F.array(F.struct(F.lower(F.coalesce(has("severity"), F.lit("unknown"))).alias("severity"))).alias("ratings"), F.array_compact(F.array(number)).alias("cwes"), has("summary").alias("description"),
+        F.concat(F.lit("Upgrade to "), has("patched"), F.lit(" or later.")).alias("recommendation"), F.array(F.struct(F.coalesce(has("purl"), F.col("name")).alias("ref"))).alias("affects"),
+        F.struct(state.alias("state"), why.alias("justification"), F.col("vex_reason").alias("detail")).alias("analysis"),
+    )
+    return vulnerable.select(F.to_json(body).alias("value"))
 
 
 def spdx_packages(components: DataFrame) -> DataFrame:
+    """value: each component as an SPDX 2.3 package."""
     ref = F.concat(F.lit("SPDXRef-"), F.regexp_replace(F.concat_ws("-", "name", "version"), "[^A-Za-z0-9.-]", "-"))
-    return components.select(F.to_json(F.struct(ref.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))).alias("externalRefs"))).alias("value"))
+    outside = F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator")))
+    return components.select(F.to_json(F.struct(ref.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), outside.alias("externalRefs"))).alias("value"))
 
 
 def uuid5(namespace: str, name: Column) -> Column:
@@ -86,26 +143,52 @@ def sigma_rules(rules: DataFrame, patterns: dict[str, tuple[str, ...]] | None =
     )
 
 
-def cyclonedx(components: DataFrame, name: str, most: int = 50_000) -> str:
-    """A whole CycloneDX 1.5 document of a project's components, by name and version; its size is a parameter."""
-    from uuid import uuid5 as named, UUID
+def _serial(components: DataFrame, name: str) -> str:
+    """A UUID that follows from the components, whatever their order."""
+    from uuid import UUID, uuid5 as named
+
+    n, total = components.agg(F.count("*"), F.sum(F.xxhash64("name", "version").cast("decimal(38,0)"))).first()
+    return str(named(UUID(NAMES), f"{name} {n} {total}"))
+
+
+def cyclonedx(components: DataFrame, name: str, vulnerable: DataFrame | None = None) -> DataFrame:
+    """value: the lines of a whole CycloneDX 1.5 document: all components by name and version, and the vulnerable ones with their state."""
+    head = f'{{"bomFormat":"CycloneDX","specVersion":"1.5","serialNumber":"urn:uuid:{_serial(components, name)}","version":1,"metadata":{{"component":{{"type":"application","name":{json.dumps(name)}}}}},"components":['
+    sections = [(head, cyclonedx_components(components.orderBy("name", "version")))]
+    if vulnerable is not None:
+        sections.append(('],"vulnerabilities":[', cyclonedx_vex(vulnerable.orderBy("name", "id"))))
+    return document(components.sparkSession, sections, "]}")
+
+
+def spdx(components: DataFrame, name: str) -> DataFrame:
+    """value: the lines of a whole SPDX 2.3 document: all components, each contained in the document's own package."""
+    head = f'{{"spdxVersion":"SPDX-2.3","dataLicense":"CC0-1.0","SPDXID":"SPDXRef-DOCUMENT","name":{json.dumps(name)},"documentNamespace":"urn:uuid:{_serial(components, name)}","packages":['
+    ordered = components.orderBy("name", "version")
+    made = spdx_packages(ordered)
+    relation = made.select(F.to_json(F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.lit("DESCRIBES").alias("relationshipType"), F.get_json_object("value", "$.SPDXID").alias("relatedSpdxElement"))).alias("value"))
+    return document(components.sparkSession, [(head, made), ('],"relationships":[', relation)], "]}")
+
 
-    rows = cyclonedx_components(components.orderBy("name", "version").limit(most)).collect()
-    body = ",".join(r["value"] for r in rows)
-    return f'{{"bomFormat":"CycloneDX","specVersion":"1.5","serialNumber":"urn:uuid:{named(UUID(NAMES), name + body)}","version":1,"metadata":{{"component":{{"type":"application","name":{json.dumps(name)}}}}},"components":[{body}]}}'
+def _left_out(findings: DataFrame, shown: int, most: int) -> str:
+    """What a display for people doesn't show."""
+    more = findings.count() - shown if shown == most else 0
+    return f"and {more} more" if more > 0 else ""
 
 
 def terminal(findings: DataFrame, most: int = 40) -> str:
-    rows = findings.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line").limit(most).collect()
-    return "\n".join(f"{r['severity']:>8}  {r['rule_id']}  {r['file']}:{r['line']}" for r in rows)
+    """The worst findings, one a line, and how many more there are."""
+    rows = _worst_first(findings).limit(most).collect()
+    lines = [f"{r['severity']:>8}  {r['rule_id']}  {r['file']}:{r['line']}" for r in rows]
+    return "\n".join(x for x in [*lines, _left_out(findings, len(rows), most)] if x)
 
 
 def html(findings: DataFrame, most: int = 500) -> str:
+    """A page of the worst findings, and how many more there are."""
     from html import escape
 
-    rows = findings.orderBy(F.desc(severity_rank(F.col("severity"))), "file", "line").limit(most).collect()
+    rows = _worst_first(findings).limit(most).collect()
     cells = "".join("<tr>" + "".join(f"<td>{escape(str(r[c]))}</td>" for c in ("severity", "rule_id", "file", "line", "code_snippet")) + "</tr>" for r in rows)
-    return f"<table><tr><th>severity<th>rule<th>file<th>line<th>code</tr>{cells}</table>"
+    return f"<table><tr><th>severity<th>rule<th>file<th>line<th>code</tr>{cells}</table>{_left_out(findings, len(rows), most)}"
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:

@@ -60,7 +60,7 @@ def external_redirect(query: Column) -> Column:
     """The first redirect parameter of a query, with its value, that leads to a host which isn't our own; null if none."""
     pairs = F.regexp_extract_all(query, F.lit(rf"(?i)(?:^|&)((?:{REDIRECT_PARAMS})=[^&]+)"), 1)
     host = lambda v: F.regexp_extract(F.trim(F.coalesce(F.try_url_decode(v), v)), r"(?i)^(?:https?:)?//([^/?#]+)", 1)
-    value = lambda p: F.substring(p, F.instr(p, "=") + 1, 10_000)
+    value = lambda p: F.substr(p, F.instr(p, "=") + 1)
     away = F.filter(pairs, lambda p: (host(value(p)) != "") & ~host(value(p)).rlike("(?i)" + INTERNAL_HOST))
     return F.get(away, F.lit(0))
 
