@@ -36,7 +36,7 @@ def _scan(a: argparse.Namespace) -> int:
         rules += extra
         for w in warnings:
             print(f"warning: {w}", file=sys.stderr)
-    config = Config(only=tuple(a.only), skip=tuple(a.skip), min_severity=a.min_severity, disabled=tuple(a.disable), overrides=dict(x.split("=", 1) for x in a.override), framework=a.framework, reachable_only=a.reachable_only, fail_on=a.fail_on, rules=tuple(rules))
+    config = Config(only=tuple(a.only), skip=tuple(a.skip), detectors=tuple(a.detector), skip_detectors=tuple(a.skip_detector), quick=a.quick, min_severity=a.min_severity, disabled=tuple(a.disable), overrides=dict(x.split("=", 1) for x in a.override), framework=a.framework, reachable_only=a.reachable_only, fail_on=a.fail_on, rules=tuple(rules))
     baseline = spark.read.text(a.baseline).withColumnRenamed("value", "fingerprint") if a.baseline else None
     changed = readers.changed_lines(spark, open(a.diff, encoding="utf-8").read()) if a.diff else None
     result = scan(readers.source_files(spark, a.path), config, baseline, changed)
@@ -87,12 +87,13 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("scan")
     s.add_argument("path")
     s.add_argument("--format", choices=("terminal", "json", "sarif", "html"), default="terminal")
-    for name in ("only", "skip", "disable", "override"):
+    for name in ("only", "skip", "disable", "override", "detector", "skip-detector"):
         s.add_argument(f"--{name}", action="append", default=[])
     for name in ("framework", "baseline", "write-baseline", "diff", "pack"):
         s.add_argument(f"--{name}")
     s.add_argument("--min-severity", choices=tuple(RANK), default="info")
     s.add_argument("--fail-on", choices=tuple(RANK), default="high")
+    s.add_argument("--quick", action="store_true", help="without the slow detectors")
     s.add_argument("--reachable-only", action="store_true")
     s.set_defaults(run=_scan)
     b = sub.add_parser("sbom")

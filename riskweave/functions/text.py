@@ -114,20 +114,38 @@ def test_path(path: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    """A name's words in lower case: cut at underscores, other signs and before capitals."""
-    spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
-    return F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda w: w != "")
+    """A name's words in lower case: runs of capitals before a word, words, numbers."""
+    return F.transform(F.regexp_extract_all(name, F.lit(f"({NAME_WORD})"), 1), lambda w: F.lower(w))
+
+
+#: What a word of a name is.
+NAME_WORD = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+# Words that make a name sensitive by themselves, a first and a second word that do together, other pairs, and words written as one.
+SENSITIVE = ("password", "passwd", "pwd", "ssn", "cvv", "cvc", "jwt", "mnemonic", "passphrase")
+SENSITIVE_FIRST = ("api", "secret", "private", "access", "refresh", "session", "auth", "bearer", "client", "signing", "encryption", "totp", "csrf", "recovery", "id", "seed")
+SENSITIVE_SECOND = ("key", "token", "secret", "password", "credential", "phrase", "code")
+SENSITIVE_PAIRS = ("credit card", "card number", "social security", "seed phrase", "recovery code", "session id", "id token")
+SENSITIVE_FUSED = (
+    "(?:api|secret|private|access|refresh|session|auth|bearer|client|signing|encryption)(?:key|token|secret)|accesstoken|refreshtoken|sessiontoken|privatekey|secretkey|apikey|clientsecret|passwordhash|creditcard|cardnumber|seedphrase"
+)
 
 
-#: Words that make a name sensitive by themselves, and pairs that do together.
-SENSITIVE = ("password", "passwd", "secret", "credential", "ssn", "token")
-SENSITIVE_PAIRS = ("api key", "private key", "access key", "credit card", "card number", "birth date")
+def is_sensitive(name: str) -> bool:
+    """sensitive_name() of a Python text."""
+    words = [w.lower() for w in re.findall(NAME_WORD, name)]
+    if any(w in SENSITIVE for w in words):
+        return True
+    if any(a in SENSITIVE_FIRST and b in SENSITIVE_SECOND or f"{a} {b}" in SENSITIVE_PAIRS for a, b in zip(words, words[1:])):
+        return True
+    return bool(re.search(SENSITIVE_FUSED, "".join(words)))
 
 
 def sensitive_name(name: Column) -> Column:
+    """Whether a name is that of something secret, by its words; a null name isn't."""
     words = name_tokens(name)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in SENSITIVE])) | F.arrays_overlap(pairs, F.array(*[F.lit(p) for p in SENSITIVE_PAIRS]))
+    spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    pair = "|".join([f" (?:{'|'.join(SENSITIVE_FIRST)})  (?:{'|'.join(SENSITIVE_SECOND)}) ", *[f" {p.replace(' ', '  ')} " for p in SENSITIVE_PAIRS]])
+    return F.coalesce(spaced.rlike(f" (?:{'|'.join(SENSITIVE)}) |{pair}") | F.array_join(words, "").rlike(SENSITIVE_FUSED), F.lit(False))
 
 
 def url_parts(url: Column) -> Column:
@@ -146,6 +164,15 @@ def dynamic_host(url: Column) -> Column:
     return ~fixed & (u.rlike(r"\$\{") | u.rlike(r"^[A-Za-z_]") | u.rlike(r"\+"))
 
 
+def host_is_dynamic(url: Column) -> Column:
+    """Whether the host of a URL expression may come from data: not a relative URL, none with a literal host, no template that starts with a literal path."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    relative = u.rlike(r"^[`'\"]?\s*(?:/(?!/)|\./|\.\./|\?|#)")
+    literal = u.rlike(r"^[`'\"]?\s*(?:https?:)?//[^/`$'\"\s{]+")
+    start = F.trim(F.regexp_extract(u, r"^`((?:[^$]|\$(?!\{))*)", 1))
+    return ~(relative | literal | (u.startswith("`") & (start != "") & ~F.contains(start, F.lit("://")) & ~start.startswith("//")))
+
+
 def literal_private_ip(host: Column) -> Column:
     """Whether a literal IPv4 host is private, loopback, link-local, multicast, reserved or unspecified; null if not literal."""
     parts = F.split(host, r"\.")

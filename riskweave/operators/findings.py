@@ -106,6 +106,6 @@ def technique_counts(findings: DataFrame) -> DataFrame:
 
 
 def escalated(findings: DataFrame) -> DataFrame:
-    """Data-flow findings whose secret asset is in client-reachable code become critical, with their blast radius."""
-    hit = F.col("rule_id").startswith("dataflow.") & (F.col("data_asset") == "secret") & (F.col("reach_kind") == "client") & F.col("reachable")
-    return findings.withColumn("severity", F.when(hit, F.lit("critical")).otherwise(F.col("severity"))).withColumn("blast_radius", F.when(hit, F.struct(F.lit("client-bundle").alias("boundary"), F.col("data_asset").alias("asset"))))
+    """Data-flow findings whose secret asset is in client-reachable code become critical, with their blast radius: a secret of the server's environment crosses to the client, a credential is in its bundle."""
+    hit = F.col("rule_id").startswith("dataflow.") & F.col("data_asset").isin("secret.env", "secret.credential") & (F.col("reach_kind") == "client") & F.col("reachable")
+    return findings.withColumn("severity", F.when(hit, F.lit("critical")).otherwise(F.col("severity"))).withColumn("blast_radius", F.when(hit, F.struct(F.when(F.col("data_asset") == "secret.env", "server->client").otherwise("into-client-bundle").alias("boundary"), F.col("data_asset").alias("asset"))))

@@ -113,10 +113,45 @@ DIMENSION = [
     ("sqli.template", "Query from data", "critical", "data becomes a query", "bind parameters", "CWE-89"),
     ("xss.raw-html", "Raw HTML", "high", "data becomes markup", "sanitize or render as text", "CWE-79"),
     ("dom.inner-html", "Raw HTML", "high", "data becomes markup", "set text instead", "CWE-79"),
+    ("sqli.tainted-query", "Query from data", "critical", "data from outside becomes a query", "bind parameters", "CWE-89"),
+    ("ssrf.fetch", "Request to a host from data", "high", "data from outside says where a request goes", "allow known hosts only", "CWE-918"),
+    ("open-redirect", "Redirect from data", "medium", "visitors are sent where data says", "redirect to paths of your own", "CWE-601"),
+    ("xss.inner-html", "Raw HTML from data", "high", "data becomes markup", "set text instead", "CWE-79"),
+    ("xss.dangerously-set-inner-html", "Raw HTML from data", "high", "data becomes markup", "sanitize or render as text", "CWE-79"),
+    ("dataflow.sensitive-to-log", "Secret in a log", "high", "a secret is kept where many can read", "log that it is there, not what it is", "CWE-532"),
+    ("dataflow.sensitive-to-response", "Secret in a response", "high", "a secret is sent to a client", "send only what the client needs", "CWE-200"),
+    ("dataflow.sensitive-to-browser-storage", "Secret in browser storage", "high", "any script of the page can read it", "use a cookie that scripts can't read", "CWE-922"),
+    ("dataflow.sensitive-to-thirdparty", "Secret sent to others", "high", "a secret goes to a service of others", "leave it out of what is sent", "CWE-201"),
+    ("ai.excessive-agency-command", "A tool runs commands", "critical", "what a model says becomes a command", "offer fixed commands only", "CWE-78"),
+    ("ai.excessive-agency-code", "A tool runs code", "critical", "what a model says becomes code", "parse instead", "CWE-95"),
+    ("ai.excessive-agency-filesystem", "A tool writes files", "high", "what a model says chooses files", "keep to one folder and fixed names", "CWE-22"),
+    ("ai.excessive-agency-sql", "A tool runs raw queries", "critical", "what a model says becomes a query", "bind parameters", "CWE-89"),
+    ("ai.tool-ssrf", "A tool requests any host", "high", "what a model says chooses hosts", "allow known hosts only", "CWE-918"),
+    ("ai.improper-output-handling", "Output of a model is run", "critical", "what a model says is run", "treat it as data", "CWE-94"),
+    ("ai.prompt-injection-to-agency", "Untrusted prompt with a dangerous tool", "critical", "content of others can steer the tool", "separate such content, or take the tool away", "CWE-94"),
+    ("deps.known-vulnerability", "Known vulnerability", "high", "an advisory covers the version", "upgrade", "CWE-1395"),
+    ("deps.typosquat", "Name like a popular one", "high", "it may have been installed by mistake", "check the name", "CWE-427"),
+    ("supply-chain.dependency-install-script", "Dangerous install script", "critical", "a package runs it when installed", "take the package out", "CWE-506"),
+    ("supply-chain.dependency-script-changed", "Changed install script", "critical", "a package runs something new when installed", "read what has changed", "CWE-506"),
+    ("supply-chain.integrity-changed", "Changed package content", "critical", "the same version has other content", "find out why", "CWE-494"),
+    ("supply-chain.missing-integrity", "Package without a digest", "medium", "its content can't be checked", "write the lockfile anew", "CWE-353"),
+    ("hardening.env-committed", "Environment file in the repository", "critical", "secrets are in its history", "take it out and rotate", "CWE-538"),
+    ("hardening.env-not-gitignored", "Environment file not ignored", "high", "it will be committed some day", "ignore it", "CWE-538"),
+    ("config.missing-security-headers", "No security headers", "medium", "browsers aren't told what to refuse", "set them", "CWE-693"),
+    ("config.disabled-tls-verification", "Certificate checks off", "high", "connections can be read", "trust the certificate instead", "CWE-295"),
     ("tls.verification-off", "Certificate checks off", "high", "connections can be read", "trust the certificate instead", "CWE-295"),
 ]
 
-BRIDGE = [(r.rule_id, t) for r in PACK.values() for t in r.techniques]
+# Techniques of rules that aren't patterns.
+RULE_TECHNIQUES = {
+    "sqli.tainted-query": ("T1190",), "ssrf.fetch": ("T1190",), "open-redirect": ("T1204.001",), "xss.inner-html": ("T1059.007",), "xss.dangerously-set-inner-html": ("T1059.007",), "dataflow.sensitive-to-log": ("T1552.001",), "dataflow.sensitive-to-response": ("T1552",),
+    "dataflow.sensitive-to-browser-storage": ("T1552",), "dataflow.sensitive-to-thirdparty": ("T1567",), "ai.excessive-agency-command": ("T1059",), "ai.excessive-agency-code": ("T1059.007",), "ai.excessive-agency-filesystem": ("T1190",), "ai.excessive-agency-sql": ("T1190",),
+    "ai.tool-ssrf": ("T1190",), "ai.improper-output-handling": ("T1059.007",), "ai.prompt-injection-to-agency": ("T1059.007", "T1190"), "deps.known-vulnerability": ("T1195.001",), "deps.typosquat": ("T1195.002",), "supply-chain.dependency-install-script": ("T1195.002",),
+    "supply-chain.dependency-script-changed": ("T1195.002",), "supply-chain.integrity-changed": ("T1195.002",), "supply-chain.missing-integrity": ("T1195.001",), "hardening.env-committed": ("T1552.001",), "hardening.env-not-gitignored": ("T1552.001",),
+    "config.missing-security-headers": ("T1190", "T1185"), "config.disabled-tls-verification": ("T1557",),
+}
+
+BRIDGE = [*[(r.rule_id, t) for r in PACK.values() for t in r.techniques], *[(r, t) for r, ts in RULE_TECHNIQUES.items() if r not in PACK for t in ts]]
 
 # Technique, tactic.
 TECHNIQUES = [

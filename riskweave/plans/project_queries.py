@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, deps, facts, graph
+from ..operators import checks, dataflow, deps, graph
 from ..operators.rules import Rule, line_findings, multiline_findings
 from ..streaming import logs
 from .packs import FAMILY_RULES
@@ -217,7 +217,7 @@ FLOWS = [
     "const q = req.query.id\nconst sql = `select ${q}`\ndb.query(sql)", "let q = req.query.id\nq = 'fixed'\ndb.query(q)", "import { run as go } from './run'\nconst c = req.body\ngo(c)\ngo('ls')", "const a = req.query.x\nlet b = a\nconst c = b\nconst d = c\nconst e = d\neval(e)", "function f(x) {\n  exec(x)\n}\nf(req.body.cmd)", "const u = escape(req.query.u)\nfetch(u)\nfetch('/fixed')",
     "let p = 1\neval(p)\np = req.body\neval(p)", "function g(x) {\n  const x2 = x\n  res.redirect(x2)\n}\nconst y = location.search\ng(y)",
 ]
-FLOWED = [(0, "sqli.query", 3, "db.query", 0, 3), (2, "injection.command", 3, "go", 1, 3), (3, "injection.eval", 6, "eval", 0, 6), (4, "injection.command", 4, "f", 1, 2), (6, "injection.eval", 4, "eval", 0, 2), (7, "redirect.open", 6, "g", 1, 3)]
+FLOWED = [(0, "sqli.tainted-query", 3, "db.query", 0, 2), (2, "injection.command", 3, "go", 1, 3), (3, "injection.eval", 6, "eval", 0, 2), (4, "injection.command", 4, "f", 1, 3), (6, "injection.eval", 4, "eval", 0, 2), (7, "open-redirect", 6, "g", 1, 3)]
 
 
 @query(f"SELECT 'p' || page_id || '/a.ts' AS file, v.rule_id, v.line::INTEGER AS line, v.code, v.hops::INTEGER AS hops, v.steps::INTEGER AS taint_steps FROM pages JOIN {_values(FLOWED, 'n, rule_id, line, code, hops, steps')} ON v.n = page_id % {len(FLOWS)}")
@@ -225,7 +225,7 @@ def taint_over_one_hop(spark, sf):
     own = _numbered(spark, sf, "pages", "page_id")
     files = own.select(F.concat(F.lit("p"), "k", F.lit("/a.ts")).alias("file"), _texts(FLOWS).alias("text"))
     helper = own.select(F.concat(F.lit("p"), "k", F.lit("/run.ts")).alias("file"), F.lit("export function run(c) {\n  exec(c)\n}").alias("text"))
-    return facts.taint_findings(files.union(helper))
+    return dataflow.taint_findings(files.union(helper))
 
 
 # --- rules: the place of a match, and windows of several sizes over one pattern

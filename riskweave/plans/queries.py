@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.versions import bounds, version, within
-from ..operators import deps, facts, graph, history, paths
+from ..operators import dataflow, deps, graph, history, paths
 from ..operators import findings as fi
 from ..operators.rules import IGNORE, LONGEST_LINE, Rule, line_findings, multiline_findings
 from ..sources import reports
@@ -597,7 +597,8 @@ def _page_files(spark, sf):
 
 @query()
 def call_argument_facts(spark, sf):
-    return facts.facts(_page_files(spark, sf))
+    f = dataflow.facts(_page_files(spark, sf))
+    return f.select("file", "kind", "line", "column", "name", "ord", "value", "shape", "scope", F.array_join(F.transform("carried", lambda c: c["label"]), ",").alias("labels"))
 
 
-from . import project_queries  # noqa: E402,F401  registers its queries
+from . import flow_queries, project_queries  # noqa: E402,F401  register their queries

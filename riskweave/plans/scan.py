@@ -1,4 +1,4 @@
-"""The scan: rules, enrichment, controls, de-duplication, reachability, escalation and paths, as one lazy plan.
+"""The scan: all detectors, enrichment, controls, de-duplication, reachability, escalation and paths, as one lazy plan.
 
 The order is part of the meaning: overrides come after the cap on unshipped code and may raise a severity again, and
 the least severity is applied before escalation, so what it drops doesn't come back.
@@ -6,24 +6,28 @@ the least severity is applied before escalation, so what it drops doesn't come b
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import findings as fi
 from ..operators import graph, paths
-from ..functions.text import fingerprint
-from ..operators.facts import taint_findings
-from ..operators.rules import Rule, findings_of
+from ..operators.rules import Rule
 from ..sources.shared import staged
+from .detectors import Inputs, found_by
 from .packs import WEB_RULES, bridge, dimension
 
 
 @dataclass
 class Config:
+    """only, skip: families of rules (the id up to the first dot); detectors, skip_detectors: names of plans.detectors; quick: without the slow ones."""
+
     only: tuple[str, ...] = ()
     skip: tuple[str, ...] = ()
+    detectors: tuple[str, ...] = ()
+    skip_detectors: tuple[str, ...] = ()
+    quick: bool = False
     min_severity: str = "info"
     disabled: tuple[str, ...] = ()
     overrides: dict[str, str] = field(default_factory=dict)
@@ -37,6 +41,7 @@ class Config:
 class Result:
     findings: DataFrame
     paths: DataFrame
+    steps: DataFrame
     counts: DataFrame
     failed: DataFrame
 
@@ -47,21 +52,21 @@ def chosen(config: Config) -> list[Rule]:
     return [r for r in config.rules if (not config.only or family(r) in config.only) and family(r) not in config.skip]
 
 
-def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None = None, changed: DataFrame | None = None, extra: DataFrame | None = None) -> Result:
-    """files: file, ext, text (see sources.readers.source_files). extra: findings of other detectors, in the same columns.
+def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None = None, changed: DataFrame | None = None, extra: DataFrame | None = None, inputs: Inputs | None = None) -> Result:
+    """files: file, ext, text (see sources.readers.source_files). inputs: tables besides the files; extra: findings of other detectors, in the same columns.
 
-    Findings are written once to the shared folder: findings, paths, counts and the gate read them from there.
+    Findings are written once to the shared folder: findings, paths, their steps, counts and the gate read them from there.
     """
     spark = files.sparkSession
-    found = findings_of(files, chosen(config), config.framework).withColumn("detector_ord", F.lit(0))
+    given = replace(inputs, files=files) if inputs else Inputs(files)
+    found = found_by(replace(given, rules=tuple(chosen(config)), framework=config.framework), config.detectors, config.skip_detectors, config.quick)
     if extra is not None:
-        found = found.unionByName(extra.withColumn("detector_ord", F.lit(1)), allowMissingColumns=True)
-    flows = taint_findings(files).groupBy("rule_id", "file", "line").agg(F.max("taint_steps").alias("taint_steps"), F.min("code").alias("code_snippet"))
-    flows = flows.select("rule_id", "file", "line", F.lit(1).alias("column"), "code_snippet", F.lit("high").alias("confidence"), F.lit("high").alias("severity"), F.lit(len(config.rules)).alias("rule_ord"), fingerprint(F.col("rule_id"), F.col("file"), F.col("line"), F.col("code_snippet")).alias("fingerprint"), "taint_steps", F.lit(2).alias("detector_ord"))
+        found = found.unionByName(extra.withColumn("detector_ord", F.lit(-1)), allowMissingColumns=True)
     family = F.substring_index("rule_id", ".", 1)
     if config.only:
-        flows = flows.filter(family.isin(*config.only))
-    found = found.unionByName(flows.filter(~family.isin(*config.skip)) if config.skip else flows, allowMissingColumns=True)
+        found = found.filter(family.isin(*config.only))
+    if config.skip:
+        found = found.filter(~family.isin(*config.skip))
     found = fi.with_techniques(fi.enrich(found, dimension(spark)), bridge(spark))
     found = fi.controlled(fi.capped_dev_only(found), list(config.disabled), config.overrides)
     found = fi.first_of_each(found, [F.col("detector_ord"), F.col("rule_ord"), F.col("column")])
@@ -69,11 +74,7 @@ def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None
     entries = files.select(F.col("file").alias("rel"), graph.entry_kind(F.col("file"), F.col("text"), config.framework).alias("kind")).filter("kind IS NOT NULL")
     has_entries = not entries.isEmpty()
     reached = graph.reach(entries, graph.edges(files)) if has_entries else None
-    found = graph.annotated(found, reached, has_entries)
-    for name, kind in (("data_asset", "string"), ("kev", "boolean"), ("epss", "double")):
-        if name not in found.columns:
-            found = found.withColumn(name, F.lit(None).cast(kind))
-    found = fi.escalated(found)
+    found = fi.escalated(graph.annotated(found, reached, has_entries))
     if config.reachable_only:
         found = found.filter(F.coalesce("reachable", F.lit(True)))
     if changed is not None:
@@ -81,5 +82,5 @@ def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None
     if baseline is not None:
         found = fi.not_in_baseline(found, baseline)
     found = staged(found, "findings")
-    ways = paths.suppressed(paths.scored_paths(paths.candidate_paths(found), found))
-    return Result(fi.ranked(found), ways, fi.severity_counts(found), fi.gate(found, config.fail_on))
+    ways = staged(paths.suppressed(paths.scored_paths(paths.candidate_paths(found), found)), "paths")
+    return Result(fi.ranked(found), ways, paths.path_steps(ways, found), fi.severity_counts(found), fi.gate(found, config.fail_on))

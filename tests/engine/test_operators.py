@@ -174,7 +174,9 @@ def test_chain_query_equals_brute_force(spark, sf):
     role = lambda r, name: r.rule_id in paths.ROLE_IDS.get(name, ()) or r.rule_id.startswith(tuple(paths.ROLE_STARTS.get(name, ())))
 
     def why(x, y):
-        secret = role(y, "secret") and y.rule_id not in paths.PUBLIC_SECRETS and y.reachable
+        # A secret that an attacker could reach: not public by design, not of a test, not proven dead.
+        held = lambda r: role(r, "secret") and r.rule_id not in paths.PUBLIC_SECRETS and ".test." not in r.file and r.reachable is not False
+        secret = held(y)
         if x.reachable is False or y.reachable is False:
             return None
         if role(x, "open_door") and (role(y, "code_exec") or role(y, "browser_exec")) and x.reach_entrypoint == y.reach_entrypoint and y.reachable:
@@ -187,7 +189,7 @@ def test_chain_query_equals_brute_force(spark, sf):
             return "missing-control"
         if role(x, "browser_exec") and any(role(y, r) for r in ("token_store", "data_leak", "sensitive_egress")) and y.reachable:
             return "script-reads-data"
-        if role(x, "secret") and x.rule_id not in paths.PUBLIC_SECRETS and x.reachable and (role(y, "sensitive_egress") or role(y, "data_leak")):
+        if held(x) and (role(y, "sensitive_egress") or role(y, "data_leak")):
             return "secret-carried-out"
         return None
 
