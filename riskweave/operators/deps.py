@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.versions import bounds, version, within
+from ..functions.versions import affected_ranges, base_score, range_text, severity_of_score, version, within_any
 
 
 def merged_dependencies(declared: DataFrame, by: str = "project_id") -> DataFrame:
@@ -19,13 +19,12 @@ def framework(names: Column) -> Column:
 
 
 def known_vulnerabilities(deps: DataFrame, advisories: DataFrame, kev: DataFrame | None = None, epss: DataFrame | None = None, usage: DataFrame | None = None) -> DataFrame:
-    """Dependencies within an advisory's range: an equi join on the name, the range as a further condition.
+    """Dependencies within an advisory's range: an equi join on the name, the range (alternatives set apart by ||) as a further condition.
 
     deps: name, declared; advisories: package, id, vulnerable_range, severity, and cve, symbols where known. An advisory that is
     exploited is critical; one whose symbols aren't used, and that isn't exploited, is low.
     """
-    a = advisories.withColumn("r", bounds(F.col("vulnerable_range")))
-    out = deps.withColumn("v", version(F.col("declared"))).join(a, F.col("name") == F.col("package")).filter(within(F.col("v"), F.col("r"))).drop("v", "r", "package")
+    out = deps.withColumn("__v", version(F.col("declared"))).join(advisories, F.col("name") == F.col("package")).filter(within_any(F.col("__v"), F.col("vulnerable_range"))).drop("__v", "package")
     if kev is not None:
         out = out.join(kev.select(F.upper("cve").alias("k_cve")).distinct(), F.upper("cve") == F.col("k_cve"), "left").withColumn("kev", F.col("k_cve").isNotNull()).drop("k_cve")
     else:
@@ -40,6 +39,26 @@ def known_vulnerabilities(deps: DataFrame, advisories: DataFrame, kev: DataFrame
     return out
 
 
+def advisories_from_records(records: DataFrame, ecosystem: str = "npm") -> DataFrame:
+    """package, id, cve, vulnerable_range, patched, severity, summary: a row for each package of the ecosystem that a record affects.
+
+    records: id, aliases, summary, severity array<struct<type, score>>, database_specific struct<severity>, affected
+    array<struct<package struct<ecosystem, name>, ranges array<struct<type, events>>>>. A package's lists of events
+    become disjoint ranges. The severity is the stated one, else that of the vector's score, else high. Without a range of versions there is no row.
+    """
+    each = records.select("*", F.explode("affected").alias("a")).filter((F.col("a.package.ecosystem") == ecosystem) & F.col("a.package.name").isNotNull())
+    lists = F.transform(F.filter("a.ranges", lambda r: r["type"].isin("SEMVER", "ECOSYSTEM")), lambda r: r["events"])
+    per = each.select("id", "aliases", "summary", "severity", "database_specific", F.col("a.package.name").alias("package"), lists.alias("lists"))
+    per = per.groupBy("package", "id").agg(F.flatten(F.collect_list("lists")).alias("lists"), *[F.first(c).alias(c) for c in ("aliases", "summary", "severity", "database_specific")])  # one row an affected entry
+    per = per.withColumn("ranges", affected_ranges(F.col("lists"))).filter(F.size("ranges") > 0)
+    stated = F.lower("database_specific.severity")
+    stated = F.when(stated == "moderate", "medium").when(stated.isin("critical", "high", "medium", "low"), stated)
+    scored = severity_of_score(F.array_max(F.transform("severity", lambda s: base_score(s["score"]))))
+    cve = F.get(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(0))
+    last = F.element_at("ranges", -1)
+    return per.select("package", "id", F.coalesce(cve, F.when(F.col("id").startswith("CVE-"), F.col("id"))).alias("cve"), range_text(F.col("ranges")).alias("vulnerable_range"), F.when(~last["through"], last["hi"]).alias("patched"), F.coalesce(stated, scored, F.lit("high")).alias("severity"), F.trim("summary").alias("summary"))
+
+
 def used(symbols: Column, package_used: Column, used_symbols: Column, unresolved: Column) -> Column:
     """Three-valued: whether any of an advisory's symbols is used; null if that can't be told."""
     return F.when(~F.coalesce(package_used, F.lit(False)), F.lit(False)).when(F.coalesce(F.size(symbols), F.lit(0)) <= 0, F.lit(None).cast("boolean")).when(F.arrays_overlap(symbols, used_symbols), F.lit(True)).when(unresolved, F.lit(None).cast("boolean")).otherwise(F.lit(False))

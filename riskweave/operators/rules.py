@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,11 +62,57 @@ def load_pack(entries: list[dict]) -> tuple[list[Rule], list[str]]:
     return rules, warnings
 
 
+#: Signs that are rare enough in text to look for by themselves.
+RARE_SIGNS = frozenset("@$`<{")
+
+
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case texts of which every match of a pattern holds at least one; empty if that can't be told.
+
+    Of a sequence's parts the one whose shortest text is longest counts; of alternatives all must have some.
+    """
+    worth = lambda texts: min(map(len, texts))
+
+    def of(parts) -> tuple[str, ...]:
+        found, run = [], ""
+
+        def ended() -> None:
+            nonlocal run
+            if len(run) > 2 or run and set(run) & RARE_SIGNS:
+                found.append((run.lower(),))
+            run = ""
+
+        for op, value in parts:
+            name = str(op)
+            if name == "LITERAL" and value < 128:
+                run += chr(value)
+                continue
+            ended()
+            inner: tuple[str, ...] = ()
+            if name == "SUBPATTERN":
+                inner = of(value[-1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                inner = of(value[2])
+            elif name == "ATOMIC_GROUP":
+                inner = of(value)
+            elif name == "BRANCH":
+                each = [of(b) for b in value[1]]
+                inner = tuple(x for e in each for x in e) if all(each) else ()
+            if inner:
+                found.append(inner)
+        ended()
+        return max(found, key=worth, default=())
+
+    return tuple(sorted(set(of(re._parser.parse(pattern)))))
+
+
 def _applies(rule: Rule, columns: list[str], framework: str | None) -> Column | None:
-    """The file-level condition of a rule; None if it can't apply."""
+    """The file-level condition of a rule; None if it can't apply. A look for the pattern's literals comes first: most files hold none of them."""
     if rule.frameworks and framework not in (None, "unknown", *rule.frameworks):
         return None
     ok = F.lit(True)
+    if literals := required_literals(rule.regex):
+        ok &= reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(x)) for x in literals])
     if rule.languages and "ext" in columns:
         ok &= F.col("ext").isin(*rule.languages)
     if rule.paths and "file" in columns:
@@ -82,11 +129,13 @@ def line_findings(files: DataFrame, rules: list[Rule], framework: str | None = N
     """rule_id, file, line, column, code_snippet, confidence, severity, rule_ord, fingerprint: the first match of each rule in each line.
 
     All rules are one projection over each line, exploded where they hit, so a corpus is read and cut into lines once.
-    What a rule asks of the whole file is decided before the lines are cut.
+    What a rule asks of the whole file is decided before the lines are cut, its pattern's literals first, and files in
+    which no rule can match aren't cut at all.
     """
     rules = [r for r in rules if not r.multiline]
     chosen = [(k, r, c) for k, r in enumerate(rules) if (c := _applies(r, files.columns, framework)) is not None]
     src = files.select(F.col(key).alias("file"), "text", F.array(*[c for *_, c in chosen]).alias("on")) if chosen else files.select(F.col(key).alias("file"), "text", F.array().cast("array<boolean>").alias("on"))
+    src = src.filter(F.exists("on", lambda x: x))
     lines = src.select("file", "on", F.posexplode(F.split("text", "\n")).alias("i", "line_text")).withColumn("line", F.col("i") + 1)
     windows = {(r.exclude_window, r.window): None for _, r, _ in chosen if r.exclude_window}
     for n, (pattern, size) in enumerate(windows):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.versions import base_score, severity_of_score
 from ..operators import checks, dataflow, deps, graph
 from ..operators.rules import Rule, line_findings, multiline_findings
 from ..streaming import logs
@@ -86,6 +87,56 @@ def vex_states(spark, sf):
     return deps.known_vulnerabilities(d, notices, usage=_usage(spark, sf)).select("p_partkey", "id", "vex_state")
 
 
+# --- advisories from records of events: two lists a record, the digits of a number say where they begin and end
+
+_E = ["(p_partkey % 4)", "(p_partkey // 4 % 3 + 1)", "(p_partkey // 12 % 7)", "(p_partkey // 84 % 3)", "(p_partkey // 252 % 3)"]  # first begin, length; second begin, length; how the second ends
+_E_SQL = ", ".join(f"{e} AS {n}" for e, n in zip(_E, "abcde", strict=True))
+
+
+@query(
+    f"WITH r AS (SELECT p_partkey, {_E_SQL} FROM part) SELECT p_partkey, v::INTEGER AS v, CASE e WHEN 2 THEN NULL WHEN 1 THEN CASE WHEN a + b > c + d AND a <= c + d THEN (a + b)::VARCHAR || '.0.0' WHEN a > c + d THEN (a + b)::VARCHAR || '.0.0' END ELSE greatest(a + b, c + d + 1)::VARCHAR || '.0.0' END AS patched "
+    "FROM r, range(0, 12) AS t(v) WHERE (v >= a AND v < a + b) OR (v >= c AND CASE e WHEN 2 THEN true WHEN 1 THEN v <= c + d ELSE v < c + d + 1 END)"
+)
+def advisory_ranges(spark, sf):
+    """Which of twelve versions each part's record covers: a list that ends with a fix, and one that ends with a fix, with a last version or not at all."""
+    p = _t(spark, sf, "part").selectExpr("p_partkey", *[f"cast({e.replace('//', 'DIV')} AS int) AS {n}" for e, n in zip(_E, "abcde", strict=True)])
+    at = lambda x: F.concat(x.cast("string"), F.lit(".0.0"))
+    none = F.lit(None).cast("string")
+    event = lambda introduced=none, fixed=none, last=none: F.struct(introduced.alias("introduced"), fixed.alias("fixed"), last.alias("last_affected"))
+    first = F.array(event(introduced=F.when(F.col("a") == 0, "0").otherwise(at(F.col("a")))), event(fixed=at(F.col("a") + F.col("b"))))
+    end = F.col("c") + F.col("d")
+    second = F.array(event(introduced=at(F.col("c"))), event(fixed=F.when(F.col("e") == 0, at(end + 1)), last=F.when(F.col("e") == 1, at(end))))
+    ranges = F.array(*[F.struct(F.lit("SEMVER").alias("type"), x.alias("events")) for x in (second, first)])
+    name = F.concat(F.lit("n"), "p_partkey")
+    affected = F.array(F.struct(F.struct(F.lit("npm").alias("ecosystem"), name.alias("name")).alias("package"), ranges.alias("ranges")))
+    records = p.select(F.lit("X-1").alias("id"), F.array(F.lit("CVE-1")).alias("aliases"), F.lit("s").alias("summary"), F.array().cast("array<struct<type:string,score:string>>").alias("severity"), F.lit(None).cast("struct<severity:string>").alias("database_specific"), affected.alias("affected"))
+    versions = p.select("p_partkey", name.alias("name"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("v")).withColumn("declared", at(F.col("v")))
+    return deps.known_vulnerabilities(versions, deps.advisories_from_records(records)).select("p_partkey", "v", "patched")
+
+
+_M = [("AV", "NALP"), ("AC", "LH"), ("PR", "NLH"), ("UI", "NR"), ("S", "UC"), ("C", "HLN"), ("I", "HLN"), ("A", "HLN")]
+
+
+def _metrics(div: str) -> list[str]:
+    out, below = [], 1
+    for _, letters in _M:
+        out.append(f"substr('{letters}', cast((o_orderkey {div} {below}) % {len(letters)} AS int) + 1, 1)")
+        below *= len(letters)
+    return out
+
+
+@query(
+    f"WITH m AS (SELECT o_orderkey, {', '.join(f'{e} AS m{n}' for (n, _), e in zip(_M, _metrics('//'), strict=True))} FROM orders), w AS (SELECT *, 1 - (1 - CASE mC WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END) * (1 - CASE mI WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END) * (1 - CASE mA WHEN 'H' THEN 0.56::DOUBLE WHEN 'L' THEN 0.22 ELSE 0 END) AS loss, "
+    "8.22::DOUBLE * CASE mAV WHEN 'N' THEN 0.85 WHEN 'A' THEN 0.62 WHEN 'L' THEN 0.55 ELSE 0.2 END::DOUBLE * CASE mAC WHEN 'L' THEN 0.77 ELSE 0.44 END::DOUBLE * CASE WHEN mPR = 'N' THEN 0.85 WHEN mPR = 'L' AND mS = 'C' THEN 0.68 WHEN mPR = 'L' THEN 0.62 WHEN mS = 'C' THEN 0.5 ELSE 0.27 END::DOUBLE * CASE mUI WHEN 'N' THEN 0.85 ELSE 0.62 END::DOUBLE AS ease FROM m), "
+    "i AS (SELECT *, CASE mS WHEN 'C' THEN 7.52::DOUBLE * (loss - 0.029::DOUBLE) - 3.25::DOUBLE * pow(loss - 0.02::DOUBLE, 15) ELSE 6.42::DOUBLE * loss END AS impact FROM w), s AS (SELECT o_orderkey, CASE WHEN impact <= 0 THEN 0 ELSE ceil(round(least(CASE mS WHEN 'C' THEN 1.08::DOUBLE ELSE 1 END * (impact + ease), 10) * 100000)::BIGINT / 10000.0) / 10 END::DOUBLE AS score FROM i) "
+    "SELECT o_orderkey, score, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score > 0 THEN 'low' END AS severity FROM s"
+)
+def vector_scores(spark, sf):
+    """Base scores of vectors put together from the digits of each order's number."""
+    parts = [F.concat(F.lit(f"/{n}:"), F.expr(e)) for (n, _), e in zip(_M, _metrics("DIV"), strict=True)]
+    return _t(spark, sf, "orders").select("o_orderkey", base_score(F.concat(F.lit("CVSS:3.1"), *parts)).alias("score")).withColumn("severity", severity_of_score(F.col("score")))
+
+
 # --- configuration, environment files, installed scripts, responses
 
 CONFIGS = [

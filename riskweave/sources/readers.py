@@ -60,6 +60,12 @@ def advisories(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.groupBy("package", "id").agg(F.min_by(F.struct("cve", "vulnerable_range", "patched", "severity", "symbols"), "source").alias("a")).select("package", "id", "a.*")
 
 
+def advisory_records(spark: SparkSession, path: str) -> DataFrame:
+    """Advisory records with lists of events, one JSON text a line, as deps.advisories_from_records() asks for them."""
+    shape = "id string, aliases array<string>, summary string, severity array<struct<type:string,score:string>>, database_specific struct<severity:string>, affected array<struct<package:struct<ecosystem:string,name:string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>>>"
+    return spark.read.schema(shape).json(path)
+
+
 def changed_lines(spark: SparkSession, diff_text: str) -> DataFrame:
     """file, line of a unified diff's new side; a hunk that only deletes marks one line."""
     lines = spark.createDataFrame([(n, t) for n, t in enumerate(diff_text.split("\n"))], "n long, t string")  # a diff under review, on the driver already

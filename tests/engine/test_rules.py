@@ -91,3 +91,22 @@ def test_every_family_rule_has_examples():
     assert [e[0] for e in EXAMPLES] == [r.rule_id for r in FAMILY_RULES]
     rules, warnings = load_pack([{"rule_id": r.rule_id, "regex": r.regex} for r in FAMILY_RULES])
     assert len(rules) == len(FAMILY_RULES) and not warnings
+
+
+def test_required_literals_are_in_every_match(spark):
+    import re
+    import sys
+
+    from riskweave.operators.rules import Rule, line_findings, required_literals
+    from riskweave.plans.packs import TEXT_RULES, WEB_RULES
+    from riskweave.plans.project_queries import EXAMPLES
+
+    assert required_literals("(?i)Pass(word|wd)\\s*=") == ("pass",) and required_literals("a|eval\\(") == () and required_literals("(call|exec)[(]x") == ("call", "exec") and required_literals("[a-z]+@[a-z]+") == ("@",) and required_literals("(token)?[=:]x") == () and required_literals("(ab+c|defg)+hello!") == ("hello!",)
+    rules = {r.rule_id: r for r in [*TEXT_RULES, *WEB_RULES]}
+    assert sum(bool(required_literals(r.regex)) for r in rules.values()) > 0.9 * len(rules)
+    for rule, yes, _ in EXAMPLES:
+        literals = required_literals(rules[rule].regex)
+        found = re.search(rules[rule].regex, yes)
+        assert not found or not literals or any(x in found[0].lower() for x in literals), rule
+    files = spark.createDataFrame([("a", "x\nPASSWORD = k\n"), ("b", "nothing"), ("c", "1.2.3.4 token"), ("d", None)], "file string, text string")
+    assert sorted((r.file, r.rule_id, r.line) for r in line_findings(files, TEXT_RULES).collect()) == [("a", "secret.assigned-value", 2), ("c", "info-leak.host-address", 1)]
