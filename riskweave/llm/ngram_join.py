@@ -459,8 +459,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str,
     own = sets.filter(F.col("cells").isNull()).select("doc_id", "key", "n", "sid")
     sketch = _sketch(sets)
     shared = spark.sparkContext.broadcast(sketch)
-    seed = _seed(own)
-    node = F.xxhash64("sid", F.lit(seed))
+    node = _node(own)
     own = own.withColumn("node", node)
 
     prefixes = mapped(docs, _prefixes(words, percent, shared), "sid binary, n long, grams array<long>, often array<boolean>").select(node.alias("node"), F.col("n").cast("int").alias("n"), "grams", "often").groupBy("node", "n").agg(F.first("grams").alias("grams"), F.first("often").alias("often"))
@@ -536,14 +535,38 @@ def _grouped(docs: DataFrame, words: int, percent: int, doc_id: str, text: str,
     return out.select(*columns)
 
 
-def _seed(own: DataFrame) -> int:
-    """A seed under which all 16-byte set ids have 64-bit hashes of their own."""
-    seed = 0
+#: Set ids of colliding hashes that a plan may name, at most; some ten are expected among 2e10 texts.
+MOST_CLASHES = 10_000
+
+
+def _hashed(sid: Column, seed: int) -> Column:
+    return F.xxhash64(sid, F.lit(seed))
+
+
+def _node(own: DataFrame, hashed=_hashed) -> Column:
+    """A 64-bit number of a set from its 16-byte id, another for each id: a hash, and for the few ids whose hashes collide one under another seed.
+
+    Of ids that share a number all but the smallest are hashed anew, and only those, until none do.
+    """
+    ids = own.select("sid").distinct()
+    again: dict[bytes, int] = {}
+
+    def node() -> Column:
+        out = hashed(F.col("sid"), 0)
+        for sid, seed in again.items():
+            out = F.when(F.col("sid") == F.lit(sid), hashed(F.col("sid"), seed)).otherwise(out)
+        return out
+
     while True:
-        ids = own.select("sid").distinct().groupBy(F.xxhash64("sid", F.lit(seed)).alias("node")).agg(F.count("*").alias("sids"))
-        if ids.filter("sids > 1").isEmpty():
-            return seed
-        seed += 1
+        clashes = ids.groupBy(node().alias("node")).agg(F.count("*").alias("sids"), F.min("sid").alias("stays")).filter("sids > 1")
+        met = ids.withColumn("own", node()).join(clashes, F.col("own") == F.col("node")).filter(F.col("sid") != F.col("stays")).select("sid") if not clashes.isEmpty() else None
+        if met is None:
+            return node()
+        found = [bytes(r["sid"]) for r in met.limit(MOST_CLASHES + 1).collect()]
+        if len(found) + len(again) > MOST_CLASHES:
+            raise ValueError(f"over {MOST_CLASHES} set ids have colliding hashes")
+        for sid in found:
+            again[sid] = again.get(sid, 0) + 1
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

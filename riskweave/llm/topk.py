@@ -4,8 +4,9 @@ Vectors are numbered in the order of their ids and cut into shards, ranges of so
 blocks with a forward index (a matrix) and each term's maximum and minimum. A query's bound for a range is the sum over
 its terms of the larger product. Each query is first searched in the shard of its highest bound, which gives a k-th score
 to beat, and then only in the shards whose bounds reach it; in a shard, blocks are taken in the order of their bounds
-until the next bound is below the k-th score. Groups of queries meet shards in tasks of their own, so a task holds one
-group and one shard, whatever the table's size.
+until the next bound is below the k-th score. Groups of queries meet shards, and shares of the shards' bounds, in tasks
+of their own, so a task holds one group and one shard or share, whatever the table's size; only bounds that reach the
+score to beat leave it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .vectors import best, matrix, once_each, top_rows, usable
 SHARD_ROWS = 8192
 GROUP_QUERIES = 2048
 BLOCK_ROWS = 256
+#: Shards that a task bounds for a group of queries.
+SHARDS_A_TASK = 1024
 #: Integers below this are exact in double precision.
 EXACT = 1 << 53
 
@@ -73,7 +76,7 @@ class Blocks:
         return scores, ids, done
 
 
-def exact_top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "vector", shard_rows: int = SHARD_ROWS, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "vector", shard_rows: int = SHARD_ROWS, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS, shards_a_task: int = SHARDS_A_TASK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query row with every other row.
 
     vectors: integer components; is_query: a Column over them. Vectors that are null, empty, or hold a null take no part;
@@ -83,18 +86,23 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id
     long they stop at its ends.
     """
     rows = picked(vectors.withColumn("__query", is_query), vec_id=vec_id, v=vector, is_query="__query").filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
-    rows = _sharded(rows.withColumn("d", F.size("v")), shard_rows)
-    q = rows.filter("is_query").count()
+    rows = staged(rows.withColumn("d", F.size("v")), "vectors")
+    n, q = rows.agg(F.count("*"), F.count_if("is_query")).first()
     groups = max(1, -(-q // group_queries))
     asked = rows.filter("is_query").select("d", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v", F.monotonically_increasing_id().alias("row"))
-    asked = staged(asked, "queries")
-    bounds = staged(_bounds(asked, rows, groups), "bounds")
+    if n <= shard_rows:  # one shard: nothing to choose from
+        asked = staged(asked, "queries")
+        rows = rows.withColumn("shard", F.lit(0).cast("long"))
+        return top_rows(_searched(asked.select("row", F.lit(0).cast("long").alias("shard")), asked, rows, k, block_rows, None).select("query_id", "vec_id", "score"), k)
+    rows, asked = _sharded(rows, shard_rows), staged(asked, "queries")
+    ends = staged(_ends(rows, shards_a_task), "ends")
     # The best shard of each query gives a score to beat; a query with fewer rows there than it asks for beats everything.
-    best_of = Window.partitionBy("row").orderBy(F.desc("bound"), "shard")
-    ranked = bounds.withColumn("n", F.row_number().over(best_of))
-    first = staged(_searched(ranked.filter("n = 1").select("row", "shard"), asked, rows, k, block_rows, None), "first")
+    best = _bounded(asked.withColumns({"done": F.lit(None).cast("long"), "beat": F.lit(None).cast("long")}), ends, True)
+    best = staged(best.groupBy("row").agg(F.max(F.struct("bound", (-F.col("shard")).alias("s"))).alias("b")).select("row", (-F.col("b.s")).alias("shard")), "best")
+    first = staged(_searched(best, asked, rows, k, block_rows, None), "first")
     beat = first.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("beat")).filter(F.col("n") >= k).select(F.col("row").alias("b_row"), "beat")
-    rest = ranked.filter("n > 1").join(beat, F.col("row") == F.col("b_row"), "left").filter(F.col("beat").isNull() | (F.col("bound") >= F.col("beat")))
+    told = asked.join(best.select(F.col("row").alias("d_row"), F.col("shard").alias("done")), F.col("row") == F.col("d_row")).join(beat, F.col("row") == F.col("b_row"), "left").drop("d_row", "b_row")
+    rest = _bounded(told, ends, False)
     found = first.unionByName(_searched(rest.select("row", "shard", "beat"), asked, rows, k, block_rows, "beat"))
     return top_rows(found.select("query_id", "vec_id", "score"), k)
 
@@ -108,24 +116,43 @@ def _sharded(rows: DataFrame, shard_rows: int) -> DataFrame:
     return staged(numbered.select("d", "vec_id", "v", "is_query", F.floor((F.col("base") + F.col("within") - 1) / shard_rows).alias("shard")), "shards")
 
 
-_BOUNDS = pa.schema([("row", pa.int64()), ("shard", pa.int64()), ("bound", pa.int64())])
+_BOUNDS = pa.schema([("row", pa.int64()), ("shard", pa.int64()), ("bound", pa.int64()), ("beat", pa.int64())])
 
 
-def _bounds(asked: DataFrame, rows: DataFrame, groups: int) -> DataFrame:
-    """row, shard, bound: for each query and each shard that holds vectors of its length, the most that a score can be."""
+def _ends(rows: DataFrame, shards_a_task: int) -> DataFrame:
+    """d, shard, most, least, share: each term's maximum and minimum, a row for each shard and length; a share has so many shards at most."""
     terms = rows.select("d", "shard", F.posexplode("v").alias("i", "x")).groupBy("d", "shard", "i").agg(F.max("x").alias("most"), F.min("x").alias("least"))
     ends = terms.groupBy("d", "shard").agg(F.array_sort(F.collect_list(F.struct("i", "most", "least"))).alias("t"))  # one struct a component
-    ends = ends.select("d", "shard", F.col("t.most").alias("most"), F.col("t.least").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    return ends.select("d", "shard", F.col("t.most").alias("most"), F.col("t.least").alias("least"), F.floor(F.col("shard") / shards_a_task).alias("share"))
 
-    def bound(mine, theirs):
-        if not len(mine) or not len(theirs):
+
+def _bounded(asked: DataFrame, ends: DataFrame, best: bool) -> DataFrame:
+    """row, shard, bound, beat: the most that a query's score can be in a shard.
+
+    best: only the query's best shard of each share, ties to the smaller; else those besides `done` that reach `beat`
+    (null: all). A task meets one group of queries with one share of shards.
+    """
+    shares = ends.select(F.col("d").alias("s_d"), F.col("share").alias("s_share")).distinct()
+    mine = asked.join(shares, F.col("d") == F.col("s_d")).withColumnRenamed("s_share", "share")
+    parts = asked.select(F.col("d").alias("p_d"), F.col("part").alias("p_part")).distinct()
+    theirs = ends.join(parts, F.col("d") == F.col("p_d")).select("p_d", "p_part", F.col("share").alias("p_share"), "shard", "most", "least")
+
+    def bound(ours, others):
+        if not len(ours) or not len(others):
             return _BOUNDS.empty_table()
-        qs, most, least = exact_matrices(*(matrix(t.column(c), np.int64) for t, c in ((mine, "v"), (theirs, "most"), (theirs, "least"))))
+        others = others.sort_by("shard")
+        qs, most, least = exact_matrices(*(matrix(t.column(c), np.int64) for t, c in ((ours, "v"), (others, "most"), (others, "least"))))
         top = np.maximum(qs, 0) @ most.T + np.minimum(qs, 0) @ least.T
-        row, shard = np.meshgrid(mine.column("row").to_numpy(), theirs.column("shard").to_numpy(), indexing="ij")
-        return pa.table([pa.array(row.ravel()), pa.array(shard.ravel()), pa.array(longs(top).ravel())], schema=_BOUNDS)
+        shards, lowest = others.column("shard").to_numpy(), lowest_of(qs.dtype)
+        if best:
+            at = np.arange(len(qs)), top.argmax(1)
+        else:
+            beat = np.array([lowest if x is None else x for x in ours.column("beat").to_pylist()], dtype=qs.dtype)
+            done = np.array([-1 if x is None else x for x in ours.column("done").to_pylist()])
+            at = np.nonzero((top >= beat[:, None]) & (shards != done[:, None]))
+        return pa.table([ours.column("row").combine_chunks().take(pa.array(at[0])), pa.array(shards[at[1]]), pa.array(longs(top[at])), ours.column("beat").combine_chunks().take(pa.array(at[0]))], schema=_BOUNDS)
 
-    return asked.groupBy("d", "part").cogroup(ends.groupBy("d", "part")).applyInArrow(bound, "row long, shard long, bound long")
+    return mine.groupBy("d", "part", "share").cogroup(theirs.groupBy("p_d", "p_part", "p_share")).applyInArrow(bound, "row long, shard long, bound long, beat long")
 
 
 def exact_matrices(*matrices: np.ndarray) -> list[np.ndarray]:
@@ -150,8 +177,8 @@ def _searched(pairs: DataFrame, asked: DataFrame, rows: DataFrame, k: int, block
     least = F.col(beat) if beat else F.lit(None).cast("long")
     mine = pairs.select(F.col("row").alias("p_row"), "shard", least.alias("beat")).join(asked, F.col("p_row") == F.col("row")).select("d", "shard", "part", "row", "vec_id", "v", "beat")
     # Candidates go only to the groups that ask their shard.
-    wanted = mine.select(F.col("shard").alias("w_shard"), F.col("part").alias("w_part")).distinct()
-    theirs = rows.join(wanted, F.col("shard") == F.col("w_shard")).select(F.col("d").alias("w_d"), "w_shard", "w_part", "vec_id", "v")
+    wanted = mine.select(F.col("d").alias("w_d"), F.col("shard").alias("w_shard"), F.col("part").alias("w_part")).distinct()
+    theirs = rows.join(wanted, (F.col("shard") == F.col("w_shard")) & (F.col("d") == F.col("w_d"))).select("w_d", "w_shard", "w_part", "vec_id", "v")
 
     def search(ours, others):
         if not len(ours) or not len(others):

@@ -182,3 +182,26 @@ def test_one_row_of_each_group_stays(spark):
     want = {(3, near), (3, far), (None, "alone one two three four five"), (None, None), (9, None), (9, "")}
     assert {(r.doc_id, r.text) for r in kept.collect()} == want
     assert ngram_join.representatives(df.filter("false")).collect() == []
+
+
+def test_colliding_hashes_are_told_apart(spark):
+    """A hash of eight values for the first seed, and one of a few more for the next: every set id gets a number of its own."""
+    from riskweave.llm.ngram_join import _node
+
+    own = spark.createDataFrame([(bytes([i, i + 1]),) for i in range(40)] * 2, "sid binary")
+    weak = lambda sid, seed: F.pmod(F.xxhash64(sid, F.lit(seed)), F.lit(8 if not seed else 1 << (4 + 4 * seed)))
+    numbers = own.select("sid", _node(own, weak).alias("node")).distinct()
+    assert numbers.count() == 40 and numbers.select("node").distinct().count() == 40
+    assert own.select(_node(own).alias("node")).distinct().count() == 40
+
+
+def test_join_over_colliding_hashes_equals_the_plain_one(spark, monkeypatch):
+    from riskweave.llm import ngram_join
+
+    rows = [(i, f"text number {i // 2} of these many words that are all alike but {'one' if i % 2 else 'some'}") for i in range(12)] + [(20, None), (21, "word"), (22, "word")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, ngram_join.join(docs, words=3, percent=60).collect()))
+    real = ngram_join._node
+    weak = lambda sid, seed: F.pmod(F.xxhash64(sid, F.lit(seed)), F.lit(3 if not seed else 1 << (8 * seed)))
+    monkeypatch.setattr(ngram_join, "_node", lambda own: real(own, weak))
+    assert sorted(map(tuple, ngram_join.join(docs, words=3, percent=60).collect())) == plain

@@ -42,7 +42,7 @@ def test_exact_odd_rows(spark):
     df = odd_vectors(spark).filter(usable(F.col("vector"))).withColumn("vector", quantized(F.col("vector")))
     rows = [(i, v) for i, v in df.select("vec_id", "vector").collect() if i is not None]
     for size in (1, 100):
-        assert answers(exact_top_k(df, F.col("vec_id") % 10 == 0, 3, shard_rows=size, group_queries=size, block_rows=2)) == brute(rows, lambda i: i % 10 == 0, 3)
+        assert answers(exact_top_k(df, F.col("vec_id") % 10 == 0, 3, shard_rows=size, group_queries=size, block_rows=2, shards_a_task=2)) == brute(rows, lambda i: i % 10 == 0, 3)
     assert exact_top_k(df.filter("false"), F.lit(True)).collect() == []
     huge = spark.createDataFrame([(0, [1 << 62]), (1, [1 << 40]), (2, [-3])], "vec_id long, vector array<long>")
     assert answers(exact_top_k(huge, F.col("vec_id") == 0)) == {0: [(1, (1 << 63) - 1), (2, -(1 << 63))]}
@@ -124,7 +124,7 @@ def test_rows_that_share_an_id(spark):
 
     df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
     for size in (1, 100):
-        assert answers(exact_top_k(df, F.col("vec_id") % 10 == 0, 4, shard_rows=size, group_queries=size, block_rows=2)) == want(4)
+        assert answers(exact_top_k(df, F.col("vec_id") % 10 == 0, 4, shard_rows=size, group_queries=size, block_rows=2, shards_a_task=2)) == want(4)
     floats = df.withColumn("vector", F.col("vector").cast("array<double>"))
     assert answers(nearest(floats, F.col("vec_id") % 10 == 0, 4)) == want(4)
 
@@ -143,3 +143,16 @@ def test_nearest_odd_rows_and_hot_vector(spark, monkeypatch):
     assert answers(nearest(hot, F.col("vec_id") % 20 == 0, window=300)) == want
     got = answers(nearest(hot, F.col("vec_id") % 20 == 0))
     assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_a_task_bounds_few_shards(spark, monkeypatch):
+    """No task sees more shards than its share, and what is found stays the same."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-9, 10, 6).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    real = topk._bounded
+    ends = []
+    monkeypatch.setattr(topk, "_bounded", lambda asked, e, best: (ends.append(e), real(asked, e, best))[1])
+    got = answers(exact_top_k(df, F.col("vec_id") % 10 == 0, 4, shard_rows=8, group_queries=7, block_rows=3, shards_a_task=5))
+    assert got == brute(rows, lambda i: i % 10 == 0, 4)
+    assert ends[0].groupBy("d", "share").count().agg(F.max("count")).first()[0] <= 5 and ends[0].count() >= 38
