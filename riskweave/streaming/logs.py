@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shared import staged
+
 LOG_SCHEMA = "ts string, svc string, ip string, method string, path string, query string, status int, ua string, ref string, body string"
 
 # Rule, severity, technique.
@@ -107,26 +111,71 @@ def sliding_counts(events: DataFrame, keys: list[str], at: str, seconds: int, or
     return events.withColumn("hits", F.count("*").over(w))
 
 
-def burst_alerts(events: DataFrame, keys: list[str], at: str, seconds: int, most: Column, order: str) -> DataFrame:
-    """Rows of a burst that aren't within the cooldown (`seconds` after the last alert of their keys): the window's count is native, the cooldown is a fold over the rows over the limit alone."""
-    over = sliding_in_order(events, keys, at, seconds, order).filter(F.col("hits") > most)
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(order).alias("id"), "hits")))
-    folded = over.groupBy(*keys).agg(rows.alias("rows")).withColumn(
-        "kept",
-        F.aggregate(
-            "rows", F.struct(F.lit(-(1 << 62)).alias("until"), F.array().cast("array<struct<us:bigint,id:bigint,hits:bigint>>").alias("kept")),
-            lambda acc, r: F.when(acc["until"] > r["us"], acc).otherwise(F.struct((r["us"] + seconds * 1_000_000).alias("until"), F.concat(acc["kept"], F.array(F.struct(r["us"].alias("us"), r["id"].cast("bigint").alias("id"), r["hits"].alias("hits")))).alias("kept"))),
-        )["kept"],
-    )
-    return folded.select(*keys, F.explode("kept").alias("__kept")).select(*keys, F.timestamp_micros("__kept.us").alias(at), F.col("__kept.id").alias(order), "__kept.hits")
+#: A slice of time has so many windows' lengths.
+SLICE_WINDOWS = 360
+
 
+def burst_alerts(events: DataFrame, keys: list[str], at: str, seconds: int, most: Column, order: str, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+    """keys, at, order, hits: rows of a burst that aren't within the cooldown (`seconds` after the last alert of their keys).
 
-def sliding_in_order(events: DataFrame, keys: list[str], at: str, seconds: int, order: str) -> DataFrame:
-    """sliding_counts as an arrival sees it: of rows at the same time, only those that come before it in order."""
+    A key's time is cut into slices, so that one address under attack is many tasks. A slice's rows tell, for any time
+    up to which alerts are held back when it begins, until when they are when it ends: a step function of few steps,
+    since runs of alerts soon meet. These are put together for each key, and then each slice gives its own alerts.
+    Null keys are a key; rows without a time go.
+    """
+    span, length = seconds * 1_000_000, seconds * slice_windows * 1_000_000
+    over = sliding_in_order(events, keys, at, seconds, order, slice_windows).filter(F.col("hits") > most)
+    over = staged(over.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(order).cast("long").alias("id"), "hits").withColumn("slice", F.floor(F.col("us") / length)), "bursts")
+    key_schema = T.StructType([f for f in over.schema.fields if f.name in keys])
+    named = lambda *extra: T.StructType([*key_schema.fields, *[T.StructField(n, T.LongType()) for n in extra]])
+    keyed = lambda t, n, **columns: pa.table([*[t.column(k).slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64))) for k in keys], *[pa.array(c) for c in columns.values()]], names=[*keys, *columns])
+
+    def steps(t: pa.Table) -> pa.Table:
+        us = np.unique(t.column("us").to_numpy())
+        after = np.searchsorted(us, us + span)
+        until = us + span
+        for i in range(len(us) - 1, -1, -1):
+            if after[i] < len(us):
+                until[i] = until[after[i]]
+        # Alerts before the slice hold back less than a window of it.
+        n = min(len(us), int(np.searchsorted(us, t.column("slice")[0].as_py() * length + span)) + 1)
+        last = np.flatnonzero(np.append(until[1:n] != until[: n - 1], True))
+        return keyed(t, len(last), slice=np.full(len(last), t.column("slice")[0].as_py()), upto=us[last], until=until[last])
+
+    def begun(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("slice", "ascending"), ("upto", "ascending")])
+        slices, upto, until = (t.column(c).to_numpy() for c in ("slice", "upto", "until"))
+        first = np.flatnonzero(np.append(True, slices[1:] != slices[:-1]))
+        held, out = -(1 << 62), []
+        for i, j in zip(first, [*first[1:], len(slices)], strict=True):
+            out.append(held)
+            k = i + int(np.searchsorted(upto[i:j], held))
+            held = int(until[k]) if k < j else held
+        return keyed(t, len(first), slice=slices[first], held=np.array(out))
+
+    def told(t: pa.Table, entry: pa.Table) -> pa.Table:
+        t = t.sort_by([("us", "ascending"), ("id", "ascending")])
+        us, held, out = t.column("us").to_numpy(), entry.column("held")[0].as_py(), []
+        while (i := int(np.searchsorted(us, held))) < len(us):
+            out.append(i)
+            held = int(us[i]) + span
+        return t.select([*keys, "us", "id", "hits"]).take(pa.array(out, pa.int64()))
+
+    entries = over.groupBy(*keys, "slice").applyInArrow(steps, named("slice", "upto", "until")).groupBy(*keys).applyInArrow(begun, named("slice", "held"))
+    entries = entries.select(*[F.col(k).alias(f"e_{k}") for k in keys], F.col("slice").alias("e_slice"), "held")
+    found = over.groupBy(*keys, "slice").cogroup(entries.groupBy(*[f"e_{k}" for k in keys], "e_slice")).applyInArrow(told, named("us", "id", "hits"))
+    return found.select(*keys, F.timestamp_micros("us").alias(at), F.col("id").alias(order), "hits")
+
+
+def sliding_in_order(events: DataFrame, keys: list[str], at: str, seconds: int, order: str, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+    """sliding_counts as an arrival sees it: of rows at the same time, only those that come before it in order. Rows are counted in slices of time, those of a window before a slice in it too."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    all_ = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    later = Window.partitionBy(*keys, at).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("hits", F.count("*").over(all_) - F.count("*").over(later))
+    span, length = seconds * 1_000_000, seconds * slice_windows * 1_000_000
+    own = events.withColumn("__us", micros).filter("__us IS NOT NULL").withColumn("__own", F.floor(F.col("__us") / length))
+    dealt = own.withColumn("__slice", F.explode(F.when(F.col("__us") >= (F.col("__own") + 1) * length - span, F.array(F.col("__own"), F.col("__own") + 1)).otherwise(F.array("__own"))))
+    all_ = Window.partitionBy(*keys, "__slice").orderBy("__us").rangeBetween(-span, Window.currentRow)
+    later = Window.partitionBy(*keys, "__slice", "__us").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("hits", F.count("*").over(all_) - F.count("*").over(later)).filter("__slice = __own").drop("__us", "__own", "__slice")
 
 
 class BurstProcessor(StatefulProcessor):
@@ -168,16 +217,23 @@ def log_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_alerts_sink(known_path: str):
-    """A foreachBatch function that appends alerts not yet under known_path, by (rule, svc, ip, path)."""
+    """A foreachBatch function that writes alerts not yet under known_path, by (rule, svc, ip, path).
+
+    A batch has a folder of its own, named by its epoch and written anew if the batch is: a batch that is run again
+    after a failure adds nothing twice, and only what other batches wrote counts as known.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         keys = ["rule", "svc", "ip", "path"]
+        spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(known_path).select(keys).distinct(), keys, "left_anti")
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(known_path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(known_path)
+        others = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{known_path}/epoch=*")) or []
+        names = [f.getPath().getName() for f in others]
+        if any(n != f"epoch={epoch}" for n in names):
+            known = spark.read.schema(batch.schema.add("epoch", "long")).option("basePath", known_path).parquet(known_path).filter(F.col("epoch") != epoch)
+            same = lambda c: fresh[c].eqNullSafe(known[c])
+            fresh = fresh.join(known.select(*keys).distinct().alias("k"), same("rule") & same("svc") & same("ip") & same("path"), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{known_path}/epoch={epoch}")
 
     return write

@@ -1,6 +1,8 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from riskweave.streaming import logs
@@ -45,6 +47,19 @@ def test_burst_in_batch(spark):
     assert sorted((r.k, r.us, r.hits) for r in got) == model([(us, k, i) for us, k, i in rows], 10, 5)
 
 
+@pytest.mark.parametrize("windows", [1, 2, 5, 1000])
+def test_any_slices_give_the_same(spark, windows):
+    """A hot key over many slices, gaps, rows at the same time, a null key, times before the epoch."""
+    rng = random.Random(windows)
+    rows = [(us, "hot") for us in (rng.randint(-40, 1600) * 250_000 for _ in range(3000))] + [(rng.randint(0, 4000) * 500_000, rng.choice(["a", None])) for _ in range(400)]
+    rows = [(us, k, i) for i, (us, k) in enumerate(sorted(rows, key=lambda r: r[0]))]
+    df = spark.createDataFrame([(k, us, i) for us, k, i in rows] + [("hot", None, 9999)], "k string, us long, id long").withColumn("at", F.timestamp_micros("us"))
+    got = logs.burst_alerts(df, ["k"], "at", 10, F.lit(5), "id", slice_windows=windows).select("k", F.unix_micros("at").alias("us"), "hits").collect()
+    order = lambda x: (x[0] or "", *x[1:])
+    want = sorted(model([(us, k or "", i) for us, k, i in rows], 10, 5))
+    assert sorted(((r.k or "", r.us, r.hits) for r in got), key=order) == want and len(want) > 20
+
+
 def test_exactly_the_limit_and_the_edge(spark):
     df = spark.createDataFrame([("a", s * 1_000_000, s) for s in (0, 1, 2, 3, 4)] + [("a", 10_000_000, 9)], "k string, us long, id long").withColumn("at", F.timestamp_micros("us"))
     got = logs.burst_alerts(df, ["k"], "at", 10, F.lit(5), "id").collect()
@@ -70,6 +85,8 @@ def test_new_alerts_sink(spark, tmp_path):
     write(df, 0)
     write(df, 1)
     assert spark.read.parquet(str(tmp_path / "known")).count() == 1
+    write(df, 0)  # a batch that is run again
+    assert spark.read.parquet(str(tmp_path / "known")).count() == 1
 
 
 def test_stateful_burst_stream(spark, tmp_path):
