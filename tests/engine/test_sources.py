@@ -159,3 +159,27 @@ def test_whole_documents_as_parts(spark, tmp_path):
     bill = whole(reports.spdx(parts, "shop"))
     assert [p["name"] for p in bill["packages"]] == ["a", "b"] and [r["relatedSpdxElement"] for r in bill["relationships"]] == [p["SPDXID"] for p in bill["packages"]]
     assert whole(reports.cyclonedx(parts.limit(0), "none", found.limit(0)))["components"] == []
+
+
+def test_advisory_records(spark, tmp_path):
+    """Lists of events that overlap, have no end, no version or another ecosystem; stated and scored severities."""
+    def record(i, *ranges, name="p", ecosystem="npm", **more):
+        lists = [{"type": "SEMVER", "events": [dict([e]) for e in r]} for r in ranges]
+        return {"id": i, "summary": " s ", "affected": [{"package": {"ecosystem": ecosystem, "name": name}, "ranges": lists}]} | more
+
+    vector = "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
+    rows = [
+        record("A", [("introduced", "0"), ("fixed", "1.2.0")], [("introduced", "2.0.0"), ("fixed", "2.3.0"), ("introduced", "2.4.0"), ("fixed", "2.5.0")], aliases=["GHSA-x", "CVE-7"]),
+        record("B", [("introduced", "1.0.0"), ("last_affected", "1.9.0")], [("introduced", "1.5.0"), ("fixed", "1.7.0")], database_specific={"severity": "MODERATE"}),
+        record("C", [("introduced", "3.0.0")], severity=[{"type": "CVSS_V3", "score": vector}]), record("D", [("introduced", "x")]), record("E", [("introduced", "0"), ("fixed", "9.0.0")], ecosystem="PyPI"), record("F"), {"id": "G"},
+        record("CVE-9", [("fixed", "0.5.0"), ("introduced", "0")], name="q", severity=[{"type": "CVSS_V3", "score": vector.replace("/C:H/I:H/A:H", "/C:L/I:N/A:N")}]),
+    ]
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+    found = deps.advisories_from_records(readers.advisory_records(spark, str(tmp_path / "r.jsonl")))
+    got = {r.id: (r.package, r.cve, r.vulnerable_range, r.patched, r.severity, r.summary) for r in found.collect()}
+    assert got == {
+        "A": ("p", "CVE-7", "<1.2.0 || >=2.0.0,<2.3.0 || >=2.4.0,<2.5.0", "2.5.0", "high", "s"), "B": ("p", None, ">=1.0.0,<=1.9.0", None, "medium", "s"),
+        "C": ("p", None, ">=3.0.0", None, "critical", "s"), "CVE-9": ("q", "CVE-9", "<0.5.0", "0.5.0", "medium", "s"),
+    }
+    needed = spark.createDataFrame([("p", "1.1.0", 1), ("p", "2.3.5", 2), ("p", "3.1.0", 3), ("p", "2.4.1", 4), ("q", "0.4.0-beta", 5), ("p", None, 6)], "name string, declared string, v int")
+    assert sorted((r.v, r.id) for r in deps.known_vulnerabilities(needed, found.withColumn("symbols", F.array().cast("array<string>"))).collect()) == [(1, "A"), (1, "B"), (3, "C"), (4, "A"), (5, "CVE-9")]
