@@ -718,7 +718,7 @@ class Reader:
                 self.at = before + max(1, len(t))
         self.take(")")
         for k, a in enumerate(args):
-            self.fact("arg", start, ".".join(path), path, k, a, extra=[args[0].shape if args else "", self.text[args[0].start : min(args[0].end, args[0].start + SHOWN)].strip()])
+            self.fact("arg", start, ".".join(path), path, k, a, extra=[args[0].shape if args else "", self.text[args[0].start : min(args[0].end, args[0].start + SHOWN)].strip(), str(len(args))])
         if not args and path:
             self.fact("call", start, ".".join(path), path)
         passed = NOTHING

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
-from ..operators import checks, dataflow, deps
+from ..operators import arguments, checks, dataflow, deps
 from ..operators.rules import Rule, findings_of
 
 #: What every finding has: null where a detector doesn't tell.
@@ -123,6 +123,7 @@ DETECTORS: dict[str, Callable[[Inputs], DataFrame | None]] = {
     "supply_chain": _supply_chain,
     "dependencies": _dependencies,
     "taint": lambda i: uniform(dataflow.flow_findings(i.program)),
+    "static": lambda i: uniform(arguments.argument_findings(i.program)),
     "ai_agency": lambda i: uniform(dataflow.agency_findings(i.program)),
     "configs": _configs,
     "git_hygiene": _git,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import dataflow
+from ..operators import arguments, dataflow
 from .detectors import Inputs
 from .registry import _t, _values, choice, query
 from .scan import Config, scan
@@ -152,6 +152,38 @@ def agency_chains(spark, sf):
     return dataflow.agency_findings(dataflow.Program(files)).select("file", "rule_id", "line", "hops", "confidence")
 
 
+# --- what an argument looks like: call, argument, place
+
+# the argument; whether it is literal, put together, of a request, and may name a host; whether it stays on the same host
+GIVEN = [
+    ("'fixed'", 1, 0, 0, 0, 0), ("name", 0, 0, 0, 1, 0), ("req.query.q", 0, 0, 1, 1, 0), ("'a' + name", 0, 1, 0, 1, 0), ("`https://${req.body.h}/x`", 0, 1, 1, 1, 0), ("`/api/${req.params.id}`", 0, 1, 1, 0, 0), ("`plain`", 1, 0, 0, 0, 0),
+    ("f(searchParams.get('a'))", 0, 0, 1, 1, 0), ("new URL('/in', location.href)", 0, 0, 1, 1, 1), ("42", 1, 0, 0, 0, 0), ("`https://api.example/${query.x}`", 0, 1, 1, 0, 0),
+]
+# rule, call with <v>, what the argument must be besides not literal, confidence without a hint
+TAKEN = [
+    ("xss.inner-html", "el.innerHTML = <v>", "", "medium"), ("xss.inner-html", "a.b.insertAdjacentHTML('beforeend', <v>)", "", "medium"), ("xss.inner-html", "document.write(<v>)", "", "low"), ("injection.eval", "eval(<v>)", "", "medium"), ("injection.eval", "const g = new Function(<v>)", "", "medium"),
+    ("injection.command", "cp.exec(<v>)", "built or hinted", "medium"), ("injection.command", "execFileSync(<v>, [name])", "built or hinted", "medium"), ("open-redirect", "res.redirect(302, <v>)", "leaves", "low"), ("open-redirect", "NextResponse.redirect(<v>)", "leaves", "low"), ("ssrf.fetch", "fetch(<v>, { method: 'POST' })", "host", ""),
+    ("ssrf.fetch", "const r = await axios.post(<v>)", "host", ""), ("xss.dangerously-set-inner-html", "show(<p dangerouslySetInnerHTML={{ __html: <v> }} />)", "", "medium"), ("", "same = el.innerHTML === <v>", "", ""), ("", "my.eval(<v>)", "", ""), ("", "db.find(<v>)", "", ""),
+]
+# where it stands, and its line (0: passed over)
+STANDS = [("<c>", 1), ("// <c>", 0), ("const s = 1\n\n/* said */ <c>", 3), ("<c> // <long>", 0), ("log('<c2>')\n<c>", 2)]
+_G, _GC = _digits("k", len(TAKEN), len(GIVEN), len(STANDS)), _digits("c_custkey", len(TAKEN), len(GIVEN), len(STANDS))
+
+
+@query(
+    f"WITH d AS (SELECT c_custkey AS k, t.rule_id, t.needs, t.sure, g.*, s.line FROM customer JOIN {_values([(i, r, need, sure) for i, (r, _, need, sure) in enumerate(TAKEN)], 'n, rule_id, needs, sure').replace('AS v(', 'AS t(')} ON t.n = {_GC[0]} "
+    f"JOIN {_values([(i, *g[1:]) for i, g in enumerate(GIVEN)], 'n, literal, built, hinted, host, stays').replace('AS v(', 'AS g(')} ON g.n = {_GC[1]} JOIN {_values([(i, n) for i, (_, n) in enumerate(STANDS)], 'n, line').replace('AS v(', 'AS s(')} ON s.n = {_GC[2]}) "
+    "SELECT k || '/a.tsx' AS file, rule_id, line::INTEGER AS line, CASE WHEN needs = 'host' THEN 'medium' WHEN hinted = 1 THEN 'high' ELSE sure END AS confidence FROM d WHERE rule_id <> '' AND literal = 0 AND line > 0 "
+    "AND CASE needs WHEN 'built or hinted' THEN built + hinted > 0 WHEN 'leaves' THEN stays = 0 WHEN 'host' THEN host * hinted = 1 ELSE true END"
+)
+def argument_checks(spark, sf):
+    """A call for each customer: what it calls, what it gets, and whether it stands in a comment, on a long line or after other code."""
+    call = _with(_pick(_G[0], [c for _, c, _, _ in TAKEN]), v=_pick(_G[1], [g[0] for g in GIVEN]))
+    text = _with(_pick(_G[2], [s for s, _ in STANDS]), c=call, c2=F.translate(call, "'", '"'), long=F.repeat(F.lit("x"), F.lit(arguments.LONGEST)))
+    files = _customers(spark, sf).select(F.concat("k", F.lit("/a.tsx")).alias("file"), text.alias("text"))
+    return arguments.argument_findings(dataflow.Program(files)).select("file", "rule_id", "line", "confidence")
+
+
 # --- the scan from all detectors
 
 _I = _digits("p_partkey", 3, 2, 2, 2, 2)
