@@ -601,4 +601,4 @@ def call_argument_facts(spark, sf):
     return f.select("file", "kind", "line", "column", "name", "ord", "value", "shape", "scope", F.array_join(F.transform("carried", lambda c: c["label"]), ",").alias("labels"))
 
 
-from . import flow_queries, project_queries  # noqa: E402,F401  register their queries
+from . import flow_queries, project_queries, upkeep_queries  # noqa: E402,F401  register their queries
