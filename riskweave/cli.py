@@ -1,4 +1,4 @@
-"""Command line: scan, sbom, rules, explain, logs. Exit code 0: fine, 1: the gate failed, 2: wrong use."""
+"""Command line: scan, fix, sbom, rules, explain, logs. Exit code 0: fine, 1: the gate failed, 2: wrong use."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import RANK
-from .operators import deps
+from .operators import deps, rewrites
 from .plans.packs import DIMENSION, PACK, WEB_RULES
 from .plans.scan import Config, scan
 from .sources import readers, reports
@@ -53,6 +53,18 @@ def _scan(a: argparse.Namespace) -> int:
     return int(result.failed.first()["failed"])
 
 
+def _fix(a: argparse.Namespace) -> int:
+    """Safe rewrites of the sources under a path: their diff, and unless it's a dry run the new texts, each written by its task."""
+    files = readers.source_files(_session(), a.path)
+    found = scan(files, Config(detectors=("patterns",), framework=a.framework)).findings
+    changed = rewrites.with_diffs(rewrites.rewritten_lines(files, found), F.col("file"))
+    for r in changed.select("file", "diff").orderBy("file").toLocalIterator():
+        print(r["diff"], end="")
+    if not a.dry_run:
+        reports.write_texts(changed, a.path)
+    return 0
+
+
 def _sbom(a: argparse.Namespace) -> int:
     parts = deps.components(readers.lock_packages(_session(), a.path))
     _print({"cyclonedx": reports.cyclonedx, "spdx": reports.spdx}[a.format](parts, os.path.basename(os.path.abspath(a.path))))
@@ -96,6 +108,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--quick", action="store_true", help="without the slow detectors")
     s.add_argument("--reachable-only", action="store_true")
     s.set_defaults(run=_scan)
+    x = sub.add_parser("fix")
+    x.add_argument("path")
+    x.add_argument("--framework")
+    x.add_argument("--dry-run", action="store_true", help="shows the diff only")
+    x.set_defaults(run=_fix)
     b = sub.add_parser("sbom")
     b.add_argument("path")
     b.add_argument("--format", choices=("cyclonedx", "spdx"), default="cyclonedx")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -217,3 +220,25 @@ def prune_snapshots(spark: SparkSession, path: str, most: int = 50) -> list[str]
 
 
 FORMATS = {"json": as_json, "sarif": sarif_results, "navigator": navigator_techniques, "cyclonedx": cyclonedx_components, "spdx": spdx_packages, "sigma": sigma_rules}
+
+
+def write_texts(changed: DataFrame, root: str) -> None:
+    """Writes `after` over the files under root (a folder that all executors see) whose text is still `before`; others stay as they are.
+
+    A file is replaced whole, by a rename, so that a task which is lost or run again leaves the old text or the new one.
+    """
+
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.join(root, r["file"])
+            with open(path, "rb") as f:
+                now = f.read()
+            if now != r["before"].encode():  # changed since, or not all UTF-8, which would be lost
+                continue
+            handle, new = tempfile.mkstemp(dir=os.path.dirname(path))
+            with os.fdopen(handle, "wb") as f:
+                f.write(r["after"].encode())
+            shutil.copymode(path, new)
+            os.replace(new, path)
+
+    changed.select("file", "before", "after").foreachPartition(write)

@@ -19,6 +19,23 @@ def test_commands(spark, tmp_path, capsys):
     assert "verbose-error" in capsys.readouterr().out
 
 
+def test_fix(spark, tmp_path, capsys):
+    page, other = tmp_path / "app" / "page.tsx", tmp_path / "app" / "other.tsx"
+    page.parent.mkdir()
+    text = "export default () => (\n  <a target='_blank'>é</a>\n)"
+    page.write_text(text)
+    page.chmod(0o640)
+    other.write_bytes(b"// \xff\nconst a = <a target='_blank'>x</a>\n")
+    assert main(["fix", str(tmp_path), "--dry-run"]) == 0 and page.read_text() == text
+    shown = capsys.readouterr().out
+    assert "+++ b/app/page.tsx" in shown and "+  <a target='_blank' rel=\"noopener noreferrer\">é</a>\n" in shown
+    assert main(["fix", str(tmp_path)]) == 0
+    assert page.read_text() == text.replace("k'>", "k' rel=\"noopener noreferrer\">") and page.stat().st_mode & 0o777 == 0o640
+    assert other.read_bytes().endswith(b"target='_blank'>x</a>\n")
+    capsys.readouterr()
+    assert main(["fix", str(tmp_path), "--dry-run"]) == 0 and "page.tsx" not in capsys.readouterr().out
+
+
 def test_keystone(spark, tmp_path):
     schema = "file string, ext string, text string"
     safe = [("app/api/x/route.ts", "ts", "export async function POST(r) { return 1 }"), ("lib/k.ts", "ts", "export const api_key = 'abcdefghijklmnop'")]
