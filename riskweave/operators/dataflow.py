@@ -7,7 +7,7 @@ summaries on to callers: that is repeated, over files, with what was new in the
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -214,15 +214,30 @@ def _once(found: DataFrame) -> DataFrame:
 
 
 class Program:
-    """Facts of a corpus and what several findings need of them, each written once."""
+    """Facts of a corpus and what several findings need of them, each written once, when it's first asked for."""
 
     def __init__(self, files: DataFrame):
         self.files = files
-        self.facts = staged(facts(files), "facts")
-        self.sinks = sinks(self.facts)
-        self.targets = staged(call_targets(self.facts, files), "targets")
-        self.edges = staged(call_edges(self.facts, self.targets), "edges")
-        self.known = summaries(self.sinks, self.edges)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return staged(facts(self.files), "facts")
+
+    @cached_property
+    def sinks(self) -> DataFrame:
+        return sinks(self.facts)
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return staged(call_targets(self.facts, self.files), "targets")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return staged(call_edges(self.facts, self.targets), "edges")
+
+    @cached_property
+    def known(self) -> DataFrame:
+        return summaries(self.sinks, self.edges)
 
 
 def flow_findings(p: Program) -> DataFrame:

@@ -131,7 +131,8 @@ def test_agency(spark):
 def test_detectors_are_chosen_by_name(spark):
     files = spark.createDataFrame([("a.ts", "ts", "eval(req.query.x)\nconst a = { rejectUnauthorized: false }")], "file string, ext string, text string")
     of = lambda **k: {(r.detector, r.rule_id) for r in found_by(Inputs(files), **k).collect()}
-    assert of() == {("taint", "injection.eval"), ("configs", "config.disabled-tls-verification")} and of(quick=True) == of(only=("configs",)) and of(skip=tuple(DETECTORS)) == set()
+    assert of() == {("taint", "injection.eval"), ("static", "injection.eval"), ("configs", "config.disabled-tls-verification")} and of(quick=True) == of(only=("static", "configs")) and of(skip=tuple(DETECTORS)) == set()
+    assert [(r.detector, r.confidence) for r in scan(files, Config(detectors=("static", "taint"))).findings.collect()] == [("taint", "high")]  # with its flow
     with pytest.raises(ValueError):
         found_by(Inputs(files), only=("nothing",))
 
