@@ -148,6 +148,24 @@ def lock_counts(packages: DataFrame, by: str = "project_id") -> DataFrame:
     return packages.groupBy(by).agg(F.count("*").alias("packages"), F.count_if(F.col("integrity").isNull()).alias("without_integrity"), F.count_if(F.col("resolved").isNotNull() & ~F.col("resolved").rlike(r"^https://registry\.(npmjs\.org|yarnpkg\.com)/")).alias("off_registry"))
 
 
+# Files that fix the versions of what is installed.
+LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb")
+
+
+def missing_lockfiles(declared: DataFrame, paths: DataFrame) -> DataFrame:
+    """file: manifests with a dependency (file, name) that have a lockfile (paths: file) neither beside them nor in a folder above.
+
+    Both sides are few rows a project: a manifest asks for each folder on its way up. Null names and paths count for
+    nothing, rows given twice count once, and a manifest without a folder asks for the top one only.
+    """
+    asks = declared.filter("file IS NOT NULL AND name IS NOT NULL").select("file").distinct()
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    locks = paths.filter(F.substring_index("file", "/", -1).isin(*LOCKFILES)).select(F.regexp_replace("file", "/?[^/]*$", "").alias("folder")).distinct()
+    covered = asks.select("file", F.explode(above).alias("folder")).join(locks, "folder", "left_semi").select("file")
+    return asks.join(covered, "file", "left_anti")
+
+
 def purl(name: Column, version_text: Column) -> Column:
     return F.concat(F.lit("pkg:npm/"), F.replace(name, F.lit("@"), F.lit("%40")), F.lit("@"), version_text)
 

@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 #: Rules with a safe rewrite: a line (given by the finding) that matches `unless` stays, else the first match of `what` is followed by `added`.
 LINE_REWRITES = {
-    "react.target-blank": {"what": r"target\s*=\s*[\"']_blank[\"']", "unless": r"\brel\s*=", "added": ' rel="noopener noreferrer"'},
+    "react.unsafe-target-blank": {"what": r"target\s*=\s*[\"']_blank[\"']", "unless": r"\brel\s*=", "added": ' rel="noopener noreferrer"'},
 }
 # What an ignore file must name so that environment files aren't committed.
 IGNORED = (".env", ".env.local", ".env.*.local")

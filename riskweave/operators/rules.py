@@ -26,8 +26,8 @@ class Rule:
     """One pattern. An empty tuple or None sets no condition.
 
     languages: extensions; frameworks: of the project (an unknown one passes); paths: globs. requires_file must occur
-    in the file and requires_line in the line; exclude_line must not occur in the line (or, multiline, in the match),
-    nor exclude_window within window lines on either side.
+    in the file, exclude_file nowhere in it, and requires_line in the line; exclude_line must not occur in the line (or,
+    multiline, in the match), nor exclude_window within window lines on either side.
     """
 
     rule_id: str
@@ -39,6 +39,7 @@ class Rule:
     frameworks: tuple[str, ...] = ()
     paths: tuple[str, ...] = ()
     requires_file: str | None = None
+    exclude_file: str | None = None
     requires_line: str | None = None
     exclude_line: str | None = None
     exclude_window: str | None = None
@@ -54,7 +55,7 @@ def load_pack(entries: list[dict]) -> tuple[list[Rule], list[str]]:
     for n, entry in enumerate(entries):
         try:
             rule = Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in entry.items() if k in known})
-            for pattern in (rule.regex, rule.requires_file, rule.requires_line, rule.exclude_line, rule.exclude_window):
+            for pattern in (rule.regex, rule.requires_file, rule.exclude_file, rule.requires_line, rule.exclude_line, rule.exclude_window):
                 re.compile(pattern or "")
             rules.append(rule)
         except (TypeError, re.error, AttributeError) as e:
@@ -122,6 +123,8 @@ def _applies(rule: Rule, columns: list[str], framework: str | None) -> Column |
         ok &= any_path
     if rule.requires_file:
         ok &= F.col("text").rlike(rule.requires_file)
+    if rule.exclude_file:
+        ok &= ~F.col("text").rlike(rule.exclude_file)
     return ok
 
 

@@ -76,7 +76,14 @@ def _secret_or_pattern(i: Inputs) -> DataFrame | None:
 def _supply_chain(i: Inputs) -> DataFrame | None:
     danger = uniform(checks.installed_script_findings(i.packages)) if i.packages is not None else None
     changed = uniform(checks.script_changes(checks.script_digests(i.packages), i.script_digests)) if i.packages is not None and i.script_digests is not None else None
-    return _united(danger, changed, _locked(i.locks, i.old_locks) if i.locks is not None else None)
+    return _united(danger, changed, _locked(i.locks, i.old_locks) if i.locks is not None else None, _unlocked(i))
+
+
+def _unlocked(i: Inputs) -> DataFrame | None:
+    """Manifests without a lockfile, where the scan was told of locked packages and of the manifests' own places."""
+    if i.locks is None or i.dependencies is None or "file" not in i.dependencies.columns:
+        return None
+    return uniform(deps.missing_lockfiles(i.dependencies, i.locks), rule_id=F.lit("supply-chain.missing-lockfile"), line=F.lit(1), confidence=F.lit("medium"), message=F.lit("no lockfile"))
 
 
 def _locked(now: DataFrame, before: DataFrame | None) -> DataFrame:

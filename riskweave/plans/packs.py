@@ -6,6 +6,7 @@ Expressions use what Python, Java and RE2 read alike: no look-around, no back-re
 from __future__ import annotations
 
 from ..operators.rules import Rule
+from .inventory import INVENTORY_RULES, KNOWLEDGE
 
 TEXT_RULES = [
     Rule("secret.assigned-value", r"(?i)(password|passwd|token|secret|api[_-]?key)[ \t]*[=:][ \t]*[^ \t]+", "high", "high", techniques=("T1552", "T1552.001")),
@@ -18,14 +19,14 @@ TEXT_RULES = [
 WEB_RULES = [
     Rule("injection.eval", r"(^|[^.A-Za-z0-9_])eval\s*\(", "critical", "high", "code is evaluated from data", languages=("js", "jsx", "ts", "tsx"), techniques=("T1059.007",)),
     Rule("injection.command", r"(exec|execSync|spawn)\s*\(\s*`[^`]*\$\{", "critical", "high", "a shell command holds data", languages=("js", "ts"), techniques=("T1059",)),
-    Rule("sqli.template", r"(?i)(query|execute)\s*\(\s*`[^`]*(select|insert|update|delete)[^`]*\$\{", "critical", "high", "a query holds data", techniques=("T1190",)),
+    Rule("sqli.template-literal", r"(?i)(query|execute)\s*\(\s*`[^`]*(select|insert|update|delete)[^`]*\$\{", "critical", "high", "a query holds data", techniques=("T1190",)),
     Rule("xss.raw-html", r"dangerouslySetInnerHTML", "high", "medium", "raw HTML is set", languages=("jsx", "tsx", "js", "ts"), exclude_window=r"(?i)sanitize", techniques=("T1059.007",)),
     Rule("dom.inner-html", r"\.innerHTML\s*=[^=]", "high", "medium", "raw HTML is set", exclude_line=r"(?i)sanitize", techniques=("T1059.007",)),
     Rule("ssrf.fetch-template", r"fetch\s*\(\s*`\$\{", "high", "medium", "the host of a request comes from data", techniques=("T1190",)),
     Rule("cors.wildcard-credentials", r"(?i)access-control-allow-origin['\"]?\s*[,:]\s*['\"]\*", "high", "medium", "any origin is allowed", techniques=("T1557",)),
     Rule("csp.unsafe-inline", r"(?i)unsafe-inline", "medium", "medium", "inline scripts are allowed", techniques=("T1059.007",)),
     Rule("react.token-in-web-storage", r"(local|session)Storage\.setItem\s*\(\s*['\"][^'\"]*(token|jwt|auth)", "medium", "high", "a token is kept where scripts read it", techniques=("T1539",)),
-    Rule("secret.hardcoded", r"(?i)(api[_-]?key|secret|token|password)['\"]?\s*[:=]\s*['\"][A-Za-z0-9_\-]{12,}['\"]", "high", "medium", "a credential stands in the source", exclude_line=r"(?i)(example|placeholder|changeme|process\.env)", techniques=("T1552.001",)),
+    Rule("secret.generic", r"(?i)(api[_-]?key|secret|token|password)['\"]?\s*[:=]\s*['\"][A-Za-z0-9_\-]{12,}['\"]", "high", "medium", "a credential stands in the source", exclude_line=r"(?i)(example|placeholder|changeme|process\.env)", techniques=("T1552.001",)),
     Rule("crypto.weak-hash", r"createHash\s*\(\s*['\"](md5|sha1)['\"]", "medium", "high", "a weak hash", techniques=("T1600",)),
     Rule("tls.verification-off", r"(rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0)", "high", "high", "certificates aren't checked", techniques=("T1557",)),
     Rule("ai.prompt-from-request", r"(?i)(prompt|messages|content)\s*[:=]\s*`[^`]*\$\{[^}]*(req|request|params|query|body)", "high", "medium", "a prompt holds request data", techniques=("T1059",)),
@@ -43,64 +44,65 @@ def _web(rule_id: str, regex: str, severity: str, message: str, **more) -> Rule:
 FAMILY_RULES = [
     _web("auth.middleware-bypass", r"(?i)x-middleware-subrequest", "critical", "a header that skips the middleware is let through"),
     _web("auth.jwt-in-localstorage", r"(?i)localStorage\.setItem\s*\(\s*['\"](jwt|id_?token|access_?token)", "medium", "a token is kept where scripts read it"),
-    _web("auth.hardcoded-credential", r"(?i)(username|user)\s*===?\s*['\"][^'\"]+['\"]\s*&&\s*(password|pass|pwd)\s*===?\s*['\"]", "high", "a login is compared with fixed values"),
+    _web("auth.hardcoded-credentials", r"(?i)(username|user)\s*===?\s*['\"][^'\"]+['\"]\s*&&\s*(password|pass|pwd)\s*===?\s*['\"]", "high", "a login is compared with fixed values"),
     _web("jwt.hardcoded-secret", r"jwt\.(sign|verify)\s*\([^,]+,\s*['\"][^'\"]+['\"]", "high", "the signing key stands in the source"),
-    _web("jwt.none-algorithm", r"(?i)algorithms?['\"]?\s*[:=]\s*\[?\s*['\"]none['\"]", "critical", "unsigned tokens are taken"),
+    _web("jwt.alg-none", r"(?i)algorithms?['\"]?\s*[:=]\s*\[?[^\]]*['\"]none['\"]", "critical", "unsigned tokens are taken"),
     _web("jwt.decoded-not-verified", r"jwt\.decode\s*\(", "medium", "a token is read without a check of its signature", exclude_window=r"jwt\.verify", window=5),
     _web("session.hardcoded-secret", r"session\s*\(\s*\{[^}]*secret\s*:\s*['\"][^'\"]+['\"]", "high", "the session key stands in the source"),
     _web("cookie.insecure-flags", r"(?i)(httpOnly|secure)\s*:\s*false", "medium", "a cookie is open to scripts or plain connections", requires_file=r"(?i)cookie"),
     _web("crypto.hardcoded-key", r"create(Cipher|Decipher)(iv)?\s*\(\s*['\"][^'\"]+['\"]\s*,\s*['\"]", "high", "an encryption key stands in the source"),
     _web("crypto.weak-cipher", r"(?i)create(Cipher|Decipher)(iv)?\s*\(\s*['\"](des|rc4|aes-[0-9]+-ecb)", "medium", "a weak cipher"),
-    _web("crypto.weak-random", r"Math\.random\s*\(", "medium", "a guessable number where a secret is made", requires_line=r"(?i)(token|secret|password|session|nonce|otp)"),
-    _web("crypto.static-iv", r"(?i)\biv\s*[:=]\s*(Buffer\.from\s*\(\s*['\"]|['\"][0-9a-f]{16,})", "medium", "an initialisation vector that stays the same"),
+    _web("crypto.insecure-random", r"Math\.random\s*\(", "medium", "a guessable number where a secret is made", requires_line=r"(?i)(token|secret|password|session|nonce|otp)"),
+    _web("crypto.hardcoded-iv", r"(?i)(^|[^a-z0-9_])(iv|salt)\s*[:=]\s*(Buffer\.from\s*\(\s*['\"]|['\"][^'\"]{8,}['\"])", "medium", "an initialisation vector or a salt that stays the same", exclude_line=r"process\.env"),
     _web("hardening.insecure-deserialization", r"(unserialize|yaml\.load|deserialize)\s*\(\s*(req|request|ctx)\b", "critical", "objects are built from data", exclude_line=r"(?i)safe_?load|JSON_SCHEMA"),
     _web("hardening.dev-only-branch-shipping-secret-bypass", r"NODE_ENV\s*!==?\s*['\"]production['\"]\s*\|\|", "medium", "a check is skipped outside production"),
     _web("hardening.source-map-shipped-to-prod", r"//#\s*sourceMappingURL=(https?:|/)", "low", "a source map is named in shipped code"),
-    _web("hardening.prototype-pollution", r"\[\s*['\"]__proto__['\"]\s*\]|(merge|extend|defaultsDeep)\s*\([^)]*(req|request)\.(body|query)", "high", "data may change all objects"),
-    _web("hardening.debug-on", r"(?i)\bdebug\s*:\s*true", "low", "debug output is on", exclude_line=r"process\.env"),
-    _web("nosqli.where-from-request", r"\$where['\"]?\s*:\s*[^'\"\s]|\.find(One)?\s*\(\s*(req|request)\.(body|query)", "critical", "a query is made of request data"),
-    _web("sqli.concatenated", r"(?i)['\"]\s*(select|insert|update|delete)\s[^'\"]*['\"]\s*\+", "critical", "a query is put together"),
+    _web("injection.prototype-pollution-merge", r"(merge|mergeWith|extend|defaultsDeep|Object\.assign)\s*\([^)]*(req|request|ctx)\.(body|query)", "high", "data may change all objects"),
+    _web("hardening.debug-enabled-in-prod", r"(?i)(^|[^a-z0-9_])(debug|verbose)\s*[:=]\s*true", "medium", "debug output is on", exclude_line=r"process\.env|NODE_ENV"),
+    _web("nosqli.untrusted-query-filter", r"\.(find|findOne|findOneAndUpdate|updateOne|deleteOne|count|countDocuments)\s*\(\s*(req|request|ctx\.request)\.(body|query)", "high", "a query is made of request data"),
+    _web("sqli.string-concatenation", r"(?i)['\"]\s*(select|insert|update|delete)\s[^'\"]*['\"]\s*\+", "critical", "a query is put together"),
     _web("injection.function-constructor", r"new\s+Function\s*\(\s*[^)'\"\s]", "critical", "code is made of data"),
     _web("injection.timer-string", r"set(Timeout|Interval)\s*\(\s*(['\"`][^'\"`]*\$\{|[A-Za-z_.]+\s*\+)", "high", "a timer evaluates text"),
     _web("injection.shell-option", r"(spawn|execFile)\s*\([^)]*shell\s*:\s*true", "high", "a shell reads the arguments"),
-    _web("path-traversal.joined-request", r"path\.(join|resolve)\s*\([^)]*(req|request)\.(params|query|body)", "high", "a path is made of request data"),
+    _web("path-traversal.fs-read", r"path\.(join|resolve)\s*\([^)]*(req|request)\.(params|query|body)", "high", "a path is made of request data"),
     _web("ssrf.request-url", r"(fetch|axios(\.(get|post))?|got)\s*\(\s*(req|request)\.(query|body|params)", "high", "a request goes where data says"),
     _web("redirect.from-request", r"redirect\s*\(\s*(req|request)\.(query|body|params)", "medium", "visitors are sent where data says"),
     _web("xxe.entities-on", r"(?i)noent\s*:\s*true|resolveEntities\s*:\s*true", "high", "outside entities are read"),
     _web("dom.document-write", r"document\.write(ln)?\s*\(\s*[^'\"\s)]", "high", "data becomes markup"),
-    _web("dom.insert-adjacent", r"insertAdjacentHTML\s*\([^,]+,\s*[^'\"\s]", "high", "data becomes markup"),
+    _web("dom.insert-adjacent-html", r"insertAdjacentHTML\s*\([^,]+,\s*[^'\"\s]", "high", "data becomes markup"),
     _web("dom.message-any-origin", r"postMessage\s*\([^)]*,\s*['\"]\*['\"]", "medium", "a message goes to any page"),
     _web("react.ref-inner-html", r"\.current\.innerHTML\s*=", "high", "data becomes markup"),
     _web("react.javascript-url", r"(?i)href\s*=\s*\{?\s*['\"`]javascript:", "high", "a link runs code"),
     _web("react.href-user-value", r"href\s*=\s*\{\s*(props|user|params|query)\.[A-Za-z.]+\s*\}", "medium", "a link's target comes from data"),
     _web("react.unsanitized-markdown", r"(?i)(rehypeRaw|allowDangerousHtml|skipHtml\s*=\s*\{\s*false)", "medium", "markup in texts is kept", exclude_window=r"(?i)sanitize", window=8),
-    _web("react.target-blank", r"target\s*=\s*['\"]_blank['\"]", "low", "the opened page can steer this one", exclude_line=r"noopener|noreferrer"),
+    _web("react.unsafe-target-blank", r"target\s*=\s*['\"]_blank['\"]", "low", "the opened page can steer this one", exclude_line=r"noopener|noreferrer"),
     _web("nextjs.image-dangerously-allow-svg", r"dangerouslyAllowSVG\s*:\s*true", "medium", "images may hold scripts"),
     _web("nextjs.api-wildcard-cors", r"(?i)setHeader\s*\(\s*['\"]access-control-allow-origin['\"]\s*,\s*['\"]\*", "medium", "any origin may read the answer", paths=("*pages/api/*", "*app/api/*")),
     _web("nextjs.api-env-exposure", r"\.json\s*\(\s*(process\.env\s*[,)]|\{[^}]*\.\.\.process\.env)", "critical", "the environment is sent out"),
     _web("nextjs.props-secret-leak", r"props\s*:\s*\{[^}]*process\.env\.(?:[A-Z_]*(SECRET|KEY|TOKEN|PASSWORD))", "high", "a secret goes to the page"),
     _web("nextjs.error-stack-leak", r"(?i)\.(json|send)\s*\([^)]*\b(err|error)\.stack", "low", "stack traces are sent out"),
     _web("nextjs.source-maps-exposed", r"productionBrowserSourceMaps\s*:\s*true", "low", "source maps are shipped"),
-    _web("nextjs.public-secret", r"NEXT_PUBLIC_[A-Z_]*(SECRET|PRIVATE|PASSWORD)", "high", "a secret is named public"),
-    _web("vite.prod-sourcemap", r"build\s*:\s*\{[^}]*sourcemap\s*:\s*true", "low", "source maps are shipped"),
-    _web("vite.define-inlines-secret", r"define\s*:\s*\{[^}]*process\.env\.[A-Z_]*(SECRET|KEY|TOKEN)", "high", "a secret is put into the bundle"),
+    _web("secret.public-env-exposure", r"NEXT_PUBLIC_[A-Z_]*(SECRET|PRIVATE|PASSWORD)", "high", "a secret is named public"),
+    _web("vite.prod-sourcemap", r"sourcemap\s*:\s*(true|['\"]inline['\"])", "low", "source maps are shipped", requires_file=r"build\s*:"),
+    _web("vite.define-inlines-secret", r"['\"]?[A-Za-z_.$]+['\"]?\s*:\s*(JSON\.stringify\s*\(\s*)?process\.env(\.[A-Z_]*(SECRET|KEY|TOKEN|PASSWORD)|\s*[,})])", "high", "a secret is put into the bundle", requires_file=r"define\s*:\s*\{"),
     _web("vite.import-meta-env-secret", r"import\.meta\.env\.VITE_[A-Z_]*(SECRET|TOKEN|PASSWORD)", "high", "a secret is read in the bundle"),
-    _web("vite.dev-server-cors-wildcard", r"server\s*:\s*\{[^}]*(cors\s*:\s*true|origin\s*:\s*['\"]\*)", "low", "the development server answers any origin"),
-    _web("vite.open-file-access", r"fs\s*:\s*\{\s*strict\s*:\s*false", "medium", "the development server gives out any file"),
+    _web("vite.dev-server-cors-wildcard", r"cors\s*:\s*(true|\{[^}]*origin\s*:\s*(true|['\"]\*))", "medium", "the development server answers any origin", requires_file=r"server\s*:"),
+    _web("vite.fs-strict-disabled", r"strict\s*:\s*false", "medium", "the development server gives out any file", requires_file=r"fs\s*:\s*\{"),
     _web("csp.unsafe-eval", r"(?i)script-src[^;'\"]*'unsafe-eval'", "medium", "evaluated code is allowed"),
     _web("csp.disabled-in-helmet", r"contentSecurityPolicy\s*:\s*false", "medium", "the policy is turned off"),
     _web("cors.origin-reflection", r"(?i)access-control-allow-origin['\"]\s*,\s*(req|request)\.headers", "high", "the asking origin is let in"),
-    _web("cors.wildcard-with-credentials", r"cors\s*\(\s*\{[^}]*origin\s*:\s*['\"]\*['\"][^}]*credentials\s*:\s*true", "high", "any origin is allowed, with cookies"),
+    _web("cors.wildcard-with-credentials", r"cors\s*\(\s*\{[^}]*origin\s*:\s*(true|['\"]\*['\"])[^}]*credentials\s*:\s*true", "high", "any origin is allowed, with cookies"),
     _web("cors.permissive-middleware", r"app\.use\s*\(\s*cors\s*\(\s*\)\s*\)", "low", "any origin is allowed"),
     _web("ai.llm-output-rendered-as-html", r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:\s*(completion|answer|reply|message\.content)", "high", "a model's text becomes markup"),
     _web("ai.llm-output-to-sink", r"(eval|exec|execSync)\s*\(\s*(completion|answer|reply|response\.text)", "critical", "a model's text is run"),
-    _web("ai.key-in-browser", r"dangerouslyAllowBrowser\s*:\s*true", "high", "the model's key goes to the browser"),
-    _web("ai.system-prompt-from-request", r"role\s*:\s*['\"]system['\"]\s*,\s*content\s*:\s*(req|request)\.", "high", "the instructions come from data"),
-    _web("ai.no-token-limit", r"chat\.completions\.create\s*\(\s*\{", "low", "an answer may be of any length", exclude_window=r"max_(completion_)?tokens", window=8, confidence="low"),
+    _web("ai.dangerously-allow-browser", r"dangerouslyAllowBrowser\s*:\s*true", "high", "the model's key goes to the browser"),
+    _web("ai.prompt-injection", r"role\s*:\s*['\"]system['\"]\s*,\s*content\s*:\s*(req|request)\.", "high", "the instructions come from data"),
+    _web("ai.unbounded-output", r"chat\.completions\.create\s*\(\s*\{", "low", "an answer may be of any length", exclude_window=r"max_(completion_)?tokens", window=8, confidence="low"),
 ]
-WEB_RULES = [*WEB_RULES, *FAMILY_RULES]
+WEB_RULES = [*WEB_RULES, *FAMILY_RULES, *INVENTORY_RULES]
 
-PACK = {r.rule_id: r for r in [*TEXT_RULES, *WEB_RULES]}
+#: The first entry of each rule.
+PACK = {r.rule_id: r for r in reversed([*TEXT_RULES, *WEB_RULES])}
 
 #: rule_id, title, severity, why, fix, cwe.
 DIMENSION = [
@@ -110,7 +112,7 @@ DIMENSION = [
     ("info-leak.host-address", "Host address", "low", "internal topology", "mask it", "CWE-200"),
     ("injection.eval", "Evaluated code", "critical", "data becomes code", "parse instead", "CWE-95"),
     ("injection.command", "Shell command from data", "critical", "data becomes a command", "pass arguments as a list", "CWE-78"),
-    ("sqli.template", "Query from data", "critical", "data becomes a query", "bind parameters", "CWE-89"),
+    ("sqli.template-literal", "Query from data", "critical", "data becomes a query", "bind parameters", "CWE-89"),
     ("xss.raw-html", "Raw HTML", "high", "data becomes markup", "sanitize or render as text", "CWE-79"),
     ("dom.inner-html", "Raw HTML", "high", "data becomes markup", "set text instead", "CWE-79"),
     ("sqli.tainted-query", "Query from data", "critical", "data from outside becomes a query", "bind parameters", "CWE-89"),
@@ -142,6 +144,8 @@ DIMENSION = [
     ("tls.verification-off", "Certificate checks off", "high", "connections can be read", "trust the certificate instead", "CWE-295"),
 ]
 
+DIMENSION += [k[:6] for k in KNOWLEDGE]
+
 # Techniques of rules that aren't patterns.
 RULE_TECHNIQUES = {
     "sqli.tainted-query": ("T1190",), "ssrf.fetch": ("T1190",), "open-redirect": ("T1204.001",), "xss.inner-html": ("T1059.007",), "xss.dangerously-set-inner-html": ("T1059.007",), "dataflow.sensitive-to-log": ("T1552.001",), "dataflow.sensitive-to-response": ("T1552",),
@@ -151,7 +155,10 @@ RULE_TECHNIQUES = {
     "config.missing-security-headers": ("T1190", "T1185"), "config.disabled-tls-verification": ("T1557",),
 }
 
-BRIDGE = [*[(r.rule_id, t) for r in PACK.values() for t in r.techniques], *[(r, t) for r, ts in RULE_TECHNIQUES.items() if r not in PACK for t in ts]]
+RULE_TECHNIQUES |= {k[0]: k[6] for k in KNOWLEDGE}
+
+#: A rule's own techniques, else those of the list.
+BRIDGE = [*[(r.rule_id, t) for r in PACK.values() for t in r.techniques], *[(r, t) for r, ts in RULE_TECHNIQUES.items() if r not in PACK or not PACK[r].techniques for t in ts]]
 
 # Technique, tactic.
 TECHNIQUES = [

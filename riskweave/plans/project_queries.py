@@ -312,50 +312,50 @@ def multiline_matches(spark, sf):
 EXAMPLES = [
     ("auth.middleware-bypass", "if (h['x-middleware-subrequest']) return next()", "if (h['x-request-id']) return next()"),
     ("auth.jwt-in-localstorage", "localStorage.setItem('jwt', t)", "localStorage.setItem('theme', t)"),
-    ("auth.hardcoded-credential", "if (user === 'admin' && password === 'x1') ok()", "if (user === row.user && password === row.hash) ok()"),
+    ("auth.hardcoded-credentials", "if (user === 'admin' && password === 'x1') ok()", "if (user === row.user && password === row.hash) ok()"),
     ("jwt.hardcoded-secret", "jwt.verify(t, 'keyboard cat')", "jwt.verify(t, process.env.KEY)"),
-    ("jwt.none-algorithm", "algorithms: ['none']", "algorithms: ['RS256']"),
+    ("jwt.alg-none", "algorithms: ['none']", "algorithms: ['RS256']"),
     ("jwt.decoded-not-verified", "const c = jwt.decode(t)", "const c = jwt.decode(t); jwt.verify(t, key)"),
     ("session.hardcoded-secret", "app.use(session({ name: 's', secret: 'cat' }))", "app.use(session({ secret: env.SESSION }))"),
     ("cookie.insecure-flags", "res.cookie('a', b, { httpOnly: false })", "res.cookie('a', b, { httpOnly: true })"),
     ("crypto.hardcoded-key", "crypto.createCipheriv('aes-256-gcm', 'k0', iv)", "crypto.createCipheriv('aes-256-gcm', key, iv)"),
     ("crypto.weak-cipher", "crypto.createCipheriv('aes-128-ecb', key, null)", "crypto.createCipheriv('aes-128-gcm', key, n)"),
-    ("crypto.weak-random", "const token = Math.random().toString(36)", "const x = Math.random() * width"),
-    ("crypto.static-iv", "const iv = Buffer.from('0000')", "const iv = randomBytes(16)"),
+    ("crypto.insecure-random", "const token = Math.random().toString(36)", "const x = Math.random() * width"),
+    ("crypto.hardcoded-iv", "const iv = Buffer.from('0000')", "const iv = randomBytes(16)"),
     ("hardening.insecure-deserialization", "const o = unserialize(req.body.o)", "const o = JSON.parse(req.body.o)"),
     ("hardening.dev-only-branch-shipping-secret-bypass", "if (process.env.NODE_ENV !== 'production' || ok) go()", "if (process.env.NODE_ENV === 'test') go()"),
     ("hardening.source-map-shipped-to-prod", "//# sourceMappingURL=/a.js.map", "//# sourceMappingURL=a.js.map"),
-    ("hardening.prototype-pollution", "merge(settings, req.body)", "merge(settings, defaults)"),
-    ("hardening.debug-on", "start({ debug: true })", "start({ debug: process.env.DEBUG, debug: true })"),
-    ("nosqli.where-from-request", "Users.findOne(req.body)", "Users.findOne({ id: String(req.body.id) })"),
-    ("sqli.concatenated", "db.run('select * from t where id = ' + id)", "db.run('select * from t where id = ?', id)"),
+    ("injection.prototype-pollution-merge", "merge(settings, req.body)", "merge(settings, defaults)"),
+    ("hardening.debug-enabled-in-prod", "start({ debug: true })", "start({ debug: process.env.DEBUG, debug: true })"),
+    ("nosqli.untrusted-query-filter", "Users.findOne(req.body)", "Users.findOne({ id: String(req.body.id) })"),
+    ("sqli.string-concatenation", "db.run('select * from t where id = ' + id)", "db.run('select * from t where id = ?', id)"),
     ("injection.function-constructor", "const f = new Function(code)", "const f = new Function('return 1')"),
     ("injection.timer-string", "setTimeout(`go(${x})`, 5)", "setTimeout(() => go(x), 5)"),
     ("injection.shell-option", "spawn(cmd, args, { shell: true })", "spawn(cmd, args, { shell: false })"),
-    ("path-traversal.joined-request", "path.join(root, req.params.name)", "path.join(root, 'index.html')"),
+    ("path-traversal.fs-read", "path.join(root, req.params.name)", "path.join(root, 'index.html')"),
     ("ssrf.request-url", "await fetch(req.query.url)", "await fetch('/api/x')"),
     ("redirect.from-request", "res.redirect(req.query.next)", "res.redirect('/home')"),
     ("xxe.entities-on", "parseXml(x, { noent: true })", "parseXml(x, { noent: false })"),
     ("dom.document-write", "document.write(html)", "document.write('<p>hi</p>')"),
-    ("dom.insert-adjacent", "el.insertAdjacentHTML('beforeend', html)", "el.insertAdjacentHTML('beforeend', '<p>')"),
+    ("dom.insert-adjacent-html", "el.insertAdjacentHTML('beforeend', html)", "el.insertAdjacentHTML('beforeend', '<p>')"),
     ("dom.message-any-origin", "w.postMessage(data, '*')", "w.postMessage(data, origin)"),
     ("react.ref-inner-html", "box.current.innerHTML = html", "box.current.textContent = html"),
     ("react.javascript-url", "<a href='javascript:go()'>x</a>", "<a href='/go'>x</a>"),
     ("react.href-user-value", "<a href={props.user.site}>x</a>", "<a href={SITE}>x</a>"),
     ("react.unsanitized-markdown", "<Markdown rehypePlugins={[rehypeRaw]} />", "<Markdown rehypePlugins={[rehypeRaw, rehypeSanitize]} />"),
-    ("react.target-blank", "<a href='/x' target='_blank'>x</a>", "<a href='/x' target='_blank' rel='noopener'>x</a>"),
+    ("react.unsafe-target-blank", "<a href='/x' target='_blank'>x</a>", "<a href='/x' target='_blank' rel='noopener'>x</a>"),
     ("nextjs.image-dangerously-allow-svg", "images: { dangerouslyAllowSVG: true }", "images: { dangerouslyAllowSVG: false }"),
     ("nextjs.api-wildcard-cors", "res.setHeader('Access-Control-Allow-Origin', '*')", "res.setHeader('Access-Control-Allow-Origin', SITE)"),
     ("nextjs.api-env-exposure", "res.json(process.env)", "res.json({ mode: process.env.MODE })"),
     ("nextjs.props-secret-leak", "return { props: { k: process.env.API_KEY } }", "return { props: { k: process.env.MODE } }"),
     ("nextjs.error-stack-leak", "res.status(500).json({ e: err.stack })", "log(err.stack)"),
     ("nextjs.source-maps-exposed", "productionBrowserSourceMaps: true,", "productionBrowserSourceMaps: false,"),
-    ("nextjs.public-secret", "const k = process.env.NEXT_PUBLIC_API_SECRET", "const k = process.env.NEXT_PUBLIC_SITE"),
+    ("secret.public-env-exposure", "const k = process.env.NEXT_PUBLIC_API_SECRET", "const k = process.env.NEXT_PUBLIC_SITE"),
     ("vite.prod-sourcemap", "build: { sourcemap: true }", "build: { sourcemap: false }"),
     ("vite.define-inlines-secret", "define: { K: process.env.API_KEY }", "define: { V: pkg.version }"),
     ("vite.import-meta-env-secret", "const t = import.meta.env.VITE_API_TOKEN", "const t = import.meta.env.VITE_SITE"),
     ("vite.dev-server-cors-wildcard", "server: { cors: true }", "server: { port: 1 }"),
-    ("vite.open-file-access", "fs: { strict: false }", "fs: { strict: true }"),
+    ("vite.fs-strict-disabled", "fs: { strict: false }", "fs: { strict: true }"),
     ("csp.unsafe-eval", "policy = \"script-src 'unsafe-eval'\"", "policy = \"script-src 'self'\""),
     ("csp.disabled-in-helmet", "helmet({ contentSecurityPolicy: false })", "helmet()"),
     ("cors.origin-reflection", "res.setHeader('Access-Control-Allow-Origin', req.headers.origin)", "res.setHeader('Access-Control-Allow-Origin', SITE)"),
@@ -363,9 +363,9 @@ EXAMPLES = [
     ("cors.permissive-middleware", "app.use(cors())", "app.use(cors(options))"),
     ("ai.llm-output-rendered-as-html", "<p dangerouslySetInnerHTML={{ __html: completion }} />", "<p>{completion}</p>"),
     ("ai.llm-output-to-sink", "eval(completion)", "show(completion)"),
-    ("ai.key-in-browser", "new Model({ dangerouslyAllowBrowser: true })", "new Model({})"),
-    ("ai.system-prompt-from-request", "{ role: 'system', content: req.body.p }", "{ role: 'system', content: RULES }"),
-    ("ai.no-token-limit", "m.chat.completions.create({ model })", "m.chat.completions.create({ model, max_tokens: 9 })"),
+    ("ai.dangerously-allow-browser", "new Model({ dangerouslyAllowBrowser: true })", "new Model({})"),
+    ("ai.prompt-injection", "{ role: 'system', content: req.body.p }", "{ role: 'system', content: RULES }"),
+    ("ai.unbounded-output", "m.chat.completions.create({ model })", "m.chat.completions.create({ model, max_tokens: 9 })"),
 ]
 
 

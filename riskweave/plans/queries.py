@@ -325,7 +325,7 @@ def sensitive_names(spark, sf):
 
 
 IDS = (
-    "ai.endpoint-no-auth", "sqli.template", "xss.raw-html", "csp.unsafe-inline", "secret.hardcoded", "cors.wildcard-credentials", "react.token-in-web-storage", "deps.known-vulnerability", "dataflow.email", "info-leak.stack", "injection.eval",
+    "ai.endpoint-no-auth", "sqli.template-literal", "xss.raw-html", "csp.unsafe-inline", "secret.generic", "cors.wildcard-credentials", "react.token-in-web-storage", "deps.known-vulnerability", "dataflow.email", "info-leak.stack", "injection.eval",
     "supply-chain.dependency-install-script", "vite.vite-prefixed-secret", "vite.dev-server-cors-wildcard", "react.ref-inner-html",
 )
 ID_SQL = choice("o_orderkey", list(IDS))
@@ -601,4 +601,4 @@ def call_argument_facts(spark, sf):
     return f.select("file", "kind", "line", "column", "name", "ord", "value", "shape", "scope", F.array_join(F.transform("carried", lambda c: c["label"]), ",").alias("labels"))
 
 
-from . import flow_queries, project_queries, upkeep_queries  # noqa: E402,F401  register their queries
+from . import flow_queries, inventory_queries, project_queries, upkeep_queries  # noqa: E402,F401  register their queries

@@ -38,7 +38,7 @@ def safe_rewrites(spark, sf):
     return out.select("file", "before", "after", F.array_join(F.transform("lines", lambda x: x["line"].cast("string")), ",").alias("lines"))
 
 
-@query(f"{_LINES_SQL} SELECT 'react.target-blank' AS rule_id, sum(n_changed + left_over)::BIGINT AS before, sum(left_over)::BIGINT AS after FROM d")
+@query(f"{_LINES_SQL} SELECT 'react.unsafe-target-blank' AS rule_id, sum(n_changed + left_over)::BIGINT AS before, sum(left_over)::BIGINT AS after FROM d")
 def rewrites_checked(spark, sf):
     """The findings of those pages by rule, before the rewrites and after."""
     files = _pages(spark, sf)

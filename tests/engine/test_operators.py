@@ -126,7 +126,7 @@ def test_edges(spark):
 
 
 def test_paths(spark):
-    df = spark.createDataFrame([finding("d", "ai.endpoint-no-auth", entry="r1"), finding("s", "sqli.template", "critical", entry="r1"), finding("k", "secret.hardcoded", entry="r2"), finding("v", "deps.known-vulnerability", "high", kev=True, epss=0.9), finding("z", "sqli.x", reachable=False, entry="r2")], FOUND)
+    df = spark.createDataFrame([finding("d", "ai.endpoint-no-auth", entry="r1"), finding("s", "sqli.template-literal", "critical", entry="r1"), finding("k", "secret.generic", entry="r2"), finding("v", "deps.known-vulnerability", "high", kev=True, epss=0.9), finding("z", "sqli.x", reachable=False, entry="r2")], FOUND)
     scored = paths.scored_paths(paths.candidate_paths(df), df)
     got = {r.template: r for r in scored.collect()}
     assert set(got) == {"unauth-exec", "secret-pivot", "exploited-dependency"}
@@ -164,7 +164,7 @@ def test_suppression_equals_python(spark):
 
 
 def test_chains(spark):
-    df = spark.createDataFrame([finding("d", "ai.endpoint-no-auth"), finding("s", "sqli.template"), finding("k", "secret.hardcoded"), finding("x", "sqli.other", entry="other")], FOUND)
+    df = spark.createDataFrame([finding("d", "ai.endpoint-no-auth"), finding("s", "sqli.template-literal"), finding("k", "secret.generic"), finding("x", "sqli.other", entry="other")], FOUND)
     chains = spark.createDataFrame([(1, 0, "d"), (1, 1, "s"), (1, 2, "k"), (2, 0, "d"), (2, 1, "x"), (3, 0, "d"), (3, 1, "gone"), (4, 0, "s"), (4, 1, "s"), (4, 2, "k")], "chain_id int, ord int, fingerprint string")
     assert {r.chain_id: r.reasons for r in paths.verified_chains(chains, df).collect()} == {1: ["open-door", "server-reads-secret"], 4: ["server-reads-secret"]}
 

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import text as tx
 from riskweave.functions.versions import bounds, version, within
-from riskweave.operators.rules import Rule, findings_of, line_findings, load_pack, multiline_findings
-from riskweave.plans.packs import PACK
-from riskweave.plans.packs import FAMILY_RULES
+from riskweave.operators.rules import Rule, findings_of, line_findings, load_pack, multiline_findings, required_literals
+from riskweave.plans import inventory, inventory_queries, packs
+from riskweave.plans.packs import FAMILY_RULES, PACK
 from riskweave.plans.project_queries import EXAMPLES
 
 SCHEMA = "file string, ext string, text string"
@@ -110,3 +110,39 @@ def test_required_literals_are_in_every_match(spark):
         assert not found or not literals or any(x in found[0].lower() for x in literals), rule
     files = spark.createDataFrame([("a", "x\nPASSWORD = k\n"), ("b", "nothing"), ("c", "1.2.3.4 token"), ("d", None)], "file string, text string")
     assert sorted((r.file, r.rule_id, r.line) for r in line_findings(files, TEXT_RULES).collect()) == [("a", "secret.assigned-value", 2), ("c", "info-leak.host-address", 1)]
+
+
+def test_inventory_is_whole():
+    assert [e[0] for e in inventory_queries.EXAMPLES] == [r.rule_id for r in inventory.INVENTORY_RULES]
+    known = [d[0] for d in packs.DIMENSION]
+    assert len(known) == len(set(known)) and {r.rule_id for r in packs.WEB_RULES} <= set(known)
+    assert all(all(d) for d in packs.DIMENSION)
+    bridged = {r for r, _ in packs.BRIDGE}
+    assert {r.rule_id for r in packs.WEB_RULES} <= bridged and {t for _, t in packs.BRIDGE} <= {t for t, _ in packs.TECHNIQUES}
+    assert len(packs.BRIDGE) == len(set(packs.BRIDGE))
+    rules, warnings = load_pack([vars(r) for r in packs.WEB_RULES])
+    assert rules == packs.WEB_RULES and not warnings
+    literals = [required_literals(r.regex) for r in inventory.INVENTORY_RULES]
+    assert sum(map(bool, literals)) > 0.9 * len(literals)
+    for (rule, _, yes, at, _, _), r, need in zip(inventory_queries.EXAMPLES, inventory.INVENTORY_RULES, literals, strict=True):
+        found = re.search(r.regex, yes.split("\n")[at - 1])
+        assert found and (not need or any(x in found[0].lower() for x in need)), rule
+
+
+def test_what_a_file_must_not_hold(spark):
+    rule = Rule("lacks", "handler", requires_file="model", exclude_file="(?i)limit")
+    files = spark.createDataFrame([("a", "handler model"), ("b", "handler model\nLimit"), ("c", "handler"), ("d", None), ("e", "")], "file string, text string")
+    assert rows(line_findings(files, [rule]), "file") == [("a",)]
+    whole = Rule("lacks", "h[a-z]+r", requires_file="model", exclude_file="(?i)limit", multiline=True)
+    assert rows(multiline_findings(files, [whole]), "file") == [("a",)]
+
+
+def test_lockfiles(spark):
+    from riskweave.operators.deps import missing_lockfiles
+
+    declared = spark.createDataFrame([("package.json", "x"), ("a/package.json", "x"), ("a/package.json", "y"), ("a/b/package.json", "x"), ("ab/package.json", "x"), ("c/package.json", None), (None, "x")], "file string, name string")
+    missing = lambda *locks: sorted(r.file for r in missing_lockfiles(declared, spark.createDataFrame([(x, 1) for x in locks], "file string, name int")).collect())
+    assert missing() == ["a/b/package.json", "a/package.json", "ab/package.json", "package.json"]
+    assert missing("a/yarn.lock", "a/yarn.lock", None) == ["ab/package.json", "package.json"]
+    assert missing("bun.lock") == [] and missing("a/b/lock") == missing("x/yarn.lock") == missing()
+    assert missing_lockfiles(declared.limit(0), declared.limit(0)).collect() == []

@@ -31,7 +31,7 @@ def test_diff_equals_the_common_one():
 def test_rewrites_of_odd_rows(spark):
     blank = "<a target='_blank'>"
     files = spark.createDataFrame([("a", f"{blank}\nx", 1), ("b", None, 2), ("c", "", 3), (None, blank, 4), ("d", blank, 5), ("d", blank, 6)], "file string, text string, before int")
-    asked = spark.createDataFrame([("react.target-blank", f, n) for f, n in (("a", 1), ("a", 1), ("a", 2), ("a", 99), ("a", 0), ("b", 1), ("c", 1), (None, 1), ("d", 1), ("gone", 1))] + [("other", "a", 1), (None, "a", 1)], "rule_id string, file string, line int")
+    asked = spark.createDataFrame([("react.unsafe-target-blank", f, n) for f, n in (("a", 1), ("a", 1), ("a", 2), ("a", 99), ("a", 0), ("b", 1), ("c", 1), (None, 1), ("d", 1), ("gone", 1))] + [("other", "a", 1), (None, "a", 1)], "rule_id string, file string, line int")
     out = rewrites.rewritten_lines(files, asked)
     got = sorted((r["file"], r["after"], [x["line"] for x in r["lines"]]) for r in out.collect())
     fixed = blank.replace(">", ' rel="noopener noreferrer">')
