@@ -37,9 +37,14 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def alternatives(text: Column) -> Column:
+    """The bounds of each of a range's alternatives, which || sets apart."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\s*\|\|\s*"), bounds)
+
+
 def within_any(v: Column, text: Column) -> Column:
-    """Whether a version lies in one of a range's alternatives, which || sets apart."""
-    return F.exists(F.split(F.coalesce(text, F.lit("")), r"\s*\|\|\s*"), lambda alternative: within(v, bounds(alternative)))
+    """Whether a version lies in one of a range's alternatives."""
+    return F.exists(alternatives(text), lambda ranges: within(v, ranges))
 
 
 EVENTS = "array<struct<introduced:string,fixed:string,last_affected:string>>"

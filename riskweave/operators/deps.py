@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.versions import affected_ranges, base_score, range_text, severity_of_score, version, within_any
+from ..functions.versions import affected_ranges, alternatives, base_score, range_text, severity_of_score, version, within
 
 
 def merged_dependencies(declared: DataFrame, by: str = "project_id") -> DataFrame:
@@ -22,9 +22,13 @@ def known_vulnerabilities(deps: DataFrame, advisories: DataFrame, kev: DataFrame
     """Dependencies within an advisory's range: an equi join on the name, the range (alternatives set apart by ||) as a further condition.
 
     deps: name, declared; advisories: package, id, vulnerable_range, severity, and cve, symbols where known. An advisory that is
-    exploited is critical; one whose symbols aren't used, and that isn't exploited, is low.
+    exploited is critical; one whose symbols aren't used, and that isn't exploited, is low. A range is read once an
+    advisory. The join is a left one so that Spark can send out the advisories, where they are few, and never the
+    dependencies, of which there may be many more than it takes them for; the range drops rows without an advisory.
     """
-    out = deps.withColumn("__v", version(F.col("declared"))).join(advisories, F.col("name") == F.col("package")).filter(within_any(F.col("__v"), F.col("vulnerable_range"))).drop("__v", "package")
+    read = advisories.withColumn("__ranges", alternatives(F.col("vulnerable_range")))
+    met = deps.withColumn("__v", version(F.col("declared"))).join(read, F.col("name") == F.col("package"), "left")
+    out = met.filter(F.exists("__ranges", lambda r: within(F.col("__v"), r))).drop("__v", "__ranges", "package")
     if kev is not None:
         out = out.join(kev.select(F.upper("cve").alias("k_cve")).distinct(), F.upper("cve") == F.col("k_cve"), "left").withColumn("kev", F.col("k_cve").isNotNull()).drop("k_cve")
     else:
@@ -50,7 +54,7 @@ def advisories_from_records(records: DataFrame, ecosystem: str = "npm") -> DataF
     lists = F.transform(F.filter("a.ranges", lambda r: r["type"].isin("SEMVER", "ECOSYSTEM")), lambda r: r["events"])
     per = each.select("id", "aliases", "summary", "severity", "database_specific", F.col("a.package.name").alias("package"), lists.alias("lists"))
     per = per.groupBy("package", "id").agg(F.flatten(F.collect_list("lists")).alias("lists"), *[F.first(c).alias(c) for c in ("aliases", "summary", "severity", "database_specific")])  # one row an affected entry
-    per = per.withColumn("ranges", affected_ranges(F.col("lists"))).filter(F.size("ranges") > 0)
+    per = per.withColumn("ranges", F.explode_outer(F.filter(F.array(affected_ranges(F.col("lists"))), lambda r: F.size(r) > 0))).filter("ranges IS NOT NULL")  # a mere filter would fold the events again
     stated = F.lower("database_specific.severity")
     stated = F.when(stated == "moderate", "medium").when(stated.isin("critical", "high", "medium", "low"), stated)
     scored = severity_of_score(F.array_max(F.transform("severity", lambda s: base_score(s["score"]))))

@@ -13,7 +13,7 @@ from ..operators import checks, dataflow, deps, graph
 from ..operators.rules import Rule, line_findings, multiline_findings
 from ..streaming import logs
 from .packs import FAMILY_RULES
-from .registry import _t, _values, choice, query
+from .registry import _dealt, _t, _values, choice, query
 
 
 def _numbered(spark, sf, table="customer", key="c_custkey"):
@@ -99,7 +99,7 @@ _E_SQL = ", ".join(f"{e} AS {n}" for e, n in zip(_E, "abcde", strict=True))
 )
 def advisory_ranges(spark, sf):
     """Which of twelve versions each part's record covers: a list that ends with a fix, and one that ends with a fix, with a last version or not at all."""
-    p = _t(spark, sf, "part").selectExpr("p_partkey", *[f"cast({e.replace('//', 'DIV')} AS int) AS {n}" for e, n in zip(_E, "abcde", strict=True)])
+    p = _dealt(_t(spark, sf, "part").select("p_partkey"), "p_partkey").selectExpr("p_partkey", *[f"cast({e.replace('//', 'DIV')} AS int) AS {n}" for e, n in zip(_E, "abcde", strict=True)])
     at = lambda x: F.concat(x.cast("string"), F.lit(".0.0"))
     none = F.lit(None).cast("string")
     event = lambda introduced=none, fixed=none, last=none: F.struct(introduced.alias("introduced"), fixed.alias("fixed"), last.alias("last_affected"))

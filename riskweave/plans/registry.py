@@ -24,6 +24,16 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of a table whose rows stand for whole files or packages that a task reads.
+FILES_A_TASK = 4000
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows that stand for whole files, dealt by their keys to tasks: their table is a few splits of a parquet file, whatever is then made of a row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // FILES_A_TASK)), *keys)
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -60,6 +60,16 @@ def test_history(spark):
     assert sorted((r.kind, r.band_rank) for r in history.keystones(before, after).collect()) == [("a", 2), ("b", 0)]
 
 
+def test_dependencies_are_not_sent_out(spark):
+    """Spark takes exploded rows for few; the join must not be free to hand all of them to each task."""
+    dep = spark.range(3).select(F.concat(F.lit("p"), F.col("id")).alias("name"), F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<string>")).alias("declared"))
+    adv = spark.range(5_000_000).select(F.concat(F.lit("p"), F.col("id")).alias("package"), F.lit("A").alias("id"), F.lit(None).cast("string").alias("cve"), F.lit("<3").alias("vulnerable_range"), F.lit("low").alias("severity"))
+    found = deps.known_vulnerabilities(dep, adv)
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    small = deps.known_vulnerabilities(dep, adv.filter("package IN ('p0', 'p2')").withColumn("vulnerable_range", F.when(F.col("package") == "p2", "<1 || >=8")))
+    assert sorted((r.name, r.declared) for r in small.collect()) == [("p2", "0"), ("p2", "8"), ("p2", "9")]
+
+
 def test_dependencies(spark):
     adv = spark.createDataFrame([("p", "A", "CVE-1", ">=1.0.0, <2.0.0", "high", ["f"]), ("p", "B", "CVE-2", "<1.0.0", "low", []), ("q", "C", None, ">=0.0.1", "medium", ["g"])], "package string, id string, cve string, vulnerable_range string, severity string, symbols array<string>")
     dep = spark.createDataFrame([("p", "^1.5.0"), ("q", "1.0.0"), ("z", "1.0.0")], "name string, declared string")
