@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, host_is_dynamic
 from ..sources.shared import staged
-from .graph import targets
+from .graph import resolved
 from .syntax import facts_of
 
 CARRIED = "array<struct<label:string,what:string,line:int,cls:string>>"
@@ -137,9 +137,7 @@ def call_targets(f: DataFrame, files: DataFrame) -> DataFrame:
     """file, called, t_file, t_function: what a name stands for where it is called: a function of the file, or one imported by name from a file of the corpus."""
     own = f.filter("kind = 'function' AND NOT startswith(name, '@')").select("file", F.col("name").alias("called")).distinct().withColumns({"t_file": F.col("file"), "t_function": F.col("called")})
     imported = f.filter("kind = 'import'").select("file", F.col("name").alias("called"), F.col("parts")[0].alias("t_function"), F.col("extra")[0].alias("spec")).distinct()
-    tried = imported.select("*", F.posexplode(targets(F.col("spec"), F.col("file"))).alias("n", "t_file"))
-    known = files.select(F.col("file").cast("string").alias("t_file")).distinct()
-    there = tried.join(known, "t_file").groupBy("file", "called", "t_function").agg(F.min_by("t_file", "n").alias("t_file"))
+    there = resolved(imported, files, ["file", "called", "t_function"]).withColumnRenamed("dst", "t_file")
     there = there.join(own.select("file", "called"), ["file", "called"], "left_anti")
     return own.select("file", "called", "t_file", "t_function").unionByName(there.select("file", "called", "t_file", "t_function"))
 

@@ -9,6 +9,8 @@ from ..sources.shared import new_place, staged
 
 #: Extensions that an import may leave out, in the order in which they are tried, also as an index file.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+#: What a name may lack, in the order in which it is tried.
+ENDS = ("", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS])
 
 _FROM = r"(?:import|export)\s[^;'\"]*?from\s*['\"]([^'\"]+)['\"]"
 _CALL = r"(?:require|import)\s*\(\s*['\"]([^'\"]+)['\"]"
@@ -26,24 +28,34 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def targets(spec: Column, importer: Column, roots: tuple[str, ...] = ("", "src")) -> Column:
-    """The files that a module name may mean, in the order in which they are tried; empty for a package.
+def bases(spec: Column, importer: Column, roots: tuple[str, ...] = ("", "src")) -> Column:
+    """The paths that a module name may mean, in the order in which they are tried, each with any of ENDS; empty for a package.
 
     A name that starts with a dot is relative to the importer, one that starts with @/ or ~/ to each of the roots.
     """
-    ends = ["", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS]]
-    tries = lambda base: F.array(*[F.concat(base, F.lit(e)) for e in ends])
     here = normal_path(F.concat(F.regexp_replace(importer, "[^/]*$", ""), spec))
-    aliased = F.concat(*[tries(normal_path(F.concat(F.lit(f"{r}/"), F.substr(spec, F.lit(3))))) for r in roots])
-    return F.when(spec.rlike(r"^[@~]/"), aliased).when(spec.startswith("."), tries(here)).otherwise(F.array().cast("array<string>"))
+    aliased = F.array(*[normal_path(F.concat(F.lit(f"{r}/"), F.substr(spec, F.lit(3)))) for r in roots])
+    return F.when(spec.rlike(r"^[@~]/"), aliased).when(spec.startswith("."), F.array(here)).otherwise(F.array().cast("array<string>"))
+
+
+def resolved(imports: DataFrame, files: DataFrame, by: list[str], roots: tuple[str, ...] = ("", "src")) -> DataFrame:
+    """by, dst: the first file that exists of those which the imports of a group may mean. imports: file, spec and by; files: file.
+
+    A file is known by what is left of its path without each of the ENDS that it has, so that it meets a name once, instead
+    of every name being tried with every end. The join is a left one: files can be sent out where they are few, imports
+    (of which Spark can't tell how many a text has) never.
+    """
+    tried = imports.select(*by, F.posexplode_outer(bases(F.col("spec"), F.col("file"), roots)).alias("root", "base")).filter("base IS NOT NULL")
+    known = files.select(F.col("file").cast("string").alias("dst")).distinct().select("dst", F.posexplode(F.array(*[F.lit(e) for e in ENDS])).alias("n", "end")).filter(F.endswith("dst", F.col("end")))
+    known = known.select("dst", "n", F.left("dst", F.length("dst") - F.length("end")).alias("base"))
+    order = F.when(F.col("dst").isNotNull(), F.struct("root", "n"))
+    return tried.join(known, "base", "left").groupBy(*by).agg(F.min_by("dst", order).alias("dst")).filter("dst IS NOT NULL")
 
 
 def edges(files: DataFrame, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
     """src, dst: each import of a file of the corpus by another, by the first name that exists. files: file, text."""
-    specs = files.select(F.col("file").alias("src"), F.explode(import_specs(F.col("text"))).alias("spec"))
-    tried = specs.select("src", "spec", F.posexplode(targets(F.col("spec"), F.col("src"), roots)).alias("n", "dst"))
-    known = files.select(F.col("file").alias("dst")).distinct()
-    return tried.join(known, "dst").groupBy("src", "spec").agg(F.min_by("dst", "n").alias("dst")).select("src", "dst").distinct()
+    specs = files.select("file", F.explode_outer(import_specs(F.col("text"))).alias("spec")).filter("spec IS NOT NULL")
+    return resolved(specs, files, ["file", "spec"], roots).select(F.col("file").alias("src"), "dst").distinct()
 
 
 #: Names of files that the router of an app directory renders.

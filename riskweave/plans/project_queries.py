@@ -17,7 +17,7 @@ from .registry import _dealt, _t, _values, choice, query
 
 
 def _numbered(spark, sf, table="customer", key="c_custkey"):
-    return _t(spark, sf, table).select(F.col(key).alias("k"))
+    return _dealt(_t(spark, sf, table).select(F.col(key).alias("k")), "k")
 
 
 # --- imports and entry points

@@ -60,6 +60,17 @@ def test_history(spark):
     assert sorted((r.kind, r.band_rank) for r in history.keystones(before, after).collect()) == [("a", 2), ("b", 0)]
 
 
+def test_imports_are_not_tried_with_every_end(spark):
+    """A name meets a file once, by what both say; the order of ends and roots stays."""
+    names = ["lib/a", "lib/a.ts", "lib/a/index.ts", "lib/b.jsx", "lib/b/index.ts", "src/c.ts", "c/index.cjs", "src/d/index.mjs", "index.ts"]
+    text = "import x from './a'\nimport y from './b'\nimport z from '@/c'\nimport w from '~/d'\nimport v from './a/index'\nimport u from './index'\nimport t from '..'\nimport 'react'"
+    files = spark.createDataFrame([(n, "") for n in names] + [("lib/u.ts", text), (None, "import './a'"), ("lib/n.ts", None)], "file string, text string")
+    found = graph.edges(files)
+    assert sorted((r.src, r.dst) for r in found.collect()) == [("lib/u.ts", d) for d in ("c/index.cjs", "lib/a", "lib/a/index.ts", "lib/b.jsx", "src/d/index.mjs")]
+    imports = spark.range(5_000_000).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("./a").alias("spec"))
+    assert "BuildLeft" not in graph.resolved(imports.limit(3), imports, ["file", "spec"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dependencies_are_not_sent_out(spark):
     """Spark takes exploded rows for few; the join must not be free to hand all of them to each task."""
     dep = spark.range(3).select(F.concat(F.lit("p"), F.col("id")).alias("name"), F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<string>")).alias("declared"))
