@@ -116,7 +116,7 @@ def _shown_sink() -> Column:
 def sinks(f: DataFrame) -> DataFrame:
     """Facts that are sinks, a row for each: rule_id, cap, cls, soft, sink besides their columns."""
     some = f.filter(F.col("kind").isin("arg", "field", "attr") & (F.size("parts") > 0))
-    return some.withColumn("s", F.explode(_sinks())).select(*f.columns, "s.*", _shown_sink().alias("sink"))
+    return some.withColumn("s", F.explode_outer(_sinks())).filter("s IS NOT NULL").select(*f.columns, "s.*", _shown_sink().alias("sink"))  # a mere explode would judge each fact twice
 
 
 def _carries(label: Column | str) -> Column:
@@ -223,7 +223,7 @@ class Program:
 
     @cached_property
     def sinks(self) -> DataFrame:
-        return sinks(self.facts)
+        return staged(sinks(self.facts), "sinks")
 
     @cached_property
     def targets(self) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from riskweave.operators import dataflow
 from riskweave.operators.facts import arguments, plain_literal, without_comments
-from riskweave.operators.syntax import DEPTH, facts_of
+from riskweave.operators.syntax import DEPTH, Reader, facts_of
 from riskweave.plans.detectors import DETECTORS, Inputs, found_by
 from riskweave.plans.scan import Config, scan
 
@@ -153,3 +153,22 @@ def test_verified_chains_by_the_secrets_rule(spark):
         return verified_chains(spark.createDataFrame([("c", 0, "1"), ("c", 1, "2")], "chain_id string, ord int, fingerprint string"), f).count() == 1
 
     assert holds("src/a.ts", None) and holds("src/a.ts", True) and not holds("src/a.ts", False) and not holds("src/a.test.ts", True) and not holds("src/a.test.ts", None)
+
+
+def test_files_are_dealt_to_tasks(spark, monkeypatch):
+    """A row stands for a file to be read: the split of the table that it comes from says nothing of the work."""
+    from riskweave.plans import registry
+
+    monkeypatch.setattr(registry, "FILES_A_TASK", 10)
+    few = spark.range(95).coalesce(1).withColumnRenamed("id", "k")
+    assert registry._dealt(few, "k").rdd.getNumPartitions() == 10
+    assert registry._dealt(few, "k").distinct().count() == 95 and registry._dealt(few.limit(0), "k").count() == 0
+
+
+def test_what_is_seen_is_kept_apart_by_place():
+    """The reader keeps the token that it saw last, with its place: going back or on looks again."""
+    r = Reader("a /*x*/ b\n")
+    assert (r.peek(), r.peek(), r.at) == ("a", "a", 0) and r.seen == (0, "a")
+    assert r.take("a") and r.peek() == "b" and r.seen == (8, "b")
+    r.at = 0
+    assert r.peek() == "a" and r.take("a") and r.take("b") and r.peek() == ""
