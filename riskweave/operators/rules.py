@@ -138,8 +138,8 @@ def line_findings(files: DataFrame, rules: list[Rule], framework: str | None = N
     rules = [r for r in rules if not r.multiline]
     chosen = [(k, r, c) for k, r in enumerate(rules) if (c := _applies(r, files.columns, framework)) is not None]
     src = files.select(F.col(key).alias("file"), "text", F.array(*[c for *_, c in chosen]).alias("on")) if chosen else files.select(F.col(key).alias("file"), "text", F.array().cast("array<boolean>").alias("on"))
-    src = src.filter(F.exists("on", lambda x: x))
-    lines = src.select("file", "on", F.posexplode(F.split("text", "\n")).alias("i", "line_text")).withColumn("line", F.col("i") + 1)
+    # Outer, and filtered on what comes out: a filter on what the files' conditions say would be moved below them and judge each file twice.
+    lines = src.select("file", "on", F.posexplode_outer(F.when(F.exists("on", lambda x: x), F.split("text", "\n"))).alias("i", "line_text")).filter("i IS NOT NULL").withColumn("line", F.col("i") + 1)
     windows = {(r.exclude_window, r.window): None for _, r, _ in chosen if r.exclude_window}
     for n, (pattern, size) in enumerate(windows):
         near = Window.partitionBy("file").orderBy("line").rowsBetween(-size, size)

@@ -146,3 +146,12 @@ def test_lockfiles(spark):
     assert missing("a/yarn.lock", "a/yarn.lock", None) == ["ab/package.json", "package.json"]
     assert missing("bun.lock") == [] and missing("a/b/lock") == missing("x/yarn.lock") == missing()
     assert missing_lockfiles(declared.limit(0), declared.limit(0)).collect() == []
+
+
+def test_conditions_on_files_are_in_the_plan_once(spark):
+    """A filter on what a file's conditions say would be moved below them, and judge each file a second time."""
+    files = spark.createDataFrame([("a", "x zq7\nzq7 nosec\n\nzq7"), ("b", None), ("c", ""), (None, "zq7")], "file string, text string")
+    found = line_findings(files, [Rule("r", "zq7")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Contains\(lower\(text#\d+\), zq7\)", plan)) == 1
+    assert sorted((r.file or "", r.line, r.column) for r in found.collect()) == [("", 1, 1), ("a", 1, 3), ("a", 4, 1)]
