@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property, reduce
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ BATCH = 4096
 # Receivers of requests, of databases and of what others collect; sinks by what is called, assigned or set.
 REQUESTERS = ("axios", "http", "https", "fetch", "got", "superagent", "request")
 DATABASES = ("db", "pool", "conn", "connection", "client", "sequelize", "knex", "sql", "database", "pg", "prisma", "mysql", "mariadb", "sqlite", "drizzle", "dbClient", "datasource", "pgPool", "pgClient", "dbConn")
+UNSAFE = ("$queryRawUnsafe", "$executeRawUnsafe")
 RAW_QUERIERS = ("knex", "sequelize", "db", "sql", "Sequelize", "datasource")
 COLLECTORS = ("Sentry", "analytics", "posthog", "ph", "mixpanel", "amplitude", "datadog", "DD", "segment", "rudder", "logrocket", "bugsnag", "rollbar", "heap")
 COMMANDS, EVALUATORS, TIMERS = ("exec", "execSync", "spawn", "spawnSync"), ("eval", "Function"), ("setTimeout", "setInterval")
@@ -47,25 +49,47 @@ AI_WORDS = ("execute", "tool(", "generateText", "streamText", "generateObject",
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Facts (see syntax.Reader) of files (file, text); texts without a call, an assignment or markup stay in the JVM. A null text has none."""
+    """Facts (see syntax.Reader) of files (file, text); texts without a call, an assignment or markup stay in the JVM. A null text has none.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    Files of a batch with the same text get copies of one reading; readings are handed over once there are BATCH rows of them.
+    """
 
-        def handed() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True))
-            columns[-1] = [[{"label": k, "what": w, "line": n, "cls": c} for k, (w, n, c) in x.items()] for x in columns[-1]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+    def piece(held: list[tuple]) -> pa.Table:
+        columns = list(zip(*held, strict=True))
+        columns[-1] = [[{"label": k, "what": w, "line": n, "cls": c} for k, (w, n, c) in x.items()] for x in columns[-1]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, list(_SCHEMA)[1:], strict=True)], names=_SCHEMA.names[1:])
+
+    def copied(held: list[tuple], sizes: np.ndarray, files: pa.Array) -> Iterator[pa.RecordBatch]:
+        """The rows held, for each of the files the next of them as many as it has (sizes) after where it begins."""
+        read = piece(held)
+        begins, counts = sizes[:, 0], sizes[:, 1]
+        ends = np.cumsum(counts)
+        done, row = 0, 0
+        while done < len(counts):
+            upto = max(done + 1, int(np.searchsorted(ends, row + BATCH, "right")))
+            of = np.repeat(np.arange(done, upto), counts[done:upto])
+            rows = np.arange(row, ends[upto - 1]) - (ends - counts)[of] + begins[of]
+            out = read.take(pa.array(rows)).add_column(0, "file", files.take(pa.array(of))).cast(_SCHEMA)
+            yield from out.combine_chunks().to_batches()
+            done, row = upto, int(ends[upto - 1])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                file = b.column("file")[i].as_py()
-                held += [(file, *f) for f in facts_of(b.column("text")[i].as_py())]
+            texts = b.column("text").dictionary_encode()
+            code = texts.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            copies = np.bincount(code, minlength=len(texts.dictionary))
+            files, held, sizes, first, last = b.column("file").take(pa.array(order)), [], [], 0, 0
+            for n, text in enumerate(texts.dictionary):
+                found = facts_of(text.as_py())
+                sizes.append(np.tile([(len(held), len(found))], (copies[n], 1)))
+                held += found
+                last += copies[n]
                 if len(held) >= BATCH:
-                    yield handed()
-                    held.clear()
-        if held:
-            yield handed()
+                    yield from copied(held, np.concatenate(sizes), files.slice(first, last - first))
+                    held, sizes, first = [], [], last
+            if held:
+                yield from copied(held, np.concatenate(sizes), files.slice(first, last - first))
 
     some = files.filter(F.col("text").rlike(r"[(=<]")).select(F.col("file").cast("string").alias("file"), "text")
     return some.mapInArrow(rows, FACTS)
@@ -74,8 +98,8 @@ def facts(files: DataFrame) -> DataFrame:
 # --- sinks
 
 
-def _sinks() -> Column:
-    """The sinks that a fact is: array of rule_id, cap (the label that counts), cls, soft (what is said of a value that carries nothing: '', 'built' if it isn't a mere name, 'any', 'always')."""
+def _sinks() -> tuple[Column, Column]:
+    """Whether a fact's last name is one of any sink, and the sinks that it is: array of rule_id, cap (the label that counts), cls, soft (what is said of a value that carries nothing: '', 'built' if it isn't a mere name, 'any', 'always')."""
     prop, root, size = F.element_at("parts", -1), F.col("parts")[0], F.size("parts")
     arg, at = F.col("kind") == "arg", lambda k: F.col("ord") == k
     bare, member = arg & (size == 1), arg & (size > 1)
@@ -83,29 +107,29 @@ def _sinks() -> Column:
     local = F.col("value").rlike(r"^(?:new\s+URL\s*\(\s*)?[\"'`]\s*(?:/|\./|\.\./)")
     quoted = F.col("shape").isin("template") | (F.col("shape").isin("literal") & F.col("value").rlike("^[\"'`]"))
     found = [
-        ("injection.eval", "inject", "", "", bare & prop.isin(*EVALUATORS)),
-        ("injection.command", "inject", "", "", arg & prop.isin(*COMMANDS)),
-        ("ssrf.fetch", "inject", "", "", bare & (prop == "fetch") & away),
-        ("ssrf.fetch", "inject", "", "", member & prop.isin("get", "request") & root.isin(*REQUESTERS) & away),
-        ("injection.eval", "inject", "", "always", bare & prop.isin(*TIMERS) & at(0) & quoted),
-        ("injection.eval", "inject", "", "", bare & prop.isin(*TIMERS) & at(0) & ~quoted & (F.col("shape") != "function")),
-        ("xss.inner-html", "inject", "", "built", member & (((prop == "insertAdjacentHTML") & at(1)) | (prop.isin("write", "writeln") & (root == "document") & at(0)))),
-        ("open-redirect", "inject", "", "built", member & at(0) & ~local & ((prop == "redirect") | (prop.isin("push", "replace") & (root == "router")) | ((prop == "assign") & (root == "location")))),
-        ("sqli.tainted-query", "inject", "", "", member & at(0) & (prop.isin("$queryRawUnsafe", "$executeRawUnsafe") | (prop.isin("query", "execute") & root.isin(*DATABASES)) | ((prop == "raw") & root.isin(*RAW_QUERIERS)))),
-        ("xss.inner-html", "inject", "", "built", (F.col("kind") == "field") & prop.isin("innerHTML", "outerHTML")),
-        ("xss.dangerously-set-inner-html", "inject", "", "any", (F.col("kind") == "attr") & (F.col("name") == "dangerouslySetInnerHTML") & (F.col("extra")[0] == "__html")),
-        ("dataflow.sensitive-to-log", "sensitive", "", "", member & (root == "console") & prop.isin("log", "info", "warn", "error", "debug")),
-        ("dataflow.sensitive-to-response", "sensitive", "", "", member & prop.isin("json", "send")),
-        ("dataflow.sensitive-to-browser-storage", "sensitive", "", "", member & (prop == "setItem") & root.isin("localStorage", "sessionStorage")),
-        ("dataflow.sensitive-to-thirdparty", "sensitive", "", "", member & (prop.isin("captureException", "captureMessage") | (prop.isin("track", "identify", "capture") & root.isin(*COLLECTORS)))),
-        (OUTPUT_RULE, "agency", "code-eval", "", bare & prop.isin(*EVALUATORS) & at(0)),
-        (OUTPUT_RULE, "agency", "command-exec", "", (bare & prop.isin(*AGENT_COMMANDS, "fork") & at(0)) | (member & prop.isin(*AGENT_COMMANDS))),
-        (OUTPUT_RULE, "agency", "ssrf-fetch", "", ((bare & (prop == "fetch")) | (member & prop.isin("get", "request", "post", "put", "patch", "delete") & root.isin(*AGENT_REQUESTERS))) & at(0) & away),
-        (OUTPUT_RULE, "agency", "fs-write", "", member & prop.isin(*FILE_WRITES) & (root.isin(*FILE_OBJECTS) | F.array_contains("parts", "fs"))),
-        (OUTPUT_RULE, "agency", "sql-raw", "", member & prop.isin("$queryRawUnsafe", "$executeRawUnsafe")),
+        ("injection.eval", "inject", "", "", EVALUATORS, bare),
+        ("injection.command", "inject", "", "", COMMANDS, arg),
+        ("ssrf.fetch", "inject", "", "", ("fetch",), bare & away),
+        ("ssrf.fetch", "inject", "", "", ("get", "request"), member & root.isin(*REQUESTERS) & away),
+        ("injection.eval", "inject", "", "always", TIMERS, bare & at(0) & quoted),
+        ("injection.eval", "inject", "", "", TIMERS, bare & at(0) & ~quoted & (F.col("shape") != "function")),
+        ("xss.inner-html", "inject", "", "built", ("insertAdjacentHTML", "write", "writeln"), member & (((prop == "insertAdjacentHTML") & at(1)) | (prop.isin("write", "writeln") & (root == "document") & at(0)))),
+        ("open-redirect", "inject", "", "built", ("redirect", "push", "replace", "assign"), member & at(0) & ~local & ((prop == "redirect") | (prop.isin("push", "replace") & (root == "router")) | ((prop == "assign") & (root == "location")))),
+        ("sqli.tainted-query", "inject", "", "", (*UNSAFE, "query", "execute", "raw"), member & at(0) & (prop.isin(*UNSAFE) | (prop.isin("query", "execute") & root.isin(*DATABASES)) | ((prop == "raw") & root.isin(*RAW_QUERIERS)))),
+        ("xss.inner-html", "inject", "", "built", ("innerHTML", "outerHTML"), F.col("kind") == "field"),
+        ("xss.dangerously-set-inner-html", "inject", "", "any", ("dangerouslySetInnerHTML",), (F.col("kind") == "attr") & (F.col("extra")[0] == "__html")),
+        ("dataflow.sensitive-to-log", "sensitive", "", "", ("log", "info", "warn", "error", "debug"), member & (root == "console")),
+        ("dataflow.sensitive-to-response", "sensitive", "", "", ("json", "send"), member),
+        ("dataflow.sensitive-to-browser-storage", "sensitive", "", "", ("setItem",), member & root.isin("localStorage", "sessionStorage")),
+        ("dataflow.sensitive-to-thirdparty", "sensitive", "", "", ("captureException", "captureMessage", "track", "identify", "capture"), member & (prop.isin("captureException", "captureMessage") | (prop.isin("track", "identify", "capture") & root.isin(*COLLECTORS)))),
+        (OUTPUT_RULE, "agency", "code-eval", "", EVALUATORS, bare & at(0)),
+        (OUTPUT_RULE, "agency", "command-exec", "", (*AGENT_COMMANDS, "fork"), (bare & prop.isin(*AGENT_COMMANDS, "fork") & at(0)) | (member & prop.isin(*AGENT_COMMANDS))),
+        (OUTPUT_RULE, "agency", "ssrf-fetch", "", ("fetch", "get", "request", "post", "put", "patch", "delete"), ((bare & (prop == "fetch")) | (member & prop.isin("get", "request", "post", "put", "patch", "delete") & root.isin(*AGENT_REQUESTERS))) & at(0) & away),
+        (OUTPUT_RULE, "agency", "fs-write", "", FILE_WRITES, member & (root.isin(*FILE_OBJECTS) | F.array_contains("parts", "fs"))),
+        (OUTPUT_RULE, "agency", "sql-raw", "", UNSAFE, member),
     ]
-    each = [F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(cap).alias("cap"), F.lit(cls).alias("cls"), F.lit(soft).alias("soft"))) for r, cap, cls, soft, c in found]
-    return F.array_compact(F.array(*each))
+    each = [F.when(prop.isin(*names) & c, F.struct(F.lit(r).alias("rule_id"), F.lit(cap).alias("cap"), F.lit(cls).alias("cls"), F.lit(soft).alias("soft"))) for r, cap, cls, soft, names, c in found]
+    return prop.isin(*sorted({n for f in found for n in f[4]})), F.array_compact(F.array(*each))
 
 
 def _shown_sink() -> Column:
@@ -114,9 +138,10 @@ def _shown_sink() -> Column:
 
 
 def sinks(f: DataFrame) -> DataFrame:
-    """Facts that are sinks, a row for each: rule_id, cap, cls, soft, sink besides their columns."""
-    some = f.filter(F.col("kind").isin("arg", "field", "attr") & (F.size("parts") > 0))
-    return some.withColumn("s", F.explode(_sinks())).select(*f.columns, "s.*", _shown_sink().alias("sink"))
+    """Facts that are sinks, a row for each: rule_id, cap, cls, soft, sink besides their columns. Most facts are told apart by their last name, before any condition."""
+    named, found = _sinks()
+    some = f.filter(F.col("kind").isin("arg", "field", "attr") & (F.size("parts") > 0) & named)
+    return some.withColumn("s", F.explode(found)).select(*f.columns, "s.*", _shown_sink().alias("sink"))
 
 
 def _carries(label: Column | str) -> Column:

@@ -54,7 +54,12 @@ def resolved(imports: DataFrame, files: DataFrame, by: list[str], roots: tuple[s
 
 def edges(files: DataFrame, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
     """src, dst: each import of a file of the corpus by another, by the first name that exists. files: file, text."""
-    specs = files.select("file", F.explode(import_specs(F.col("text"))).alias("spec"))
+    return links(files.select("file", import_specs(F.col("text")).alias("specs")), roots)
+
+
+def links(files: DataFrame, roots: tuple[str, ...] = ("", "src")) -> DataFrame:
+    """edges() of files whose module names are known. files: file, specs."""
+    specs = files.select("file", F.explode("specs").alias("spec"))
     return resolved(specs, files, ["file", "spec"], roots).select(F.col("file").alias("src"), "dst").distinct()
 
 

@@ -185,17 +185,18 @@ def suppressed(paths: DataFrame, group: str | None = None, most: int = MOST_PATH
     """Best paths first, without those whose findings all lie in a better path's; numbered path-1 on, for each group (project).
 
     paths: path_key, fingerprints, score, n. What lies in a path that itself goes lies in the one that stays instead, so
-    comparing with all better paths of the group leaves the same as going through them in order.
+    comparing with all better paths of the group leaves the same as going through them in order. Only those kept are numbered.
     """
     key = [group] if group else []
-    order = Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("n"), "path_key")
-    own = paths.withColumn("place", F.row_number().over(order))
+    place = F.struct(F.col("score").isNull(), -F.col("score"), F.col("n").isNull(), -F.col("n"), "path_key", "fingerprints")
+    own = paths.dropDuplicates([*key, "score", "n", "path_key", "fingerprints"]).withColumn("place", place)
     better = own.select(*[F.col(k).alias(f"b_{k}") for k in key], F.col("place").alias("b_place"), F.col("fingerprints").alias("b_fingerprints"), F.explode("fingerprints").alias("b_one"))
     # A path that lies in another shares its first finding with it: an equi join, not all with all.
     within = (F.col("fingerprints")[0] == F.col("b_one")) & (F.col("b_place") < F.col("place")) & (F.size(F.array_except("fingerprints", "b_fingerprints")) == 0)
     for k in key:
         within &= F.col(k) == F.col(f"b_{k}")
     kept = own.filter(F.size("fingerprints") > 0).join(better, within, "left_anti")
+    kept = kept if group else kept.orderBy("place").limit(most)
     kept = kept.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("place"))).filter(F.col("i") <= most)
     return kept.withColumn("path_id", F.concat(F.lit("path-"), "i")).drop("place", "i")
 

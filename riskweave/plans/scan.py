@@ -7,6 +7,7 @@ the least severity is applied before escalation, so what it drops doesn't come b
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +38,20 @@ class Config:
     rules: tuple[Rule, ...] = tuple(WEB_RULES)
 
 
-@dataclass
 class Result:
-    findings: DataFrame
-    paths: DataFrame
-    steps: DataFrame
-    counts: DataFrame
-    failed: DataFrame
+    """What a scan found; paths are put together and written when they are first asked for."""
+
+    def __init__(self, found: DataFrame, fail_on: str):
+        self._found = found
+        self.findings, self.counts, self.failed = fi.ranked(found), fi.severity_counts(found), fi.gate(found, fail_on)
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return staged(paths.suppressed(paths.scored_paths(paths.candidate_paths(self._found), self._found)), "paths")
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return paths.path_steps(self.paths, self._found)
 
 
 def chosen(config: Config) -> list[Rule]:
@@ -71,9 +79,11 @@ def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None
     found = fi.controlled(fi.capped_dev_only(found), list(config.disabled), config.overrides)
     found = fi.first_of_each(found, [F.col("detector_ord"), F.col("rule_ord"), F.col("column")])
     found = fi.at_least(found, config.min_severity)
-    entries = files.select(F.col("file").alias("rel"), graph.entry_kind(F.col("file"), F.col("text"), config.framework).alias("kind")).filter("kind IS NOT NULL")
+    # Texts are gone through once for both; a filter on kinds can't go with it to where the texts come from.
+    outline = staged(files.select("file", graph.entry_kind(F.col("file"), F.col("text"), config.framework).alias("kind"), graph.import_specs(F.col("text")).alias("specs")), "outline")
+    entries = outline.filter("kind IS NOT NULL").select(F.col("file").alias("rel"), "kind")
     has_entries = not entries.isEmpty()
-    reached = graph.reach(entries, graph.edges(files)) if has_entries else None
+    reached = graph.reach(entries, graph.links(outline)) if has_entries else None
     found = fi.escalated(graph.annotated(found, reached, has_entries))
     if config.reachable_only:
         found = found.filter(F.coalesce("reachable", F.lit(True)))
@@ -81,6 +91,4 @@ def scan(files: DataFrame, config: Config = Config(), baseline: DataFrame | None
         found = fi.in_diff(found, changed)
     if baseline is not None:
         found = fi.not_in_baseline(found, baseline)
-    found = staged(found, "findings")
-    ways = staged(paths.suppressed(paths.scored_paths(paths.candidate_paths(found), found)), "paths")
-    return Result(fi.ranked(found), ways, paths.path_steps(ways, found), fi.severity_counts(found), fi.gate(found, config.fail_on))
+    return Result(staged(found, "findings"), config.fail_on)

@@ -172,3 +172,47 @@ def test_what_is_seen_is_kept_apart_by_place():
     assert r.take("a") and r.peek() == "b" and r.seen == (8, "b")
     r.at = 0
     assert r.peek() == "a" and r.take("a") and r.take("b") and r.peek() == ""
+
+
+def test_a_filter_stays_after_the_dealing(spark):
+    """What is made of a dealt row is judged in the tasks that it was dealt to, not in the few splits of its table."""
+    from pyspark.sql import functions as F
+
+    from riskweave.plans import registry
+
+    made = registry._dealt(spark.range(50).withColumnRenamed("id", "k"), "k").withColumn("text", F.concat(F.lit("a"), "k")).filter("text RLIKE '9$'")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("RepartitionByExpression") and made.count() == 5
+
+
+def test_copies_of_a_text_are_read_once(spark, monkeypatch):
+    """Each file of a text has all of its facts, in batches of any size; a short text that was just read isn't read again."""
+    texts = ["out(location.hash)", "const a = 1", "f(a, b)\nfunction f(x, y) { eval(x) }", "// (", "el.innerHTML = `${req.query.q}`", None]
+    rows = [(f"{i}.ts", texts[i % len(texts)]) for i in range(40)] + [(None, texts[2]), ("long.ts", "g(1)\n" * 900)]
+    want = sorted((str(file), *map(str, f[:4])) for file, text in rows if text for f in facts_of(text))
+    files = spark.createDataFrame(rows, "file string, text string").coalesce(1)
+    for batch in (1, 7, 4096):
+        monkeypatch.setattr(dataflow, "BATCH", batch)
+        got = dataflow.facts(files).collect()
+        assert sorted((str(r.file), r.kind, str(r.line), str(r.column), r.name) for r in got) == want
+    assert {c.label for r in got if r.kind == "arg" and r.name == "out" for c in r.carried} == {"inject"}
+    assert facts_of(texts[0]) is facts_of("out(location" + ".hash)")
+
+
+def test_every_sink_is_known_by_its_last_name(spark):
+    """Facts without such a name are passed over; what is left has the sinks that it had."""
+    files = spark.createDataFrame([("a.ts", "eval(x)\nmy.thing(x)\nel.outerHTML = x\nres.redirect(x)\nfs.writeFile(x)\nposthog.capture(x)\nfork(x)\ndb.$queryRawUnsafe(x)\nsetTimeout(x)\nhttp.get(x)\nother(x)")], "file string, text string")
+    got = sorted((r.line, r.rule_id) for r in dataflow.sinks(dataflow.facts(files)).collect())
+    assert [line for line, _ in got] == [1, 1, 3, 4, 5, 6, 7, 8, 8, 9, 10, 10]
+
+
+def test_paths_are_put_together_when_asked_for(spark, monkeypatch):
+    """The findings of a scan don't wait for its paths; texts are gone through once for entries and imports."""
+    from riskweave.plans import scan as module
+
+    written = []
+    monkeypatch.setattr(module, "staged", lambda df, tag, real=module.staged: written.append(tag) or real(df, tag))
+    files = spark.createDataFrame([("app/api/x/route.ts", "ts", "import { go } from '@/lib/k'\neval(req.query.x)"), ("lib/k.ts", "ts", "export const go = 1")], "file string, ext string, text string")
+    result = scan(files, Config(detectors=("taint",)))
+    assert [(r.rule_id, r.reach_kind) for r in result.findings.collect()] == [("injection.eval", "server")] and written == ["outline", "findings"]
+    assert result.paths.count() == 1 and result.steps.count() == 2 and written[2:] == ["paths"]
