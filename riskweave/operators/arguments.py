@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, host_is_dynamic
+from ..sources.shared import staged
 from .dataflow import Program
 
 #: Fixed value: characters of the longest line that is looked at.
@@ -54,15 +55,23 @@ def argument_findings(p: Program) -> DataFrame:
     """rule_id, file, line, column, code_snippet, confidence, message, fingerprint: a row for each rule, file and line (the surest, then the first in the line).
 
     No row for files without a text, for calls without arguments and for what is in comments and texts. A null file counts as any other.
+    Arguments are judged once for each text and then handed out to its files.
     """
     hint = F.col("value").rlike(HINT)
     some = p.facts.filter(F.col("kind").isin("arg", "field", "attr") & (F.size("parts") > 0) & ~_plain())
     each = [F.when(which & values, F.struct(F.lit(rule).alias("rule_id"), F.when(hint, "high").otherwise(F.lit(sure)).alias("confidence") if sure else F.lit("medium").alias("confidence"), F.lit(said).alias("message"))) for rule, which, values, sure, said in _kinds()]
     found = some.select("file", "line", "column", F.col("code").alias("code_snippet"), F.explode(F.array_compact(F.array(*each))).alias("k")).select("file", "line", "column", "code_snippet", "k.*")
-    found = found.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("line"), F.col("code_snippet")))
+    once = _surest(found, F.col("rule_id"), F.col("file"), F.col("line"), F.trim("code_snippet")).withColumnRenamed("file", "id")
+    once = once.join(long_lines(p.texts), (once["id"] == F.col("l_file")) & (once["line"] == F.col("l_line")), "left_anti")
+    out = staged(once, "judged").join(p.copies, "id").select("rule_id", "file", "line", "column", "code_snippet", "confidence", "message")
+    out = out.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("line"), F.col("code_snippet")))
+    return _surest(out, F.col("fingerprint")) if p.nameless or p.repeated is not None else out
+
+
+def _surest(found: DataFrame, *keys: Column) -> DataFrame:
+    """One finding of the same keys: the surest, then the first in the line."""
     rank = F.element_at(F.create_map(*[F.lit(x) for x in ("high", 0, "medium", 1, "low", 2)]), F.col("confidence"))
-    once = found.groupBy("fingerprint").agg(F.min_by(F.struct(*found.columns), F.struct(rank.alias("rank"), "column", "message")).alias("f")).select("f.*")
-    return once.join(long_lines(p.files), (once["file"].eqNullSafe(F.col("l_file"))) & (once["line"] == F.col("l_line")), "left_anti")
+    return found.groupBy(*[k.alias(f"k{n}") for n, k in enumerate(keys)]).agg(F.min_by(F.struct(*found.columns), F.struct(rank.alias("rank"), "column", "message")).alias("f")).select("f.*")
 
 
 def long_lines(files: DataFrame) -> DataFrame:

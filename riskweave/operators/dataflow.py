@@ -27,8 +27,10 @@ _SCHEMA = pa.schema(
     [("file", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("name", pa.string()), ("parts", pa.list_(pa.string())), ("ord", pa.int32()), ("value", pa.string()), ("shape", pa.string()), ("scope", pa.string()), ("code", pa.string()), ("extra", pa.list_(pa.string()))]
     + [("carried", pa.list_(_LABEL))]
 )
-#: Rows of facts that are handed over at once.
-BATCH = 4096
+#: Rows of facts that are handed over at once, and texts that a task reads.
+BATCH, TEXTS_A_TASK = 4096, 4000
+#: What a text with facts has: a call, an assignment or markup.
+TELLING = r"[(=<]"
 
 # Receivers of requests, of databases and of what others collect; sinks by what is called, assigned or set.
 REQUESTERS = ("axios", "http", "https", "fetch", "got", "superagent", "request")
@@ -91,7 +93,7 @@ def facts(files: DataFrame) -> DataFrame:
             if held:
                 yield from copied(held, np.concatenate(sizes), files.slice(first, last - first))
 
-    some = files.filter(F.col("text").rlike(r"[(=<]")).select(F.col("file").cast("string").alias("file"), "text")
+    some = files.filter(F.col("text").rlike(TELLING)).select(F.col("file").cast("string").alias("file"), "text")
     return some.mapInArrow(rows, FACTS)
 
 
@@ -158,19 +160,14 @@ def _of_parameters(df: DataFrame) -> DataFrame:
 # --- functions over calls
 
 
-def call_targets(f: DataFrame, files: DataFrame) -> DataFrame:
-    """file, called, t_file, t_function: what a name stands for where it is called: a function of the file, or one imported by name from a file of the corpus."""
-    own = f.filter("kind = 'function' AND NOT startswith(name, '@')").select("file", F.col("name").alias("called")).distinct().withColumns({"t_file": F.col("file"), "t_function": F.col("called")})
-    imported = f.filter("kind = 'import'").select("file", F.col("name").alias("called"), F.col("parts")[0].alias("t_function"), F.col("extra")[0].alias("spec")).distinct()
-    there = resolved(imported, files, ["file", "called", "t_function"]).withColumnRenamed("dst", "t_file")
-    there = there.join(own.select("file", "called"), ["file", "called"], "left_anti")
-    return own.select("file", "called", "t_file", "t_function").unionByName(there.select("file", "called", "t_file", "t_function"))
+def call_edges(calls: DataFrame, to: DataFrame) -> DataFrame:
+    """Arguments that carry something to a function that is known: the fact's columns, called, t_file, t_function. calls: facts that carrying() tells."""
+    return calls.withColumn("called", F.element_at("parts", -1)).join(to, ["file", "called"])
 
 
-def call_edges(f: DataFrame, to: DataFrame) -> DataFrame:
-    """Arguments that carry something to a function that is known: the fact's columns, t_file, t_function."""
-    calls = f.filter((F.col("kind") == "arg") & (F.size("carried") > 0) & (F.size("parts") > 0)).withColumn("called", F.element_at("parts", -1))
-    return calls.join(to, ["file", "called"])
+def carrying(f: DataFrame) -> DataFrame:
+    """Facts of arguments that carry something to what has a name."""
+    return f.filter((F.col("kind") == "arg") & (F.size("carried") > 0) & (F.size("parts") > 0))
 
 
 _KEYS = ["file", "function", "ord", "cap", "rule_id", "cls"]
@@ -215,54 +212,166 @@ def _step(label: Column, file: Column, line: Column, kind: str, code: Column) ->
 
 
 def _reported(df: DataFrame, source: Column, confidence: Column, called: bool = False) -> DataFrame:
-    """Findings of rows with sink, hops and, where something was carried, its entry."""
-    end = F.concat(F.element_at("parts", -1), F.lit("() -> "), "sink") if called else F.col("sink")
-    own = [F.array(_step(source["what"], F.col("file"), source["line"], "source", source["what"]))]
-    if called:
-        passed = F.concat(F.element_at("parts", -1), F.lit("() in "), "t_file", F.lit(" (parameter "), F.col("ord").cast("string"), F.lit(" -> "), "sink", F.lit(")"))
-        own.append(F.array(_step(passed, F.col("t_file"), F.col("line"), "propagation", F.col("code"))))
-    own.append(F.array(_step(end, F.col("file"), F.col("line"), "sink", F.col("code"))))
-    flow = F.when(source.isNotNull(), F.concat(*own)).otherwise(F.array().cast(STEP))
+    """Findings of rows with sink, hops and, where something was carried, its entry: what is the same for all files of a class. through: the function's name where it was called."""
+    through = F.element_at("parts", -1) if called else F.lit(None).cast("string")
+    end = F.concat(through, F.lit("() -> "), "sink") if called else F.col("sink")
     said = F.when(source.isNull(), F.concat(F.lit("A value that isn't literal reaches "), end)).when(F.col("cap") == "sensitive", F.concat(F.lit("A secret, "), source["what"], F.lit(", reaches "), end)).otherwise(F.concat(source["what"], F.lit(" flows into "), end))
+    at = [F.col(c) if called else F.lit(None).cast("string").alias(c) for c in ("t_file", "t_function")]
     return df.select(
-        "rule_id", "file", "line", "column", F.col("code").alias("code_snippet"), confidence.alias("confidence"), said.alias("message"), F.col("name").alias("called"), "hops", F.when(F.col("cap") == "sensitive", source["cls"]).alias("data_asset"), flow.alias("taint_flow"), "cls",
+        "rule_id", "file", "line", "column", F.col("code").alias("code_snippet"), confidence.alias("confidence"), said.alias("message"), F.col("name").alias("called"), "hops", F.when(F.col("cap") == "sensitive", source["cls"]).alias("data_asset"),
+        F.when(source.isNotNull(), F.struct(source["what"].alias("what"), source["line"].cast("int").alias("line"))).alias("source"), end.alias("end"), "sink", "ord", through.alias("through"), *at,
     )
 
 
-def _once(found: DataFrame) -> DataFrame:
-    """One finding a fingerprint (rule, file, line and its text): the one through the fewest calls, then the first in the line; fingerprint and taint_steps besides."""
-    f = found.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("line"), F.col("code_snippet"))).withColumn("taint_steps", F.size("taint_flow"))
+def _once(found: DataFrame, *keys: Column) -> DataFrame:
+    """One finding of the same keys: the one through the fewest calls, then the first in the line."""
     order = F.struct((F.col("confidence") != "high").alias("unsure"), "hops", "column", "called", "message")
-    return f.groupBy("fingerprint").agg(F.min_by(F.struct(*f.columns), order).alias("f")).select("f.*")
+    return found.groupBy(*[k.alias(f"k{n}") for n, k in enumerate(keys)]).agg(F.min_by(F.struct(*found.columns), order).alias("f")).select("f.*")
+
+
+def _told(p: Program, found: list[DataFrame]) -> DataFrame:
+    """Findings of classes for each of their files, one a fingerprint (rule, file, line and its text), with flow, fingerprint and taint_steps.
+
+    Those of a class are told apart before they're handed out; only files without a name can have the same fingerprint after that.
+    """
+    once = _once(reduce(DataFrame.unionByName, found), F.col("rule_id"), F.col("file"), F.col("line"), F.trim("code_snippet"))
+    f = p.handed_out(staged(once, "found"))
+    passed = F.concat("through", F.lit("() in "), "t_file", F.lit(" (parameter "), F.col("ord").cast("string"), F.lit(" -> "), "sink", F.lit(")"))
+    first, last = _step(F.col("source.what"), F.col("file"), F.col("source.line"), "source", F.col("source.what")), _step(F.col("end"), F.col("file"), F.col("line"), "sink", F.col("code_snippet"))
+    between = F.when(F.col("through").isNotNull(), F.array(_step(passed, F.col("t_file"), F.col("line"), "propagation", F.col("code_snippet")))).otherwise(F.array().cast(STEP))
+    flow = F.when(F.col("source").isNotNull(), F.concat(F.array(first), between, F.array(last))).otherwise(F.array().cast(STEP))
+    f = f.select("rule_id", "file", "line", "column", "code_snippet", "confidence", "message", "called", "hops", "data_asset", flow.alias("taint_flow"))
+    f = f.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("line"), F.col("code_snippet"))).withColumn("taint_steps", F.size("taint_flow"))
+    return _once(f, F.col("fingerprint")) if p.nameless else f
 
 
 class Program:
-    """Facts of a corpus and what several findings need of them, each written once, when it's first asked for."""
+    """Facts of a corpus and what several findings need of them, each written once, when it's first asked for.
+
+    A text is read once, however many files have it. What is found in a file follows from its text and from the files that it
+    imports values from: files that are alike in both are a class, and sinks, calls and findings are worked out for
+    classes (named in the column file) and then handed out to files. A file that imports nothing is in the class of its
+    text, one that imports only from such files in that of its text and of theirs; any other is a class of its own, and
+    so is a file that comes several times, with all of its texts. Files without a name don't import and aren't imported.
+    """
 
     def __init__(self, files: DataFrame):
         self.files = files
 
+    @cached_property
+    def listed(self) -> DataFrame:
+        """file, id: every file and its text's digest, null where the text can't have facts."""
+        return staged(self.files.select(F.col("file").cast("string").alias("file"), F.when(F.col("text").rlike(TELLING), F.sha2("text", 256)).alias("id")), "listed")
+
+    @cached_property
+    def copies(self) -> DataFrame:
+        """file, id: files whose text may have facts."""
+        return self.listed.filter("id IS NOT NULL")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """file (the text's digest), text: each text once."""
+        return staged(self.files.filter(F.col("text").rlike(TELLING)).select("text").distinct().select(F.sha2("text", 256).alias("file"), "text"), "texts")
+
     @cached_property
     def facts(self) -> DataFrame:
-        return staged(facts(self.files), "facts")
+        """Facts of texts; file is a text's digest."""
+        tasks = max(self.texts.sparkSession.sparkContext.defaultParallelism, -(-self.texts.count() // TEXTS_A_TASK))
+        return staged(facts(self.texts.repartition(tasks, "file")), "facts")
+
+    @cached_property
+    def nameless(self) -> bool:
+        return not self.copies.filter("file IS NULL").isEmpty()
+
+    @cached_property
+    def repeated(self) -> DataFrame | None:
+        """file: those that come several times; None if none does."""
+        found = staged(self.copies.filter("file IS NOT NULL").groupBy("file").count().filter("count > 1").select("file"), "repeated")
+        return None if found.isEmpty() else found
+
+    @cached_property
+    def imports(self) -> DataFrame | None:
+        """file, called, t_function, t_file: values that a file imports by name from a file of the corpus; None if no text imports any."""
+        named = self.facts.filter("kind = 'import'").select(F.col("file").alias("id"), F.col("name").alias("called"), F.col("parts")[0].alias("t_function"), F.col("extra")[0].alias("spec")).distinct()
+        if named.isEmpty():
+            return None
+        own = self.copies.filter("file IS NOT NULL").join(named, "id").select("file", "called", "t_function", "spec")
+        return staged(resolved(own, self.listed, ["file", "called", "t_function"]).withColumnRenamed("dst", "t_file"), "imports")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """class, id, file: the class of each file, and its texts."""
+        m, again, i = self.copies, self.repeated, self.imports
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        m = m.withColumn("again", F.lit(False)) if again is None else m.join(again.withColumn("again", F.lit(True)), "file", "left")
+        if i is None:
+            m = m.withColumns({"deep": F.lit(False), "to": F.lit(None).cast("string")})
+        else:
+            bound = i.select("file") if again is None else i.select("file").union(again)
+            to = i.join(self.copies.select(F.col("file").alias("t_file"), F.col("id").alias("t_id")), "t_file", "left").join(bound.distinct().select(F.col("file").alias("t_file"), F.lit(True).alias("bound")), "t_file", "left")
+            to = to.groupBy("file").agg(F.bool_or(yes(F.col("bound"))).alias("deep"), F.to_json(F.array_sort(F.collect_set(F.struct("called", "t_function", F.coalesce("t_id", F.lit("")).alias("t_id"))))).alias("to"))
+            m = m.join(to, "file", "left")
+        name = F.when(yes(F.col("again")) | yes(F.col("deep")), F.concat(F.lit("f "), "file")).when(F.col("to").isNotNull(), F.concat(F.lit("c "), F.sha2(F.concat("id", "to"), 256))).otherwise(_class_of_text(F.col("id")))
+        m = m.select(name.alias("class"), "id", "file")
+        return staged(m if again is None else m.distinct(), "members") if i is not None or again is not None else m
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """id, class: the classes that a text is in."""
+        return staged(self.members.select("id", "class").distinct(), "classes")
+
+    def of_classes(self, rows: DataFrame) -> DataFrame:
+        """Rows of texts, once for each class that the text is in."""
+        if self.imports is None and self.repeated is None:
+            return rows.withColumn("file", _class_of_text(F.col("file")))
+        return rows.withColumnRenamed("file", "id").join(self.classes, "id").select(*[F.col("class").alias("file") if c == "file" else F.col(c) for c in rows.columns])
+
+    def handed_out(self, found: DataFrame) -> DataFrame:
+        """Findings of classes for each file of theirs, with the file of the function that was called (t_file)."""
+        of = self.members.select("class", "file")
+        of = of if self.repeated is None else of.distinct()
+        here = lambda d: d.withColumnRenamed("file", "class").join(of, "class")
+        near = here(found.filter("t_file IS NULL OR t_file = file")).withColumn("t_file", F.when(F.col("t_file").isNotNull(), F.col("file"))).drop("class")
+        if self.imports is None:
+            return near
+        far = here(found.filter("t_file <> file")).drop("t_file", "class").join(self.imports.withColumnRenamed("called", "through"), ["file", "through", "t_function"])
+        return near.unionByName(far)
 
     @cached_property
     def sinks(self) -> DataFrame:
-        return staged(sinks(self.facts), "sinks")
+        return staged(self.of_classes(sinks(self.facts)), "sinks")
+
+    @cached_property
+    def imported(self) -> DataFrame | None:
+        """file, called, t_file, t_function: values imported by name, functions or not."""
+        if self.imports is None:
+            return None
+        of = lambda c, f: self.members.select(F.col("class").alias(c), F.col("file").alias(f))
+        i = self.imports.join(of("class", "file"), "file").join(of("t_class", "t_file"), "t_file")
+        return staged(i.select(F.col("class").alias("file"), "called", F.col("t_class").alias("t_file"), "t_function").distinct(), "imported")
 
     @cached_property
     def targets(self) -> DataFrame:
-        return staged(call_targets(self.facts, self.files), "targets")
+        """file, called, t_file, t_function: what a name stands for where it is called: a function of the file, or one imported by name from a file of the corpus."""
+        own = self.of_classes(self.facts.filter("kind = 'function' AND NOT startswith(name, '@')").select("file", F.col("name").alias("called")).distinct()).distinct()
+        own = own.withColumns({"t_file": F.col("file"), "t_function": F.col("called")})
+        if self.imported is not None:
+            own = own.unionByName(self.imported.join(own.select("file", "called"), ["file", "called"], "left_anti"))
+        return staged(own, "targets")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return staged(call_edges(self.facts, self.targets), "edges")
+        return staged(call_edges(self.of_classes(carrying(self.facts)), self.targets), "edges")
 
     @cached_property
     def known(self) -> DataFrame:
         return summaries(self.sinks, self.edges)
 
 
+def _class_of_text(digest: Column) -> Column:
+    return F.concat(F.lit("t "), digest)
+
+
 def flow_findings(p: Program) -> DataFrame:
     """Data from outside in a sink and secrets that leave, in a file or through any number of calls; values in markup sinks that aren't literal, with medium confidence.
 
@@ -273,7 +382,7 @@ def flow_findings(p: Program) -> DataFrame:
     soft = (F.col("soft") == "always") | ((F.col("soft") == "any") & ~plain) | ((F.col("soft") == "built") & ~plain & (F.col("shape") != "name"))
     direct = _reported(own.filter(F.col("source").isNotNull() | soft), F.col("source"), F.when(F.col("source").isNotNull(), "high").otherwise("medium"))
     through = _into(p.edges, p.known.filter(F.col("cap").isin("inject", "sensitive"))).withColumn("source", _carries(F.col("cap"))).filter("source IS NOT NULL")
-    return _once(direct.unionByName(_reported(through, F.col("source"), F.lit("high"), called=True)).drop("cls"))
+    return _told(p, [direct, _reported(through, F.col("source"), F.lit("high"), called=True)])
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
@@ -288,12 +397,12 @@ def agency_findings(p: Program) -> DataFrame:
     """
     gate = reduce(lambda a, b: a | b, [F.contains("text", F.lit(w)) for w in AI_WORDS])
     boxed = reduce(lambda a, b: a | b, [F.contains("text", F.lit(w)) for w in SANDBOXES])
-    about = staged(p.files.filter(gate).select(F.col("file").cast("string").alias("file"), boxed.alias("boxed")).distinct(), "gates")
+    about = staged(p.of_classes(p.texts.filter(gate).select("file", boxed.alias("boxed"))).distinct(), "gates")
     agent = p.known.filter("cap = 'agency'")
     unsure = F.when(F.col("cls") == "ssrf-fetch", "medium").when(F.col("boxed") & F.col("cls").isin("command-exec", "code-eval"), "low").otherwise("high")
     rule = F.coalesce(*[F.when(F.col("cls") == c, F.lit(r)) for c, r in AGENT_RULES.items()])
     # Arguments of tools, which the model chooses.
-    tools = p.facts.filter("kind = 'tool'").select("file", F.col("name").alias("function")).distinct()
+    tools = p.of_classes(p.facts.filter("kind = 'tool'").select("file", F.col("name").alias("function")).distinct()).distinct()
     own = p.sinks.filter("cap = 'agency'").withColumn("hops", F.lit(0))
     inner = _of_parameters(own).filter("p_cap = 'agency'").join(tools, ["file", "function"]).join(about, "file")
     outer = _of_parameters(_into(p.edges, agent)).filter("p_cap = 'agency'").join(tools, ["file", "function"]).join(about, "file")
@@ -304,18 +413,14 @@ def agency_findings(p: Program) -> DataFrame:
     said = lambda d: d.withColumn("source", _carries("model")).filter("source IS NOT NULL").join(about, "file")
     found += [_reported(said(own), F.col("source"), unsure), _reported(said(_into(p.edges, agent)), F.col("source"), unsure, True)]
     # Calls of a model with such a tool, by the names that it has there, and content that others wrote.
-    named = p.facts.filter("kind = 'assign' AND extra[0] <> ''").select("file", F.col("name").alias("tool"), F.col("extra")[0].alias("function")).join(risky, ["file", "function"]).select("file", "tool").distinct()
-    elsewhere = _imported(p).join(named.select(F.col("file").alias("t_file"), F.col("tool").alias("t_function")), ["t_file", "t_function"]).select("file", F.col("called").alias("tool"))
-    armed = p.facts.filter("kind = 'model'").join(about, "file").withColumn("tool", F.explode("extra")).join(named.unionByName(elsewhere).distinct(), ["file", "tool"])
+    named = p.of_classes(p.facts.filter("kind = 'assign' AND extra[0] <> ''").select("file", F.col("name").alias("tool"), F.col("extra")[0].alias("function"))).join(risky, ["file", "function"]).select("file", "tool").distinct()
+    if p.imported is not None:
+        named = named.unionByName(p.imported.join(named.select(F.col("file").alias("t_file"), F.col("tool").alias("t_function")), ["t_file", "t_function"]).select("file", F.col("called").alias("tool"))).distinct()
+    armed = p.of_classes(p.facts.filter("kind = 'model'")).join(about, "file").withColumn("tool", F.explode("extra")).join(named, ["file", "tool"])
     armed = armed.withColumns({"rule_id": F.lit(CHAIN_RULE), "cap": F.lit("agency"), "cls": F.lit("prompt"), "hops": F.lit(0), "sink": F.concat(F.lit("a model that can call "), "tool")})
     armed = staged(armed, "armed")
     fed = armed.withColumn("source", _carries("untrusted")).filter("source IS NOT NULL")
     prompts = closed(_of_parameters(armed).filter("p_cap = 'agency'").select("file", "function", F.col("p_ord").alias("ord"), "cap", "rule_id", "cls", "sink"), p.edges)
     handed = _into(p.edges, prompts).withColumn("source", _carries("untrusted")).filter("source IS NOT NULL")
     found += [_reported(fed, F.col("source"), F.lit("high")), _reported(handed, F.col("source"), F.lit("high"), True)]
-    return _once(reduce(DataFrame.unionByName, found).drop("cls"))
-
-
-def _imported(p: Program) -> DataFrame:
-    """file, called, t_file, t_function of values imported by name, functions or not."""
-    return p.targets.filter("file <> t_file").unionByName(call_targets(p.facts.filter("kind = 'import'"), p.files)).distinct()
+    return _told(p, found)

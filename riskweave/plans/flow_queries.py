@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arguments, dataflow
 from .detectors import Inputs
-from .registry import _dealt, _t, _values, choice, query
+from .registry import TEXTS_A_TASK, _dealt, _t, _values, choice, query
 from .scan import Config, scan
 
 
@@ -37,7 +37,7 @@ def _with(template: Column, **parts: Column) -> Column:
 
 
 def _customers(spark, sf):
-    return _dealt(_t(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k")
+    return _dealt(_t(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k", each=TEXTS_A_TASK)
 
 
 # --- data from outside: source, what is done with it, sink, way
@@ -196,7 +196,7 @@ SCANNED = [
 @query(" UNION ALL ".join(f"SELECT {f} AS file, {r} AS rule_id, {s} AS severity FROM part WHERE {w.format(*_I)}" for f, r, s, w in SCANNED))
 def scan_findings(spark, sf):
     """Each part as a project with a source, a build configuration, an installed package, a dependency and a lockfile; digits of its number say which are at fault."""
-    p = _dealt(_t(spark, sf, "part").select("p_partkey"), "p_partkey")
+    p = _dealt(_t(spark, sf, "part").select("p_partkey"), "p_partkey", each=TEXTS_A_TASK)
     at = lambda name: F.concat("p_partkey", F.lit(f"/{name}"))
     files = p.select(at("a.ts").alias("file"), F.lit("ts").alias("ext"), _pick(_I[0], ["export const a = 1", "const q = req.query.q\ndb.query(`select ${q}`)", "const agent = new Agent({ rejectUnauthorized: false })"]).alias("text"))
     configs = p.select(at("next.config.js").alias("file"), _pick(_I[1], ["module.exports = { headers() { return [{ key: 'Content-Security-Policy' }] } }", "module.exports = { typescript: { ignoreBuildErrors: true } }"]).alias("text"), F.lit("vite").alias("framework"))

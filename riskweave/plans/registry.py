@@ -27,15 +27,17 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 #: Rows of a table whose rows stand for whole files or packages that a task reads.
 FILES_A_TASK = 4000
+#: The same where texts are only made and told apart, and read by tasks of their own.
+TEXTS_A_TASK = 50000
 
 
-def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def _dealt(rows: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
     """Narrow rows that stand for whole files, dealt by their keys to tasks: their table is a few splits of a parquet file, whatever is then made of a row.
 
     Spark moves a filter on what is made of a row before the dealing, into the tasks of those few splits, but not past a generator.
     """
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // FILES_A_TASK)), *keys).select(F.inline(F.array(F.struct("*"))))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // (each or FILES_A_TASK))), *keys).select(F.inline(F.array(F.struct("*"))))
 
 
 def _q(text: str) -> str:

@@ -216,3 +216,29 @@ def test_paths_are_put_together_when_asked_for(spark, monkeypatch):
     result = scan(files, Config(detectors=("taint",)))
     assert [(r.rule_id, r.reach_kind) for r in result.findings.collect()] == [("injection.eval", "server")] and written == ["outline", "findings"]
     assert result.paths.count() == 1 and result.steps.count() == 2 and written[2:] == ["paths"]
+
+
+def test_copies_of_a_program_are_worked_out_once(spark):
+    """Files alike in text and imports are a class; each has its findings with its own places."""
+    helper, user = "export function go(z) { eval(z) }", "import { go } from './h'\ngo(location.hash)"
+    files = [(f"d{i}/{n}.ts", t) for i in range(3) for n, t in (("h", helper), ("a", user))]
+    files += [("d3/h.ts", "export function go(z) { show(z) }"), ("d3/a.ts", user), ("alone/a.ts", user), ("m.ts", "import { go } from './d0/h'\nexport function mid(y) { go(y) }"), ("top.ts", "import { mid } from './m'\nmid(location.hash)")]
+    files += [("x.ts", "import { q } from './y'\nexport function p(v) { q(v) }\np(location.hash)"), ("y.ts", "import { p } from './x'\nexport function q(v) { p(v); eval(v) }"), ("e.ts", None)]
+    files += [("r.ts", "function f(x) { eval(x) }"), ("r.ts", "\nf(location.hash)"), (None, "eval(location.hash)"), (None, "eval(location.hash)")]
+    p = dataflow.Program(spark.createDataFrame(files, "file string, text string"))
+    got = sorted((str(r.file), r.line, r.hops, [(s.file, s.line) for s in r.taint_flow if s.kind == "propagation"]) for r in dataflow.flow_findings(p).collect())
+    want = [(f"d{i}/a.ts", 2, 1, [(f"d{i}/h.ts", 2)]) for i in range(3)] + [("None", 1, 0, []), ("r.ts", 2, 1, [("r.ts", 2)]), ("top.ts", 2, 2, [("m.ts", 2)]), ("x.ts", 3, 2, [("x.ts", 3)])]
+    assert got == sorted(want)
+    assert p.facts.count() == sum(len(facts_of(t)) for t in {t for _, t in files if t})
+    kinds = {r.file: r["class"][:2] for r in p.members.filter("file IS NOT NULL").collect()}
+    assert {f for f, k in kinds.items() if k == "f "} == {"top.ts", "x.ts", "y.ts", "r.ts"} and {f for f, k in kinds.items() if k == "c "} == {*(f"d{i}/a.ts" for i in range(4)), "m.ts"}
+
+
+def test_arguments_of_copies_are_judged_once(spark):
+    """Each file of a text has the text's findings; a file that comes twice and files without a name have one of each."""
+    from riskweave.operators.arguments import argument_findings
+
+    files = [(f"{i}.ts", "eval(a)\nrun()\n" + "x" * 401 + "; eval(b)") for i in range(5)] + [("0.ts", "eval(a)"), (None, "eval(a)"), (None, "eval(a) ")]
+    p = dataflow.Program(spark.createDataFrame(files, "file string, text string"))
+    assert sorted((str(r.file), r.line) for r in argument_findings(p).collect()) == [*((f"{i}.ts", 1) for i in range(5)), ("None", 1)]
+    assert p.facts.count() == sum(len(facts_of(t)) for t in {t for _, t in files})
