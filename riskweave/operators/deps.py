@@ -25,9 +25,11 @@ def known_vulnerabilities(deps: DataFrame, advisories: DataFrame, kev: DataFrame
     exploited is critical; one whose symbols aren't used, and that isn't exploited, is low. A range is read once an
     advisory. The join is a left one so that Spark can send out the advisories, where they are few, and never the
     dependencies, of which there may be many more than it takes them for; the range drops rows without an advisory.
+    Dependencies come through a generator: where all have one name that Spark can see in the plan, it would drop the key,
+    send all of them out and find what they meet in the task of the advisory.
     """
     read = advisories.withColumn("__ranges", alternatives(F.col("vulnerable_range")))
-    met = deps.withColumn("__v", version(F.col("declared"))).join(read, F.col("name") == F.col("package"), "left")
+    met = deps.withColumn("__v", version(F.col("declared"))).select(F.inline(F.array(F.struct("*")))).join(read, F.col("name") == F.col("package"), "left")
     out = met.filter(F.exists("__ranges", lambda r: within(F.col("__v"), r))).drop("__v", "__ranges", "package")
     if kev is not None:
         out = out.join(kev.select(F.upper("cve").alias("k_cve")).distinct(), F.upper("cve") == F.col("k_cve"), "left").withColumn("kev", F.col("k_cve").isNotNull()).drop("k_cve")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fingerprint
 from ..operators import arguments, checks, dataflow, deps
 from ..operators.rules import Rule, findings_of
+from ..sources.shared import staged
 
 #: What every finding has: null where a detector doesn't tell.
 COLUMNS = {
@@ -104,7 +105,10 @@ def _dependencies(i: Inputs) -> DataFrame | None:
     place = F.col("file") if "file" in i.dependencies.columns else F.lit("package.json")
     known = None
     if i.advisories is not None:
-        v = deps.known_vulnerabilities(i.dependencies, i.advisories, i.kev, i.epss, deps.usage_index(i.files))
+        # Written, their size is known: few of them are sent out, and a name that many dependencies share isn't one task's.
+        written = lambda d, tag: None if d is None else staged(d, tag)
+        kev = written(i.kev if i.kev is None else i.kev.select(F.upper("cve").alias("cve")).distinct(), "kev")
+        v = deps.known_vulnerabilities(i.dependencies, staged(i.advisories, "advisories"), kev, written(i.epss, "epss"), staged(deps.usage_index(i.files), "usage"))
         known = uniform(v, rule_id=F.lit("deps.known-vulnerability"), file=place, line=F.lit(1), confidence=F.lit("high"), message=F.concat_ws(" ", "name", "declared", "id"))
     squats = None
     if i.popular is not None:

@@ -242,3 +242,15 @@ def test_arguments_of_copies_are_judged_once(spark):
     p = dataflow.Program(spark.createDataFrame(files, "file string, text string"))
     assert sorted((str(r.file), r.line) for r in argument_findings(p).collect()) == [*((f"{i}.ts", 1) for i in range(5)), ("None", 1)]
     assert p.facts.count() == sum(len(facts_of(t)) for t in {t for _, t in files})
+
+
+def test_a_name_that_all_dependencies_share_is_not_one_task(spark):
+    """What a scan finds of them is found by the tasks that have them, also where the plan shows the name."""
+    from pyspark.sql import functions as F
+
+    needed = spark.range(400, numPartitions=4).select(F.lit("lib").alias("name"), F.when(F.col("id") % 4 == 0, "2.0.0").otherwise("1.0.0").alias("declared"), F.concat("id", F.lit("/package.json")).alias("file"))
+    advisories = spark.createDataFrame([("lib", "A-1", "CVE-1", "<2.0.0", "high", ["f"])], "package string, id string, cve string, vulnerable_range string, severity string, symbols array<string>")
+    files = spark.createDataFrame([("a.ts", "ts", "a")], "file string, ext string, text string")
+    found = found_by(Inputs(files, dependencies=needed, advisories=advisories, kev=spark.createDataFrame([("cve-1",), ("CVE-1",)], "cve string")), only=("dependencies",))
+    rows = found.select("severity", "kev", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 300 and {(r.severity, r.kev) for r in rows} == {("critical", True)} and len({r.task for r in rows}) > 1
